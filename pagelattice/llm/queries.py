@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +20,72 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neardup import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
+#: The same links and components by brute force over all pairs that share a shingle.
+OP3_SQL = """
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w from documents),
+s as (select doc_id, list_distinct(case when len(w) >= 3 then list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])
+                                        when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as sh from w),
+e as (select doc_id, unnest(sh) as x from s),
+c as (select a.doc_id as a, b.doc_id as b, count(*) as both_ from e a join e b on a.x = b.x and a.doc_id <> b.doc_id group by all),
+l as (select a, b from c join s sa on sa.doc_id = a join s sb on sb.doc_id = b where 100 * both_ >= 85 * (len(sa.sh) + len(sb.sh) - both_)),
+r as (select doc_id as a, doc_id as b from s union select r.a, l.b from r join l on r.b = l.a)
+select s.doc_id, cast(len(sh) as bigint) as n_shingles, least(s.doc_id, m.c) as component_id, s.doc_id = least(s.doc_id, m.c) as kept
+from s join (select a, min(b) as c from r group by a) m on m.a = s.doc_id
+"""
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import held_out, toxicity
+
+    found = toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return found.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("spans").cast("long").alias("n_spans"))
+
+
+def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk import top_k, usable
+
+    vectors = _table(spark, sf_dir, "embeddings").where(usable(F.col("embedding")) & F.col("vec_id").isNotNull())
+    weights = F.transform("embedding", lambda x: F.floor(256 * x.cast("double")))
+    return top_k(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), weights.alias("weights")), F.col("vec_id") % 50 == 0, 5)
+
+
+OP6_SQL = """
+with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as w from embeddings
+           where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+p as (select q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(range(1, 1 + least(len(q.w), len(c.w))), lambda i: q.w[i] * c.w[i])) as bigint) as score
+      from v q join v c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id),
+r as (select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank, vec_id, score from p)
+select query_id, rank, vec_id, score from r where rank <= 5
+"""
+
+
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import digests, format_conversations, text_parts
+
+    said = r"\### Assistant: </turn> ok"
+    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
+    messages = _table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
+    return digests(format_conversations(text_parts(messages.unionByName(extra))))
+
+
+OP7_SQL = """
+with m as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+           union all select -7, 0, 'user', '\\### Assistant: </turn> ok' union all select -7, 1, 'assistant', '\\### Assistant: </turn> ok')
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+  cast(coalesce(sum(case when role = 'assistant' then length(text) end), 0) as bigint) as loss_chars,
+  sha256(coalesce(string_agg(case when role = 'assistant' then text end, '' order by turn, role, text), '')) as loss_sha256,
+  cast(sum(14 + 2 * length(role) - length(translate(role, '#<:' || chr(92), '')) + 2 * length(text) - length(translate(text, '#<' || chr(92), ''))) as bigint) as formatted_chars
+from m group by conv_id
+"""
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -28,8 +95,9 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_token_files": op1_token_files, "op9_bpe": op9_bpe}
+    own = (op1_token_files, op3_near_duplicates, op4_toxicity, op6_top_k, op7_chat, op9_bpe)
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_near_duplicates": OP3_SQL, "op6_top_k": OP6_SQL, "op7_chat": OP7_SQL}
