@@ -20,6 +20,31 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import BASE_RULES, cascade, rejected_by
+
+    got = cascade(_table(spark, sf_dir, "documents"), features=True)
+    base = rejected_by(None, BASE_RULES, {x: F.col(x) for r in BASE_RULES for x in r.needs}).isNotNull()
+    return got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept")
+
+
+OP2_SQL = """
+with t as (select row_number() over () as r, doc_id, coalesce(text, '') as t from documents),
+w as (select r, doc_id, t, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') as w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as ls from t),
+g as (select r, i, list_slice(w, i, i + 7) as g from (select r, w, unnest(range(1, len(w) - 6)) as i from w where len(w) >= 8)),
+d as (select r, i from (select r, i, count(*) over (partition by r, g) as n from g) where n > 1),
+c as (select r, count(distinct p) as n from (select r, unnest(range(i, i + 8)) as p from d) group by r),
+f as (select doc_id, cast(len(w) as bigint) as n_words, cast(length(array_to_string(w, '')) as bigint) as word_chars,
+        cast(length(t) - length(translate(t, '#*$%&|<>', '')) as bigint) as n_symbols, cast(length(t) - length(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '')) as bigint) as caps,
+        len(ls) as n_lines, cast(len(ls) - len(list_distinct(ls)) as bigint) as n_dup_lines, cast(coalesce(c.n, 0) as bigint) as n_repeat_words
+      from w left join c using (r)),
+b as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from f)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  not (base_failed or 10 * n_symbols > 3 * n_words or 10 * caps > 4 * word_chars or word_chars > 40 * n_words or (n_lines >= 5 and 10 * n_dup_lines > 6 * n_lines)) as kept
+from b
+"""
+
+
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .neardup import near_duplicates
 
@@ -48,6 +73,40 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("spans").cast("long").alias("n_spans"))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix_report
+
+    return mix_report(_table(spark, sf_dir, "documents"))
+
+
+#: Targets, blocks and draws again; which shard takes a block doesn't change how often it is taken.
+OP5_SQL = """
+with d0 as (select row_number() over () as r, doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) as bigint) as size from documents),
+s0 as (select source, cast(sum(size) as bigint) as source_size from d0 group by source),
+s1 as (select *, row_number() over (order by source nulls last) as place from s0),
+s2 as (select *, [3.0::double, 1.0::double, 2.0::double][(place - 1) % 3 + 1] as weight, cast(2 * source_size as double) as cap from s1),
+s3 as (select *, 1.5::double * sum(source_size) over () as total, sum(weight) over () as w,
+         coalesce(sum(cap) over o, 0) as c0, coalesce(sum(weight) over o, 0) as w0 from s2 window o as (order by cap / weight, place rows between unbounded preceding and 1 preceding)),
+s4 as (select *, cap / weight <= (total - c0) / (w - w0) as is_full from s3),
+s5 as (select *, sum(case when is_full then cap else 0 end) over () as ct, sum(case when is_full then weight else 0 end) over () as wt from s4),
+s as (select source, place, source_size, case when is_full then cap else weight * (total - ct) / (w - wt) end as target from s5),
+d as (select d0.*, s.place, s.source_size, s.target, md5(coalesce(cast(doc_id as varchar), 'null') || ':doc') as key from d0 join s on d0.source is not distinct from s.source),
+k as (select *, list_sum(list_transform(range(1, 7), lambda i: (strpos('0123456789abcdef', substr(key, i, 1)) - 1) * cast(pow(16, 6 - i) as bigint)))
+         % greatest(1, least(65536, cast(ceil(source_size / 65536.0) as bigint))) as block from d),
+b0 as (select place, block, cast(sum(size) as bigint) as words, any_value(source_size) as source_size, any_value(target) as target from k group by place, block),
+b1 as (select *, case when source_size > 0 then cast(floor(target / source_size) as bigint) else 0 end as passes from b0),
+b2 as (select *, cast(round(target) as bigint) - passes * source_size as rest,
+         cast(coalesce(sum(words) over (partition by place order by md5(place || ':' || cast(block as bigint) || ':block'), block rows between unbounded preceding and 1 preceding), 0) as bigint) as before_ from b1),
+b as (select place, block, passes, before_ + words <= rest as whole_, case when before_ + words > rest and before_ < rest then rest - before_ end as room from b2),
+e0 as (select k.r, k.place, k.key, k.size, b.room, sum(size) over (partition by k.place order by key range between unbounded preceding and current row) <= room as first_ from k join b using (place, block) where room is not null),
+e1 as (select *, room - sum(case when first_ then size else 0 end) over (partition by place) as gap, sum(size) over (partition by place, key) as twins from e0),
+e2 as (select *, first_value(key) over (partition by place order by first_, abs(twins - gap), key) as best from e1),
+e as (select r, first_ or (key = best and not first_ and abs(twins - gap) < gap) as edge from e2)
+select doc_id, size, source_size, target, cast(size * (passes + case when whole_ or coalesce(edge, false) then 1 else 0 end) as bigint) as taken
+from k join b using (place, block) left join e using (r)
+"""
+
+
 def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .topk import top_k, usable
 
@@ -86,6 +145,21 @@ from m group by conv_id
 """
 
 
+def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of the compacted store's last version, with its text's size and digest."""
+    from .scratch import Scratch
+    from .sharding import ShardStore, arrivals
+
+    store = ShardStore(spark, Scratch(spark, "shards").folder("store"))
+    store.append_each(arrivals(_table(spark, sf_dir, "documents")), "arrival")
+    store.compact()
+    store.vacuum()
+    return store.read().select("doc_id", "lang", "source", "n_chars", F.octet_length("text").cast("long").alias("n_bytes"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+OP8_SQL = "select doc_id, lang, source, n_chars, cast(octet_length(encode(text)) as bigint) as n_bytes, md5(text) as text_md5 from documents"
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -94,10 +168,44 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .urlfilter import url_filter
+
+    return url_filter(_table(spark, sf_dir, "pages"))
+
+
+def op10_sql() -> str:
+    """All steps of both ranks, one common table expression a step."""
+    from .urlfilter import BLOCKED, DAMPING, RULES, STEPS, THRESHOLD, TRUSTED
+
+    up, low = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    bad = " or ".join(f"host = '{h}' or ends_with(host, '.{h}')" for h in BLOCKED)
+    good = "host in (" + ", ".join(f"'{h}'" for h in TRUSTED) + ")"
+    fits = [(r, v, *r.split("/", 1)) for v, r in sorted(RULES, key=lambda x: -len(x[1]))]
+    case = lambda k: "case " + " ".join(f"when (host = '{x[2]}' or ends_with(host, '.{x[2]}')) and starts_with(path, '/{x[3]}') then '{x[k]}'" for x in fits) + " end"
+    steps = [f"r0 as materialized (select host, {1 - DAMPING} * good as t, {1 - DAMPING} * bad as d from seeds)"]
+    for k in range(1, STEPS):
+        steps.append(f"""r{k} as materialized (select s.host, {1 - DAMPING} * good + {DAMPING} * coalesce(f.t, 0) as t, {1 - DAMPING} * bad + {DAMPING} * coalesce(b.d, 0) as d from seeds s
+  left join (select dst, sum(t * ahead) as t from shares join r{k - 1} on src = host group by dst) f on f.dst = s.host
+  left join (select src, sum(d * back) as d from shares join r{k - 1} on dst = host group by src) b on b.src = s.host)""")
+    return f"""
+with p as (select page_id, coalesce(translate(regexp_extract(url, '^.*?://([^/?#]*)([^?#]*)', 1, 's'), '{up}', '{low}'), '') as host, coalesce(regexp_extract(url, '^.*?://([^/?#]*)([^?#]*)', 2, 's'), '') as path, html from pages),
+l as (select host as src, regexp_replace(translate(unnest(regexp_extract_all(coalesce(html, ''), '(?:href|src)\\s*=\\s*["'']?\\s*(?:https?:)?//([^/?#"''\\s>]+)', 1, 'i')), '{up}', '{low}'), '^[^@]*@', '') as dst from p),
+e as (select src, dst, count(*) as n from l where src <> '' and dst <> '' and src <> dst group by src, dst),
+shares as materialized (select src, dst, n / sum(n) over (partition by src) as ahead, n / sum(n) over (partition by dst) as back from e),
+hosts as (select host from p where host <> '' union select dst from e),
+seeds as materialized (select host, case when {bad} then 0.0 when {good} then 1.0 else 0.0 end::double as good, case when {bad} then 1.0 else 0.0 end::double as bad from hosts),
+{", ".join(steps)}
+select page_id, p.host, path, {case(0).replace("(host =", "(p.host =").replace("(host,", "(p.host,")} as rule,
+  coalesce({case(1).replace("(host =", "(p.host =").replace("(host,", "(p.host,")}, case when r.d - r.t >= {THRESHOLD} then 'block' else 'allow' end) as verdict
+from p left join r{STEPS - 1} r on r.host = p.host
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_token_files, op3_near_duplicates, op4_toxicity, op6_top_k, op7_chat, op9_bpe)
+    own = (op1_token_files, op2_quality, op3_near_duplicates, op4_toxicity, op5_mixing, op6_top_k, op7_chat, op8_shards, op9_bpe, op10_url_filter)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_near_duplicates": OP3_SQL, "op6_top_k": OP6_SQL, "op7_chat": OP7_SQL}
+    return {"op2_quality": OP2_SQL, "op3_near_duplicates": OP3_SQL, "op5_mixing": OP5_SQL, "op6_top_k": OP6_SQL, "op7_chat": OP7_SQL, "op8_shards": OP8_SQL, "op10_url_filter": op10_sql()}
