@@ -249,19 +249,9 @@ def _map(docs: DataFrame, make, schema: str) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def encode_documents(docs: DataFrame, vocab_path: str) -> DataFrame:
-    """doc_id, ids (array<int>), n_tokens of every whole text."""
-
-    def make(doc_ids, texts):
-        ids, counts = coder(vocab_path).encode(texts)
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([np.zeros(1, np.int64), np.cumsum(counts)]).astype(np.int32)), pa.array(ids.astype(np.int32)))
-        return pa.RecordBatch.from_arrays([doc_ids, lists, pa.array(counts)], ["doc_id", "ids", "n_tokens"])
-
-    return _map(docs, make, "doc_id long, ids array<int>, n_tokens long")
-
-
-def digests(docs: DataFrame, vocab_path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: every text encoded and its ids decoded again."""
+def digests(docs: DataFrame, vocab_path: str, with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 (and ids): every text encoded and its ids decoded again."""
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids
 
     def make(doc_ids, texts):
         own = coder(vocab_path)
@@ -269,6 +259,10 @@ def digests(docs: DataFrame, vocab_path: str) -> DataFrame:
         decimals, at = own.joined(own.decimal, ids, counts)
         of_ids = [hashlib.sha256(decimals[s : max(s, e - 1)]).hexdigest() for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
         decoded = [hashlib.sha256(text.encode()).hexdigest() for text in own.decode(ids, counts)]
-        return pa.RecordBatch.from_arrays([doc_ids, pa.array(counts), pa.array(of_ids), pa.array(decoded)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        columns = [doc_ids, pa.array(counts), pa.array(of_ids), pa.array(decoded)]
+        if with_ids:
+            columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([np.zeros(1, np.int64), np.cumsum(counts)]).astype(np.int32)), pa.array(ids.astype(np.int32))))
+        return pa.RecordBatch.from_arrays(columns, names)
 
-    return _map(docs.withColumn("doc_id", F.col("doc_id").cast("long")), make, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    return _map(docs.withColumn("doc_id", F.col("doc_id").cast("long")), make, schema)

@@ -8,7 +8,8 @@ most what the others before it leave per unit of weight.
 Blocks: documents of a source are dealt by a hash into blocks of about ``block_words`` words
 (at most 65,536 blocks a source).  A source draws all its blocks once for each whole pass
 of its target, and for the rest the first blocks of a hash order that fit, of the next block
-the first documents that fit, and the document of that block that fits the gap best.
+the first documents that fit, and then up to four times the document of that block that fits
+the gap best.
 
 Shards: a multivariate-hypergeometric splitting tree deals the sources' quotas of block draws
 to the output shards: a node halves its shards and draws, source by source, how many of
@@ -35,6 +36,8 @@ from .scratch import Scratch
 
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
 BLOCK_WORDS, MAX_BLOCKS, SHARD_WORDS = 1 << 16, 1 << 16, 1 << 24
+#: Documents that fill what the last block's first documents leave open, each the best fit.
+FILL_ROUNDS = 4
 
 
 def digest(*parts: Column) -> Column:
@@ -89,13 +92,13 @@ def copies(docs: DataFrame) -> DataFrame:
     got = docs.join(blocks, ["place", "block"])
     edge = got.where("room is not null").select("row", "place", "key", "size", "room")
     fits = Window.partitionBy("place").orderBy("key").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    edge = edge.withColumn("first", F.sum("size").over(fits) <= F.col("room"))
-    gap = F.col("room") - F.sum(F.when(F.col("first"), F.col("size")).otherwise(0)).over(Window.partitionBy("place"))
-    twins = F.sum("size").over(Window.partitionBy("place", "key"))
-    edge = edge.withColumn("gap", gap).withColumn("twins", twins)
-    off = F.abs(F.col("twins") - F.col("gap"))
-    best = F.first("key").over(Window.partitionBy("place").orderBy(F.col("first"), off, "key"))
-    edge = edge.select("row", (F.col("first") | ((F.col("key") == best) & ~F.col("first") & (off < F.col("gap")))).alias("edge"))
+    edge = edge.select("*", (F.sum("size").over(fits) <= F.col("room")).alias("edge"), F.sum("size").over(Window.partitionBy("place", "key")).alias("twins"))
+    for _ in range(FILL_ROUNDS):
+        gap = F.col("room") - F.sum(F.when(F.col("edge"), F.col("size")).otherwise(0)).over(Window.partitionBy("place"))
+        off = F.abs(F.col("twins") - F.col("gap"))
+        best = F.first("key").over(Window.partitionBy("place").orderBy("edge", off, "key"))
+        edge = edge.withColumn("gap", gap).withColumn("best", best).withColumn("edge", F.col("edge") | ((F.col("key") == F.col("best")) & (off < F.col("gap"))))
+    edge = edge.select("row", "edge")
     got = got.join(edge, "row", "left")
     return got.withColumn("extra", F.col("whole") | F.coalesce("edge", F.lit(False))).drop("whole", "room", "edge")
 

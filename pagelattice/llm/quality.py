@@ -63,6 +63,11 @@ def lines(text: Column) -> Column:
     return F.filter(F.split(text, "\n"), lambda line: F.length(F.btrim(line, F.lit(BLANKS))) > 0)
 
 
+def stutters(found: Column) -> Column:
+    """Words equal to the one before."""
+    return F.size(F.filter(found, lambda w, i: (i > 0) & (w == F.get(found, i - 1)))).cast("long")
+
+
 def _without(text: Column, chars: str) -> Column:
     return F.length(F.translate(text, chars, "")).cast("long")
 
@@ -75,6 +80,7 @@ FEATURES: dict[str, Callable[[Column], Column]] = {
     "n_capitals": lambda t: F.length(t).cast("long") - _without(t, "ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
     "n_lines": lambda t: F.size(lines(t)).cast("long"),
     "n_dup_lines": lambda t: let(lines(t), lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
+    "n_stutter": lambda t: let(words(t), stutters),
     "n_repeat_words": lambda t: let(words(t), repeated_words),
 }
 
@@ -86,18 +92,20 @@ class Rule:
     rejects: Callable[..., Column]  # of the features it needs
 
 
-#: The base rules and the method's own; a text is kept if none rejects it.
-BASE_RULES = (
-    Rule("few_words", ("n_words",), lambda n: n < 20),
-    Rule("repeats", ("n_words", "n_repeat_words"), lambda n, r: 100 * r > 30 * n),
-)
-RULES = (
-    *BASE_RULES,
+def base_rules(min_words: int) -> tuple[Rule, ...]:
+    return (Rule("few_words", ("n_words",), lambda n: n < min_words), Rule("repeats", ("n_words", "n_repeat_words"), lambda n, r: 100 * r > 30 * n))
+
+
+#: The method's own rules; a text is kept if neither they nor the base rules reject it.
+OWN_RULES = (
+    Rule("stutter", ("n_stutter", "n_words"), lambda s, n: 100 * s > 30 * n),
     Rule("symbols", ("n_symbols", "n_words"), lambda s, n: 10 * s > 3 * n),
     Rule("shouting", ("n_capitals", "word_chars"), lambda c, w: 10 * c > 4 * w),
     Rule("long_words", ("word_chars", "n_words"), lambda w, n: w > 40 * n),
     Rule("same_lines", ("n_dup_lines", "n_lines"), lambda d, n: (n >= 5) & (10 * d > 6 * n)),
 )
+BASE_RULES = base_rules(20)
+RULES = (*BASE_RULES, *OWN_RULES)
 
 
 def estimate(docs: DataFrame, rules=RULES, rows: int = SAMPLE_ROWS, repeats: int = 2) -> list[dict]:
@@ -134,10 +142,10 @@ def with_features(docs: DataFrame, names) -> DataFrame:
     """Adds features as columns; words and lines are found once for all of them."""
     text = F.coalesce("text", F.lit(""))
     direct = [FEATURES[x](text).alias(x) for x in ("word_chars", "n_symbols", "n_capitals")]
-    of_words = let(words(text), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeated_words(w).alias("n_repeat_words")))
+    of_words = let(words(text), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeated_words(w).alias("n_repeat_words"), stutters(w).alias("n_stutter")))
     of_lines = let(lines(text), lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines")))
     got = docs.select("*", F.struct(*direct).alias("_a"), of_words.alias("_b"), of_lines.alias("_c"))
-    place = {"word_chars": "_a", "n_symbols": "_a", "n_capitals": "_a", "n_words": "_b", "n_repeat_words": "_b", "n_lines": "_c", "n_dup_lines": "_c"}
+    place = {"word_chars": "_a", "n_symbols": "_a", "n_capitals": "_a", "n_words": "_b", "n_repeat_words": "_b", "n_stutter": "_b", "n_lines": "_c", "n_dup_lines": "_c"}
     return got.withColumns({x: F.col(f"{place[x]}.{x}") for x in names}).drop("_a", "_b", "_c")
 
 

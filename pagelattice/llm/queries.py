@@ -36,11 +36,12 @@ d as (select r, i from (select r, i, count(*) over (partition by r, g) as n from
 c as (select r, count(distinct p) as n from (select r, unnest(range(i, i + 8)) as p from d) group by r),
 f as (select doc_id, cast(len(w) as bigint) as n_words, cast(length(array_to_string(w, '')) as bigint) as word_chars,
         cast(length(t) - length(translate(t, '#*$%&|<>', '')) as bigint) as n_symbols, cast(length(t) - length(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '')) as bigint) as caps,
-        len(ls) as n_lines, cast(len(ls) - len(list_distinct(ls)) as bigint) as n_dup_lines, cast(coalesce(c.n, 0) as bigint) as n_repeat_words
+        len(ls) as n_lines, cast(len(ls) - len(list_distinct(ls)) as bigint) as n_dup_lines, cast(coalesce(c.n, 0) as bigint) as n_repeat_words,
+        len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) as n_stutter
       from w left join c using (r)),
 b as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from f)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  not (base_failed or 10 * n_symbols > 3 * n_words or 10 * caps > 4 * word_chars or word_chars > 40 * n_words or (n_lines >= 5 and 10 * n_dup_lines > 6 * n_lines)) as kept
+  not (base_failed or 10 * n_symbols > 3 * n_words or 10 * caps > 4 * word_chars or word_chars > 40 * n_words or 100 * n_stutter > 30 * n_words or (n_lines >= 5 and 10 * n_dup_lines > 6 * n_lines)) as kept
 from b
 """
 
@@ -98,15 +99,20 @@ b1 as (select *, case when source_size > 0 then cast(floor(target / source_size)
 b2 as (select *, cast(round(target) as bigint) - passes * source_size as rest,
          cast(coalesce(sum(words) over (partition by place order by md5(place || ':' || cast(block as bigint) || ':block'), block rows between unbounded preceding and 1 preceding), 0) as bigint) as before_ from b1),
 b as (select place, block, passes, before_ + words <= rest as whole_, case when before_ + words > rest and before_ < rest then rest - before_ end as room from b2),
-e0 as (select k.r, k.place, k.key, k.size, b.room, sum(size) over (partition by k.place order by key range between unbounded preceding and current row) <= room as first_ from k join b using (place, block) where room is not null),
-e1 as (select *, room - sum(case when first_ then size else 0 end) over (partition by place) as gap, sum(size) over (partition by place, key) as twins from e0),
-e2 as (select *, first_value(key) over (partition by place order by first_, abs(twins - gap), key) as best from e1),
-e as (select r, first_ or (key = best and not first_ and abs(twins - gap) < gap) as edge from e2)
+e0 as (select k.r, k.place, k.key, k.size, b.room, sum(size) over (partition by k.place order by key range between unbounded preceding and current row) <= room as edge, sum(size) over (partition by k.place, key) as twins
+       from k join b using (place, block) where room is not null),
+FILL
+e as (select r, edge from eLAST)
 select doc_id, size, source_size, target, cast(size * (passes + case when whole_ or coalesce(edge, false) then 1 else 0 end) as bigint) as taken
 from k join b using (place, block) left join e using (r)
 """
 
 
+OP5_SQL = OP5_SQL.replace("FILL", "\n".join(f"""g{k} as (select * exclude (edge), edge as had, room - sum(case when edge then size else 0 end) over (partition by place) as gap from e{k - 1}),
+h{k} as (select *, first_value(key) over (partition by place order by had, abs(twins - gap), key) as best from g{k}),
+e{k} as (select r, place, key, size, room, had or (key = best and abs(twins - gap) < gap) as edge, twins from h{k}),""" for k in range(1, 5))).replace("eLAST", "e4")
+
+
 def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .topk import top_k, usable
 

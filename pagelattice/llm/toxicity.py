@@ -181,23 +181,27 @@ def fit_from(labelled: DataFrame, fit_docs: int = 2000, fit_chars: int = 20_000)
     return fit([t for t, _ in got], np.array([y for _, y in got], float))
 
 
+def _scored(texts: pa.Array, m: Model) -> tuple:
+    """Scores of the texts; their bytes, token starts and ends, first tokens, and the tokens' marginals."""
+    data, starts, ends, first, forms = tokens(texts)
+    emit = np.full(len(starts), m.bias)
+    for row in forms:
+        emit += m.weights[buckets(row)]
+    p, _, _ = marginals(emit, first, m.moves)
+    return 1 / (1 + np.exp(-np.clip(summary(p, first) @ m.head, -40, 40))), data, starts, ends, first, p
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """Adds to docs(doc_id, text) its score and spans (start and end in code points of each token that is toxic)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 1 MB, whatever the input
     spans_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
         for batch in batches:
             for piece in flat.pieces(batch):
                 if not piece.num_rows:
                     continue
-                data, starts, ends, first, forms = tokens(piece.column(1))
-                emit = np.full(len(starts), m.bias)
-                for row in forms:
-                    emit += m.weights[buckets(row)]
-                p, _, _ = marginals(emit, first, m.moves)
-                values = 1 / (1 + np.exp(-np.clip(summary(p, first) @ m.head, -40, 40)))
+                values, data, starts, ends, first, p = _scored(piece.column(1), shared.value)
                 hot = np.flatnonzero(p >= 0.5)
                 chars = np.concatenate([np.zeros(1, np.int64), np.cumsum((data & 0xC0) != 0x80)]) if len(hot) else np.zeros(1, np.int64)
                 _, offsets = flat.buffers(piece.column(1))
@@ -211,6 +215,20 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double, spans array<struct<start:int,end:int>>")
 
 
+def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
+    """The rows of docs whose text scores below the threshold, with all their columns; nothing is shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in flat.pieces(batch):
+                if piece.num_rows:
+                    values = _scored(piece.column(piece.schema.get_field_index("text")), shared.value)[0]
+                    yield piece.filter(pa.array(values < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(False))
 
