@@ -214,7 +214,7 @@ def read(manifest: DataFrame, folder: str) -> DataFrame:
                     head = begins[0] if begins else size
                     if head:  # the rest of a document of earlier batches
                         crc, n = zlib.crc32(ids[:head].tobytes(), crc), n + head
-                    for k, (b, e) in enumerate(zip(begins, [*begins[1:], size], strict=True)):
+                    for k, (b, e) in enumerate(zip(begins, [*begins, size][1:], strict=True)):
                         if n >= 0:
                             end()
                         doc[:] = [docs[k], at + b]
