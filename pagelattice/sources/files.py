@@ -59,3 +59,17 @@ def nested_blocks(lines: DataFrame) -> DataFrame:
     articles = blocks.groupBy("page_id", "gt_id").agg(F.sort_array(F.collect_list("b")).alias("text_blocks"))
     pages = articles.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct(F.col("gt_id").alias("article_id"), "text_blocks"))).alias("articles"))
     return pages.select("page_id", F.to_json(F.struct(F.col("page_id").alias("page_file"), "articles")).alias("json"))
+
+
+def region_json(regions: DataFrame) -> DataFrame:
+    """(image, json): an image's regions as closed rings, for regions(image, width, height, pos, class_name, points); a position twice is an error."""
+    closed = F.concat("points", F.slice("points", 1, 1))
+    ring = F.struct(F.transform(closed, lambda p: p["x"]).alias("x_points"), F.transform(closed, lambda p: p["y"]).alias("y_points"), "class_name")
+    rows = regions.groupBy("image", "width", "height").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col("pos").cast("string").alias("key"), ring.alias("value"))))).alias("regions"))
+    return rows.select("image", F.to_json(F.struct("regions", "height", "width")).alias("json"))
+
+
+def missing_files(spark: SparkSession, wanted: DataFrame, folder: str) -> DataFrame:
+    """The paths of wanted(path) that no file under the folder has."""
+    there = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select(F.regexp_replace("path", "^file:", "").alias("path"))
+    return wanted.select("path").join(there, "path", "left_anti")
