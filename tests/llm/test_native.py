@@ -80,7 +80,7 @@ def test_mixing(spark):
         assert r.taken <= 2 * r.size and r.source_size == sizes[source[r.doc_id]]
         assert abs(r.target - want[source[r.doc_id]]) < 1e-6
         taken[source[r.doc_id]] += r.taken
-    assert all(abs(taken[s] - want[s]) <= 10 for s in want)
+    assert all(abs(taken[s] - want[s]) <= 89 / 2 for s in want)  # half of the largest document
     again = mixing.mix_report(df.repartition(5), block_words=500, shard_words=4000).collect()
     assert sorted((r.doc_id, r.taken) for r in again) == sorted((r.doc_id, r.taken) for r in got)
     assert mixing.mix_report(df.limit(0)).count() == 0
@@ -160,6 +160,8 @@ def test_url_filter(spark):
         (9, "http://notexample.net/x", ""),
         (9, "http://notexample.net/x", ""),
         (10, "http://x.spam.org/es/1", None),
+        (11, "http://spam.org/", None),
+        (12, "http://lone.org/", link("x.spam.org")),
     ]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     got = urlfilter.url_filter(df, trusted=("good.org",), blocked=("spam.org",)).collect()
@@ -169,11 +171,11 @@ def test_url_filter(spark):
     assert (by[2].rule, by[2].verdict) == ("net/de/", "block")
     assert (by[8].rule, by[10].rule) == ("example.net/de/8", "org/es/")
     assert tuple(by[6])[1:] == ("", "", None, "allow") and tuple(by[7])[1:] == ("", "", None, "allow")
-    links = {("sub.example.com", "spam.org"): 1, ("sub.example.com", "good.org"): 1, ("a.net", "farm.org"): 1, ("farm.org", "spam.org"): 5, ("feeder.org", "farm.org"): 3, ("good.org", "feeder.org"): 1, ("good.org", "other.org"): 1}
-    hosts = {h for e in links for h in e} | {"example.net", "notexample.net", "x.spam.org"}
+    links = {("sub.example.com", "spam.org"): 1, ("sub.example.com", "good.org"): 1, ("a.net", "farm.org"): 1, ("farm.org", "spam.org"): 5, ("feeder.org", "farm.org"): 3, ("good.org", "feeder.org"): 1, ("good.org", "other.org"): 1, ("lone.org", "x.spam.org"): 1}
+    hosts = {h for e in links for h in e} | {"example.net", "notexample.net"}
     t, x = python_ranks(hosts, links, lambda h: float(h == "good.org"), lambda h: float(h == "spam.org" or h.endswith(".spam.org")))
-    for k in (3, 4, 5, 9):
+    for k in (3, 4, 5, 9, 11, 12):
         h = by[k].host
         assert by[k].verdict == ("block" if x[h] - t[h] >= urlfilter.THRESHOLD else "allow"), h
-    assert by[3].verdict == "block"
+    assert (by[5].verdict, by[11].verdict, by[12].verdict) == ("allow", "block", "block")
     assert urlfilter.url_filter(df.limit(0)).count() == 0
