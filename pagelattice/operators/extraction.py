@@ -20,10 +20,10 @@ select page_id, kind, cast(count(*) as bigint) as n from (
   select page_id, 'TextRegion' as kind from fx_region union all select page_id, 'SeparatorRegion' as kind from fx_sep union all select page_id, 'TextLine' as kind from fx_line
   union all select page_id, 'Article' as kind from (select distinct page_id, nullif(gt_id, 2) as a from fx_line) d) k group by page_id, kind
 """, "Counts of every kind of entity by page; lines without an article count as one.")
-operator("unique_id", "PROJ7 PROJ8 SORT1", "fx_line", """
-select page_id, min(line_no) + 0 as first_id, case when min(line_no) > 1 then 1 else min(case when nxt is null or nxt > line_no + 1 then line_no + 1 end) end as free_id
-from (select page_id, line_no, lead(line_no) over (partition by page_id order by line_no) as nxt from fx_line where line_no % 5 <> 3) t group by page_id
-""", "The least number from 1 that is no id of the page.")
+operator("unique_id", "PROJ7 PROJ8", "fx_region", """
+select page_id, case when min(region_no) > 1 then 1 else min(case when nxt is null or nxt > region_no + 1 then region_no + 1 end) end as free_id
+from (select page_id, region_no, lead(region_no) over (partition by page_id order by region_no) as nxt from fx_region) t group by page_id
+""", "The least number from 1 that is no region id of the page.")
 operator("article_dict", "PROJ9 PROJ46 PROJ47 FILT32 WIN10", "fx_line", """
 select page_id, nullif(gt_id, 2) as article_id, cast(count(*) as bigint) as n_lines, min(line_no) as first_line, max(x + w) as right_end from fx_line where w >= 2 group by page_id, nullif(gt_id, 2)
 """, "Lines by article; no article is a group.")
@@ -38,9 +38,9 @@ select page_id, region_no, article_id, n from (
   select page_id, region_no, article_id, n, row_number() over (partition by page_id, region_no order by n desc, article_id) as rn
   from (select page_id, region_no, nullif(gt_id, 2) as article_id, cast(count(*) as bigint) as n from fx_line where gt_id <> 2 group by page_id, region_no, nullif(gt_id, 2)) c) r where rn = 1
 """, "The article of most lines of a region; missing ids don't vote, ties go to the least id.")
-operator("region_upsert", "PROJ39 PROJ41 PROJ53 PROJ54 PROJ55 SINK23 IO2 SINK19", "fx_region", """
-with own as (select page_id, region_no, x0, y0 from fx_region where region_no <> 2), new as (select page_id, region_no, x0 + 1 as x0, y0 + 1 as y0 from fx_region where region_no in (2, 3))
-select page_id, region_no, x0, y0 from own where not exists (select 1 from new where new.page_id = own.page_id and new.region_no = own.region_no) union all select * from new
+operator("region_upsert", "PROJ39 PROJ41 PROJ53 PROJ54 PROJ55 SINK23 IO2 SINK19", "fx_region fx_sep", """
+with new as (select page_id, 2 as region_no, x0, y0 from fx_sep)
+select page_id, region_no, x0, y0 from fx_region where not exists (select 1 from new where new.page_id = fx_region.page_id and new.region_no = fx_region.region_no) union all select page_id, region_no, x0, y0 from new
 """, "Inserts regions by id; those already there are replaced.")
 operator("page_defaults", "IO5 IO6 IO27 FN29", "fx_page fx_region", """
 select p.page_id, p.width, p.height, coalesce(greatest(min(r.x0), 0), 0) as left_, coalesce(greatest(min(r.y0), 0), 0) as top_, coalesce(max(r.x1), p.width) as right_, coalesce(max(r.y1), p.height) as bottom_

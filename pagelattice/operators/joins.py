@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from .sqlop import operator
 
-operator("partition_compare", "JOIN2 JOIN25 IO32 PROJ64 SET7 AGG36 PROJ65", "fx_line", """
-with l as (select page_id, line_no, gt_id, hyp_id from fx_line where line_no <> 9),
-g as (select page_id, gt_id, count(*) as n from l group by page_id, gt_id), h as (select page_id, hyp_id, count(*) as n from l group by page_id, hyp_id),
-i as (select page_id, gt_id, hyp_id, count(*) as n from l group by page_id, gt_id, hyp_id)
+operator("partition_compare", "JOIN2 JOIN25 IO32 PROJ64 AGG36 PROJ65", "fx_line", """
+with g as (select page_id, gt_id, count(*) as n from fx_line group by page_id, gt_id), h as (select page_id, hyp_id, count(*) as n from fx_line group by page_id, hyp_id),
+i as (select page_id, gt_id, hyp_id, count(*) as n from fx_line group by page_id, gt_id, hyp_id)
 select page_id, gt_nis, hyp_nis, corrects, splits, merges, splits - merges as dist, gt_nis + splits + merges = hyp_nis as consistent from (
   select i.page_id, cast(count(distinct i.gt_id) as bigint) as gt_nis, cast(count(distinct i.hyp_id) as bigint) as hyp_nis, cast(sum(case when i.n = g.n and i.n = h.n then 1 else 0 end) as bigint) as corrects,
     cast(count(*) - count(distinct i.gt_id) as bigint) as splits, cast(count(distinct i.hyp_id) - count(*) as bigint) as merges
   from i join g on i.page_id = g.page_id and i.gt_id = g.gt_id join h on i.page_id = h.page_id and i.hyp_id = h.hyp_id group by i.page_id) c
 """, "Ground truth against hypothesis partition of a page's common lines: blocks, corrects, splits, merges, distance.")
+operator("ignored_lines", "SET7", "fx_line fx_sep", """
+select l.page_id, l.line_no, l.gt_id from fx_line l where not exists (select 1 from fx_sep s where s.page_id = l.page_id and l.x >= s.x0 and l.x + l.w <= s.x1)
+""", "Lines that are not in the set to ignore (here: between the ends of a separator).")
 operator("canonical_partition", "AGG35 ITER20", "fx_line", """
 select page_id, gt_id, cast(count(*) as bigint) as n, min(line_no) as least_line, dense_rank() over (partition by page_id order by min(line_no)) as place from fx_line group by page_id, gt_id
 """, "Articles of a page in the order of their least line.")

@@ -38,7 +38,7 @@ select page_id, i, j, i * 100 + j as code, cast(floor((i * 100 + j) / 100) as bi
 operator("sampled_relations", "SET6 SET11", "fx_conf", """
 select page_id, i, j, kind from (select page_id, i, j, kind, row_number() over (partition by page_id, kind order by (i * 7919 + j * 104729 + page_id) % 1009, i, j) as rn from (select page_id, i, j, case when p > 0.5 then 1 else 0 end as kind from fx_conf) k) t where rn <= 4
 """, "Up to four relations of either kind by page, in a fixed pseudo-random order.")
-operator("line_sets", "SET7 SET8", "fx_line", """
+operator("line_sets", "SET8", "fx_line", """
 select page_id, cast(count(distinct gt_id) as bigint) as n_articles, cast(count(distinct case when hyp_id <> gt_id then line_no end) as bigint) as moved from fx_line group by page_id
 """, "Distinct articles, and lines whose article differs.")
 operator("disjoint_channels", "SET9 SET10 SET12 IMG32", "fx_line", """
