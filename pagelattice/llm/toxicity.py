@@ -172,11 +172,15 @@ def fit(texts: list[str], toxic: np.ndarray, steps: int = 60, seed: int = 3) ->
     return model
 
 
-def fit_from(labelled: DataFrame, fit_docs: int = 2000, fit_chars: int = 20_000) -> Model:
-    """Fits on at most fit_docs texts of either label out of labelled(doc_id, text, toxic)."""
-    rows = labelled.where("toxic in (0, 1) and text is not null").where(F.length("text").between(1, fit_chars))
-    parts = [rows.where(F.col("toxic") == k).select("text", F.lit(k).alias("y"), F.xxhash64(F.col("doc_id").cast("string")).alias("h")).orderBy("h", "text").limit(fit_docs) for k in (0, 1)]
-    got = {(r.text, r.y) for r in parts[0].unionByName(parts[1]).collect()}  # at most 2 * fit_docs bounded texts; copies count once
+def fit_from(docs: DataFrame, labels: DataFrame, fit_docs: int = 2000, fit_chars: int = 20_000) -> Model:
+    """Fits on texts of docs(doc_id, text) whose label labels(doc_id, toxic) gives, at most fit_docs of either label.
+
+    The ids are chosen from the labels alone, by a hash, so only these few (bounded by fit_docs) meet the documents.
+    """
+    known = labels.where("toxic in (0, 1) and doc_id is not null").select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("y"), F.xxhash64(F.col("doc_id").cast("string")).alias("h"))
+    ids = [known.where(F.col("y") == k).orderBy("h", "_id").limit(fit_docs) for k in (0, 1)]
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids[0].unionByName(ids[1])), F.col("doc_id") == F.col("_id")).where(F.length("text").between(1, fit_chars))
+    got = {(r.text, r.y) for k in (0, 1) for r in rows.where(F.col("y") == k).orderBy("h", "text").limit(fit_docs).select("text", "y").collect()}  # copies count once
     got = sorted(got)
     return fit([t for t, _ in got], np.array([y for _, y in got], float))
 
@@ -235,6 +239,4 @@ def held_out(doc_id: str = "doc_id"):
 
 def toxicity(docs: DataFrame, labels: DataFrame, **limits) -> DataFrame:
     """doc_id, score and spans of every document, by a model fitted on the labelled rows that are not held out."""
-    seen = labels.select(F.col("doc_id").alias("doc_id"), "toxic").where(~held_out())
-    labelled = docs.select("doc_id", "text").join(seen, "doc_id")
-    return score(docs, fit_from(labelled, **limits))
+    return score(docs, fit_from(docs, labels.where(~held_out()), **limits))
