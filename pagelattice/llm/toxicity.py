@@ -30,9 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import flat
+from .neardup import distinct, minima, shingle_hashes
 
 HEADS = (3, 4, 5, 6)
 BITS = 18
+FAINT = 0.05
 _TOKEN = np.zeros(256, bool)
 _TOKEN[48:58] = _TOKEN[65:91] = _TOKEN[97:123] = _TOKEN[128:] = True
 
@@ -107,18 +109,33 @@ def marginals(emit: np.ndarray, first: np.ndarray, moves: np.ndarray) -> tuple[n
 
 
 def summary(p: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Of each text: 1, the log of the sum of its marginals, their maximum."""
+    """Of each text: 1, the log of the sum of its marginals (what clean tokens have, FAINT, taken off), their maximum."""
     out = np.zeros((len(first) - 1, 3))
-    out[:, 0], out[:, 1] = 1, np.log(1e-3)
+    out[:, 0], out[:, 1] = 1, np.log(0.3)
     full = np.flatnonzero(np.diff(first))
     if len(full):
-        out[full, 1] = np.log(1e-3 + np.add.reduceat(p, first[full]))
+        out[full, 1] = np.log(0.3 + np.add.reduceat(np.maximum(p - FAINT, 0), first[full]))
         out[full, 2] = np.maximum.reduceat(p, first[full])
     return out
 
 
+def without_copies(texts: list[str]) -> list[int]:
+    """Places of texts that are no near copies of earlier ones: words of a copied text would seem to be in many."""
+    hashes, bounds = distinct(*shingle_hashes(*flat.buffers(pa.array(texts, pa.large_string())), 3))
+    pairs = minima(hashes, bounds, 20).view(np.uint32)  # two 16-bit lanes each
+    seen, out = set(), []
+    for k, row in enumerate(pairs.tolist()):
+        keys = set(enumerate(row)) if bounds[k + 1] > bounds[k] else set()
+        if not keys & seen:
+            out.append(k)
+        seen |= keys
+    return out
+
+
 def fit(texts: list[str], toxic: np.ndarray, steps: int = 60, seed: int = 3) -> Model:
-    """Fits the chain and the score on labelled texts."""
+    """Fits the chain and the score on labelled texts, near copies counted once."""
+    kept = without_copies(texts) if texts else []
+    texts, toxic = [texts[k] for k in kept], toxic[kept]
     empty = Model(np.zeros(1 << BITS, np.float32), 0.0, np.zeros((2, 2)), np.array([-40.0, 0.0, 0.0]))
     if not len(texts) or toxic.min() == toxic.max():
         return empty
@@ -166,8 +183,8 @@ def fit(texts: list[str], toxic: np.ndarray, steps: int = 60, seed: int = 3) ->
     x, head = summary(p, first), np.zeros(3)
     for _ in range(40):  # Newton's method with a ridge
         q = 1 / (1 + np.exp(-np.clip(x @ head, -40, 40)))
-        hessian = (x * (q * (1 - q) + 1e-9)[:, None]).T @ x + 1e-2 * np.eye(3)
-        head -= np.linalg.solve(hessian, x.T @ (q - toxic) + 1e-2 * head)
+        hessian = (x * (q * (1 - q) + 1e-9)[:, None]).T @ x + 0.1 * np.eye(3)
+        head -= np.linalg.solve(hessian, x.T @ (q - toxic) + 0.1 * head)
     model.head = head
     return model
 
