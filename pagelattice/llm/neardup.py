@@ -11,13 +11,14 @@ threshold with a probability of at most ``miss`` (binomial tail).
 Pairs are never expanded within a bucket:
 
 1. Texts with equal shingle sets are one class, named by its least doc_id.
-2. In every bucket each class meets the bucket's least class, its hub.  Distinct pairs
-   under the signature distance are confirmed on the full sets; links give components.
+2. In every bucket each class meets the bucket's least class, its hub.  Of the distinct
+   pairs under the signature distance, each class's nearest is confirmed on the full sets;
+   the links give components.
 3. A pair in a bucket that is not settled then lies in different components and shares
-   the hub.  The classes of such a hub are dealt in blocks of bounded size; those outside
-   the hub's largest component meet all others block by block, under the same distance
-   and on the full sets.  Only links leave a block, at most one per class and component.
-   With them the components are complete.
+   the hub.  Hubs of one component and their classes are a family, dealt in blocks of bounded
+   size; classes outside the family's largest component meet all others block by block, under
+   the same distance and on the full sets.  Only links leave a block, at most one per class and
+   component.  With them the components are complete.
 
 Defined results: a null or blank text has an empty set and is linked with nothing; a
 null doc_id is linked with nothing and names no component; rows of one doc_id count as
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import flat
-from .components import connected_components
+from .components import connected_components, forest_roots
 from .scratch import Scratch
 
 LANES = 5
@@ -150,15 +151,15 @@ def bucket_keys(classes: DataFrame, lanes: int) -> DataFrame:
 
 
 def _near(pairs: DataFrame, lanes: int, most: int) -> DataFrame:
-    """Pairs (a, b) whose signatures sa and sb differ in at most most lanes."""
+    """Pairs (a, b, far) whose signatures sa and sb differ in far lanes, at most most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 far = (_lanes(batch.column(2), lanes) != _lanes(batch.column(3), lanes)).sum(axis=1)
-                yield batch.select([0, 1]).filter(pa.array(far <= most))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(far)], ["a", "b", "far"]).filter(pa.array(far <= most))
 
-    return pairs.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, far long")
 
 
 def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -175,6 +176,21 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("rep", "text").mapInArrow(run, "rep long, shingles array<long>")
 
 
+def _among(docs: DataFrame, ids: DataFrame, bits: int = 1 << 26) -> DataFrame:
+    """The rows of docs(rep, text) whose id is in ids(rep), which must be distinct.
+
+    A bitmap of hashed ids drops most other rows before any text is shuffled.  Its size is fixed (8 MB), whatever the
+    number of ids; what it lets through by chance the join drops.
+    """
+    spot = F.pmod(F.xxhash64("rep"), F.lit(bits))
+    words = ids.select(F.bitmap_bucket_number(spot).alias("b"), F.bitmap_bit_position(spot).alias("p")).groupBy("b").agg(F.bitmap_construct_agg("p").alias("m"))
+    lead = F.broadcast(words.withColumnRenamed("b", "_b"))  # at most bits / 32768 rows of 4 KB
+    byte = F.conv(F.hex(F.substring(F.col("m"), F.shiftright(F.col("_p"), 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    seen = docs.withColumn("_s", spot).withColumns({"_k": F.bitmap_bucket_number("_s"), "_p": F.bitmap_bit_position("_s")}).join(lead, F.col("_k") == F.col("_b"))
+    seen = seen.where(byte.bitwiseAND(F.pow(F.lit(2), F.col("_p") % 8).cast("int")) != 0)
+    return seen.select("rep", "text").join(ids, "rep")  # a semi join would be pushed below the bitmap
+
+
 def _overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     """Sizes of all intersections of the sets of a with those of b, by products of incidence matrices in slices."""
     out = np.zeros((len(a), len(b)), np.float32)
@@ -197,12 +213,12 @@ def _overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
 
 
 def _block_links(percent: int, lanes: int, most: int):
-    """Links between a block's probe classes (outside the hub's largest component) and its other side."""
+    """Links between the components of a block's probe classes (outside the family's largest one) and those of its other side."""
 
     def run(block: pa.Table) -> pa.Table:
         block = block.combine_chunks()
         probe = block.column("probe").to_numpy()
-        reps, comps = block.column("rep").to_numpy(), block.column("comp").to_numpy()
+        comps = block.column("comp").to_numpy()
         sig = _lanes(block.column("sig"), lanes)
         lists = block.column("shingles").chunk(0) if block.num_rows else None
         flat_sets, at = lists.flatten().to_numpy(), np.asarray(lists.offsets) - lists.offsets[0].as_py()
@@ -230,7 +246,7 @@ def _block_links(percent: int, lanes: int, most: int):
                     a, b = find(int(comps[p[rows[i]]])), find(int(comps[q[cols[j]]]))
                     if a != b:
                         root[max(a, b)] = min(a, b)
-                        links.append((int(reps[p[rows[i]]]), int(reps[q[cols[j]]])))
+                        links.append((a, b))
         return pa.table({"u": pa.array([x for x, _ in links], pa.int64()), "v": pa.array([y for _, y in links], pa.int64())})
 
     return run
@@ -257,39 +273,59 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     a, b = (sig_of.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"s{x}")) for x in "ab")
     pairs = stars.select(F.col("rep").alias("a"), F.col("hub").alias("b")).join(a, "a").join(b, "b")
     pairs = pairs.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    pairs = scratch.table(_near(pairs, lanes, most).distinct(), "pairs")
+    # each class's nearest hub, the least of equals
+    nearest = _near(pairs, lanes, most).groupBy("a").agg(F.min(F.struct("far", "b")).alias("m"))
+    nearest = scratch.table(nearest.select("a", F.col("m.b").alias("b")), "nearest")
 
     wanted = stars.select("rep").unionByName(stars.select(F.col("hub").alias("rep"))).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(wanted, "rep", "left_semi")
+    texts = _among(docs.select(F.col("doc_id").cast("long").alias("rep"), "text"), wanted)
     sets = scratch.table(shingle_sets(texts, width), "sets")
+
+    def confirmed(pairs: DataFrame, name: str) -> DataFrame:
+        left, right = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb"))
+        both = F.size(F.array_intersect("sa", "sb"))
+        linked = pairs.join(left, "a").join(right, "b").where(100 * both >= percent * (F.size("sa") + F.size("sb") - both))
+        return scratch.table(linked.select(F.col("a").alias("u"), F.col("b").alias("v")), name)
+
+    def grown(found: DataFrame, links: DataFrame) -> DataFrame:
+        if links.isEmpty():
+            return found
+        known = found.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
+        return scratch.table(connected_components(links.unionByName(known), scratch), "components")
+
+    def settled(df: DataFrame, column: str, to: str) -> DataFrame:
+        got = df.join(found.select(F.col("node").alias(column), F.col("component").alias("_c")), column, "left")
+        return got.withColumn(to, F.coalesce("_c", column)).drop("_c")
+
     left, right = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
-    confirmed = pairs.join(left, "a").join(right, "b").where(100 * both >= percent * (F.size("sa") + F.size("sb") - both))
-    links = scratch.table(confirmed.select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
-    found = scratch.table(connected_components(links, scratch), "components")
-
-    # step 3: hubs whose classes are not yet all of one component
-    members = stars.unionByName(stars.select("hub", F.col("hub").alias("rep")).distinct())
-    members = members.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).select("hub", "rep", "comp")
-    sizes = members.groupBy("hub", "comp").agg(F.count("*").alias("k"))
-    main = sizes.groupBy("hub").agg(F.max(F.struct("k", "comp")).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("hub", F.col("top.comp").alias("main"))
-    open_ = scratch.table(members.join(main, "hub"), "open")
-    if not open_.isEmpty():
-        own = sets.join(sig_of.select("rep", "sig"), "rep").dropDuplicates(["rep"])
-        weight = open_.join(own.select("rep", F.size("shingles").alias("n")), "rep")
-        per_hub = weight.groupBy("hub").agg(F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES)).cast("int").alias("all_blocks"), F.ceil(F.sum(F.when(F.col("comp") != F.col("main"), F.col("n")).otherwise(0)) / F.lit(BLOCK_SHINGLES)).cast("int").alias("probe_blocks"))
-        dealt = open_.join(per_hub, "hub")
-        mine = lambda n, salt: F.pmod(F.xxhash64("rep", F.lit(salt)), F.col(n)).cast("int")
-        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-        index = dealt.select("hub", "rep", "comp", F.lit(0).alias("probe"), mine("all_blocks", 1).alias("i"), every("probe_blocks").alias("j"))
-        probe = dealt.where("comp <> main").select("hub", "rep", "comp", F.lit(1).alias("probe"), mine("probe_blocks", 2).alias("j"), every("all_blocks").alias("i"))
-        blocks = index.unionByName(probe).join(own, "rep").select("hub", "i", "j", "rep", "comp", "probe", "sig", "shingles")
-        more = blocks.groupBy("hub", "i", "j").applyInArrow(_block_links(percent, lanes, most), "u long, v long")
-        stars_of = found.select(F.col("node").alias("u"), F.col("component").alias("v"))
-        found = scratch.table(connected_components(scratch.table(more, "more").unionByName(stars_of), scratch), "components")
+    confirmed = nearest.join(left, "a").join(right, "b").where(100 * both >= percent * (F.size("sa") + F.size("sb") - both))
+    # a hub is smaller than its classes, so these links are a forest
+    found = forest_roots(confirmed.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component")), scratch)
+
+    # step 3: hubs whose classes are not yet all of one component; hubs of one component are one family
+    members = stars.unionByName(stars.select(F.col("hub").alias("rep"), "hub").distinct())
+    for column, to in (("hub", "family"), ("rep", "comp")):
+        known = found.select(F.col("node").alias(column), F.col("component").alias("_c"))
+        members = members.join(known, column, "left").withColumn(to, F.coalesce("_c", column)).drop("_c")
+    members = scratch.table(members.select("family", "rep", "comp").distinct().join(sig_of, "rep"), "members")
+    sizes = members.groupBy("family", "comp").agg(F.count("*").alias("k"), F.sum("n").alias("n"))
+    blocks_for = lambda n: F.ceil(n / F.lit(BLOCK_SHINGLES)).cast("int")
+    top = F.max(F.struct("k", "comp", "n"))
+    main = sizes.groupBy("family").agg(top.alias("top"), F.sum("n").alias("all"), F.count("*").alias("parts")).where("parts > 1")
+    main = main.select("family", F.col("top.comp").alias("main"), blocks_for(F.col("all")).alias("all_blocks"), blocks_for(F.col("all") - F.col("top.n")).alias("probe_blocks"))
+    dealt = members.join(main, "family")
+    mine = lambda n, salt: F.pmod(F.xxhash64("rep", F.lit(salt)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    index = dealt.select("family", "rep", "comp", "sig", F.lit(0).alias("probe"), mine("all_blocks", 1).alias("i"), every("probe_blocks").alias("j"))
+    probe = dealt.where("comp <> main").select("family", "rep", "comp", "sig", F.lit(1).alias("probe"), mine("probe_blocks", 2).alias("j"), every("all_blocks").alias("i"))
+    blocks = index.unionByName(probe).join(sets, "rep").select("family", "i", "j", "comp", "probe", "sig", "shingles")
+    more = scratch.table(blocks.groupBy("family", "i", "j").applyInArrow(_block_links(percent, lanes, most), "u long, v long"), "more")
+    merged = connected_components(more, scratch).select(F.col("node").alias("_comp"), F.col("component").alias("_merged"))
 
     rep_of = classes.select("lo", "hi", "rep")
     out = sketches.select("doc_id", "n", "lo", "hi").join(rep_of, ["lo", "hi"], "left").join(found.withColumnRenamed("node", "rep"), "rep", "left")
-    linked = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component", "rep")).otherwise(F.col("doc_id"))
+    out = out.withColumn("_comp", F.coalesce("component", "rep")).join(merged, "_comp", "left")
+    linked = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("_merged", "_comp")).otherwise(F.col("doc_id"))
     out = out.select("doc_id", F.col("n").alias("n_shingles"), linked.alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
