@@ -179,3 +179,14 @@ def test_url_filter(spark):
         assert by[k].verdict == ("block" if x[h] - t[h] >= urlfilter.THRESHOLD else "allow"), h
     assert (by[5].verdict, by[11].verdict, by[12].verdict) == ("allow", "block", "block")
     assert urlfilter.url_filter(df.limit(0)).count() == 0
+
+
+def test_every_host_of_a_link_farm_is_blocked(spark):
+    link = lambda *hosts: "".join(f"<a href='https://{h}/x'>" for h in hosts)
+    verdicts = {}
+    for n in (2, 40):
+        rows = [(k, f"http://farm{k}.org/", link("spam.org")) for k in range(n)]
+        rows += [(100, "http://feeder.org/", link("farm0.org")), (101, "http://list.org/", link("spam.org", *[f"site{k}.org" for k in range(9)])), (102, "http://good.org/", link("liked.org")), (103, "http://liked.org/", link("spam.org"))]
+        df = spark.createDataFrame(rows, "page_id long, url string, html string")
+        verdicts[n] = {r.page_id: r.verdict for r in urlfilter.url_filter(df, trusted=("good.org",), blocked=("spam.org",)).collect()}
+        assert verdicts[n] == {**dict.fromkeys(range(n), "block"), 100: "block", 101: "allow", 102: "allow", 103: "allow"}
