@@ -45,10 +45,11 @@ def digest(*parts: Column) -> Column:
     return F.md5(F.concat_ws(":", *[F.coalesce(p.cast("string"), F.lit("null")) for p in parts]).cast("binary"))
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """row, doc_id, source, size: the words of each document."""
+def sized(docs: DataFrame, row: Column | None = None) -> DataFrame:
+    """row, doc_id, source, size: the words of each document; row numbers the documents unless it is given."""
     size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
-    return docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "source", size.alias("size"))
+    row = F.monotonically_increasing_id() if row is None else row
+    return docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "source", size.alias("size"))
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
@@ -151,15 +152,15 @@ def split(quotas: dict[int, int], shards: int, seed: int = 5) -> list[dict[int,
     return node(dict(quotas), shards)
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, max_cells: int = 1 << 22) -> tuple[DataFrame, DataFrame]:
-    """(documents, draws).
+def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, max_cells: int = 1 << 22, row: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(documents, draws); row names the documents if they have a number of their own.
 
     documents: row, doc_id, source, size, source_size, target of every row of docs(doc_id, source, text).
     draws: shard, position, row, doc_id, size, a row for each time the mix takes a document.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "mixing")
-    sizes = scratch.table(sized(docs), "sizes")
+    sizes = scratch.table(sized(docs, row), "sizes")
     plan = scratch.table(targets(sizes, weights, share, most).coalesce(1), "targets")
     rows = sizes.join(plan, sizes.source.eqNullSafe(plan.source)).drop(plan.source)
     chosen = scratch.table(copies(blocks_of(rows, block_words)), "copies")
@@ -202,8 +203,10 @@ def mix_report(docs: DataFrame, **options) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """docs with each row as often as the mix takes it; docs must have distinct doc_ids."""
-    _, draws = mix(docs, **options)
-    times = draws.groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").cast("int").alias("_times"))
-    got = docs.join(times, F.col("doc_id") == F.col("_id"))
-    return got.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).drop("_id", "_times", "_copy")
+    """docs with each row as often as the mix takes it, whatever its doc_id (null or repeated)."""
+    # written once with their numbers, so that the draws and the texts agree on them
+    numbered = Scratch(docs.sparkSession, "mixed").table(docs.withColumn("_row", F.monotonically_increasing_id()), "documents")
+    _, draws = mix(numbered, row=F.col("_row"), **options)
+    times = draws.groupBy(F.col("row").alias("_row")).agg(F.count("*").cast("int").alias("_times"))
+    got = numbered.join(times, "_row")
+    return got.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).drop("_row", "_times", "_copy")

@@ -5,6 +5,7 @@ from collections import Counter
 
 import pytest
 from compare import check
+from pyspark.sql import functions as F
 
 from pagelattice.llm import mixing, quality, queries, sharding, urlfilter
 
@@ -103,6 +104,25 @@ def test_draws_are_disjoint(spark):
     assert mixing.mixed_documents(df).columns == df.columns
 
 
+def test_mixing_stage_takes_rows_with_null_and_repeated_ids(spark):
+    import corpus_pipeline
+
+    rows = [(k if k % 3 else None if k % 2 else 7, f"t{k} " * (k % 40 + 1), f"s{k % 3}") for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    want = Counter({t: r for (_, t, _), r in zip(rows, [0] * len(rows), strict=True)})
+    numbered, draws = mixing.mix(spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k long, doc_id long, text string, source string"), row=F.col("k"))
+    for r in draws.collect():
+        want[rows[r.row][1]] += 1
+    stage = corpus_pipeline.mixing_sources(spark, df, SF)
+    got = Counter(r.text for r in stage.collect())
+    assert stage.columns == df.columns and got == Counter({t: n for t, n in want.items() if n})
+    assert any(got[t] for d, t, _ in rows if d is None) and any(got[t] for d, t, _ in rows if d == 7)
+    taken, targets = Counter(), {r.source: r.target for r in numbered.collect()}
+    for _, t, s in rows:
+        taken[s] += got[t] * len(t.split())
+    assert all(abs(taken[s] - targets[s]) <= 40 for s in targets if s != "s0") and taken["s0"] > 0
+
+
 def test_shards(spark, tmp_path):
     df = spark.createDataFrame([(k, None if k % 5 == 0 else "x" * (k % 300), "s") for k in range(2000)], "doc_id long, text string, source string")
     store = sharding.ShardStore(spark, str(tmp_path / "store"), target_bytes=40_000)
