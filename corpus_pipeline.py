@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pagelattice.llm import bpe, mixing, neardup, quality, toxicity
 from pagelattice.llm.scratch import Scratch
@@ -28,14 +29,19 @@ def toxic_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, the least doc_id, of each group linked at 0.8 of five-word shingles."""
-    found = neardup.near_duplicates(docs, width=5, percent=80)
-    gone = found.where("not kept").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
-    again = docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id")
-    if not again.isEmpty():  # rows that repeat an id: one of them stays
-        kept = kept.join(again, "doc_id", "left_anti").unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    return kept.select(*docs.columns)
+    """Keeps one row, the least doc_id's, of each group of rows linked at 0.8 of five-word shingles.
+
+    Rows are linked by their own texts, also those of one doc_id; rows without an id all stay.
+    """
+    scratch = Scratch(spark, "rows")
+    rows = scratch.table(docs.withColumn("_row", F.monotonically_increasing_id()), "documents")
+    named = rows.where("doc_id is not null")
+    found = neardup.near_duplicates(named.select(F.col("_row").alias("doc_id"), "text"), width=5, percent=80)
+    found = found.select(F.col("doc_id").alias("_row"), "component_id").join(named.select("_row", "doc_id"), "_row")
+    found = scratch.table(found, "found")
+    first = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "_row")).alias("m")).select(F.col("m._row").alias("_row"))
+    gone = found.select("_row").join(first, "_row", "left_anti")
+    return rows.join(gone, "_row", "left_anti").select(*docs.columns)
 
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

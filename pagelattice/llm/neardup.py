@@ -22,7 +22,8 @@ Pairs are never expanded within a bucket:
 
 Defined results: a null or blank text has an empty set and is linked with nothing; a
 null doc_id is linked with nothing and names no component; rows of one doc_id count as
-one document, linked with what any of its texts is linked with; extra columns are ignored.
+one document, linked with what any of its texts is linked with, so the classes of a
+repeated doc_id are joined after step 3; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -321,11 +322,22 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     probe = dealt.where("comp <> main").select("family", "rep", "comp", "sig", F.lit(1).alias("probe"), mine("probe_blocks", 2).alias("j"), every("all_blocks").alias("i"))
     blocks = index.unionByName(probe).join(sets, "rep").select("family", "i", "j", "comp", "probe", "sig", "shingles")
     more = scratch.table(blocks.groupBy("family", "i", "j").applyInArrow(_block_links(percent, lanes, most), "u long, v long"), "more")
+    # rows of one doc_id: their components are joined, and rows without words follow the others
+    rep_of = classes.select("lo", "hi", "rep")
+    again = scratch.table(sketches.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
+    least = None
+    if not again.isEmpty():
+        shared = sketches.where("n > 0").join(again, "doc_id").join(rep_of, ["lo", "hi"]).join(found.withColumnRenamed("node", "rep"), "rep", "left")
+        shared = scratch.table(shared.select("doc_id", F.coalesce("component", "rep").alias("v")).distinct(), "shared")
+        least = scratch.table(shared.groupBy("doc_id").agg(F.min("v").alias("u")), "least")
+        more = more.unionByName(shared.join(least, "doc_id").select("u", "v"))
     merged = connected_components(more, scratch).select(F.col("node").alias("_comp"), F.col("component").alias("_merged"))
 
-    rep_of = classes.select("lo", "hi", "rep")
     out = sketches.select("doc_id", "n", "lo", "hi").join(rep_of, ["lo", "hi"], "left").join(found.withColumnRenamed("node", "rep"), "rep", "left")
-    out = out.withColumn("_comp", F.coalesce("component", "rep")).join(merged, "_comp", "left")
-    linked = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("_merged", "_comp")).otherwise(F.col("doc_id"))
+    own = F.coalesce("component", "rep")
+    if least is not None:
+        out, own = out.join(least.withColumnRenamed("u", "_least"), "doc_id", "left"), F.coalesce(own, "_least")
+    out = out.withColumn("_comp", own).join(merged, "_comp", "left")
+    linked = F.when(F.col("doc_id").isNotNull(), F.coalesce("_merged", "_comp", "doc_id"))
     out = out.select("doc_id", F.col("n").alias("n_shingles"), linked.alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

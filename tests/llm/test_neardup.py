@@ -66,3 +66,16 @@ def test_odd_rows(spark):
 
 def test_threshold_has_the_least_chunks():
     assert neardup.chunks_for(0.85) == 11 and neardup.chunks_for(0.8) > 11
+
+
+def test_an_id_with_two_texts(spark):
+    import corpus_pipeline
+
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(12)) for x in "abcd")
+    rows = [(3, a), (5, a), (5, b), (5, None), (9, b), (2, c), (7, c), (7, d), (7, d), (8, d), (None, a), (None, a), (11, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(((r.doc_id, r.component_id, r.kept) for r in neardup.near_duplicates(df, 3, 85).collect()), key=str)
+    want = [(3, 3, True), (5, 3, False), (5, 3, False), (5, 3, False), (9, 3, False), (2, 2, True), (7, 2, False), (7, 2, False), (7, 2, False), (8, 2, False), (None, None, True), (None, None, True), (11, 11, True)]
+    assert got == sorted(want, key=str)
+    stage = corpus_pipeline.near_duplicates(spark, df.where("text is not null"), "")
+    assert sorted(map(tuple, stage.collect()), key=str) == sorted([(3, a), (5, b), (2, c), (7, d), (None, a), (None, a)], key=str)
