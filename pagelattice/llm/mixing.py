@@ -15,7 +15,8 @@ Shards: a multivariate-hypergeometric splitting tree deals the sources' quotas o
 to the output shards: a node halves its shards and draws, source by source, how many of
 each source's blocks go to the left half.  Quotas are exact: no block is lost or drawn twice.
 The tree holds counts per source and shard only (``max_cells`` bounds them).  Each shard
-then takes its run of every source's permuted draws and orders its documents by a hash.
+then takes its run of every source's permuted draws and orders its documents by a hash;
+``mixed_documents`` gives them in this order.
 
 Defined results: a null text has no words, and such documents take none; a null source
 is a source, the last; rows that repeat a doc_id go together; a source without words has
@@ -203,10 +204,10 @@ def mix_report(docs: DataFrame, **options) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """docs with each row as often as the mix takes it, whatever its doc_id (null or repeated)."""
+    """docs with each row as often as the mix takes it, whatever its doc_id (null or repeated), by shard in order of position."""
     # written once with their numbers, so that the draws and the texts agree on them
     numbered = Scratch(docs.sparkSession, "mixed").table(docs.withColumn("_row", F.monotonically_increasing_id()), "documents")
     _, draws = mix(numbered, row=F.col("_row"), **options)
-    times = draws.groupBy(F.col("row").alias("_row")).agg(F.count("*").cast("int").alias("_times"))
-    got = numbered.join(times, "_row")
-    return got.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).drop("_row", "_times", "_copy")
+    turns = draws.groupBy(F.col("row").alias("_row")).agg(F.collect_list(F.struct("shard", "position")).alias("_turns"))  # a few a row
+    got = numbered.join(turns, "_row").withColumn("_turn", F.explode("_turns"))
+    return got.orderBy("_turn.shard", "_turn.position", "_row").drop("_row", "_turns", "_turn")

@@ -104,6 +104,13 @@ def test_draws_are_disjoint(spark):
     assert mixing.mixed_documents(df).columns == df.columns
 
 
+def test_mixed_documents_are_in_order_of_shard_and_position(spark):
+    df = spark.createDataFrame([(k, "w " * (k % 50), f"s{k % 3}") for k in range(300)], "doc_id long, text string, source string")
+    options = {"block_words": 200, "shard_words": 500}
+    want = [r.doc_id for r in mixing.mix(df, **options)[1].orderBy("shard", "position").collect()]
+    assert [r.doc_id for r in mixing.mixed_documents(df.repartition(3), **options).collect()] == want != sorted(want)
+
+
 def test_mixing_stage_takes_rows_with_null_and_repeated_ids(spark):
     import corpus_pipeline
 
