@@ -116,18 +116,17 @@ e{k} as (select r, place, key, size, room, had or (key = best and abs(twins - ga
 def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .topk import top_k, usable
 
-    vectors = _table(spark, sf_dir, "embeddings").where(usable(F.col("embedding")) & F.col("vec_id").isNotNull())
-    weights = F.transform("embedding", lambda x: F.floor(256 * x.cast("double")))
-    return top_k(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), weights.alias("weights")), F.col("vec_id") % 50 == 0, 5)
+    vectors = _table(spark, sf_dir, "embeddings").where(usable(F.col("embedding")))
+    return top_k(vectors.select("vec_id", F.col("embedding").alias("weights")), F.col("vec_id") % 50 == 0, 5, scale=256)
 
 
 OP6_SQL = """
-with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as w from embeddings
+with v as (select row_number() over () as r, vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as hugeint)) as w from embeddings
            where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
-p as (select q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(range(1, 1 + least(len(q.w), len(c.w))), lambda i: q.w[i] * c.w[i])) as bigint) as score
-      from v q join v c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id),
-r as (select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank, vec_id, score from p)
-select query_id, rank, vec_id, score from r where rank <= 5
+p as (select q.r, q.vec_id as query_id, c.vec_id, coalesce(cast(list_sum(list_transform(range(1, 1 + least(len(q.w), len(c.w))), lambda i: q.w[i] * c.w[i])) as bigint), 0) as score
+      from v q join v c on q.vec_id % 50 = 0 and q.r <> c.r),
+k as (select query_id, cast(row_number() over (partition by r order by score desc, vec_id nulls last) as int) as rank, vec_id, score from p)
+select query_id, rank, vec_id, score from k where rank <= 5
 """
 
 

@@ -1,7 +1,9 @@
 """Operators 4, 6 and 7, and the pipeline."""
 
 import itertools
+import math
 import random
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -55,18 +57,38 @@ def test_held_out_documents(spark):
     assert len(got) > 40 and right > 0.95
 
 
+def brute_top_k(rows, scale=1):
+    """(query_id, rank, vec_id, score) of every row whose id is divisible by 50 against all other rows, in integers without bound."""
+    whole = [(i, [math.floor(Fraction(x) * scale) for x in v]) for i, v in rows]
+    out = []
+    for at, (q, v) in enumerate(whole):
+        if q is not None and q % 50 == 0:
+            found = [(-sum(a * b for a, b in zip(v, w, strict=False)), i is None, i) for k, (i, w) in enumerate(whole) if k != at]
+            out += [(q, n, i, max(-(2**63), min(2**63 - 1, -s))) for n, (s, _, i) in enumerate(sorted(found, key=lambda x: (x[0], x[1], x[2] or 0))[:5], 1)]
+    return sorted(out, key=str)
+
+
 def test_top_k_like_brute_force(spark):
     rng = random.Random(6)
-    rows = [(k, [rng.randint(-3, 3) for _ in range(rng.choice((6, 6, 6, 4)))]) for k in range(120)] + [(7, [1, 1, 1, 1, 1, 1]), (200, []), (201, [0] * 6)]
-    df = spark.createDataFrame(rows, "vec_id long, weights array<bigint>")
-    got = {}
-    for r in topk.top_k(df, F.col("vec_id") % 50 == 0, 5).collect():
-        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
-    for q, v in rows:
-        if q % 50 == 0:
-            best = sorted(((-sum(a * b for a, b in zip(v, w, strict=False)), i) for i, w in rows if i != q))[:5]
-            assert sorted(got[q]) == [(k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    rows = [(k, [rng.randint(-3, 3) for _ in range(rng.choice((6, 6, 6, 4)))]) for k in range(120)] + [(7, [1, 1, 1, 1, 1, 1]), (200, []), (201, [0] * 6), (50, [2, 2, 2]), (50, [2, 2, 2]), (None, [3] * 6)]
+    df = spark.createDataFrame(rows, "vec_id long, weights array<bigint>").withColumns({"row": F.lit("x"), "asked": F.lit(3), "score": F.lit(1)})
+    got = topk.top_k(df, F.col("vec_id") % 50 == 0, 5).collect()
+    assert sorted(map(tuple, got), key=str) == brute_top_k(rows)
     assert topk.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+    assert topk.top_k(df.where("vec_id = 0"), F.col("vec_id") % 50 == 0).count() == 0
+
+
+def test_top_k_of_large_components(spark, tmp_path):
+    rng = random.Random(8)
+    sizes = [1e7, 1.0, 3.4e38, -3.4e38, 2.0**54, 1e-3, 2.0**28, 123456.75, -(2.0**31)]
+    rows = [(0, [1e7, 1.0]), (50, [2.0**28] * 256), (1, [2.0**28] * 256), (2, [2.0**28] * 255 + [2.0**27])]
+    rows += [(k, [float(np.float32(rng.choice(sizes) * rng.uniform(-1, 1))) for _ in range(4)]) for k in range(3, 120)]
+    rows += [(k, [rng.uniform(-1, 1)] * 3) for k in range(120, 160)]
+    df = spark.createDataFrame(rows, "vec_id long, weights array<double>")
+    got = topk.top_k(df, F.col("vec_id") % 50 == 0, 5, scale=256)
+    assert sorted(map(tuple, got.collect()), key=str) == brute_top_k(rows, 256)
+    df.select("vec_id", F.col("weights").cast("array<float>").alias("embedding")).coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    assert queries.queries()["op6_top_k"](spark, str(tmp_path)).where("query_id = 0").count() == 5
 
 
 def test_odd_vectors(spark):
