@@ -180,30 +180,34 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_sql() -> str:
-    """All steps of both ranks, one common table expression a step."""
-    from .urlfilter import BLOCKED, DAMPING, RULES, STEPS, THRESHOLD, TRUSTED
+    """Trust, distrust and lean by recursion, the steps that take them below SETTLED and a few more."""
+    from math import ceil, log
+
+    from .urlfilter import BLOCKED, DAMPING, RULES, SETTLED, THRESHOLD, TRUSTED
 
     up, low = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     bad = " or ".join(f"host = '{h}' or ends_with(host, '.{h}')" for h in BLOCKED)
     good = "host in (" + ", ".join(f"'{h}'" for h in TRUSTED) + ")"
     fits = [(r, v, *r.split("/", 1)) for v, r in sorted(RULES, key=lambda x: -len(x[1]))]
-    case = lambda k: "case " + " ".join(f"when (host = '{x[2]}' or ends_with(host, '.{x[2]}')) and starts_with(path, '/{x[3]}') then '{x[k]}'" for x in fits) + " end"
-    steps = [f"r0 as materialized (select host, {1 - DAMPING} * good as t, {1 - DAMPING} * bad as d from seeds)"]
-    for k in range(1, STEPS):
-        steps.append(f"""r{k} as materialized (select s.host, {1 - DAMPING} * good + {DAMPING} * coalesce(f.t, 0) as t, {1 - DAMPING} * bad + {DAMPING} * coalesce(b.d, 0) as d from seeds s
-  left join (select dst, sum(t * ahead) as t from shares join r{k - 1} on src = host group by dst) f on f.dst = s.host
-  left join (select src, sum(d * back) as d from shares join r{k - 1} on dst = host group by src) b on b.src = s.host)""")
+    case = lambda k: "case " + " ".join(f"when (p.host = '{x[2]}' or ends_with(p.host, '.{x[2]}')) and starts_with(path, '/{x[3]}') then '{x[k]}'" for x in fits) + " end"
+    steps = ceil(log(SETTLED) / log(DAMPING)) + 3
     return f"""
-with p as (select page_id, coalesce(translate(regexp_extract(url, '^.*?://([^/?#]*)([^?#]*)', 1, 's'), '{up}', '{low}'), '') as host, coalesce(regexp_extract(url, '^.*?://([^/?#]*)([^?#]*)', 2, 's'), '') as path, html from pages),
+with recursive p as (select page_id, coalesce(translate(regexp_extract(url, '^.*?://([^/?#]*)([^?#]*)', 1, 's'), '{up}', '{low}'), '') as host, coalesce(regexp_extract(url, '^.*?://([^/?#]*)([^?#]*)', 2, 's'), '') as path, html from pages),
 l as (select host as src, regexp_replace(translate(unnest(regexp_extract_all(coalesce(html, ''), '(?:href|src)\\s*=\\s*["'']?\\s*(?:https?:)?//([^/?#"''\\s>]+)', 1, 'i')), '{up}', '{low}'), '^[^@]*@', '') as dst from p),
 e as (select src, dst, count(*) as n from l where src <> '' and dst <> '' and src <> dst group by src, dst),
 shares as materialized (select src, dst, n / sum(n) over (partition by src) as ahead, n / sum(n) over (partition by dst) as back from e),
 hosts as (select host from p where host <> '' union select dst from e),
 seeds as materialized (select host, case when {bad} then 0.0 when {good} then 1.0 else 0.0 end::double as good, case when {bad} then 1.0 else 0.0 end::double as bad from hosts),
-{", ".join(steps)}
-select page_id, p.host, path, {case(0).replace("(host =", "(p.host =").replace("(host,", "(p.host,")} as rule,
-  coalesce({case(1).replace("(host =", "(p.host =").replace("(host,", "(p.host,")}, case when r.d - r.t >= {THRESHOLD} then 'block' else 'allow' end) as verdict
-from p left join r{STEPS - 1} r on r.host = p.host
+r as (
+  select 0 as k, host, {1 - DAMPING} * good as t, {1 - DAMPING} * bad as d, {1 - DAMPING} * bad as l from seeds
+  union all
+  select r.k + 1, r.host, {1 - DAMPING} * s.good + {DAMPING} * coalesce(f.t, 0), {1 - DAMPING} * s.bad + {DAMPING} * coalesce(b.d, 0), {1 - DAMPING} * s.bad + {DAMPING} * coalesce(b.l, 0)
+  from r join seeds s on s.host = r.host
+  left join (select dst, sum(t * ahead) as t from shares join r on src = host group by dst) f on f.dst = r.host
+  left join (select src, sum(d * back) as d, sum(l * ahead) as l from shares join r on dst = host group by src) b on b.src = r.host
+  where r.k < {steps} and exists (select 1 from shares))
+select page_id, p.host, path, {case(0)} as rule, coalesce({case(1)}, case when greatest(x.d, x.l) - x.t >= {THRESHOLD} then 'block' else 'allow' end) as verdict
+from p left join (select * from r where k = (select max(k) from r)) x on x.host = p.host
 """
 
 
