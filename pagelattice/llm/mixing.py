@@ -5,22 +5,32 @@ words, and the excess is shared again by weight.  Sources by saturation level (t
 words over their weight) make this one pass of running sums: a source is full if its level is at
 most what the others before it leave per unit of weight.
 
-Blocks: documents of a source are dealt by a hash into blocks of about ``block_words`` words
-(at most 65,536 blocks a source).  A source draws all its blocks once for each whole pass
-of its target, and for the rest the first blocks of a hash order that fit, of the next block
-the first documents that fit, and then up to four times the document of that block that fits
-the gap best.
+Blocks: rows of a source are dealt by a hash of doc_id and text into blocks of about
+``block_words`` words (at most 2**24 blocks a source).  A source draws all its blocks once for
+each whole pass of its target, and for the rest the first blocks of a hash order that fit, of the
+next block the first documents that fit, and then up to four times the document of that
+block that fits the gap best.
 
 Shards: a multivariate-hypergeometric splitting tree deals the sources' quotas of block draws
 to the output shards: a node halves its shards and draws, source by source, how many of
 each source's blocks go to the left half.  Quotas are exact: no block is lost or drawn twice.
-The tree holds counts per source and shard only (``max_cells`` bounds them).  Each shard
-then takes its run of every source's permuted draws and orders its documents by a hash;
-``mixed_documents`` gives them in this order.
+The tree has at most ``max_cells`` cells.  With more shards, its leaves are groups of shards, and each
+group deals its own draws to its shards in a hash order, which is the same law; with more sources,
+several share a stratum.  A leaf takes its run of every stratum's permuted draws.
+
+``write_shards`` writes the documents into the shard that their block's draw went to, one
+file a shard, shuffled in it by a hash; ``mix_report`` and ``mixed_documents`` read these files and nothing
+else, so quotas and order are what a reader gets.  Texts are shuffled once, to their shard; a block's draws
+reach its rows by a join on (source, block) that Spark broadcasts while it is small.
+
+No task holds a source: sums over a source's blocks and the numbers of its draws are running sums over
+4096 prefixes of the hash order and over the few rows of a prefix.  Copies of a text under one id are counted
+before any shuffle.
 
 Defined results: a null text has no words, and such documents take none; a null source
-is a source, the last; rows that repeat a doc_id go together; a source without words has
-target 0; an empty table gives no rows; all choices are hashes, so reruns agree.
+is a source, the last; rows that repeat doc_id and text go together, and rows that repeat an id with another text don't; a
+null id is an id like others; a source without words has target 0; an empty table gives no rows; extra columns
+are kept by the shards, whatever their names; all choices are hashes, so reruns agree.
 """
 
 from __future__ import annotations
@@ -28,6 +38,7 @@ from __future__ import annotations
 import json
 import math
 import random
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,9 +47,15 @@ from .quality import WORD
 from .scratch import Scratch
 
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
-BLOCK_WORDS, MAX_BLOCKS, SHARD_WORDS = 1 << 16, 1 << 16, 1 << 24
+BLOCK_WORDS, MAX_BLOCKS, SHARD_WORDS = 1 << 16, 1 << 24, 1 << 24
+#: Cells (strata times leaves) of the splitting tree, and strata: what the driver holds and the plan carries (some 4 MB).
+MAX_CELLS, MAX_STRATA = 1 << 16, 1 << 12
+#: Tasks that write shards; with more shards, a task writes several, one after another.
+MAX_TASKS = 1 << 14
 #: Documents that fill what the last block's first documents leave open, each the best fit.
 FILL_ROUNDS = 4
+#: Hexadecimal digits of a hash that make a prefix of its order, and copies that are counted out at once.
+PREFIX, COUNTED = 3, 4096
 
 
 def digest(*parts: Column) -> Column:
@@ -46,16 +63,29 @@ def digest(*parts: Column) -> Column:
     return F.md5(F.concat_ws(":", *[F.coalesce(p.cast("string"), F.lit("null")) for p in parts]).cast("binary"))
 
 
-def sized(docs: DataFrame, row: Column | None = None) -> DataFrame:
-    """row, doc_id, source, size: the words of each document; row numbers the documents unless it is given."""
-    size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
-    row = F.monotonically_increasing_id() if row is None else row
-    return docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "source", size.alias("size"))
+def number(key: Column, digits: int) -> Column:
+    """The first hexadecimal digits of a hash as a number."""
+    return F.conv(F.substring(key, 1, digits), 16, 10).cast("long")
+
+
+def row_key(doc_id: Column, text: Column) -> Column:
+    """What names a row within its source; rows that share it can't be told apart."""
+    return digest(doc_id.cast("long"), F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+
 
+def words(text: Column) -> Column:
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
-def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
+
+def units_of(docs: DataFrame) -> DataFrame:
+    """doc_id, source, key, size, copies: rows that share id, text and source are one unit, counted before the shuffle."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", row_key(F.col("doc_id"), F.col("text")).alias("key"), words(F.col("text")).alias("size"))
+    return rows.groupBy("doc_id", "source", "key", "size").agg(F.count("*").alias("copies"))
+
+
+def targets(units: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
     """A row a source: source, place, weight, source_size, target."""
-    totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
+    totals = units.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("source_size"))
     place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))  # a row a source
     rows = totals.select("source", "source_size", place.alias("place"))
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("place") - 1) % len(weights) + 1)
@@ -71,38 +101,49 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int =
     return rows.select("source", "place", "weight", "source_size", target.alias("target"))
 
 
-def blocks_of(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """Adds key (a hash) and block to documents with their source_size."""
-    key = digest(F.col("doc_id"), F.lit("doc"))
-    n = F.greatest(F.lit(1), F.least(F.lit(MAX_BLOCKS), F.ceil(F.col("source_size") / F.lit(block_words)).cast("int")))
-    digit = lambda k: F.instr(F.lit("0123456789abcdef"), F.substring("key", k, 1)) - 1
-    value = sum((digit(k) * (16 ** (6 - k)) for k in range(2, 7)), digit(1) * 16**5)
-    return docs.withColumn("key", key).withColumn("block", value % n)
-
-
-def copies(docs: DataFrame) -> DataFrame:
-    """Adds passes (whole passes of the source) and extra (drawn once more) to documents with place, source_size, target, key, block."""
-    passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
-    rest = F.round("target").cast("long") - F.col("passes") * F.col("source_size")
-    blocks = docs.groupBy("place", "block").agg(F.sum("size").alias("words"), F.first("source_size").alias("source_size"), F.first("target").alias("target"))
-    blocks = blocks.withColumn("passes", passes).withColumn("rest", rest)
-    order = Window.partitionBy("place").orderBy(digest(F.col("place"), F.col("block"), F.lit("block")), "block")
-    blocks = blocks.withColumn("before", F.coalesce(F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    # all: the whole block is drawn once more; room: words still wanted of the one block where the rest runs out
+def block_number(key: Column, source_size: Column, block_words: int) -> Column:
+    n = F.greatest(F.lit(1), F.least(F.lit(MAX_BLOCKS), F.ceil(source_size / F.lit(block_words)).cast("int")))
+    return number(key, 6) % n
+
+
+def running(df: DataFrame, part: str, key: str, value: str, tie: str, name: str) -> DataFrame:
+    """Adds the sum of value over rows before each, by key (a hash) and tie within part, as name.
+
+    Sums of the key's prefixes come first, so no window holds more than a part's prefixes or a prefix's rows.
+    """
+    prefix = F.substring(key, 1, PREFIX)
+    whole = df.groupBy(F.col(part).alias("_part"), prefix.alias("_head")).agg(F.sum(value).alias("_sum"))
+    heads = Window.partitionBy("_part").orderBy("_head").rowsBetween(Window.unboundedPreceding, -1)
+    whole = whole.select("_part", "_head", F.coalesce(F.sum("_sum").over(heads), F.lit(0)).alias("_before"))
+    inner = Window.partitionBy(part, "_head").orderBy(key, tie).rowsBetween(Window.unboundedPreceding, -1)
+    got = df.withColumn("_head", prefix).withColumn(name, F.coalesce(F.sum(value).over(inner), F.lit(0)))
+    got = got.join(whole, (got[part] == whole["_part"]) & (got["_head"] == whole["_head"]))
+    return got.select(*df.columns, (F.col(name) + F.col("_before")).alias(name))
+
+
+def blocks_of(units: DataFrame) -> DataFrame:
+    """place, block, passes (whole passes of the source), whole, upto, fills of units with place, source_size, target, block.
+
+    A block is drawn once more if whole; of the block where the rest runs out, rows with keys up to upto or among fills are.
+    """
+    units = units.select("place", "block", "key", (F.col("size") * F.col("copies")).alias("words"), "source_size", "target")
+    passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int")
+    blocks = units.groupBy("place", "block").agg(F.sum("words").alias("words"), F.first("source_size").alias("source_size"), F.first("target").alias("target"))
+    blocks = blocks.withColumn("passes", passes).withColumn("rest", F.round("target").cast("long") - F.col("passes") * F.col("source_size"))
+    blocks = running(blocks.withColumn("order", digest(F.col("place"), F.col("block"), F.lit("block"))), "place", "order", "words", "block", "before")
     whole = F.col("before") + F.col("words") <= F.col("rest")
     blocks = blocks.select("place", "block", "passes", whole.alias("whole"), F.when(~whole & (F.col("before") < F.col("rest")), F.col("rest") - F.col("before")).alias("room"))
-    got = docs.join(blocks, ["place", "block"])
-    edge = got.where("room is not null").select("row", "place", "key", "size", "room")
-    fits = Window.partitionBy("place").orderBy("key").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    edge = edge.select("*", (F.sum("size").over(fits) <= F.col("room")).alias("edge"), F.sum("size").over(Window.partitionBy("place", "key")).alias("twins"))
+    # one block a source
+    edge = units.join(blocks.where("room is not null").select("place", "block", "room"), ["place", "block"]).select("place", "block", "key", "words", "room")
+    fits = Window.partitionBy("place").orderBy("key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    edge = edge.withColumn("first", F.sum("words").over(fits) <= F.col("room")).withColumn("edge", F.col("first"))
     for _ in range(FILL_ROUNDS):
-        gap = F.col("room") - F.sum(F.when(F.col("edge"), F.col("size")).otherwise(0)).over(Window.partitionBy("place"))
-        off = F.abs(F.col("twins") - F.col("gap"))
+        gap = F.col("room") - F.sum(F.when(F.col("edge"), F.col("words")).otherwise(0)).over(Window.partitionBy("place"))
+        off = F.abs(F.col("words") - F.col("gap"))
         best = F.first("key").over(Window.partitionBy("place").orderBy("edge", off, "key"))
         edge = edge.withColumn("gap", gap).withColumn("best", best).withColumn("edge", F.col("edge") | ((F.col("key") == F.col("best")) & (off < F.col("gap"))))
-    edge = edge.select("row", "edge")
-    got = got.join(edge, "row", "left")
-    return got.withColumn("extra", F.col("whole") | F.coalesce("edge", F.lit(False))).drop("whole", "room", "edge")
+    picked = edge.groupBy("place", "block").agg(F.max(F.when(F.col("first"), F.col("key"))).alias("upto"), F.collect_list(F.when(F.col("edge") & ~F.col("first"), F.col("key"))).alias("fills"))
+    return blocks.drop("room").join(picked, ["place", "block"], "left")
 
 
 def split(quotas: dict[int, int], shards: int, seed: int = 5) -> list[dict[int, int]]:
@@ -153,61 +194,103 @@ def split(quotas: dict[int, int], shards: int, seed: int = 5) -> list[dict[int,
     return node(dict(quotas), shards)
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, max_cells: int = 1 << 22, row: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """(documents, draws); row names the documents if they have a number of their own.
+@dataclass
+class Mix:
+    """units: doc_id, source, key, size, copies, source_size, target; plan: targets(); blocks: with their draws (turn, shard)."""
 
-    documents: row, doc_id, source, size, source_size, target of every row of docs(doc_id, source, text).
-    draws: shard, position, row, doc_id, size, a row for each time the mix takes a document.
-    """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "mixing")
-    sizes = scratch.table(sized(docs, row), "sizes")
-    plan = scratch.table(targets(sizes, weights, share, most).coalesce(1), "targets")
-    rows = sizes.join(plan, sizes.source.eqNullSafe(plan.source)).drop(plan.source)
-    chosen = scratch.table(copies(blocks_of(rows, block_words)), "copies")
-
-    drawn = chosen.groupBy("place", "block").agg(F.max("passes").alias("passes"), F.max(F.col("extra").cast("int")).alias("extra"))
-    drawn = drawn.withColumn("n", F.col("passes").cast("int") + F.col("extra")).where("n > 0")
+    units: DataFrame
+    plan: DataFrame
+    blocks: DataFrame
+    shards: int
+    block_words: int
+
+
+def deal(blocks: DataFrame, sources: int, shards: int, scratch: Scratch, max_cells: int) -> DataFrame:
+    """place, block, draws: the shard of every draw of every block, by the splitting tree."""
+    strata = max(1, min(sources, MAX_STRATA, max_cells))
+    groups = min(shards, 1 << int(math.log2(max(1, max_cells // strata))))
+    drawn = blocks.withColumn("n", F.col("passes") + (F.col("whole") | F.col("upto").isNotNull() | (F.coalesce(F.size("fills"), F.lit(0)) > 0)).cast("int")).where("n > 0")
     drawn = drawn.select("place", "block", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("turn"))
-    order = Window.partitionBy("place").orderBy(digest(F.col("place"), F.col("block"), F.col("turn")), "block", "turn")
-    drawn = scratch.table(drawn.withColumn("ordinal", F.row_number().over(order) - 1), "draws")
-    quotas = drawn.groupBy("place").agg(F.count("*").alias("n"))
-    words = plan.agg(F.coalesce(F.sum("target"), F.lit(0.0))).first()[0]
-    shards = 1 << max(0, math.ceil(math.log2(max(1.0, words / shard_words))))
-    if plan.count() * shards > max_cells:
-        raise ValueError("too many sources and shards for one splitting tree; raise shard_words or max_cells")
-    leaves = split({r.place: r.n for r in quotas.collect()}, shards)  # a count per source, bounded above
-    runs, at = [], {}
-    for shard, counts in enumerate(leaves):
-        for place, n in counts.items():
+    drawn = drawn.select("*", (F.col("place") % strata).alias("stratum"), digest(F.col("place"), F.col("block"), F.col("turn")).alias("order"), F.lit(1).alias("one"))
+    drawn = drawn.withColumn("tie", F.struct("place", "block", "turn"))
+    drawn = scratch.table(running(drawn, "stratum", "order", "one", "tie", "ordinal").drop("tie", "one"), "draws")
+    quotas = {r.stratum: r.n for r in drawn.groupBy("stratum").agg(F.count("*").alias("n")).collect()}  # at most MAX_STRATA rows
+    runs, at = [], dict.fromkeys(quotas, 0)
+    for group, counts in enumerate(split(quotas, groups)):
+        for stratum, n in counts.items():
             if n:
-                begin = at.get(place, 0)
-                runs.append({"place": place, "shard": shard, "lo": begin, "hi": begin + n - 1})
-                at[place] = begin + n
-    text, kind = json.dumps(runs), "array<struct<place:int,shard:int,lo:int,hi:int>>"
-    located = spark.range(1).select(F.explode(F.from_json(F.lit(text), kind)).alias("r")).select("r.*")
-    located = located.select("place", "shard", F.explode(F.sequence("lo", "hi")).alias("ordinal"))
-    placed = drawn.join(located, ["place", "ordinal"]).select("place", "block", "turn", "shard")
-
-    taken = chosen.select("place", "block", "row", "doc_id", "size", F.col("passes").cast("int").alias("passes"), "extra").join(placed, ["place", "block"])
-    taken = taken.where("turn < passes or extra")
-    draws = taken.select("shard", digest(F.col("doc_id"), F.col("turn"), F.col("shard")).alias("position"), "row", "doc_id", "size")
-    return chosen.select("row", "doc_id", "source", "size", "source_size", "target"), draws
+                runs.append({"stratum": stratum, "group": group, "lo": at[stratum], "hi": at[stratum] + n - 1})
+                at[stratum] += n
+    kind = "array<struct<stratum:int,group:int,lo:long,hi:long>>"
+    located = drawn.sparkSession.range(1).select(F.explode(F.from_json(F.lit(json.dumps(runs)), kind)).alias("r")).select("r.*")
+    located = located.select("stratum", "group", F.explode(F.sequence("lo", "hi")).alias("ordinal"))
+    placed = drawn.join(located, ["stratum", "ordinal"]).select("place", "block", "turn", "group", "order")
+    if groups < shards:  # a group's draws, in another hash order, fill its shards evenly
+        placed = placed.withColumn("again", digest(F.col("order"), F.lit("shard")))
+        here = F.row_number().over(Window.partitionBy("group").orderBy("again", "place", "block", "turn")) - 1
+        every = F.count("*").over(Window.partitionBy("group"))
+        inner = F.floor(here * (shards // groups) / every).cast("int")
+        placed = placed.withColumn("group", F.col("group") * (shards // groups) + inner)
+    return placed.groupBy("place", "block").agg(F.collect_list(F.struct("turn", F.col("group").alias("shard"))).alias("draws"))  # a few a block
+
+
+def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, max_cells: int = MAX_CELLS) -> Mix:
+    """Which blocks of docs(doc_id, source, text) are taken, how often, and into which shard each time."""
+    scratch = Scratch(docs.sparkSession, "mixing")
+    units = scratch.table(units_of(docs), "units")
+    plan = scratch.table(targets(units, weights, share, most).coalesce(1), "targets")
+    units = units.join(plan, units.source.eqNullSafe(plan.source)).drop(plan.source)
+    blocks = units.withColumn("block", block_number(F.col("key"), F.col("source_size"), block_words))
+    blocks = scratch.table(blocks_of(blocks), "blocks")
+    whole = plan.agg(F.coalesce(F.sum("target"), F.lit(0.0)).alias("words"), F.count("*").alias("sources")).first()
+    shards = 1 << max(0, math.ceil(math.log2(max(1.0, whole.words / shard_words))))
+    draws = deal(blocks, whole.sources, shards, scratch, max_cells)
+    return Mix(units, plan, scratch.table(blocks.join(draws, ["place", "block"]), "dealt"), shards, block_words)
+
+
+def write_shards(docs: DataFrame, folder: str, **options) -> Mix:
+    """Mixes docs and writes the shards: a file each under folder/shard=<number>, its rows place, key, position and doc (all columns), by position."""
+    got = mix(docs, **options)
+    rows = docs.select(F.struct("*").alias("doc"), row_key(F.col("doc_id"), F.col("text")).alias("key"))
+    plan = got.plan.select("source", "place", "source_size").where("source_size > 0")
+    rows = rows.join(plan, F.col("doc.source").eqNullSafe(plan.source)).drop(plan.source)
+    rows = rows.withColumn("block", block_number(F.col("key"), F.col("source_size"), got.block_words)).drop("source_size")
+    rows = rows.join(got.blocks, ["place", "block"])
+    extra = F.coalesce(F.col("whole") | (F.col("key") <= F.col("upto")), F.col("whole")) | F.coalesce(F.array_contains("fills", F.col("key")), F.lit(False))
+    takes = F.filter("draws", lambda d: (d["turn"] < F.col("passes")) | extra)
+    rows = rows.select("place", "key", "doc", F.explode(takes).alias("draw")).select("place", "key", "doc", "draw.*")
+    position = digest(F.col("key"), F.col("turn"), F.col("shard"))
+    rows = rows.select("shard", "place", "key", position.alias("position"), "doc")
+    # a shard (some shard_words words) lies in one task and is sorted there
+    tasks = min(got.shards, MAX_TASKS)
+    rows = rows.repartitionById(tasks, F.floor(F.col("shard") * tasks / got.shards).cast("int")).sortWithinPartitions("shard", "position")
+    rows.write.partitionBy("shard").option("compression", "zstd").parquet(folder)
+    return got
+
+
+def read_shards(docs: DataFrame, folder: str) -> DataFrame:
+    """shard, place, key, position, doc of all files; docs gives the columns of doc."""
+    kind = docs.select(F.lit(0).alias("place"), F.lit("").alias("key"), F.lit("").alias("position"), F.struct("*").alias("doc"), F.lit(0).alias("shard")).schema
+    return docs.sparkSession.read.schema(kind).parquet(folder)
 
 
 def mix_report(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, size, source_size, target, taken of every document: the words the mix takes of it."""
-    rows, draws = mix(docs, **options)
-    taken = draws.groupBy("row").agg(F.sum("size").alias("taken"))
-    got = rows.join(taken, "row", "left")
-    return got.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
+    """doc_id, size, source_size, target, taken of every row: the words of it that the shards hold."""
+    folder = Scratch(docs.sparkSession, "mixed").folder("shards")
+    got = write_shards(docs, folder, **options)
+    held = read_shards(docs, folder).select("place", "key", words(F.col("doc.text")).alias("held")).groupBy("place", "key").agg(F.sum("held").alias("held"))
+    rows = got.units.join(held, ["place", "key"], "left")
+    taken = F.coalesce(F.col("held") / F.col("copies"), F.lit(0)).cast("long")
+    rows = rows.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "copies")
+    # copies are counted out in runs of bounded length, dealt anew in between
+    runs = rows.withColumn("run", F.explode(F.sequence(F.lit(0), F.floor((F.col("copies") - 1) / COUNTED))))
+    length = F.least(F.lit(COUNTED), F.col("copies") - F.col("run") * COUNTED).cast("int")
+    runs = runs.select("doc_id", "size", "source_size", "target", "taken", length.alias("length")).hint("rebalance")
+    return runs.withColumn("length", F.explode(F.sequence(F.lit(1), F.col("length")))).drop("length")
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """docs with each row as often as the mix takes it, whatever its doc_id (null or repeated), by shard in order of position."""
-    # written once with their numbers, so that the draws and the texts agree on them
-    numbered = Scratch(docs.sparkSession, "mixed").table(docs.withColumn("_row", F.monotonically_increasing_id()), "documents")
-    _, draws = mix(numbered, row=F.col("_row"), **options)
-    turns = draws.groupBy(F.col("row").alias("_row")).agg(F.collect_list(F.struct("shard", "position")).alias("_turns"))  # a few a row
-    got = numbered.join(turns, "_row").withColumn("_turn", F.explode("_turns"))
-    return got.orderBy("_turn.shard", "_turn.position", "_row").drop("_row", "_turns", "_turn")
+    """The shards' documents: docs with each row as often as the mix takes it, in files by shard, in each by position."""
+    folder = Scratch(docs.sparkSession, "mixed").folder("shards")
+    write_shards(docs, folder, **options)
+    return read_shards(docs, folder).select("doc.*")

@@ -82,7 +82,7 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Targets, blocks and draws again; which shard takes a block doesn't change how often it is taken.
 OP5_SQL = """
-with d0 as (select row_number() over () as r, doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) as bigint) as size from documents),
+with d0 as (select row_number() over () as r, doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) as bigint) as size, md5(coalesce(cast(doc_id as varchar), 'null') || ':' || md5(coalesce(text, ''))) as key from documents),
 s0 as (select source, cast(sum(size) as bigint) as source_size from d0 group by source),
 s1 as (select *, row_number() over (order by source nulls last) as place from s0),
 s2 as (select *, [3.0::double, 1.0::double, 2.0::double][(place - 1) % 3 + 1] as weight, cast(2 * source_size as double) as cap from s1),
@@ -91,9 +91,9 @@ s3 as (select *, 1.5::double * sum(source_size) over () as total, sum(weight) ov
 s4 as (select *, cap / weight <= (total - c0) / (w - w0) as is_full from s3),
 s5 as (select *, sum(case when is_full then cap else 0 end) over () as ct, sum(case when is_full then weight else 0 end) over () as wt from s4),
 s as (select source, place, source_size, case when is_full then cap else weight * (total - ct) / (w - wt) end as target from s5),
-d as (select d0.*, s.place, s.source_size, s.target, md5(coalesce(cast(doc_id as varchar), 'null') || ':doc') as key from d0 join s on d0.source is not distinct from s.source),
+d as (select d0.*, s.place, s.source_size, s.target from d0 join s on d0.source is not distinct from s.source),
 k as (select *, list_sum(list_transform(range(1, 7), lambda i: (strpos('0123456789abcdef', substr(key, i, 1)) - 1) * cast(pow(16, 6 - i) as bigint)))
-         % greatest(1, least(65536, cast(ceil(source_size / 65536.0) as bigint))) as block from d),
+         % greatest(1, least(16777216, cast(ceil(source_size / 65536.0) as bigint))) as block from d),
 b0 as (select place, block, cast(sum(size) as bigint) as words, any_value(source_size) as source_size, any_value(target) as target from k group by place, block),
 b1 as (select *, case when source_size > 0 then cast(floor(target / source_size) as bigint) else 0 end as passes from b0),
 b2 as (select *, cast(round(target) as bigint) - passes * source_size as rest,

@@ -1,14 +1,15 @@
 """Operators 2, 5, 8 and 10 against plain Python."""
 
+import math
 import re
 from collections import Counter
 
+import pyarrow.parquet as pq
 import pytest
 from compare import check
 from pyspark.sql import functions as F
 
 from pagelattice.llm import mixing, quality, queries, sharding, urlfilter
-from pagelattice.llm.scratch import Scratch
 
 SF = "/root/testdata/sf0.001"
 PATTERN = re.compile(r"[^\x20\x09-\x0D]+")
@@ -96,39 +97,87 @@ def test_splitting_tree_is_exact():
     assert mixing.split(quotas, 8) == leaves
 
 
-def test_draws_are_disjoint(spark):
-    df = spark.createDataFrame([(k, "w " * (k % 50), f"s{k % 3}") for k in range(300)], "doc_id long, text string, source string")
-    rows, draws = mixing.mix(df, block_words=200, shard_words=500)
-    got = draws.collect()
-    per = Counter((r.shard, r.position) for r in got)
-    assert max(per.values()) == 1 and len({r.shard for r in got}) > 4
-    assert mixing.mixed_documents(df).columns == df.columns
+def mixed_rows(n=300):
+    return [(k, "w " * (k % 50), f"s{k % 3}") for k in range(n)]
+
+
+def test_shards_hold_what_the_tree_deals_in_shuffled_order(spark, tmp_path, monkeypatch):
+    df = spark.createDataFrame(mixed_rows(), "doc_id long, text string, source string").repartition(3)
+    asked = []
+    tree = mixing.split
+    monkeypatch.setattr(mixing, "split", lambda quotas, shards: asked.append(tree(quotas, shards)) or asked[-1])
+    folder = str(tmp_path / "shards")
+    got = mixing.write_shards(df, folder, block_words=200, shard_words=500)
+    blocks = {(b.place, b.block): b for b in got.blocks.collect()}
+    assert got.shards == len(asked[0]) > 4
+    dealt = Counter((d.shard, b.place % 3) for b in blocks.values() for d in b.draws)
+    assert dealt == Counter({(k, s): n for k, leaf in enumerate(asked[0]) for s, n in leaf.items() if n})
+    units = {u.key: u for u in got.units.collect()}
+    files, held = sorted((tmp_path / "shards").glob("shard=*/*.parquet")), Counter()
+    assert len(files) == got.shards
+    for f in files:
+        shard, rows = int(f.parent.name[6:]), pq.ParquetFile(f).read().to_pylist()
+        at = [r["position"] for r in rows]
+        assert at == sorted(at) and len(set(at)) == len(at)
+        assert len(rows) < 10 or [r["doc"]["doc_id"] for r in rows] != sorted(r["doc"]["doc_id"] for r in rows)
+        held.update((shard, r["key"]) for r in rows)
+    block = lambda u: int(u.key[:6], 16) % max(1, math.ceil(u.source_size / 200))
+    for (shard, key), n in held.items():
+        assert n <= sum(d.shard == shard for d in blocks[units[key].place, block(units[key])].draws)
+    taken = {r.doc_id: r.taken for r in mixing.mix_report(df, block_words=200, shard_words=500).collect()}
+    again = Counter()
+    for (_, key), n in held.items():
+        again[units[key].doc_id] += n * units[key].size
+    assert all(taken[d] == again[d] for d in taken)
+
+
+def test_taken_words_are_read_from_the_shards(spark, monkeypatch):
+    """Without a leaf of the tree its blocks are in no shard, and no report of them."""
+    df = spark.createDataFrame(mixed_rows(), "doc_id long, text string, source string")
+    options = {"block_words": 200, "shard_words": 500}
+    whole = sum(r.taken for r in mixing.mix_report(df, **options).collect())
+    tree = mixing.split
+    monkeypatch.setattr(mixing, "split", lambda quotas, shards: [{s: 0 for s in quotas}, *tree(quotas, shards)[1:]])
+    assert 0 < sum(r.taken for r in mixing.mix_report(df, **options).collect()) < whole
 
 
-def test_mixed_documents_are_in_order_of_shard_and_position(spark):
-    df = spark.createDataFrame([(k, "w " * (k % 50), f"s{k % 3}") for k in range(300)], "doc_id long, text string, source string")
-    options = {"block_words": 200, "shard_words": 500}
-    want = [r.doc_id for r in mixing.mix(df, **options)[1].orderBy("shard", "position").collect()]
-    assert [r.doc_id for r in mixing.mixed_documents(df.repartition(3), **options).collect()] == want != sorted(want)
+def test_any_number_of_cells(spark):
+    rows = [(k, "w " * (k % 50 + 1), f"s{k % 11}") for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = sorted((r.doc_id, r.taken) for r in mixing.mix_report(df, block_words=100, shard_words=500).collect())
+    for cells in (1, 7, 40):
+        got = mixing.mix(df, block_words=100, shard_words=500, max_cells=cells)
+        draws = [(b.place, b.block, d.turn, d.shard) for b in got.blocks.collect() for d in b.draws]
+        per = Counter(d[3] for d in draws)
+        assert len({d[:3] for d in draws}) == len(draws) and len(per) == got.shards and max(per.values()) - min(per.values()) <= 11
+        assert sorted((r.doc_id, r.taken) for r in mixing.mix_report(df, block_words=100, shard_words=500, max_cells=cells).collect()) == want
 
 
 def test_mixing_stage_takes_rows_with_null_and_repeated_ids(spark):
     import corpus_pipeline
 
-    rows = [(k if k % 3 else None if k % 2 else 7, f"t{k} " * (k % 40 + 1), f"s{k % 3}") for k in range(300)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
-    want = Counter({t: r for (_, t, _), r in zip(rows, [0] * len(rows), strict=True)})
-    numbered, draws = mixing.mix(spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k long, doc_id long, text string, source string"), row=F.col("k"))
-    for r in draws.collect():
-        want[rows[r.row][1]] += 1
+    rows = [(k if k % 3 else None if k % 2 else 7, f"t{k} " * (k % 40 + 1), f"s{k % 3}" if k % 5 else None, k, "p") for k in range(300)]
+    rows += [(5, "t5 " * 6, "s2", 5, "p")] * 9 + [(1000 + k, None if k % 2 else "", "s1", k, None) for k in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, shard long, position string").withColumns({c: F.lit(c) for c in ("_id", "_times", "_copy", "_row", "key", "place", "block", "doc", "draws", "whole", "size", "target", "taken")}).repartition(5)
+    report = Counter()
+    for r in mixing.mix_report(df).collect():
+        assert r.taken <= 2 * r.size
+        report[r.doc_id] += r.taken
     stage = corpus_pipeline.mixing_sources(spark, df, SF)
-    got = Counter(r.text for r in stage.collect())
-    assert stage.columns == df.columns and got == Counter({t: n for t, n in want.items() if n})
-    assert any(got[t] for d, t, _ in rows if d is None) and any(got[t] for d, t, _ in rows if d == 7)
-    taken, targets = Counter(), {r.source: r.target for r in numbered.collect()}
-    for _, t, s in rows:
-        taken[s] += got[t] * len(t.split())
-    assert all(abs(taken[s] - targets[s]) <= 40 for s in targets if s != "s0") and taken["s0"] > 0
+    assert stage.columns == df.columns
+    got = stage.collect()
+    taken = Counter()
+    for r in got:
+        taken[r.doc_id] += len((r.text or "").split())
+    assert {d: n for d, n in taken.items() if n} == {d: n for d, n in report.items() if n} and taken[None] and taken[7]
+    assert {tuple(r)[:5] for r in got} <= set(rows) and {r.key for r in got} == {"key"}
+    sizes, per = Counter(), Counter()
+    for _, t, s, *_ in rows:
+        sizes[s] += len((t or "").split())
+    for r in got:
+        per[r.source] += len((r.text or "").split())
+    assert all(abs(per[s] - w) <= 60 for s, w in python_targets(sizes).items())
+    assert corpus_pipeline.mixing_sources(spark, df.limit(0), SF).count() == 0
 
 
 def test_shards(spark, tmp_path):
@@ -220,7 +269,7 @@ def test_every_host_of_a_link_farm_is_blocked(spark):
         assert verdicts[n] == {**dict.fromkeys(range(n), "block"), 100: "block", 101: "allow", 102: "allow", 103: "allow"}
 
 
-def test_ranks_are_settled_and_like_sql(spark, tmp_path):
+def test_settled_verdicts_are_like_sql(spark, tmp_path):
     import random
 
     rng = random.Random(10)
@@ -232,10 +281,3 @@ def test_ranks_are_settled_and_like_sql(spark, tmp_path):
     df = spark.createDataFrame(rows, "page_id long, url string, html string, host string").withColumns({"path": F.lit(1), "rule": F.lit(2), "bad": F.lit(3), "verdict": F.lit(4), "fit": F.lit(5)})
     df.coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
     check(urlfilter.url_filter(df), queries.oracle_sql()["op10_url_filter"], tmp_path)
-    located = df.select(urlfilter.host(F.col("url")).alias("host"), "html")
-    links = urlfilter.edges(located)
-    names = located.select("host").unionByName(links.select(F.col("dst").alias("host"))).where("host <> ''").distinct()
-    got = {r.host: r for r in urlfilter.ranks(names, links, Scratch(spark, "t")).collect()}
-    under = lambda h, names: any(h == n or h.endswith("." + n) for n in names)
-    t, x = python_ranks(set(got), {(r.src, r.dst): r.links for r in links.collect()}, lambda h: float(h in urlfilter.TRUSTED and not under(h, urlfilter.BLOCKED)), lambda h: float(under(h, urlfilter.BLOCKED)))
-    assert all(abs(got[h].trust - t[h]) < 1e-5 and abs(got[h].distrust - x[h]) < 1e-5 for h in got)
