@@ -1,19 +1,19 @@
 """Quality rules as a short-circuit cascade (operator 2), in DataFrame functions only.
 
-A rule says of a text's features when the text is rejected.  Every rule's cost (time
-over a sample, computed from the text alone) and selectivity (share it rejects) are
-estimated, rules are ordered by rejection per cost, and the cascade evaluates them in
-that order in one CASE expression: a later rule costs nothing for a text that an
-earlier one rejected.  The order changes the time, never the verdict.
+A rule says of a text's features when the text is rejected.  One pass over a sample, with the
+clock read between the features of each text, gives every feature's cost (time a text) and every
+rule's selectivity (share it rejects); rules are ordered by rejection per cost.  The cascade is one CASE
+expression in that order: what a later rule needs is not computed for a text that an earlier one rejected.
+Words are found once a text, and the base figures, where they are asked for, come first, so that
+of rejected texts the method's own figures are never computed.  The order changes the time, never the verdict.
 
 Defined results: a null text has no words and is rejected like an empty one; repeated
 rows are judged alike; an empty table gives an empty table and the rules' given order;
-extra columns stay, but those named like the result's are replaced.
+extra columns stay, but in ``cascade`` those named like its results are replaced.
 """
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -24,10 +24,10 @@ from .scratch import Scratch
 
 WORD = r"[^\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\x0c\r"
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = r"[#*$%&|<>]"
 WINDOW = 8
-#: Texts in the sample that costs and selectivities are estimated on.
-SAMPLE_ROWS = 500
+#: Texts in the sample that costs and selectivities are estimated on, and its share that only warms up.
+SAMPLE_ROWS, WARM = 500, 0.3
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -68,21 +68,19 @@ def stutters(found: Column) -> Column:
     return F.size(F.filter(found, lambda w, i: (i > 0) & (w == F.get(found, i - 1)))).cast("long")
 
 
-def _without(text: Column, chars: str) -> Column:
-    return F.length(F.translate(text, chars, "")).cast("long")
-
-
-#: Features of a text, each from the text alone.
-FEATURES: dict[str, Callable[[Column], Column]] = {
-    "n_words": lambda t: F.size(words(t)).cast("long"),
-    "word_chars": lambda t: _without(t, BLANKS),
-    "n_symbols": lambda t: F.length(t).cast("long") - _without(t, SYMBOLS),
-    "n_capitals": lambda t: F.length(t).cast("long") - _without(t, "ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
-    "n_lines": lambda t: F.size(lines(t)).cast("long"),
-    "n_dup_lines": lambda t: let(lines(t), lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
-    "n_stutter": lambda t: let(words(t), stutters),
-    "n_repeat_words": lambda t: let(words(t), repeated_words),
+#: Features of a text, each from the text and its words.
+FEATURES: dict[str, Callable[[Column, Column], Column]] = {
+    "n_words": lambda t, w: F.size(w).cast("long"),
+    "word_chars": lambda t, w: F.length(F.concat_ws("", w)).cast("long"),
+    "n_symbols": lambda t, w: F.regexp_count(t, F.lit(SYMBOLS)).cast("long"),
+    "n_capitals": lambda t, w: F.regexp_count(t, F.lit("[A-Z]")).cast("long"),
+    "n_lines": lambda t, w: F.size(lines(t)).cast("long"),
+    "n_dup_lines": lambda t, w: let(lines(t), lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
+    "n_stutter": lambda t, w: stutters(w),
+    "n_repeat_words": lambda t, w: repeated_words(w),
 }
+#: The figures that are asked for of every text.
+BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 @dataclass(frozen=True)
@@ -108,51 +106,74 @@ BASE_RULES = base_rules(20)
 RULES = (*BASE_RULES, *OWN_RULES)
 
 
-def estimate(docs: DataFrame, rules=RULES, rows: int = SAMPLE_ROWS, repeats: int = 2) -> list[dict]:
-    """Of every rule its cost (seconds a text) and selectivity on a sample, best rejection per cost first."""
+def clock() -> Column:
+    """Nanoseconds, read when the expression is evaluated."""
+    return F.reflect(F.lit("java.lang.System"), F.lit("nanoTime")).cast("long")
+
+
+def estimate(docs: DataFrame, rules=RULES, rows: int = SAMPLE_ROWS, given: tuple[str, ...] = ()) -> list[dict]:
+    """Of every rule its cost (seconds a text, for features that are not given) and selectivity on a sample, best rejection per cost first.
+
+    One job: a text's features are fields of one struct, evaluated in turn, each followed by a reading of the clock.
+    """
+    rules = list(rules)
     scratch = Scratch(docs.sparkSession, "quality")
-    n = docs.count()
-    share = min(1.0, 1.5 * rows / max(1, n))
-    sample = scratch.table(docs.select(F.coalesce("text", F.lit("")).alias("text")).sample(share, seed=17).limit(rows).coalesce(1), "sample")
-    size = sample.count()
-    if not size:
-        return [{"rule": r, "cost": 0.0, "rejected": 0.0} for r in rules]
-    seen = sample.agg(*[F.avg(rejected_by(F.col("text"), [r]).isNotNull().cast("double")).alias(r.name) for r in rules]).first()
-    found = []
-    for rule in rules:
-        took = []
-        for _ in range(repeats):
-            began = time.perf_counter()
-            sample.agg(F.count(rejected_by(F.col("text"), [rule]))).collect()
-            took.append(time.perf_counter() - began)
-        found.append({"rule": rule, "cost": min(took) / size, "rejected": seen[rule.name]})
+    share = min(1.0, 1.5 * rows / max(1, docs.count()))
+    text = F.coalesce("text", F.lit(""))
+    picked = docs.select(text.alias("text")).sample(share, seed=17).limit(rows).coalesce(1)
+    sample = scratch.table(picked.withColumn("words", words(F.col("text"))), "sample")
+    needed = list(dict.fromkeys(x for r in rules for x in r.needs))
+    fields = [clock().alias("t0")]
+    for k, x in enumerate(needed, 1):
+        fields += [FEATURES[x](F.col("text"), F.col("words")).alias(x), clock().alias(f"t{k}")]
+    seen = sample.select(F.monotonically_increasing_id().alias("at"), F.struct(*fields).alias("f"))
+    warm = F.col("at") >= int(WARM * rows)
+    costs = [F.coalesce(F.avg(F.when(warm, F.col(f"f.t{k}") - F.col(f"f.t{k - 1}"))), F.avg(F.col(f"f.t{k}") - F.col(f"f.t{k - 1}")), F.lit(0.0)).alias(f"c{k}") for k in range(1, len(needed) + 1)]
+    shares = [F.coalesce(F.avg(r.rejects(*[F.col(f"f.{x}") for x in r.needs]).cast("double")), F.lit(0.0)).alias(f"s{k}") for k, r in enumerate(rules)]
+    got = seen.agg(*costs, *shares).first()
+    cost = {x: got[f"c{k}"] / 1e9 for k, x in enumerate(needed, 1)}
+    found = [{"rule": r, "cost": sum(cost[x] for x in r.needs if x not in given), "rejected": got[f"s{k}"]} for k, r in enumerate(rules)]
     return sorted(found, key=lambda x: -x["rejected"] / max(x["cost"], 1e-9))
 
 
-def rejected_by(text: Column | None, rules, features: dict[str, Column] | None = None) -> Column:
-    """The first rule in order that rejects, else null; features not given are computed from the text, when needed."""
+def rejected_by(text: Column, found: Column, rules, given: dict[str, Column] | None = None) -> Column:
+    """The first rule in order that rejects, else null; features not given are computed when a rule asks for them."""
     out = F.lit(None).cast("string")
     for rule in reversed(list(rules)):
-        values = [features[x] if features else FEATURES[x](text) for x in rule.needs]
+        values = [given[x] if given and x in given else FEATURES[x](text, found) for x in rule.needs]
         out = F.when(rule.rejects(*values), F.lit(rule.name)).otherwise(out)
     return out
 
 
-def with_features(docs: DataFrame, names) -> DataFrame:
-    """Adds features as columns; words and lines are found once for all of them."""
-    text = F.coalesce("text", F.lit(""))
-    direct = [FEATURES[x](text).alias(x) for x in ("word_chars", "n_symbols", "n_capitals")]
-    of_words = let(words(text), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeated_words(w).alias("n_repeat_words"), stutters(w).alias("n_stutter")))
-    of_lines = let(lines(text), lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines")))
-    got = docs.select("*", F.struct(*direct).alias("_a"), of_words.alias("_b"), of_lines.alias("_c"))
-    place = {"word_chars": "_a", "n_symbols": "_a", "n_capitals": "_a", "n_words": "_b", "n_repeat_words": "_b", "n_stutter": "_b", "n_lines": "_c", "n_dup_lines": "_c"}
-    return got.withColumns({x: F.col(f"{place[x]}.{x}") for x in names}).drop("_a", "_b", "_c")
+def verdict(text: Column, rules) -> Column:
+    """The rule that rejects a text, else null."""
+    text = F.coalesce(text, F.lit(""))
+    return let(words(text), lambda w: rejected_by(text, w, rules))
 
 
-def cascade(docs: DataFrame, rules=RULES, features: bool = False) -> DataFrame:
-    """Adds kept (and all features, if asked for) to docs; rules run in the estimated order."""
+def passing(docs: DataFrame, rules=RULES) -> DataFrame:
+    """The rows of docs that no rule rejects, with all their columns."""
     ordered = [x["rule"] for x in estimate(docs, rules)]
-    if features:
-        got = with_features(docs, FEATURES)
-        return got.withColumn("kept", rejected_by(None, ordered, {x: F.col(x) for x in FEATURES}).isNull())
-    return docs.withColumn("kept", rejected_by(F.coalesce("text", F.lit("")), ordered).isNull())
+    return docs.where(verdict(F.col("text"), ordered).isNull())
+
+
+def cascade(docs: DataFrame, base=BASE_RULES, own=OWN_RULES) -> DataFrame:
+    """Adds to docs the figures of BASE, base_failed, rejected_by (the rule, null if kept) and kept.
+
+    The base figures are computed of every text, those of the own rules only of texts that the base rules
+    and the own rules before them pass.
+    """
+    ordered = [x["rule"] for x in estimate(docs, own, given=BASE)]
+    text = F.coalesce("text", F.lit(""))
+
+    def judged(found: Column, figures: Column) -> Column:
+        given = {x: figures[x] for x in BASE}
+        failed = rejected_by(text, found, base, given)
+        verdict = F.when(failed.isNotNull(), failed).otherwise(rejected_by(text, found, ordered, given))
+        return F.struct(*[given[x].alias(x) for x in BASE], failed.isNotNull().alias("base_failed"), verdict.alias("rejected_by"))
+
+    figures = lambda w: F.struct(*[FEATURES[x](text, w).alias(x) for x in BASE])
+    got = docs.select(F.struct("*").alias("doc"), let(words(text), lambda w: let(figures(w), lambda f: judged(w, f))).alias("got"))
+    names = [*BASE, "base_failed", "rejected_by"]
+    kept = [F.col("doc").getField(c).alias(c) for c in docs.columns if c not in {*names, "kept"}]
+    return got.select(*kept, *[F.col(f"got.{x}").alias(x) for x in names], F.col("got.rejected_by").isNull().alias("kept"))

@@ -21,11 +21,10 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .quality import BASE_RULES, cascade, rejected_by
+    from .quality import cascade
 
-    got = cascade(_table(spark, sf_dir, "documents"), features=True)
-    base = rejected_by(None, BASE_RULES, {x: F.col(x) for r in BASE_RULES for x in r.needs}).isNotNull()
-    return got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept")
+    got = cascade(_table(spark, sf_dir, "documents"))
+    return got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 OP2_SQL = """

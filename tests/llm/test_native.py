@@ -26,26 +26,54 @@ def python_features(text):
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(covered)
 
 
+def python_own(text):
+    """The own rules that reject a text."""
+    n, chars, symbols, dup, _ = python_features(text)
+    w, capitals = PATTERN.findall(text or ""), sum(c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" for c in text or "")
+    n_lines = sum(bool(PATTERN.search(x)) for x in (text or "").split("\n"))
+    found = {"stutter": 100 * sum(a == b for a, b in zip(w, w[1:], strict=False)) > 30 * n, "symbols": 10 * symbols > 3 * n, "shouting": 10 * capitals > 4 * chars, "long_words": chars > 40 * n, "same_lines": n_lines >= 5 and 10 * dup > 6 * n_lines}
+    return {x for x, bad in found.items() if bad}
+
+
 def test_quality_features(spark):
-    df = spark.createDataFrame([(k, t, 0) for k, t in enumerate(TEXTS)], "doc_id long, text string, n_words int")
-    for r in quality.cascade(df, features=True).collect():
-        want = python_features(TEXTS[r.doc_id])
+    df = spark.createDataFrame([(k, t, 0, "x", "y") for k, t in enumerate(TEXTS)], "doc_id long, text string, n_words int, _a string, kept string").withColumns({c: F.lit(c) for c in ("_b", "_c", "doc", "got", "words")})
+    out = quality.cascade(df)
+    assert out.columns == ["doc_id", "text", "_a", "_b", "_c", "doc", "got", "words", *quality.BASE, "base_failed", "rejected_by", "kept"]
+    for r in out.collect():
+        want, own = python_features(TEXTS[r.doc_id]), python_own(TEXTS[r.doc_id])
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want
         base = want[0] < 20 or 100 * want[4] > 30 * want[0]
-        assert not (base and r.kept)
+        assert (r.base_failed, r.kept, r._a, r.got) == (base, not base and not own, "x", "got")
+        assert r.rejected_by in own if r.rejected_by and not base else (r.rejected_by in {"few_words", "repeats"} if base else r.rejected_by is None)
 
 
 def test_cascade_gives_the_same_verdict_in_any_order(spark):
-    df = spark.createDataFrame([(k, t) for k, t in enumerate(TEXTS)], "doc_id long, text string")
-    from pyspark.sql import functions as F
-
-    text = F.coalesce("text", F.lit(""))
-    a = df.select("doc_id", quality.rejected_by(text, quality.RULES).isNull().alias("k")).collect()
-    b = df.select("doc_id", quality.rejected_by(text, quality.RULES[::-1]).isNull().alias("k")).collect()
-    c = [(r.doc_id, r.kept) for r in quality.cascade(df).collect()]
-    assert [tuple(x) for x in a] == [tuple(x) for x in b] == c
-    assert quality.cascade(df.limit(0)).count() == 0
-    assert [x["rule"].name for x in quality.estimate(df)] != []
+    df = spark.createDataFrame([(k, t, "x") for k, t in enumerate(TEXTS)], "doc_id long, text string, kept string")
+    passed = lambda rules: [r.doc_id for r in df.where(quality.verdict(F.col("text"), rules).isNull()).collect()]
+    want = [r.doc_id for r in quality.cascade(df).where("kept").collect()]
+    assert passed(quality.RULES) == passed(quality.RULES[::-1]) == want == [r.doc_id for r in quality.passing(df).collect()]
+    assert [r.kept for r in quality.passing(df).collect()] == ["x"] * len(want)
+    assert quality.cascade(df.limit(0)).count() == quality.passing(df.limit(0)).count() == 0
+    assert [x["rule"].name for x in quality.estimate(df.limit(0))] == [r.name for r in quality.RULES]
+
+
+def test_later_rules_are_not_evaluated_for_rejected_texts(spark, monkeypatch):
+    """A feature that fails on short texts is never asked for where the base rules reject them."""
+    df = spark.createDataFrame([(1, "short"), (2, "word " * 5 + " ".join(f"w{k}" for k in range(40)))], "doc_id long, text string")
+    rules = [quality.Rule("costly", ("costly",), lambda c: c < 0)]
+    failing = lambda t, w: F.when(F.size(w) < 20, F.raise_error(F.lit("asked for"))).otherwise(F.lit(0)).cast("long")
+    monkeypatch.setitem(quality.FEATURES, "costly", failing)
+    monkeypatch.setattr(quality, "estimate", lambda docs, rules, **_: [{"rule": r} for r in rules])
+    assert [(r.doc_id, r.kept) for r in quality.cascade(df, own=rules).collect()] == [(1, False), (2, True)]
+    with pytest.raises(Exception, match="asked for"):
+        quality.cascade(df, base=(), own=rules).collect()
+
+
+def test_costs_are_of_the_features_not_of_jobs(spark):
+    found = {x["rule"].name: x for x in quality.estimate(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))}
+    assert found["repeats"]["cost"] == max(x["cost"] for x in found.values()) > 20 * found["few_words"]["cost"] > 0
+    given = {x["rule"].name: x["cost"] for x in quality.estimate(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), quality.OWN_RULES, given=quality.BASE)}
+    assert given["long_words"] == 0 < given["stutter"]
 
 
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
