@@ -17,13 +17,20 @@ from pagelattice.llm.scratch import Scratch
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts by the rule cascade; short texts pass as long as they have a word."""
-    rules = (*quality.base_rules(1), *quality.OWN_RULES)
-    return quality.cascade(docs, rules).where("kept").select(*docs.columns)
+    """Rejects texts by the rule cascade; short texts pass as long as they have a word.
+
+    A null or blank text has no word and goes; repeated rows and rows without an id are judged by their texts alone; an
+    empty table stays empty; all columns, whatever their names, are kept.
+    """
+    return quality.passing(docs, (*quality.base_rules(1), *quality.OWN_RULES))
 
 
 def toxic_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts that the span model scores 0.5 or more."""
+    """Rejects texts that the span model scores 0.5 or more.
+
+    A null or empty text scores like clean tokens and stays; without labels of both kinds nothing is rejected; rows are
+    judged by their texts alone, and all columns are kept.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~toxicity.held_out())
     return toxicity.without_toxic(docs, toxicity.fit_from(docs, labels))
 
@@ -31,26 +38,35 @@ def toxic_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row, the least doc_id's, of each group of rows linked at 0.8 of five-word shingles.
 
-    Rows are linked by their own texts, also those of one doc_id; rows without an id all stay.
+    Rows are linked by their own texts, also those of one doc_id; rows without an id and texts without words
+    all stay; an empty table stays empty; all columns, whatever their names, are kept.
     """
     scratch = Scratch(spark, "rows")
-    rows = scratch.table(docs.withColumn("_row", F.monotonically_increasing_id()), "documents")
-    named = rows.where("doc_id is not null")
-    found = neardup.near_duplicates(named.select(F.col("_row").alias("doc_id"), "text"), width=5, percent=80)
-    found = found.select(F.col("doc_id").alias("_row"), "component_id").join(named.select("_row", "doc_id"), "_row")
+    rows = docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row"))
+    rows = scratch.table(rows, "documents", codec="zstd")
+    named = rows.where("doc.doc_id is not null")
+    found = neardup.near_duplicates(named.select(F.col("row").alias("doc_id"), "doc.text"), width=5, percent=80)
+    found = found.select(F.col("doc_id").alias("row"), "component_id").join(named.select("row", "doc.doc_id"), "row")
     found = scratch.table(found, "found")
-    first = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "_row")).alias("m")).select(F.col("m._row").alias("_row"))
-    gone = found.select("_row").join(first, "_row", "left_anti")
-    return rows.join(gone, "_row", "left_anti").select(*docs.columns)
+    first = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "row")).alias("m")).select("m.row")
+    gone = found.select("row").join(first, "row", "left_anti")
+    return rows.join(gone, "row", "left_anti").select("doc.*")
 
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    return mixing.mixed_documents(docs).select(*docs.columns)
+    """Each document as often as the mix takes it, read from the shards that the mix writes.
+
+    A null source is a source; a null id is an id like others; empty texts go with their block; an
+    empty table stays empty; all columns, whatever their names, are kept.
+    """
+    return mixing.mixed_documents(docs)
 
 
 def bpe_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of every text and the digests of ids and decoded text."""
+    """Ids of every text and the digests of ids and decoded text: doc_id, n_tokens, ids_sha256, decoded_sha256, ids.
+
+    A null text counts as empty and has no ids; each row of the input is one of the output; other columns go.
+    """
     return bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=True)
 
 
