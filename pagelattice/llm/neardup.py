@@ -10,20 +10,21 @@ threshold with a probability of at most ``miss`` (binomial tail).
 
 Pairs are never expanded within a bucket:
 
-1. Texts with equal shingle sets are one class, named by its least doc_id.
+1. Rows are numbered.  Those with equal shingle sets are one class, named by its least row.
 2. In every bucket each class meets the bucket's least class, its hub.  Of the distinct
    pairs under the signature distance, each class's nearest is confirmed on the full sets;
    the links give components.
 3. A pair in a bucket that is not settled then lies in different components and shares
-   the hub.  Hubs of one component and their classes are a family, dealt in blocks of bounded
-   size; classes outside the family's largest component meet all others block by block, under
+   the hub.  Hubs of one component and their classes are a family, dealt in blocks of a bounded number of
+   shingles and classes (a family's size reaches its classes by a salted join, as one family may hold many); classes outside the family's largest component meet all others block by block, under
    the same distance and on the full sets.  Only links leave a block, at most one per class and
    component.  With them the components are complete.
 
 Defined results: a null or blank text has an empty set and is linked with nothing; a
 null doc_id is linked with nothing and names no component; rows of one doc_id count as
-one document, linked with what any of its texts is linked with, so the classes of a
-repeated doc_id are joined after step 3; extra columns are ignored.
+one document, linked with what any of its texts is linked with, so components that share a
+doc_id are joined after step 3, and then named by their least doc_id; an empty table gives no rows; extra columns, also those named like the
+result's or the steps', are ignored.
 """
 
 from __future__ import annotations
@@ -41,9 +42,11 @@ from .components import connected_components, forest_roots
 from .scratch import Scratch
 
 LANES = 5
-#: Shingles in a block of step 3, and lanes of a signature compared at once.
-BLOCK_SHINGLES = 200_000
+#: Shingles and classes in a block of step 3, and columns of an incidence matrix at once.
+BLOCK_SHINGLES, BLOCK_CLASSES = 200_000, 4096
 _COLUMNS = 4096
+#: Parts that a family's classes are dealt in where they meet their family's size.
+FAMILY_PARTS = 32
 
 
 def chunks_for(similarity: float, miss: float = 1e-5) -> int:
@@ -104,7 +107,7 @@ def minima(hashes: np.ndarray, bounds: np.ndarray, lanes: int) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, width: int, lanes: int) -> DataFrame:
-    """doc_id, n (set size), lo and hi (128 bits that name the set), sig (little-endian 16-bit lanes)."""
+    """row, n (set size), lo and hi (128 bits that name the set), sig (little-endian 16-bit lanes) of docs(row, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -120,9 +123,9 @@ def sketch(docs: DataFrame, width: int, lanes: int) -> DataFrame:
                     lo, hi = (flat.fmix(s[bounds[1:]] - s[bounds[:-1]]).view(np.int64) for s in sums)
                 sig = minima(hashes, bounds, lanes)
                 sigs = flat.binary_array(sig, np.full(len(sig), 2 * lanes))
-                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(sizes), pa.array(lo), pa.array(hi), sigs], ["doc_id", "n", "lo", "hi", "sig"])
+                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(sizes), pa.array(lo), pa.array(hi), sigs], ["row", "n", "lo", "hi", "sig"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, lo long, hi long, sig binary")
+    return docs.select("row", "text").mapInArrow(run, "row long, n long, lo long, hi long, sig binary")
 
 
 def _lanes(column: pa.Array, lanes: int) -> np.ndarray:
@@ -189,7 +192,7 @@ def _among(docs: DataFrame, ids: DataFrame, bits: int = 1 << 26) -> DataFrame:
     byte = F.conv(F.hex(F.substring(F.col("m"), F.shiftright(F.col("_p"), 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     seen = docs.withColumn("_s", spot).withColumns({"_k": F.bitmap_bucket_number("_s"), "_p": F.bitmap_bit_position("_s")}).join(lead, F.col("_k") == F.col("_b"))
     seen = seen.where(byte.bitwiseAND(F.pow(F.lit(2), F.col("_p") % 8).cast("int")) != 0)
-    return seen.select("rep", "text").join(ids, "rep")  # a semi join would be pushed below the bitmap
+    return seen.select("rep", "text").join(ids.hint("merge"), "rep")  # a semi join would be pushed below the bitmap
 
 
 def _overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -253,54 +256,33 @@ def _block_links(percent: int, lanes: int, most: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """A row a document: doc_id, n_shingles, component_id, kept.
-
-    Documents are linked whose shingle sets have 100 * intersection >= percent * union.
-    """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "neardup")
+def linked_rows(rows: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """row, n_shingles, component (its least row) of rows(row, text); rows are numbered without repeats and read twice alike."""
+    scratch = Scratch(rows.sparkSession, "neardup")
     chunks = chunks_for(percent / 100)
     lanes, most = LANES * chunks, 2 * chunks - 1
-    sketches = scratch.table(sketch(docs, width, lanes), "sketches")
-    named = sketches.where("n > 0 and doc_id is not null")
-    classes = scratch.table(named.groupBy("lo", "hi").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes")
+    sketches = scratch.table(sketch(rows, width, lanes), "sketches")
+    classes = scratch.table(sketches.where("n > 0").groupBy("lo", "hi").agg(F.min("row").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes")
 
-    rows = bucket_keys(classes, lanes)
-    hubs = rows.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("far")).where("hub < far").select("key", "hub")
-    stars = scratch.table(rows.join(hubs, "key").where("rep <> hub").select("rep", "hub").distinct(), "stars")
+    keys = bucket_keys(classes, lanes)
+    hubs = keys.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("far")).where("hub < far").select("key", "hub")
+    stars = scratch.table(keys.join(hubs.hint("merge"), "key").where("rep <> hub").select("rep", "hub").distinct(), "stars")
 
     sig_of = classes.select("rep", "n", "sig")
     a, b = (sig_of.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"s{x}")) for x in "ab")
-    pairs = stars.select(F.col("rep").alias("a"), F.col("hub").alias("b")).join(a, "a").join(b, "b")
+    pairs = stars.select(F.col("rep").alias("a"), F.col("hub").alias("b")).join(a.hint("merge"), "a").join(b.hint("merge"), "b")
     pairs = pairs.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
     # each class's nearest hub, the least of equals
     nearest = _near(pairs, lanes, most).groupBy("a").agg(F.min(F.struct("far", "b")).alias("m"))
     nearest = scratch.table(nearest.select("a", F.col("m.b").alias("b")), "nearest")
 
     wanted = stars.select("rep").unionByName(stars.select(F.col("hub").alias("rep"))).distinct()
-    texts = _among(docs.select(F.col("doc_id").cast("long").alias("rep"), "text"), wanted)
+    texts = _among(rows.select(F.col("row").alias("rep"), "text"), wanted)
     sets = scratch.table(shingle_sets(texts, width), "sets")
 
-    def confirmed(pairs: DataFrame, name: str) -> DataFrame:
-        left, right = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb"))
-        both = F.size(F.array_intersect("sa", "sb"))
-        linked = pairs.join(left, "a").join(right, "b").where(100 * both >= percent * (F.size("sa") + F.size("sb") - both))
-        return scratch.table(linked.select(F.col("a").alias("u"), F.col("b").alias("v")), name)
-
-    def grown(found: DataFrame, links: DataFrame) -> DataFrame:
-        if links.isEmpty():
-            return found
-        known = found.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
-        return scratch.table(connected_components(links.unionByName(known), scratch), "components")
-
-    def settled(df: DataFrame, column: str, to: str) -> DataFrame:
-        got = df.join(found.select(F.col("node").alias(column), F.col("component").alias("_c")), column, "left")
-        return got.withColumn(to, F.coalesce("_c", column)).drop("_c")
-
     left, right = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
-    confirmed = nearest.join(left, "a").join(right, "b").where(100 * both >= percent * (F.size("sa") + F.size("sb") - both))
+    confirmed = nearest.join(left.hint("merge"), "a").join(right.hint("merge"), "b").where(100 * both >= percent * (F.size("sa") + F.size("sb") - both))
     # a hub is smaller than its classes, so these links are a forest
     found = forest_roots(confirmed.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component")), scratch)
 
@@ -308,36 +290,51 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     members = stars.unionByName(stars.select(F.col("hub").alias("rep"), "hub").distinct())
     for column, to in (("hub", "family"), ("rep", "comp")):
         known = found.select(F.col("node").alias(column), F.col("component").alias("_c"))
-        members = members.join(known, column, "left").withColumn(to, F.coalesce("_c", column)).drop("_c")
-    members = scratch.table(members.select("family", "rep", "comp").distinct().join(sig_of, "rep"), "members")
+        members = members.join(known.hint("merge"), column, "left").withColumn(to, F.coalesce("_c", column)).drop("_c")
+    members = scratch.table(members.select("family", "rep", "comp").distinct().join(sig_of.hint("merge"), "rep"), "members")
     sizes = members.groupBy("family", "comp").agg(F.count("*").alias("k"), F.sum("n").alias("n"))
-    blocks_for = lambda n: F.ceil(n / F.lit(BLOCK_SHINGLES)).cast("int")
+    blocks_for = lambda n, k: F.greatest(F.ceil(n / F.lit(BLOCK_SHINGLES)), F.ceil(k / F.lit(BLOCK_CLASSES))).cast("int")
     top = F.max(F.struct("k", "comp", "n"))
-    main = sizes.groupBy("family").agg(top.alias("top"), F.sum("n").alias("all"), F.count("*").alias("parts")).where("parts > 1")
-    main = main.select("family", F.col("top.comp").alias("main"), blocks_for(F.col("all")).alias("all_blocks"), blocks_for(F.col("all") - F.col("top.n")).alias("probe_blocks"))
-    dealt = members.join(main, "family")
+    main = sizes.groupBy("family").agg(top.alias("top"), F.sum("n").alias("all"), F.sum("k").alias("ks"), F.count("*").alias("parts")).where("parts > 1")
+    main = main.select("family", F.col("top.comp").alias("main"), blocks_for(F.col("all"), F.col("ks")).alias("all_blocks"), blocks_for(F.col("all") - F.col("top.n"), F.col("ks") - F.col("top.k")).alias("probe_blocks"))
+    main = scratch.table(main, "families").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(FAMILY_PARTS - 1))))
+    dealt = members.withColumn("salt", F.pmod(F.xxhash64("rep", F.lit(3)), F.lit(FAMILY_PARTS)).cast("int")).join(main, ["family", "salt"])
     mine = lambda n, salt: F.pmod(F.xxhash64("rep", F.lit(salt)), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     index = dealt.select("family", "rep", "comp", "sig", F.lit(0).alias("probe"), mine("all_blocks", 1).alias("i"), every("probe_blocks").alias("j"))
     probe = dealt.where("comp <> main").select("family", "rep", "comp", "sig", F.lit(1).alias("probe"), mine("probe_blocks", 2).alias("j"), every("all_blocks").alias("i"))
-    blocks = index.unionByName(probe).join(sets, "rep").select("family", "i", "j", "comp", "probe", "sig", "shingles")
+    blocks = index.unionByName(probe).join(sets.hint("merge"), "rep").select("family", "i", "j", "comp", "probe", "sig", "shingles")
     more = scratch.table(blocks.groupBy("family", "i", "j").applyInArrow(_block_links(percent, lanes, most), "u long, v long"), "more")
-    # rows of one doc_id: their components are joined, and rows without words follow the others
-    rep_of = classes.select("lo", "hi", "rep")
-    again = scratch.table(sketches.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
-    least = None
-    if not again.isEmpty():
-        shared = sketches.where("n > 0").join(again, "doc_id").join(rep_of, ["lo", "hi"]).join(found.withColumnRenamed("node", "rep"), "rep", "left")
-        shared = scratch.table(shared.select("doc_id", F.coalesce("component", "rep").alias("v")).distinct(), "shared")
-        least = scratch.table(shared.groupBy("doc_id").agg(F.min("v").alias("u")), "least")
-        more = more.unionByName(shared.join(least, "doc_id").select("u", "v"))
-    merged = connected_components(more, scratch).select(F.col("node").alias("_comp"), F.col("component").alias("_merged"))
-
-    out = sketches.select("doc_id", "n", "lo", "hi").join(rep_of, ["lo", "hi"], "left").join(found.withColumnRenamed("node", "rep"), "rep", "left")
-    own = F.coalesce("component", "rep")
-    if least is not None:
-        out, own = out.join(least.withColumnRenamed("u", "_least"), "doc_id", "left"), F.coalesce(own, "_least")
-    out = out.withColumn("_comp", own).join(merged, "_comp", "left")
-    linked = F.when(F.col("doc_id").isNotNull(), F.coalesce("_merged", "_comp", "doc_id"))
-    out = out.select("doc_id", F.col("n").alias("n_shingles"), linked.alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    merged = connected_components(more, scratch).select(F.col("node").alias("first"), F.col("component").alias("merged"))
+
+    # by class, then one join with all rows
+    named = classes.select("lo", "hi", "rep").join(found.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").withColumn("first", F.coalesce("component", "rep"))
+    named = scratch.table(named.join(merged.hint("merge"), "first", "left").select("lo", "hi", F.coalesce("merged", "first").alias("component")), "named")
+    out = sketches.select("row", "n", "lo", "hi").join(named.hint("merge"), ["lo", "hi"], "left")
+    return out.select("row", F.col("n").alias("n_shingles"), F.coalesce("component", "row").alias("component"))
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """A row a document: doc_id, n_shingles, component_id, kept.
+
+    Documents are linked whose shingle sets have 100 * intersection >= percent * union.
+    """
+    scratch = Scratch(docs.sparkSession, "documents")
+    # numbered once: an id may be missing or be many rows', with one text or several
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.when(F.col("doc_id").isNotNull(), True).alias("named"), "text")
+    numbered = scratch.table(numbered, "rows", codec="zstd")
+    named = linked_rows(numbered.where("named").select("row", "text"), width, percent)
+    ids = numbered.where("named").select("row", "doc_id")
+    found = scratch.table(ids.join(named.hint("merge"), "row"), "found")
+    # components that share an id are joined
+    apart = found.groupBy("doc_id").agg(F.min("component").alias("v"), F.max("component").alias("most")).where("v < most").select("doc_id", "v")
+    apart = scratch.table(apart, "apart")
+    if not apart.isEmpty():
+        edges = found.join(apart.hint("merge"), "doc_id").select(F.col("component").alias("u"), "v")
+        merged = connected_components(edges, scratch).select(F.col("node").alias("component"), F.col("component").alias("merged"))
+        found = found.join(merged.hint("merge"), "component", "left").withColumn("component", F.coalesce("merged", "component")).drop("merged")
+    names = found.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    out = found.join(names.hint("merge"), "component").select("doc_id", "n_shingles", "component_id")
+    # a null doc_id: its own set and no component
+    rest = sketch(numbered.where("named is null"), width, 1).select(F.lit(None).cast("long").alias("doc_id"), F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
+    return out.unionByName(rest).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -2,6 +2,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from pagelattice.llm import neardup
 
@@ -45,9 +46,10 @@ def corpus(seed, group):
     return list(enumerate(out))
 
 
-@pytest.mark.parametrize(("width", "percent", "blocks"), [(3, 85, 200_000), (5, 80, 3000)])
-def test_like_brute_force(spark, monkeypatch, width, percent, blocks):
+@pytest.mark.parametrize(("width", "percent", "blocks", "classes"), [(3, 85, 200_000, 4096), (5, 80, 3000, 4096), (3, 85, 200_000, 7)])
+def test_like_brute_force(spark, monkeypatch, width, percent, blocks, classes):
     monkeypatch.setattr(neardup, "BLOCK_SHINGLES", blocks)
+    monkeypatch.setattr(neardup, "BLOCK_CLASSES", classes)
     rows = corpus(width, 150)
     want = brute(rows, width, percent)
     got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width, percent).collect()
@@ -79,3 +81,27 @@ def test_an_id_with_two_texts(spark):
     assert got == sorted(want, key=str)
     stage = corpus_pipeline.near_duplicates(spark, df.where("text is not null"), "")
     assert sorted(map(tuple, stage.collect()), key=str) == sorted([(3, a), (5, b), (2, c), (7, d), (None, a), (None, a)], key=str)
+
+
+def test_the_six_rows_of_ids_with_two_texts(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(12)) for x in "abc")
+    df = spark.createDataFrame([(3, a), (5, a), (5, b), (8, b), (9, c), (9, b)], "doc_id long, text string").withColumns({c: F.lit(c) for c in ("component_id", "kept", "rep", "lo", "family", "salt", "_comp")})
+    assert {r.component_id for r in neardup.near_duplicates(df, 3, 85).collect()} == {3}
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_pairs_just_at_the_similarity_are_found(spark, percent):
+    """Pairs of distinct texts at and barely below the similarity, each pair a component of its own."""
+    rng = random.Random(percent)
+    rows, linked = [], set()
+    for pair in range(400):
+        n = rng.randint(40, 90)
+        base = [f"p{pair}w{k}" for k in range(n + 2)]
+        cut = rng.randint(n * (100 - percent) // 300, n * (100 - percent) // 170)
+        other = base[: n + 2 - cut] + [f"q{pair}w{k}" for k in range(cut)]
+        rows += [(2 * pair, " ".join(base)), (2 * pair + 1, " ".join(other))]
+        s, t = (sets_of(x[1], 3) for x in rows[-2:])
+        if 100 * len(s & t) >= percent * len(s | t):
+            linked.add(2 * pair + 1)
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 3, percent).collect()
+    assert 100 < len(linked) < 400 and {r.doc_id for r in got if not r.kept} == linked
