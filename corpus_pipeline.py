@@ -45,10 +45,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     rows = docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row"))
     rows = scratch.table(rows, "documents", codec="zstd")
     named = rows.where("doc.doc_id is not null")
-    found = neardup.near_duplicates(named.select(F.col("row").alias("doc_id"), "doc.text"), width=5, percent=80)
-    found = found.select(F.col("doc_id").alias("row"), "component_id").join(named.select("row", "doc.doc_id"), "row")
-    found = scratch.table(found, "found")
-    first = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "row")).alias("m")).select("m.row")
+    found = neardup.linked_rows(named.select("row", "doc.text"), width=5, percent=80)
+    found = scratch.table(named.select("row", "doc.doc_id").join(found.hint("merge"), "row"), "found")
+    first = found.groupBy("component").agg(F.min(F.struct("doc_id", "row")).alias("m")).select("m.row")
     gone = found.select("row").join(first, "row", "left_anti")
     return rows.join(gone, "row", "left_anti").select("doc.*")
 
