@@ -1,6 +1,6 @@
 """Token ids in Arrow stream files of equal-length sequences (operator 1).
 
-Documents are dealt by ranges of doc_id, encoded where they land and packed end to
+Documents are dealt by ranges of doc_id and, as one id may be many rows', of a hash of the text, encoded where they land and packed end to
 end into sequences of ``seq_len`` ids.  Each partition writes one file in the Arrow
 IPC stream format: record batches of ``rows`` sequences with the columns
 
@@ -15,7 +15,7 @@ renamed, so a task that runs again replaces its file with an equal one.
 
 Defined results: a null text counts as empty and yields the end id alone; repeated ids
 follow each other by the hash of their text; a null doc_id comes first and is kept; an
-empty table gives no files and no rows; other columns of the input are ignored.
+empty table gives no files and no rows; other columns of the input, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -229,8 +229,10 @@ def read(manifest: DataFrame, folder: str) -> DataFrame:
 
     schema = pa.schema([(x, pa.int64()) for x in ("doc_id", "start", "n_tokens", "ids_crc32")])
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row a file
-    located = manifest.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0))).select("shard", "path", "start")
-    return located.repartition("shard").mapInArrow(unpack, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    located = manifest.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
+    located = located.select("path", "start", (F.row_number().over(Window.orderBy("shard")) - 1).alias("file"))
+    files = max(1, manifest.count())  # a task a file: a number that is asked for isn't coalesced
+    return located.repartitionById(files, "file").mapInArrow(unpack, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_files(docs: DataFrame, vocab_path: str, end_id: int = 1, seq_len: int = SEQ_LEN) -> DataFrame:
