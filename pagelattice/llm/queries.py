@@ -155,7 +155,7 @@ def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import ShardStore, arrivals
 
     store = ShardStore(spark, Scratch(spark, "shards").folder("store"))
-    store.append_each(arrivals(_table(spark, sf_dir, "documents")), "arrival")
+    store.append_each(_table(spark, sf_dir, "documents"), arrivals())
     store.compact()
     store.vacuum()
     return store.read().select("doc_id", "lang", "source", "n_chars", F.octet_length("text").cast("long").alias("n_bytes"), F.md5(F.col("text").cast("binary")).alias("text_md5"))

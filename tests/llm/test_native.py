@@ -3,6 +3,7 @@
 import math
 import re
 from collections import Counter
+from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow.parquet as pq
 import pytest
@@ -209,9 +210,9 @@ def test_mixing_stage_takes_rows_with_null_and_repeated_ids(spark):
 
 
 def test_shards(spark, tmp_path):
-    df = spark.createDataFrame([(k, None if k % 5 == 0 else "x" * (k % 300), "s") for k in range(2000)], "doc_id long, text string, source string")
+    df = spark.createDataFrame([(k, None if k % 5 == 0 else "x" * (k % 300), "monday") for k in range(2000)] + [(None, None, None)] * 3, "doc_id long, text string, arrival string")
     store = sharding.ShardStore(spark, str(tmp_path / "store"), target_bytes=40_000)
-    versions = store.append_each(sharding.arrivals(df.repartition(6), 4), "arrival")
+    versions = store.append_each(df.repartition(6), sharding.arrivals(4))
     assert versions == [1, 2, 3, 4]
     before = store.manifest()["files"]
     store.compact()
@@ -230,11 +231,51 @@ def test_shards(spark, tmp_path):
 
 def test_a_version_is_committed_once(spark, tmp_path):
     a, b = (sharding.ShardStore(spark, str(tmp_path / "s")) for _ in range(2))
+    assert a.read().count() == 0 and a.read().columns == []
     a.append(spark.range(5).toDF("doc_id"))
     with pytest.raises(sharding.Conflict):
-        b._commit(0, {"schema": None, "files": []})
+        b._commit(0, None, [], [])
     b.append(spark.range(5, 9).toDF("doc_id"))
     assert a.read().count() == 9 and a.read(1).count() == 5
+    with pytest.raises(ValueError):
+        a.append(spark.range(3).selectExpr("cast(id as int) as doc_id"))
+
+
+def test_of_two_writers_one_wins(spark, tmp_path):
+    """Both write the next version's file and then claim its name; the loser applies its change to the winner's."""
+    a, b = (sharding.ShardStore(spark, str(tmp_path / "s")) for _ in range(2))
+    a.append(spark.range(1).toDF("doc_id"))
+    paths = [a._path(f"{a.root}/staging/_{x}") for x in "ab"]
+    for p in paths:
+        a._write(p, "{}")
+    final = a._path(f"{a.root}/manifest/v00000002.json")
+    assert [a._claim(paths[0], final), b._claim(paths[1], final)] == [True, False]
+    a._fs.delete(final, False)
+    with ThreadPoolExecutor(4) as pool:
+        versions = list(pool.map(lambda k: (a, b)[k % 2].append(spark.range(10 * k, 10 * k + 10).toDF("doc_id")), range(1, 5)))
+    assert sorted(versions) == [2, 3, 4, 5] and a.read().count() == 41
+
+
+def test_vacuum_leaves_files_of_runs_that_are_not_committed(spark, tmp_path):
+    a, b = (sharding.ShardStore(spark, str(tmp_path / "s")) for _ in range(2))
+    a.append(spark.range(5).toDF("doc_id"))
+    more = spark.range(5, 9).toDF("doc_id")
+    run, files = a._run(more)
+    assert b.vacuum() == 0
+    a._append(more.schema, files)
+    a._done(run)
+    assert b.vacuum() == 0 and b.read().count() == 9
+    run, files = a._run(more)
+    assert b.vacuum(abandoned=0) == len(files) and b.read().count() == 9
+
+
+def test_versions_that_list_changes_add_up(spark, tmp_path):
+    a = sharding.ShardStore(spark, str(tmp_path / "s"))
+    for k in range(13):
+        a.append(spark.range(k, k + 1).toDF("doc_id").coalesce(1))
+    a.compact()
+    assert [a.read(v).count() for v in (1, 5, 10, 11, 13)] == [1, 5, 10, 11, 13] and a.read().count() == 13
+    assert len(a.manifest()["files"]) < 13
 
 
 def python_ranks(hosts, links, good, bad, d=0.85, steps=200):
