@@ -13,8 +13,10 @@ taken for a mark, and dropping the escapes gives every text back.  The loss mask
 spans, in code points of the formatted string: the contents of assistant turns.
 
 Defined results: turns go by turn number, of equal numbers by role and text, null first; a
-null text or part list is empty; a null role is the empty role; a null turn comes first; a
-conversation whose id is null is one of its own; extra columns are ignored.
+null text, part list or part is empty; a part without a type is a text, one of an unknown type is a placeholder
+``other`` of one token; a null width, height, length or number of pages counts 0, and no attachment has less than one token; a
+null role is the empty role; a null turn comes first; a conversation whose id is null is one of its own; an empty table gives
+no rows; extra columns, also those named like the result's, are ignored.
 """
 
 from __future__ import annotations
@@ -33,8 +35,10 @@ PART_TYPE = "array<struct<type:string,text:string,ref:string,width:int,height:in
 _ESCAPE = re.compile(r"[\\#<]")
 _ESCAPE_ROLE = re.compile(r"[\\#<:]")
 _UNESCAPE = re.compile(r"\\(.)", re.DOTALL)
-_TURN = re.compile(r"### ((?:[^\\#<:]|\\.)*): ((?:[^\\#<]|\\.|<\|(?:image|audio|document)_\d+\|>)*)</turn>\n", re.DOTALL)
-_MARK = re.compile(r"\\(.)|<\|(?:image|audio|document)_\d+\|>", re.DOTALL)
+_HOLE = r"<\|(?:image|audio|document|other)_\d+\|>"
+# possessive: a run of plain characters is one step and nothing is kept to go back to, so memory doesn't grow with a text
+_TURN = re.compile(rf"### ((?:[^\\#<:]++|\\.)*+): ((?:[^\\#<]++|\\.|{_HOLE})*+)</turn>\n", re.DOTALL)
+_MARK = re.compile(rf"\\(.)|{_HOLE}", re.DOTALL)
 
 
 def escape(text: str) -> str:
@@ -63,7 +67,7 @@ class Formatter:
         self.size += len(text)
 
     def visit(self, part: dict) -> None:
-        getattr(self, "visit_" + str(part.get("type") or "text"), self.visit_unknown)(part)
+        getattr(self, "visit_" + str(part.get("type") or "text"), self.visit_other)(part)
 
     def visit_text(self, part: dict) -> None:
         self.write(escape(part.get("text") or ""))
@@ -77,8 +81,8 @@ class Formatter:
     def visit_document(self, part: dict) -> None:
         self._attach("document", part, (part.get("pages") or 0) * self.per_page)
 
-    def visit_unknown(self, part: dict) -> None:
-        raise ValueError(f"no such content part: {part.get('type')!r}")
+    def visit_other(self, part: dict) -> None:
+        self._attach("other", part, 1)
 
     def _attach(self, kind: str, part: dict, tokens: int) -> None:
         self.attachments.append({"kind": kind, "ref": part.get("ref"), "position": self.size, "tokens": max(1, tokens)})
@@ -89,7 +93,7 @@ class Formatter:
         self.write(OPEN + _ESCAPE_ROLE.sub(lambda m: "\\" + m[0], role) + MID)
         begin = self.size
         for part in parts or []:
-            self.visit(part)
+            self.visit(part or {})
         if role == "assistant":
             self.mask.append({"start": begin, "end": self.size})
         self.write(CLOSE)
