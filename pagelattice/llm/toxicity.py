@@ -16,7 +16,8 @@ most ``fit_chars`` code points, taken in the order of a hash of doc_id; scoring
 
 Defined results: a null or empty text has no token and scores like a text of clean
 tokens; null labels and rows to be held out are never fitted; without labelled texts
-of both kinds every score is 0; extra columns are ignored.
+of both kinds every score is 0; repeated rows score alike; an empty table gives no rows; extra columns, also those
+named like the result's, are ignored.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ from .neardup import distinct, minima, shingle_hashes
 HEADS = (3, 4, 5, 6)
 BITS = 18
 FAINT = 0.05
+#: Tokens of a long chain that are worked through as one of many stretches abreast.
+STRETCH = 256
 _TOKEN = np.zeros(256, bool)
 _TOKEN[48:58] = _TOKEN[65:91] = _TOKEN[97:123] = _TOKEN[128:] = True
 
@@ -59,47 +62,91 @@ def buckets(forms: np.ndarray) -> np.ndarray:
     return (forms >> np.uint64(64 - BITS)).astype(np.int32)
 
 
+def _short_chains(e: np.ndarray, start: np.ndarray, length: np.ndarray, m: np.ndarray, ahead: np.ndarray, behind: np.ndarray) -> None:
+    """Forward and backward odds of the toxic state; chains run abreast, the longest first, a step at a time."""
+    m00, m01, m10, m11 = m.ravel()
+    order = np.argsort(-length, kind="stable")
+    start, length = start[order], length[order]
+    alive = np.searchsorted(-length, -np.arange(1, length[0] + 1), "right")  # chains of at least t tokens
+    ahead[start] = odds = e[start]
+    for t in range(1, int(length[0])):
+        at, odds = start[: alive[t]] + t, odds[: alive[t]]
+        ahead[at] = odds = e[at] * (m01 + odds * m11) / (m00 + odds * m10)
+    for t in range(int(length[0]) - 2, -1, -1):
+        at = start[: alive[t + 1]] + t
+        nxt = e[at + 1] * behind[at + 1]
+        behind[at] = (m10 + m11 * nxt) / (m00 + m01 * nxt)
+
+
+def _long_chain(e: np.ndarray, m: np.ndarray, ahead: np.ndarray, behind: np.ndarray) -> None:
+    """The same for one long chain: products of 2 by 2 matrices over stretches, abreast, then a step a stretch, then all stretches abreast.
+
+    A step takes odds x to (c + d x) / (a + b x), whose matrices are positive; they are scaled as they are multiplied.
+    """
+    m00, m01, m10, m11 = m.ravel()
+
+    def sweep(a, b, c, d, first_odds: float) -> np.ndarray:
+        """Odds after every step, the steps' maps given in order."""
+        n = len(a)
+        rows = -(-n // STRETCH)
+        pad = rows * STRETCH - n  # steps that change nothing
+        one, none = np.ones(pad), np.zeros(pad)
+        a, b, c, d = (np.concatenate([x, y]).reshape(rows, STRETCH) for x, y in ((a, one), (b, none), (c, none), (d, one)))
+        pa_, pb, pc_, pd = (np.full(rows, x) for x in (1.0, 0.0, 0.0, 1.0))
+        for k in range(STRETCH):
+            pa_, pb, pc_, pd = a[:, k] * pa_ + b[:, k] * pc_, a[:, k] * pb + b[:, k] * pd, c[:, k] * pa_ + d[:, k] * pc_, c[:, k] * pb + d[:, k] * pd
+            size = pa_ + pb + pc_ + pd
+            pa_, pb, pc_, pd = pa_ / size, pb / size, pc_ / size, pd / size
+        begin = np.empty(rows)
+        x = first_odds
+        for r in range(rows):
+            begin[r] = x
+            x = (pc_[r] + pd[r] * x) / (pa_[r] + pb[r] * x)
+        out, x = np.empty((rows, STRETCH)), begin
+        for k in range(STRETCH):
+            out[:, k] = x = (c[:, k] + d[:, k] * x) / (a[:, k] + b[:, k] * x)
+        return out.ravel()[:n]
+
+    flat_ = np.ones(len(e) - 1)
+    ahead[0] = e[0]
+    ahead[1:] = sweep(m00 * flat_, m10 * flat_, m01 * e[1:], m11 * e[1:], float(e[0]))
+    later = e[:0:-1]  # backward: x_t = (m10 + m11 e x) / (m00 + m01 e x)
+    behind[-1] = 1.0
+    behind[-2::-1] = sweep(m00 * flat_, m01 * later, m10 * flat_, m11 * later, 1.0)
+
+
 def marginals(emit: np.ndarray, first: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, float, np.ndarray]:
     """Forward-backward over chains laid end to end.
 
     emit: log odds of the toxic state at each token.  Returns the toxic
     marginals, the sum of the log partition functions, and the expected
-    counts of moves.  Chains run abreast, the longest first, a step at a time.
+    counts of moves.
     """
     n = np.diff(first)
-    order = np.argsort(-n, kind="stable")
-    order = order[n[order] > 0]
-    start, length = first[:-1][order], n[order]
     p, expected, z = np.zeros(len(emit)), np.zeros((2, 2)), 0.0
-    if not len(order):
+    if not n.any():
         return p, z, expected
-    m = np.exp(moves - moves.max())
-    m00, m01, m10, m11 = m[0, 0], m[0, 1], m[1, 0], m[1, 1]
+    top = float(moves.max())
+    m = np.exp(moves - top)
     e = np.exp(np.clip(emit, -40, 40))
-    alive = np.searchsorted(-length, -np.arange(1, length[0] + 1), "right")  # chains of at least t tokens
-    ahead = np.empty(len(emit))  # forward odds of the toxic state
-    odds = e[start]
-    ahead[start] = odds
-    z += float(np.log1p(odds).sum())
-    for t in range(1, int(length[0])):
-        k = alive[t]
-        at = start[:k] + t
-        odds = odds[:k]
-        total = m00 + odds * m10 + (m01 + odds * m11) * e[at]
-        odds = e[at] * (m01 + odds * m11) / (m00 + odds * m10)
-        ahead[at] = odds
-        z += float((np.log(total) - np.log1p(ahead[at - 1])).sum()) + k * float(moves.max())
-    behind = np.ones(len(emit))  # backward odds
-    for t in range(int(length[0]) - 2, -1, -1):
-        k = alive[t + 1]
-        at = start[:k] + t
-        nxt = e[at + 1] * behind[at + 1]
-        behind[at] = (m10 + m11 * nxt) / (m00 + m01 * nxt)
-    both = ahead * behind
-    p = both / (1 + both)
+    ahead, behind = np.empty(len(emit)), np.ones(len(emit))
+    long = np.flatnonzero(n > 4 * STRETCH)
+    for c in long.tolist():
+        _long_chain(e[first[c] : first[c + 1]], m, ahead[first[c] : first[c + 1]], behind[first[c] : first[c + 1]])
+    short = np.flatnonzero((n > 0) & (n <= 4 * STRETCH))
+    if len(short):
+        _short_chains(e, first[:-1][short], n[short], m, ahead, behind)
+    start = first[:-1][n > 0]
     inner = np.ones(len(emit), bool)
     inner[start] = False
     at = np.flatnonzero(inner)
+    m00, m01, m10, m11 = m.ravel()
+    z = float(np.log1p(ahead[start]).sum())
+    if len(at):
+        f = ahead[at - 1]
+        z += float((np.log(m00 + f * m10 + (m01 + f * m11) * e[at]) - np.log1p(f)).sum()) + len(at) * top
+    both = ahead * behind
+    p = both / (1 + both)
     if len(at):  # joint of neighbours
         f, g = ahead[at - 1], e[at] * behind[at]
         joint = np.stack([np.full(len(at), m00), m01 * g, f * m10, f * m11 * g])

@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import resource
 from fractions import Fraction
 
 import numpy as np
@@ -37,6 +38,19 @@ def test_marginals_like_enumeration():
     assert np.isclose(z, total) and np.allclose(expected, counts)
 
 
+def test_long_chains_like_short_ones(monkeypatch):
+    rng = np.random.default_rng(5)
+    moves, first = 2 * rng.normal(size=(2, 2)), np.array([0, 0, 3000, 3001, 7097, 7100])
+    emit = rng.normal(size=7100) * 6
+    want = toxicity.marginals(emit, first, moves)
+    monkeypatch.setattr(toxicity, "STRETCH", 16)
+    got = toxicity.marginals(emit, first, moves)
+    monkeypatch.setattr(toxicity, "STRETCH", 1 << 20)
+    plain = toxicity.marginals(emit, first, moves)
+    for x in (want, got):
+        assert np.allclose(x[0], plain[0], atol=1e-9) and np.isclose(x[1], plain[1]) and np.allclose(x[2], plain[2])
+
+
 def test_toxic_words_are_found(spark):
     rng = random.Random(4)
     words = [f"{a}{b}" for a in "bcdfgh" for b in "aeiou"]
@@ -115,14 +129,29 @@ def test_conversations(spark):
     got = {r.conv_id: r.formatted for r in chat.format_conversations(chat.text_parts(df)).collect()}
     assert got == {1: "### user: </turn>\n### assistant: a</turn>\n### assistant: b</turn>\n", None: "### : x</turn>\n", 2: "### tool: \\<</turn>\n"}
     assert chat.format_conversations(chat.text_parts(df.limit(0))).count() == 0
-    with pytest.raises(ValueError):
-        chat.Formatter().turn("user", [{"type": "smell"}])
+    clashing = df.withColumns({c: F.lit(c) for c in ("turns", "formatted", "loss_mask", "attachments")})
+    assert chat.digests(chat.format_conversations(chat.text_parts(clashing))).count() == 3
+    assert chat.digests(chat.format_conversations(chat.text_parts(df.limit(0)))).count() == 0
 
 
 def test_audio_and_documents():
     f = chat.Formatter()
     f.turn("user", [{"type": "audio", "ref": "a", "seconds": 2.0}, {"type": "document", "ref": "d", "pages": 3}, {"type": "image"}])
     assert [(a["kind"], a["tokens"]) for a in f.attachments] == [("audio", 25), ("document", 1536), ("image", 1)]
+    f = chat.Formatter()
+    f.turn("user", [{"type": "smell", "ref": "s", "text": "x"}, None, {"text": "a"}, {"type": None, "text": "b"}, {"type": "unknown"}])
+    assert [(a["kind"], a["ref"], a["tokens"]) for a in f.attachments] == [("other", "s", 1), ("other", None, 1)]
+    assert chat.parse("".join(f.out)) == [("user", "ab")]
+
+
+def test_a_very_long_turn_takes_little_memory():
+    f, text = chat.Formatter(), "plain words # and <marks> \\ here " * 60_000
+    f.turn("assistant", [{"type": "text", "text": text}])
+    whole = "".join(f.out)
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    assert chat._TURN.match(whole).end() == len(whole)
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 20_000  # KB; the turn has 2 million characters
+    assert chat.parse(whole) == [("assistant", text)]
 
 
 def test_pipeline(spark):
