@@ -8,7 +8,8 @@ the border, the latest merge first and looking for a merge across the border tha
 have come earlier.  Only pre-tokens with an incompatible pair are merged exactly.
 
 Defined results: a null text counts as empty (no ids, both digests of nothing); a
-special token's string in a text becomes its id, as the tokenizers library does.
+special token's string in a text becomes its id, as the tokenizers library does; repeated rows and ids give a row each;
+an empty table gives no rows; extra columns, also those named like the result's, are ignored.
 """
 
 from __future__ import annotations

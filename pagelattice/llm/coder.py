@@ -1,9 +1,10 @@
 """Segment-wise encoding with a memo of segments already encoded.
 
 A text is cut where every pre-tokenizer in use is sure to cut, so its ids are the
-ids of its segments end to end.  Each distinct segment (by a 64-bit hash, its
-length mixed in) is encoded once per worker; the memo is arrays, not Python
-objects, and is emptied beyond a fixed number of entries.
+ids of its segments end to end.  Each distinct segment is encoded once per worker.
+Segments of up to seven bytes are their own keys; longer ones go by a hash, and each is compared with
+the bytes that the memo has under it, so one that merely shares the hash is encoded for itself.  The memo is
+arrays, not Python objects, and is emptied beyond a fixed number of entries or bytes.
 """
 
 from __future__ import annotations
@@ -66,26 +67,43 @@ def cuts(data: np.ndarray, offsets: np.ndarray, keep_spaces: bool) -> tuple[np.n
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+_WITHIN = np.array([(1 << 8 * k) - 1 for k in range(8)], np.uint64)
+
+
+def keys_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A key for each span, and which spans are too long for the key to hold their bytes."""
+    room = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), "<u8", room.data, strides=(1,))  # the eight bytes from each place on
+    size = (ends - starts).astype(np.uint64)
+    far = np.flatnonzero(size > 7)
+    keys = (eight[starts] & _WITHIN[np.minimum(size, 7)]) | (size << np.uint64(56))
+    keys[far] = flat.hash_spans(data, starts[far], ends[far])[0] | np.uint64(1 << 63)
+    return keys, far
+
+
 class Memo:
     """ids of distinct segments, kept between batches of one worker."""
 
-    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], dtype, limit: int = 2_000_000):
-        self.encode, self.dtype, self.limit = encode, dtype, limit
+    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], dtype, limit: int = 2_000_000, limit_bytes: int = 64 << 20):
+        self.encode, self.dtype, self.limit, self.limit_bytes = encode, dtype, limit, limit_bytes
         self.clear()
 
     def clear(self) -> None:
         self.seen, self.count = UInt64HashTable(1 << 12), 0
         self.at, self.n, self.ids = Grown(np.int64), Grown(np.int32), Grown(self.dtype)
+        self.from_, self.size, self.bytes = Grown(np.int64), Grown(np.int32), Grown(np.uint8)  # of long segments; size 0: a short one
 
     def __call__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the segments end to end, and how many each segment has."""
+        """All ids of the segments end to end, and how many each segment has; lower: ASCII case makes no difference."""
         if not len(starts):
             return np.zeros(0, self.dtype), np.zeros(0, np.int64)
-        if self.count > self.limit:
+        if self.count > self.limit or self.bytes.size > self.limit_bytes:
             self.clear()
-        hashes = flat.hash_spans(data, starts, ends, lower)[0]
-        place = self.seen.get_labels(hashes, UInt64Vector(), self.count)  # numbers by first sight
+        same = flat.LOWER[data] if lower else data
+        keys, far = keys_of(same, starts, ends)
+        place = self.seen.get_labels(keys, UInt64Vector(), self.count)  # numbers by first sight
         fresh = np.flatnonzero(place >= self.count)
+        raw = None
         if len(fresh):
             first = np.empty(int(place.max()) + 1 - self.count, np.int64)
             first[place[fresh[::-1]] - self.count] = fresh[::-1]
@@ -94,9 +112,34 @@ class Memo:
             self.at.add(self.ids.size + np.cumsum(counts) - counts)
             self.n.add(counts)
             self.ids.add(ids)
+            size = ends[first] - starts[first]
+            size[size < 8] = 0
+            self.from_.add(self.bytes.size + np.cumsum(size) - size)
+            self.size.add(size)
+            self.bytes.add(flat.gather(same, starts[first], size))
             self.count += len(first)
         lengths = self.n.view()[place].astype(np.int64)
-        return flat.gather(self.ids.view(), self.at.view()[place], lengths), lengths
+        out = flat.gather(self.ids.view(), self.at.view()[place], lengths)
+        odd = self._others(same, starts[far], ends[far], place[far])
+        return (out, lengths) if not len(odd) else self._spliced(far[odd], raw or data.tobytes(), starts, ends, out, lengths)
+
+    def _others(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Which of the long segments aren't the ones that the memo has in their place."""
+        size = ends - starts
+        other = self.size.view()[place] != size
+        alike = np.flatnonzero(~other)
+        differ = flat.gather(data, starts[alike], size[alike]) != flat.gather(self.bytes.view(), self.from_.view()[place[alike]], size[alike])
+        if differ.any():
+            other[alike[np.searchsorted(np.cumsum(size[alike]), np.flatnonzero(differ), "right")]] = True
+        return np.flatnonzero(other)
+
+    def _spliced(self, odd: np.ndarray, raw: bytes, starts: np.ndarray, ends: np.ndarray, out: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """out and lengths with segments odd encoded for themselves."""
+        own, counts = self.encode([raw[s:e] for s, e in zip(starts[odd].tolist(), ends[odd].tolist(), strict=True)])
+        room, at = np.concatenate([out, own.astype(out.dtype)]), np.cumsum(lengths) - lengths
+        at[odd], lengths = len(out) + np.cumsum(counts) - counts, lengths.copy()
+        lengths[odd] = counts
+        return flat.gather(room, at, lengths), lengths
 
 
 class Grown:

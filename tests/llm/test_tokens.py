@@ -7,6 +7,7 @@ import numpy as np
 import pyarrow as pa
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from pagelattice.llm import bpe, token_output
@@ -87,3 +88,32 @@ def test_verification_finds_what_merging_changes(coder):
 
 def test_bytes_that_are_no_text(coder):
     assert list(coder.decode(np.array([coder.byte_id[0xE4], coder.byte_id[0x41]]), np.array([2]))) == ["\ufffdA"]
+
+
+def test_segments_that_share_a_hash_are_told_apart(coder, monkeypatch):
+    from pagelattice.llm import flat
+
+    texts = pa.array(real(40) + [x or "" for x in HARD])
+    want = bpe.ByteBPE.encode(coder, texts)
+    plain = flat.hash_spans
+    monkeypatch.setattr(flat, "hash_spans", lambda data, s, e, *a, **k: [x % np.uint64(5) for x in plain(data, s, e, *a, **k)])
+    coder.memo.clear()
+    for _ in range(2):
+        got = bpe.ByteBPE.encode(coder, texts)
+        assert np.array_equal(got[0], want[0]) and np.array_equal(got[1], want[1])
+    words = token_output.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    got = words(texts)
+    monkeypatch.undo()
+    plain_ = token_output.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))(texts)
+    assert np.array_equal(got[0], plain_[0]) and np.array_equal(got[1], plain_[1])
+    coder.memo.clear()
+
+
+def test_repeated_rows_empty_tables_and_other_columns(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    df = spark.createDataFrame([(5, "one two", 1), (5, "one two", 1), (None, "x", 2), (6, None, 3)], "doc_id long, text string, n_tokens long").withColumns({c: F.lit(c) for c in ("ids", "ids_sha256", "decoded_sha256")})
+    got = bpe.digests(df, path).collect()
+    assert sorted((r.doc_id or 0, r.n_tokens) for r in got) == [(0, 1), (5, 2), (5, 2), (6, 0)]
+    assert bpe.digests(df.limit(0), path).count() == 0
+    files = token_output.token_files(df.withColumns({c: F.lit(c) for c in ("_tie", "start", "shard", "path")}), public_tokenizers.path("word_bpe_49k.json"))
+    assert sorted((r.doc_id or 0, r.n_tokens) for r in files.collect()) == [(0, 2), (5, 3), (5, 3), (6, 1)]
