@@ -12,13 +12,13 @@ def _large(edges: DataFrame) -> DataFrame:
     """Links every larger neighbour of a node to the least of the node and its neighbours."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return both.where("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small(edges: DataFrame) -> DataFrame:
     """Links a node and its smaller neighbours to the least of these."""
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = edges.join(least.hint("merge"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -59,7 +59,7 @@ def forest_roots(parents: DataFrame, scratch: Scratch, rounds: int = 60) -> Data
     for _ in range(rounds):
         seen = Observation()
         above = now.select(F.col("node").alias("component"), F.col("component").alias("_up"))
-        new = now.join(above, "component", "left").select("node", F.coalesce("_up", "component").alias("component"), F.col("_up").isNotNull().alias("_moved"))
+        new = now.join(above.hint("merge"), "component", "left").select("node", F.coalesce("_up", "component").alias("component"), F.col("_up").isNotNull().alias("_moved"))
         new = scratch.table(new.observe(seen, F.count_if("_moved").alias("moved")).drop("_moved"), "parents")
         if not seen.get["moved"]:
             return now

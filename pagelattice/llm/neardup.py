@@ -45,8 +45,8 @@ LANES = 5
 #: Shingles and classes in a block of step 3, and columns of an incidence matrix at once.
 BLOCK_SHINGLES, BLOCK_CLASSES = 200_000, 4096
 _COLUMNS = 4096
-#: Parts that a family's classes are dealt in where they meet their family's size.
-FAMILY_PARTS = 32
+#: Parts that the rows of one family or component are dealt in where they meet its one row.
+PARTS = 32
 
 
 def chunks_for(similarity: float, miss: float = 1e-5) -> int:
@@ -256,6 +256,13 @@ def _block_links(percent: int, lanes: int, most: int):
     return run
 
 
+def _met(rows: DataFrame, own: str, few: DataFrame, key: str, how: str) -> DataFrame:
+    """rows joined with few(key, ...), a row a key; many rows may share a key, so each key's are dealt in PARTS by their own column."""
+    few = few.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    rows = rows.withColumn("_part", F.pmod(F.xxhash64(own, F.lit(3)), F.lit(PARTS)).cast("int"))
+    return rows.join(few.hint("merge"), [key, "_part"], how).drop("_part")
+
+
 def linked_rows(rows: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """row, n_shingles, component (its least row) of rows(row, text); rows are numbered without repeats and read twice alike."""
     scratch = Scratch(rows.sparkSession, "neardup")
@@ -297,8 +304,7 @@ def linked_rows(rows: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     top = F.max(F.struct("k", "comp", "n"))
     main = sizes.groupBy("family").agg(top.alias("top"), F.sum("n").alias("all"), F.sum("k").alias("ks"), F.count("*").alias("parts")).where("parts > 1")
     main = main.select("family", F.col("top.comp").alias("main"), blocks_for(F.col("all"), F.col("ks")).alias("all_blocks"), blocks_for(F.col("all") - F.col("top.n"), F.col("ks") - F.col("top.k")).alias("probe_blocks"))
-    main = scratch.table(main, "families").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(FAMILY_PARTS - 1))))
-    dealt = members.withColumn("salt", F.pmod(F.xxhash64("rep", F.lit(3)), F.lit(FAMILY_PARTS)).cast("int")).join(main, ["family", "salt"])
+    dealt = _met(members, "rep", scratch.table(main, "families"), "family", "inner")
     mine = lambda n, salt: F.pmod(F.xxhash64("rep", F.lit(salt)), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     index = dealt.select("family", "rep", "comp", "sig", F.lit(0).alias("probe"), mine("all_blocks", 1).alias("i"), every("probe_blocks").alias("j"))
@@ -309,7 +315,7 @@ def linked_rows(rows: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
 
     # by class, then one join with all rows
     named = classes.select("lo", "hi", "rep").join(found.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").withColumn("first", F.coalesce("component", "rep"))
-    named = scratch.table(named.join(merged.hint("merge"), "first", "left").select("lo", "hi", F.coalesce("merged", "first").alias("component")), "named")
+    named = scratch.table(_met(named, "rep", merged, "first", "left").select("lo", "hi", F.coalesce("merged", "first").alias("component")), "named")
     out = sketches.select("row", "n", "lo", "hi").join(named.hint("merge"), ["lo", "hi"], "left")
     return out.select("row", F.col("n").alias("n_shingles"), F.coalesce("component", "row").alias("component"))
 
@@ -320,21 +326,23 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     Documents are linked whose shingle sets have 100 * intersection >= percent * union.
     """
     scratch = Scratch(docs.sparkSession, "documents")
-    # numbered once: an id may be missing or be many rows', with one text or several
-    numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.when(F.col("doc_id").isNotNull(), True).alias("named"), "text")
-    numbered = scratch.table(numbered, "rows", codec="zstd")
-    named = linked_rows(numbered.where("named").select("row", "text"), width, percent)
-    ids = numbered.where("named").select("row", "doc_id")
-    found = scratch.table(ids.join(named.hint("merge"), "row"), "found")
-    # components that share an id are joined
-    apart = found.groupBy("doc_id").agg(F.min("component").alias("v"), F.max("component").alias("most")).where("v < most").select("doc_id", "v")
-    apart = scratch.table(apart, "apart")
-    if not apart.isEmpty():
-        edges = found.join(apart.hint("merge"), "doc_id").select(F.col("component").alias("u"), "v")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    named = docs.where("doc_id is not null")
+    if named.groupBy("doc_id").count().where("count > 1").isEmpty():
+        found = linked_rows(named.select(F.col("doc_id").alias("row"), "text"), width, percent)
+        out = found.select(F.col("row").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
+    else:  # an id is many rows', with one text or several: rows are numbered, once
+        rows = scratch.table(named.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "rows", codec="zstd")
+        found = linked_rows(rows.select("row", "text"), width, percent)
+        found = scratch.table(rows.select("row", "doc_id").join(found.hint("merge"), "row"), "found")
+        # components that share an id are joined
+        apart = found.groupBy("doc_id").agg(F.min("component").alias("v"), F.max("component").alias("most")).where("v < most").select("doc_id", "v")
+        edges = _met(found, "row", scratch.table(apart, "apart"), "doc_id", "inner").select(F.col("component").alias("u"), "v")
         merged = connected_components(edges, scratch).select(F.col("node").alias("component"), F.col("component").alias("merged"))
-        found = found.join(merged.hint("merge"), "component", "left").withColumn("component", F.coalesce("merged", "component")).drop("merged")
-    names = found.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    out = found.join(names.hint("merge"), "component").select("doc_id", "n_shingles", "component_id")
+        found = _met(found, "row", merged, "component", "left").withColumn("component", F.coalesce("merged", "component")).drop("merged")
+        names = found.groupBy("component").agg(F.min("doc_id").alias("name"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
+        found = _met(found, "row", names, "component", "left")
+        out = found.select("doc_id", "n_shingles", F.coalesce("name", "doc_id").alias("component_id"))
     # a null doc_id: its own set and no component
-    rest = sketch(numbered.where("named is null"), width, 1).select(F.lit(None).cast("long").alias("doc_id"), F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
+    rest = sketch(docs.where("doc_id is null").withColumn("row", F.lit(0).cast("long")), width, 1).select(F.lit(None).cast("long").alias("doc_id"), F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
     return out.unionByName(rest).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
