@@ -52,6 +52,8 @@ BLOCK_WORDS, MAX_BLOCKS, SHARD_WORDS = 1 << 16, 1 << 24, 1 << 24
 MAX_CELLS, MAX_STRATA = 1 << 16, 1 << 12
 #: Tasks that write shards; with more shards, a task writes several, one after another.
 MAX_TASKS = 1 << 14
+#: Bytes of a row group, the least that a reader's task can take of a shard.
+ROW_GROUP = 8 << 20
 #: Documents that fill what the last block's first documents leave open, each the best fit.
 FILL_ROUNDS = 4
 #: Hexadecimal digits of a hash that make a prefix of its order, and copies that are counted out at once.
@@ -264,7 +266,7 @@ def write_shards(docs: DataFrame, folder: str, **options) -> Mix:
     # a shard (some shard_words words) lies in one task and is sorted there
     tasks = min(got.shards, MAX_TASKS)
     rows = rows.repartitionById(tasks, F.floor(F.col("shard") * tasks / got.shards).cast("int")).sortWithinPartitions("shard", "position")
-    rows.write.partitionBy("shard").option("compression", "zstd").parquet(folder)
+    rows.write.partitionBy("shard").option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(folder)
     return got
 
 
