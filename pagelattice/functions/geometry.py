@@ -207,9 +207,44 @@ def blow_up(pts: Column) -> Column:
     return F.concat(F.slice(pts, 1, 1), F.flatten(F.transform(ends, fill)))
 
 
+def _tick_count(pixels: Column, distance: int, least: int) -> Column:
+    return F.greatest(F.lit(least), F.floor((pixels - 1) / F.lit(distance)).cast("int") + 1)
+
+
 def thin_out(pts: Column, distance: int = 5, least: int = 20) -> Column:
-    """Evenly spaced points of a blown-up line, about one in ``distance`` and ``least`` or more; the last is kept."""
+    """Evenly spaced points of a blown-up line, ``distance`` apart at most or ``least`` of them; the last is kept, and so are all of a short line's."""
     n = F.size(pts)
-    k = F.greatest(F.floor(n / F.lit(distance)).cast("int"), F.lit(least))
-    index = F.transform(F.sequence(F.lit(0), k - 1), lambda i: F.floor(i * (n - 1) / (k - 1)).cast("int"))
-    return F.when(n <= least, pts).otherwise(F.transform(index, lambda i: F.get(pts, i)))
+    k = _tick_count(n, distance, least)
+    index = F.transform(F.sequence(F.lit(0), k - 2), lambda i: F.floor(i * ((n - 1) / (k - 1))).cast("int"))
+    return F.when(n <= least, pts).otherwise(F.transform(F.concat(index, F.array(n - 1)), lambda i: F.get(pts, i)))
+
+
+#: A line whose box is larger than this on a side is taken for the point (0, 0).
+HUGE = 100_000
+
+
+def ticks(pts: Column, distance: int = 5, least: int = 20) -> Column:
+    """``thin_out(blow_up(pts))`` without the pixels in between: each tick's place along the line gives its segment and its point."""
+    step = lambda a, b: F.greatest(F.abs(b["x"] - a["x"]), F.abs(b["y"] - a["y"]))
+    segment = lambda a, b: F.struct(a.alias("a"), (b["x"] - a["x"]).alias("dx"), (b["y"] - a["y"]).alias("dy"), step(a, b).alias("n"))
+    parts = F.filter(F.zip_with(F.slice(pts, 1, F.size(pts) - 1), F.slice(pts, 2, F.size(pts) - 1), segment), lambda s: s["n"] > 0)
+    length = lambda s: F.aggregate(s, F.lit(0), lambda t, x: t + x["n"])
+    # every segment with the pixels before it
+    based = lambda s: F.transform(s, lambda x, i: F.struct(x.alias("s"), length(F.slice(s, 1, i)).alias("from")))
+
+    def of(box: Column) -> Column:
+        n = length(box["parts"]) + 1
+        k = F.when(n <= least, n).otherwise(_tick_count(n, distance, least))
+        index = F.concat(F.transform(F.sequence(F.lit(0), k - 2), lambda i: F.floor(i * ((n - 1) / (k - 1))).cast("int")), F.array(n - 1))
+
+        def at(p: Column) -> Column:
+            own = F.element_at(F.filter(box["based"], lambda b: (b["from"] < p) | (b["from"] == 0)), -1)
+            place = lambda c: F.floor(own["s"]["a"][c] + own["s"]["d" + c].cast("long") * (p - own["from"]) / own["s"]["n"] + F.lit(0.5)).cast("int")
+            return F.struct(place("x").alias("x"), place("y").alias("y"))
+
+        return F.when(n == 1, F.slice(pts, 1, 1)).otherwise(F.transform(index, at))
+
+    whole = lambda s: F.element_at(F.transform(F.array(F.struct(s.alias("parts"), based(s).alias("based"))), of), 1)
+    origin = F.array(F.struct(F.lit(0).alias("x"), F.lit(0).alias("y")))
+    wide = lambda v: F.array_max(v) - F.array_min(v) + 1 > HUGE
+    return F.when(wide(xs(pts)) | wide(ys(pts)), origin).otherwise(F.element_at(F.transform(F.array(parts), whole), 1))

@@ -32,16 +32,6 @@ operator("heading_regions", "AGG15 AGG17 AGG57", "fx_line", """
 select t.page_id, t.region_no, g.threshold, case when avg(case when (t.h - 20) / 8.0 > g.threshold then 1.0 else 0.0 end) >= 0.8 then 1 else 0 end as is_heading
 from fx_line t cross join (select 0.4 as threshold union all select 0.6 as threshold union all select 0.8 as threshold) g group by t.page_id, t.region_no, g.threshold
 """, "Regions most of whose lines are headings, for a grid of thresholds.")
-operator("hit_scores", "JOIN18", "fx_line", """
-select a.page_id, a.line_no as truth, b.line_no as reco, t.tol, round(case when d <= t.tol then 1.0 when d <= 3 * t.tol then (3 * t.tol - d) / (2.0 * t.tol) else 0.0 end, 6) as score
-from (select a.page_id, a.line_no, b.line_no as other, abs(a.y + a.h - b.y - b.h) + greatest(0, greatest(b.x - a.x - a.w, a.x - b.x - b.w)) as d from fx_line a join fx_line b on a.page_id = b.page_id and a.line_no <> b.line_no and abs(a.y - b.y) <= 100) p
-join fx_line a on a.page_id = p.page_id and a.line_no = p.line_no join fx_line b on b.page_id = p.page_id and b.line_no = p.other cross join (select 10 as tol union all select 20 as tol union all select 30 as tol) t
-""", "Score of a line by its distance from another: 1 within the tolerance, 0 beyond three times it, linear between.")
-operator("page_recall", "AGG20 AGG21 AGG22 AGG23 AGG27 JOIN19", "fx_line", """
-with d as (select a.page_id, a.line_no, t.tol, min(abs(a.y + a.h - b.y - b.h - 4)) as d from fx_line a join fx_line b on a.page_id = b.page_id and b.hyp_id <> 2 cross join (select 10 as tol union all select 20 as tol union all select 30 as tol) t group by a.page_id, a.line_no, t.tol),
-s as (select page_id, tol, avg(case when d <= tol then 1.0 when d <= 3 * tol then (3 * tol - d) / (2.0 * tol) else 0.0 end) as r from d group by page_id, tol)
-select page_id, round(avg(r), 6) as recall from s group by page_id
-""", "Recall of a page: the mean over its lines of the best score, then over tolerances.")
 operator("true_false_counts", "AGG24 AGG25 AGG26", "fx_score", """
 select source, cast(sum(case when p >= 0.5 then 1 else 0 end) as bigint) as n_true, cast(sum(case when p < 0.5 then 1 else 0 end) as bigint) as n_false from fx_score group by source
 """, "Entities whose score reaches the threshold, by group.")
@@ -55,11 +45,6 @@ with c as (select page_id, gt_id, hyp_id, count(*) as n from fx_line group by pa
 select g.page_id, g.gt_id, h.hyp_id, round(coalesce(c.n, 0) * 1.0 / g.n, 6) as recall, round(coalesce(c.n, 0) * 1.0 / h.n, 6) as precision_, round(g.n * 1.0 / sum(g.n) over (partition by g.page_id, h.hyp_id), 6) as gt_weight
 from g join h on g.page_id = h.page_id left join c on c.page_id = g.page_id and c.gt_id = g.gt_id and c.hyp_id = h.hyp_id
 """, "Recall and precision of every ground truth article with every hypothesis of the page, and the weight of the former.")
-operator("interlines", "JOIN20 JOIN21 ITER1", "fx_line", """
-with d as (select a.page_id, a.line_no, min(case when b.y + b.h > a.y + a.h and least(a.x + a.w, b.x + b.w) > greatest(a.x, b.x) then b.y + b.h - a.y - a.h end) as near from fx_line a join fx_line b on a.page_id = b.page_id and a.line_no <> b.line_no and b.y - a.y <= 250 group by a.page_id, a.line_no),
-f as (select page_id, line_no, least(coalesce(near, avg(near) over (partition by page_id), 250), 250) as dist from d)
-select page_id, line_no, round(dist, 6) as dist, round(0.25 * dist, 6) as tolerance, round(50.0 / nullif(avg(dist) over (partition by page_id), 0), 6) as rescale from f
-""", "Distance to the next line below that shares a column, bounded; lines without one take the page's mean; tolerances of them.")
 WINS = "select a.method as m0, b.method as m1, p.page_id, case when a.d < b.d or (a.d = b.d and a.c >= b.c) then 1 else 0 end as win"
 METHODS = """m as (select l.page_id, k.method, count(distinct concat(gt_id, '-', (hyp_id + k.s) % 3)) - count(distinct gt_id) as d, sum(case when gt_id = (hyp_id * (k.s + 1)) % 3 then 1 else 0 end) as c
   from fx_line l cross join (select 'a' as method, 0 as s union all select 'b' as method, 1 as s union all select 'c' as method, 2 as s) k group by l.page_id, k.method)"""

@@ -18,6 +18,9 @@ SQL = {
     "fx_region": "select page_id, region_no, min(x) as x0, max(x + w) as x1, min(y) as y0, max(y + h) as y1, count(*) as n_lines, case region_no % 4 when 0 then 'heading' when 1 then 'paragraph' when 2 then 'caption' end as region_type from fx_line group by page_id, region_no",
     "fx_sep": """select o_orderkey as page_id, (o_custkey % 20) * 50 as x0, (o_custkey % 20) * 50 + case when o_custkey % 2 = 0 then 800 else 4 end as x1, (o_orderkey % 6) * 40 as y0,
   (o_orderkey % 6) * 40 + case when o_custkey % 2 = 0 then 4 else 400 end as y1, case o_custkey % 3 when 0 then 'horizontal' when 1 then 'vertical' end as orientation from orders where o_orderkey % 3 <> 0""",
+    "fx_base": """select page_id, 0 as side, line_no, nullif(gt_id, 2) as article, x as x0, y + h as y0, x + cast(floor(w / 2) as bigint) as x1, y + h + line_no % 3 * 2 as y1, x + w as x2, y + h as y2 from fx_line
+  union all select page_id, 1 as side, line_no, nullif(hyp_id, 2) as article, x + (line_no * 5 + page_id) % 9 - 4 as x0, y + h + (line_no * 7 + page_id) % 15 - 4 as y0, x + cast(floor(w / 2) as bigint) as x1, y + h + (line_no * 7 + page_id) % 15 - 2 as y1,
+    x + w + (line_no + page_id) % 6 as x2, y + h + (line_no * 7 + page_id) % 21 - 4 as y2 from fx_line where (page_id + line_no) % 11 <> 0""",
     "fx_conf": "select a.page_id, a.line_no as i, b.line_no as j, (1 + (a.line_no * 7 + b.line_no * 13 + a.page_id) % 98) / 100.0 as p from fx_line a join fx_line b on a.page_id = b.page_id and a.line_no <> b.line_no",
     "fx_vec": "select cast(floor(vec_id / 20) as bigint) as page_id, vec_id % 20 as node, embedding as v, label from embeddings",
     "fx_score": "select l.doc_id, l.quality as y, (d.n_chars % 101) / 100.0 as p, d.source, d.lang from labels l join documents d on l.doc_id = d.doc_id",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
 from ..functions import page_attributes as attr
-from ..operators import aggregates, clustering, extraction, joins, polygons, raster, windows_sets  # noqa: F401
+from ..operators import aggregates, clustering, extraction, joins, measure, polygons, raster, windows_sets  # noqa: F401
 from ..operators.per_page import per_page
 from ..operators.sqlop import OPERATORS
 from ..sources import files, pagexml
@@ -95,13 +95,82 @@ def segment_crossings(t: Layout) -> DataFrame:
     return a.join(b, "page_id").where("a_line_no <> b_line_no").select("page_id", F.col("a_line_no").alias("i"), F.col("b_line_no").alias("j"), hit["kind"].alias("kind"))
 
 
-@query("WIN6 WIN7 WIN8", "select page_id, line_no, cast(w + 1 as int) as n_pixels, cast(greatest(floor((w + 1) / 5), 20) as int) as n_ticks, x + w as last_x from fx_line")
+_TICK_XS = "list_sum(list_transform(range(0, k - 1), lambda i: x + cast(floor(i * (cast(w as double) / (k - 1))) as bigint))) + x + w"
+
+
+@query("WIN6 WIN7 WIN8", f"select page_id, line_no, cast(w + 1 as int) as n_pixels, cast(k as int) as n_ticks, cast({_TICK_XS} as bigint) as sum_x, cast(k * (y + h) as bigint) as sum_y from (select *, case when w + 1 <= 20 then w + 1 else greatest(20, cast(floor(w / 5) as bigint) + 1) end as k from fx_line) t")
 def ticks(t: Layout) -> DataFrame:
     p = lambda x, y: F.struct(x.cast("int").alias("x"), y.cast("int").alias("y"))
     line = F.array(p(F.col("x"), F.col("y") + F.col("h")), p(F.col("x") + F.col("w"), F.col("y") + F.col("h")))
-    got = t.table("fx_line").select("page_id", "line_no", geo.blow_up(line).alias("b"))
-    got = got.select("page_id", "line_no", F.size("b").alias("n_pixels"), geo.thin_out(F.col("b")).alias("k"))
-    return got.select("page_id", "line_no", "n_pixels", F.size("k").alias("n_ticks"), F.element_at("k", -1)["x"].cast("long").alias("last_x"))
+    got = t.table("fx_line").select("page_id", "line_no", (F.col("w") + 1).cast("int").alias("n_pixels"), geo.ticks(line).alias("k"))
+    total = lambda v: F.aggregate(v, F.lit(0).cast("long"), lambda s, x: s + x)
+    return got.select("page_id", "line_no", "n_pixels", F.size("k").alias("n_ticks"), total(geo.xs(F.col("k"))).alias("sum_x"), total(geo.ys(F.col("k"))).alias("sum_y"))
+
+
+# -- the measure of baselines and articles ------------------------------------------------------------------------
+def _ticked(t: Layout) -> DataFrame:
+    """Ticks of both sides' baselines; no article is -1."""
+    p = lambda k: F.struct(F.col(f"x{k}").cast("int").alias("x"), F.col(f"y{k}").cast("int").alias("y"))
+    line = t.table("fx_base").select("page_id", "side", "line_no", F.coalesce("article", F.lit(-1)).cast("int").alias("article"), geo.ticks(F.array(p(0), p(1), p(2))).alias("k"))
+    return line.select("page_id", "side", "line_no", "article", geo.xs(F.col("k")).alias("xs"), geo.ys(F.col("k")).alias("ys"))
+
+
+def _sides(r: dict[str, np.ndarray]) -> tuple[dict, dict]:
+    """Lines of the truth and of the other side by article, articles in order of their first line."""
+    out: tuple[dict, dict] = ({}, {})
+    for side, article, x, y in zip(r["side"].tolist(), r["article"].tolist(), r["xs"], r["ys"], strict=True):
+        out[side].setdefault(None if article < 0 else article, []).append(np.stack([x, y], axis=1))
+    return out
+
+
+_MEASURES = [f"{kind}_{value}" for kind in ("lines", "named", "articles") for value in ("recall", "precision", "f")]
+
+
+@query("AGG20 AGG21 AGG22 AGG23 AGG27 AGG28 AGG29 JOIN18 JOIN19 JOIN1 SORT6", None)
+def baseline_measure(t: Layout) -> DataFrame:
+    """Recall, precision and F of a page: of all baselines, of those with an article, and of its articles; null where the page has no truth for it."""
+
+    def run(r: dict[str, np.ndarray]) -> list[tuple]:
+        found = measure.page_measure(*_sides(r))
+        return [tuple(round(v, 9) for x in found for v in x) if all(found) else tuple(None if x is None else round(x[k], 9) for x in found for k in range(3))]
+
+    return per_page(_ticked(t), ["page_id"], ["side", "line_no", "article", "xs", "ys"], run, ", ".join(f"{n} double" for n in _MEASURES))
+
+
+@query("AGG30 AGG31 AGG32", None)
+def baseline_summary(t: Layout) -> DataFrame:
+    """Means over the pages that a measure is defined for, and how many these are."""
+    got = baseline_measure(t)
+    return got.agg(*[F.round(F.avg(n), 6).alias(n) for n in _MEASURES], *[F.count(f"{k}_f").alias(f"{k}_pages") for k in ("lines", "named", "articles")], F.count("*").alias("pages"))
+
+
+@query("JOIN18 JOIN19 AGG20 AGG21", None)
+def baseline_hits(t: Layout) -> DataFrame:
+    """Recall of every truth line and precision of every other line, as a mean over tolerances and at the least and most of them."""
+
+    def run(r: dict[str, np.ndarray]) -> list[tuple]:
+        lines = [[np.stack([x, y], axis=1) for s, x, y in zip(r["side"], r["xs"], r["ys"], strict=True) if s == side] for side in (0, 1)]
+        out = []
+        if all(lines):
+            for side, scores in ((0, measure.line_recall(*lines, measure.Tolerances())), (1, measure.line_precision(*lines, measure.Tolerances()))):
+                numbers = r["line_no"][r["side"] == side].tolist()
+                out += [(side, n, round(float(s.mean()), 9), round(float(s[0]), 9), round(float(s[-1]), 9)) for n, s in zip(numbers, scores.T, strict=True)]
+        return out
+
+    return per_page(_ticked(t), ["page_id"], ["side", "line_no", "xs", "ys"], run, "side int, line_no int, score double, at_least double, at_most double")
+
+
+@query("JOIN20 JOIN21 ITER1 FN17 FN18 FN19 FN20 FN21 FN22", None)
+def line_tolerances(t: Layout) -> DataFrame:
+    """Angle and intercept of each truth line, its distance to its neighbours, and its tolerance."""
+
+    def run(r: dict[str, np.ndarray]) -> list[tuple]:
+        lines = [np.stack([x, y], axis=1) for x, y in zip(r["xs"], r["ys"], strict=True)]
+        far, tolerance = measure.neighbour_distances(lines, most=500.0), measure.neighbour_tolerances(lines)
+        stats = [measure.regression(line) for line in lines]
+        return [(n, round(a, 6), round(b, 4) if np.isfinite(b) else None, round(float(d), 6), round(float(x), 6)) for n, (a, b), d, x in zip(r["line_no"].tolist(), stats, far, tolerance, strict=True)]
+
+    return per_page(_ticked(t).where("side = 0"), ["page_id"], ["line_no", "xs", "ys"], run, "line_no int, angle double, intercept double, distance double, tolerance double")
 
 
 @query("FN5 JOIN11", "select a.page_id, a.node as i, b.node as j, round((list_dot_product(a.v::double[], b.v::double[]) / (sqrt(list_dot_product(a.v::double[], a.v::double[])) * sqrt(list_dot_product(b.v::double[], b.v::double[]))) + 1) / 2, 4) as sim from fx_vec a join fx_vec b on a.page_id = b.page_id and a.node <> b.node")
@@ -168,19 +237,6 @@ def cluster_lines(t: Layout) -> DataFrame:
     return per_page(t.table("fx_line"), ["page_id"], ["line_no", "x", "y", "w", "h"], run, "line_no int, label int")
 
 
-@query("AGG28 AGG29 SORT6", None)
-def greedy_alignment(t: Layout) -> DataFrame:
-    """Greedy one-to-one sum of the articles' overlaps, and the precision of lines aligned the same way."""
-
-    def run(r: dict[str, np.ndarray]) -> list[tuple]:
-        both = np.zeros((3, 3))
-        np.add.at(both, (r["gt_id"], r["hyp_id"]), 1)
-        n = both.sum()
-        return [(round(clustering.greedy_sum(both / n), 6), round(clustering.greedy_sum(both / np.maximum(both.sum(axis=0), 1)), 6))]
-
-    return per_page(t.table("fx_line"), ["page_id"], ["gt_id", "hyp_id"], run, "overlap double, precision_ double")
-
-
 @query("AGG34", None)
 def elimination(t: Layout) -> DataFrame:
     """Rounds that take out the method with the fewest wins; the table has a row a pair of methods."""
