@@ -19,9 +19,6 @@ from (select *, row_number() over (partition by page_id, region_no order by line
 operator("node_height_norm", "AGG11 AGG12", "fx_line", """
 select page_id, region_no, round(coalesce(max(case when txt <> 'AF' then h end), 0) * 1.0 / max(page_h), 6) as height from (select *, max(h) over (partition by page_id) as page_h from fx_line) t group by page_id, region_no
 """, "Largest height of a region's lines with text relative to the page's.")
-operator("line_strokes", "AGG14 AGG16", "fx_line", """
-select page_id, line_no, round(median(v), 6) as median_width, max(v) as max_width from (select page_id, line_no, w % 13 + k as v from fx_line cross join (select 1 as k union all select 3 as k union all select 8 as k) c) t group by page_id, line_no
-""", "Median and maximum of the components of a line.")
 operator("mode_centred", "AGG15 FN27", "fx_line", """
 with c as (select page_id, h, count(*) as n from fx_line group by page_id, h), m as (select page_id, h as mode_h from (select page_id, h, row_number() over (partition by page_id order by n desc, h) as rn from c) r where rn = 1),
 d as (select l.page_id, l.region_no, l.line_no, abs(l.h - m.mode_h) * 1.0 as d from fx_line l join m on m.page_id = l.page_id),
@@ -45,17 +42,6 @@ with c as (select page_id, gt_id, hyp_id, count(*) as n from fx_line group by pa
 select g.page_id, g.gt_id, h.hyp_id, round(coalesce(c.n, 0) * 1.0 / g.n, 6) as recall, round(coalesce(c.n, 0) * 1.0 / h.n, 6) as precision_, round(g.n * 1.0 / sum(g.n) over (partition by g.page_id, h.hyp_id), 6) as gt_weight
 from g join h on g.page_id = h.page_id left join c on c.page_id = g.page_id and c.gt_id = g.gt_id and c.hyp_id = h.hyp_id
 """, "Recall and precision of every ground truth article with every hypothesis of the page, and the weight of the former.")
-WINS = "select a.method as m0, b.method as m1, p.page_id, case when a.d < b.d or (a.d = b.d and a.c >= b.c) then 1 else 0 end as win"
-METHODS = """m as (select l.page_id, k.method, count(distinct concat(gt_id, '-', (hyp_id + k.s) % 3)) - count(distinct gt_id) as d, sum(case when gt_id = (hyp_id * (k.s + 1)) % 3 then 1 else 0 end) as c
-  from fx_line l cross join (select 'a' as method, 0 as s union all select 'b' as method, 1 as s union all select 'c' as method, 2 as s) k group by l.page_id, k.method)"""
-operator("win_matrix", "AGG33 SINK10", "fx_line", f"""
-with {METHODS} select a.method as method0, b.method as method1, cast(sum(case when a.d < b.d or (a.d = b.d and a.c >= b.c) then 1 else 0 end) as bigint) as wins
-from m a join m b on a.page_id = b.page_id group by a.method, b.method
-""", "How often a method is no worse than another: less distance, of equals more corrects.")
-operator("win_totals", "AGG33", "fx_line", f"""
-with {METHODS}, w as (select a.method as method0, b.method as method1, sum(case when a.d < b.d or (a.d = b.d and a.c >= b.c) then 1 else 0 end) as wins from m a join m b on a.page_id = b.page_id group by a.method, b.method)
-select coalesce(method0, 'all') as method0, coalesce(method1, 'all') as method1, cast(sum(wins) as bigint) as wins from w group by rollup (method0, method1)
-""", "Win counts with totals.")
 operator("comparison_csv", "SINK8 IO16 FILT44 SINK9", "fx_line fx_page", """
 select p.method, l.page_id, cast(count(*) as bigint) as n, case when lower(p.method) in ('m0', 'm2') then cast(count(distinct l.hyp_id) as bigint) end as hyp_nis from fx_line l join fx_page p on p.page_id = l.page_id group by p.method, l.page_id
 """, "Comparison rows; results of methods that aren't asked for are null.")
@@ -63,23 +49,6 @@ operator("accuracy", "AGG42 AGG46 FN4 FN3", "fx_score", """
 select lang, round(avg(cast(case when (p >= 0.5) = (y = 1) then 1 else 0 end as double)), 6) as accuracy, round(case when tp + fp > 0 then tp / (tp + fp) else 0 end, 6) as precision_, round(case when tp + fn > 0 then tp / (tp + fn) else 0 end, 6) as recall, round(case when 2 * tp + fp + fn > 0 then 2 * tp / (2 * tp + fp + fn) else 0 end, 6) as f1
 from (select *, cast(sum(case when p >= 0.5 and y = 1 then 1 else 0 end) over (partition by lang) as double) as tp, cast(sum(case when p >= 0.5 and y = 0 then 1 else 0 end) over (partition by lang) as double) as fp, cast(sum(case when p < 0.5 and y = 1 then 1 else 0 end) over (partition by lang) as double) as fn from fx_score) t group by lang, tp, fp, fn
 """, "Accuracy, precision, recall and F1; 0 where nothing is to divide by.")
-operator("threshold_curve", "AGG44 AGG42 AGG45", "fx_score", """
-select cast(floor(k) as int) as k, cast(sum(case when p >= k / 200.0 and y = 1 then 1 else 0 end) as bigint) as tp, cast(sum(case when p >= k / 200.0 and y = 0 then 1 else 0 end) as bigint) as fp, cast(sum(case when p < k / 200.0 and y = 0 then 1 else 0 end) as bigint) as tn, cast(sum(case when p < k / 200.0 and y = 1 then 1 else 0 end) as bigint) as fn
-from (select p, y, count(*) as n from fx_score group by p, y) s0 join fx_score s on s.p = s0.p and s.y = s0.y cross join thresholds group by k
-""".replace("from (select p, y, count(*) as n from fx_score group by p, y) s0 join fx_score s on s.p = s0.p and s.y = s0.y cross join thresholds", "from fx_score cross join @k"), "Confusion counts at 201 thresholds.", (("@k", "(select explode(sequence(0, 200)) as k) t"),), (("@k", "(select unnest(range(0, 201)) as k) t"),))
-operator("pr_curve", "AGG45 AGG42", "fx_score", """
-with c as (select p, sum(y) as pos, count(*) as n from fx_score group by p), u as (select p, sum(pos) over (order by p desc) as tp, sum(n) over (order by p desc) as m, sum(pos) over () as all_ from c)
-select round(p, 4) as threshold, cast(tp as bigint) as tp, round(tp * 1.0 / m, 6) as precision_, round(tp * 1.0 / all_, 6) as recall, round(case when tp = 0 then 0 else 2.0 * tp / (m + all_) end, 6) as f1 from u
-""", "Precision and recall at every score, best first.")
-operator("best_f1", "AGG45", "fx_score", """
-with c as (select p, sum(y) as pos, count(*) as n from fx_score group by p), u as (select p, sum(pos) over (order by p desc) as tp, sum(n) over (order by p desc) as m, sum(pos) over () as all_ from c),
-f as (select p, case when tp = 0 then 0 else 2.0 * tp / (m + all_) end as f1 from u)
-select round(f1, 6) as f1, round(p, 4) as threshold from (select *, row_number() over (order by f1 desc, p desc) as rn from f) t where rn = 1
-""", "The threshold of the best F1.")
-operator("auc", "AGG42 AGG45", "fx_score", """
-with c as (select p, sum(y) as pos, sum(1 - y) as neg from fx_score group by p), u as (select p, pos, neg, sum(neg) over (order by p) - neg as below, sum(pos) over () as np, sum(neg) over () as nn from c)
-select round(sum(pos * (below + neg / 2.0)) / max(np * 1.0 * nn), 6) as auc_roc from u
-""", "Area under the ROC curve: the share of pairs in the right order, ties for half.")
 operator("macro_micro_f1", "AGG42 AGG57", "fx_score", """
 with k as (select 0 as cls union all select 1 as cls), c as (select cls, sum(case when y = cls and (p >= 0.5) = (cls = 1) then 1 else 0 end) as tp, sum(case when y <> cls and (p >= 0.5) = (cls = 1) then 1 else 0 end) as fp, sum(case when y = cls and (p >= 0.5) <> (cls = 1) then 1 else 0 end) as fn from fx_score cross join k group by cls),
 f as (select cls, tp, fp, fn, tp + fn as support, case when 2 * tp + fp + fn = 0 then 0.0 else 2.0 * tp / (2 * tp + fp + fn) end as f1 from c)
@@ -88,11 +57,6 @@ select round(avg(f1), 6) as macro, round(2.0 * sum(tp) / sum(2 * tp + fp + fn),
 operator("cross_entropy", "AGG43 AGG55 AGG56", "fx_score", """
 select round(-avg(y * ln(greatest(p, 0.001)) + (1 - y) * ln(greatest(1 - p, 0.001))), 6) as loss, round(sum(p * p) / 2.0, 6) as l2, cast(sum(case when p > 0 then 1 else 0 end) as bigint) as n from fx_score
 """, "Mean cross-entropy with clamped scores, and half the sum of squares.")
-operator("early_stopping", "WIN2 IO33", "events", """
-with s as (select cast(ts as date) as step, avg(value) as metric from events group by cast(ts as date)), b as (select step, metric, max(metric) over (order by step rows between unbounded preceding and current row) as best from s),
-g as (select *, case when metric = best then 1 else 0 end as gain from b)
-select cast(step as varchar(10)) as step, round(metric, 6) as metric, round(best, 6) as best, cast(sum(gain) over (order by step rows between unbounded preceding and current row) as bigint) as gains from g
-""", "Running best of a metric by step.")
 operator("pixel_histogram", "AGG47 AGG48 AGG19 FN30", "fx_line", """
 select value, cast(count(*) as bigint) as n, round(count(*) * 1.0 / sum(count(*)) over (), 9) as share from (select (x + y * 3 + w) % 256 as value from fx_line) t group by value
 """, "Histogram of 256 grey values and their shares.")
@@ -102,9 +66,6 @@ select page_id, y as row_, round(sum(w) / 2000.0, 6) as share from fx_line group
 operator("moments", "AGG53 AGG54", "fx_line", """
 select page_id, line_no, round((w - avg(w) over (partition by page_id)) / greatest(stddev_pop(w) over (partition by page_id), 0.0001), 6) as standardised, round(var_pop(w) over (partition by page_id), 4) as variance from fx_line
 """, "Standardised values of a page.")
-operator("block_scores", "AGG41", "documents", """
-select doc_id, cast(sum(case when length(t) >= 3 then 1 else 0 end) as bigint) as n_tokens, cast(sum(length(t)) as bigint) as chars from (select doc_id, @words as t from documents) w where t not in ('the', 'and', 'of') and t <> '' group by doc_id having count(*) >= 5
-""", "Tokens of a block without stop words; blocks of fewer than five are ignored.", (("@words", "explode(split(translate(lower(text), chr(10), ' '), ' '))"),), (("@words", "unnest(string_split(translate(lower(text), chr(10), ' '), ' '))"),))
 operator("relative_likelihood", "AGG40 FN34", "fx_conf fx_line", """
 select c.page_id, round(sum(ln(c.p / (1 - c.p))), 4) as llh, cast(count(*) as bigint) as n from fx_conf c join fx_line a on a.page_id = c.page_id and a.line_no = c.i join fx_line b on b.page_id = c.page_id and b.line_no = c.j where a.gt_id = b.gt_id group by c.page_id
 """, "Sum of the log-odds of pairs of one label.")
@@ -120,3 +81,16 @@ with m as (select page_id, src, dst, exp(score - max(score) over (partition by p
 operator("swt_features", "FN21 AGG16", "fx_line", """
 select page_id, region_no, round(avg(h), 6) as mean_h, round(median(w), 6) as median_w, max(h) - min(h) as spread from fx_line group by page_id, region_no
 """, "Summary statistics of a region's lines.")
+operator("early_stopping", "WIN2 IO33", "events", """
+with s as (select event_type, @day as step, avg(value) as metric from events where value is not null group by event_type, @day),
+p as (select *, max(metric) over (partition by event_type order by step rows between unbounded preceding and 1 preceding) as before_ from s),
+g as (select *, max(case when before_ is null or metric > before_ then step end) over (partition by event_type order by step rows between unbounded preceding and current row) as best_step from p)
+select event_type, cast(step as bigint) as step, round(metric, 6) as metric, cast(best_step as bigint) as best_step, cast(max(case when step - best_step >= 3 then 1 else 0 end) over (partition by event_type order by step rows between unbounded preceding and current row) as int) as stopped from g
+""", "Stops once the last step that beat all before it is three steps or more ago; a tie is no gain.", (("@day", "datediff(cast(ts as date), date'1970-01-01')"),), (("@day", "date_diff('day', date '1970-01-01', cast(ts as date))"),))
+operator("block_scores", "AGG41", "documents embeddings", """
+with t as (select doc_id, @words as t from documents), k as (select doc_id, t from t where @alpha and t not in ('the', 'and', 'of', 'to', 'in')),
+v as (select vec_id, cast(floor(256 * cast(@first as double)) as bigint) as v0, cast(floor(256 * cast(@second as double)) as bigint) as v1 from embeddings where vec_id < 97)
+select doc_id, cast(count(*) as bigint) as n_tokens, cast(sum(v0) as bigint) as s0, cast(sum(v1) as bigint) as s1 from k join v on v.vec_id = (length(t) * 31 + ascii(t)) % 97 group by doc_id having count(*) >= 5
+""", "Sum of the vectors of a block's words, without stop words and what isn't letters; blocks of fewer than five are ignored.",
+         (("@words", "explode(split(translate(lower(text), chr(10), ' '), ' '))"), ("@alpha", "t rlike '^[a-z]+$'"), ("@first", "embedding[0]"), ("@second", "embedding[1]")),
+         (("@words", "unnest(string_split(translate(lower(text), chr(10), ' '), ' '))"), ("@alpha", "regexp_full_match(t, '[a-z]+')"), ("@first", "embedding[1]"), ("@second", "embedding[2]")))

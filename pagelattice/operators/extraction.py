@@ -67,3 +67,10 @@ select page_id, concat('/data/set1/page/', 'p', page_id, '.xml') as page_path, r
 operator("metadata", "IO4 PROJ49 PROJ50 SINK3 SINK4 IO3", "orders", """
 select o_orderkey as page_id, o_orderstatus as creator, cast(cast(o_orderdate as date) as varchar(10)) as created, concat(cast(cast(o_orderdate as date) as varchar(10)), 'T00:00:00Z') as last_change, o_orderpriority as comments, o_orderkey % 10 as doc_id, o_totalprice >= 0 as is_valid from orders
 """, "Metadata of a page as columns, with a validity flag.")
+operator("image_of_page", "IO18 IO19", "fx_page", """
+with f as (select concat('/data/set1/p', page_id, '.tif') as path from fx_page where page_id % 5 = 0 union all select concat('/data/set1/p', page_id, '.png') as path from fx_page where page_id % 3 = 0 union all select concat('/data/set1/p', page_id, '.jpg') as path from fx_page where page_id % 2 = 0),
+p as (select page_id, concat('/data/set1/page/p', page_id, '.xml') as page_path from fx_page)
+select p.page_id, t.stem_path as image_path, t.stem_path is null as missing from p left join (
+  select stem, min_by(path, rank) as stem_path from (select path, substr(path, 1, length(path) - 4) as stem, case substr(path, -3) when 'tif' then 0 when 'png' then 1 else 2 end as rank from f) r group by stem) t
+on t.stem = regexp_replace(p.page_path, '/page/([^/]*)[.]xml$', @1)
+""", "A page's image among the files that are there: tif before png before jpg.", (("@1", "'/$1'"),), (("@1", "'/\\1'"),))

@@ -28,7 +28,7 @@ operator("check_tr", "AGG38", "fx_line", """
 select page_id, region_no, cast(count(distinct nullif(gt_id, 2)) as bigint) as n_articles from fx_line group by page_id, region_no having count(distinct nullif(gt_id, 2)) > 1
 """, "Regions with lines of several articles.")
 operator("check_pages", "AGG39 FILT48 SINK11 PROJ66 PROJ68", "fx_line", """
-select page_id, code, cast(count(*) as bigint) as n from (
+select page_id, code, cast(count(*) as bigint) as n, concat(chr(123), '"code":"', code, '","n":', cast(count(*) as varchar(20)), chr(125)) as json from (
   select page_id, 'TL1.2' as code from fx_line where nullif(gt_id, 2) is null
   union all select a.page_id, 'TL2.1' as code from fx_line a join fx_line b on a.page_id = b.page_id and a.txt = b.txt and a.line_no < b.line_no
   union all select page_id, 'TR1.1' as code from (select page_id, region_no from fx_line group by page_id, region_no having count(distinct nullif(gt_id, 2)) > 1) r) p group by page_id, code

@@ -25,6 +25,7 @@ class SqlOperator:
     doc: str
     spark: tuple[tuple[str, str], ...] = ()
     duck: tuple[tuple[str, str], ...] = ()
+    other: str | None = None  # the oracle's own text, if it is stated another way
 
     def __call__(self, **tables: DataFrame) -> DataFrame:
         session: SparkSession = next(iter(tables.values())).sparkSession
@@ -34,7 +35,7 @@ class SqlOperator:
         return session.sql(text, **{n: tables[n] for n in self.inputs})
 
     def oracle(self) -> str:
-        return _swapped(self.text, self.duck)
+        return _swapped(self.other or self.text, self.duck)
 
 
 def _swapped(text: str, pairs) -> str:
@@ -43,8 +44,8 @@ def _swapped(text: str, pairs) -> str:
     return text
 
 
-def operator(name: str, rows: str, inputs: str, text: str, doc: str, spark=(), duck=()) -> SqlOperator:
-    made = SqlOperator(name, rows, tuple(inputs.split()), text.strip(), doc, tuple(spark), tuple(duck))
+def operator(name: str, rows: str, inputs: str, text: str, doc: str, spark=(), duck=(), other: str | None = None) -> SqlOperator:
+    made = SqlOperator(name, rows, tuple(inputs.split()), text.strip(), doc, tuple(spark), tuple(duck), other)
     assert name not in OPERATORS, name
     OPERATORS[name] = made
     return made

@@ -7,9 +7,6 @@ from .sqlop import operator
 operator("reading_order", "WIN1 SORT4 PROJ27 PROJ28", "fx_line", """
 select page_id, region_no, line_no, row_number() over (partition by page_id, region_no order by y + h / 2.0, x, line_no) - 1 as place from fx_line
 """, "Lines of a region by their vertical centre, from 0.", (("row_number()", "row_number()"),))
-operator("batches", "WIN3 WIN4 WIN11 IO13", "fx_page", """
-select page_id, cast(floor((rn - 1) / 100) as bigint) as batch, part from (select page_id, row_number() over (order by page_id) as rn, ntile(7) over (order by page_id) as part from fx_page) t
-""", "Chunks of 100, and 7 near-equal chunks of which the first get the remainder.")
 operator("sequence_mask", "WIN5 WIN12 IMG19", "fx_region", """
 select page_id, region_no, k, k < least(n_lines, 5) as used from fx_region cross join (select 0 as k union all select 1 as k union all select 2 as k union all select 3 as k union all select 4 as k) s
 """, "Masks of a padded sequence.")
@@ -44,9 +41,6 @@ select page_id, cast(count(distinct gt_id) as bigint) as n_articles, cast(count(
 operator("disjoint_channels", "SET9 SET10 SET12 IMG32", "fx_line", """
 select page_id, cell, min(channel) as channel from (select page_id, cast(floor(x / 100) as bigint) as cell, gt_id as channel from fx_line union all select page_id, cast(floor((x + w) / 100) as bigint) as cell, 3 as channel from fx_line) t group by page_id, cell
 """, "Each cell belongs to the first channel that has it.")
-operator("sublists", "SINK17", "fx_page", """
-select page_id, case when place <= floor(n * 0.1) then 'val' when place <= floor(n * 0.3) then 'test' else 'train' end as part from (select page_id, row_number() over (order by (page_id * 48271) % 65537, page_id) as place, count(*) over () as n from fx_page) t
-""", "Validation, test and training lists of exact shares in a fixed pseudo-random order.")
 operator("box_algebra", "FILT11 FILT12 FILT13 FILT14 FILT15 FILT16 FILT17 FILT19 FILT20 FILT22 FN12 FN13 FN14 FN16", "fx_line", """
 select a.page_id, a.line_no as i, b.line_no as j, greatest(a.x, b.x) as x, greatest(a.y, b.y) as y, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x) as w, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y) as h,
   case when a.y + a.h < b.y then 1 else 0 end as above, case when b.x >= a.x and b.y >= a.y and b.x + b.w <= a.x + a.w and b.y + b.h <= a.y + a.h then 1 else 0 end as inside,
@@ -59,20 +53,9 @@ select page_id, line_no, cast(floor(w / 7.0 + 0.5) as bigint) as half_up, cast(f
 operator("point_distance", "FN20 FN22", "fx_line", """
 select a.page_id, a.line_no as i, b.line_no as j, greatest(0, b.x - a.x, a.x - b.x - b.w) + greatest(0, b.y - a.y, a.y - b.y - b.h) as dist from fx_line a join fx_line b on a.page_id = b.page_id and a.line_no <> b.line_no
 """, "City-block distance of a corner from a box.")
-operator("regression_line", "FN17 FN18 FN19", "fx_line", """
-select page_id, case when max(x) - min(x) >= 2 then round((count(*) * sum(x * y) - sum(x) * sum(y)) * 1.0 / (count(*) * sum(x * x) - sum(x) * sum(x)), 6) end as slope, cast(count(*) as bigint) as n from fx_line group by page_id
-""", "Least-squares slope; none if the points stand upright.")
 operator("orientation_boxes", "FN25 FN26", "fx_region", """
 select page_id, region_no, x0, y0 - 100 as north_y, x1 + 100 as east_x, y1 + 100 as south_y, x0 - 100 as west_x, round((x0 + x1) / 2.0, 1) as cx from fx_region
 """, "Boxes and cones of the four directions.")
-operator("symmetric_confidences", "FN32 FN33 FN34 ITER7 SINK5 IO14", "fx_conf", """
-select a.page_id, a.i, a.j, round(sqrt(a.p * b.p), 6) as gmean, round((a.p + b.p) / 2.0, 6) as mean, least(a.p, b.p) as low, greatest(a.p, b.p) as high, round(-ln(sqrt(a.p * b.p)), 6) as dist, round(ln(sqrt(a.p * b.p) / (1 - sqrt(a.p * b.p))), 5) as log_odds
-from fx_conf a join fx_conf b on a.page_id = b.page_id and a.i = b.j and a.j = b.i
-""", "Symmetric confidences, their distances and log-odds.")
-operator("augmented_features", "FN37 FN38 FN39 FN40 FN41 FN42 FN43", "fx_region", """
-with c as (select page_id, region_no, x0 - avg(x0) over (partition by page_id) as dx, y0 - avg(y0) over (partition by page_id) as dy, x0, y0, 0.05 * ((page_id % 7) - 3) as angle, 1 + 0.04 * ((page_id % 5) - 2) as scale from fx_region)
-select page_id, region_no, round(x0 * scale, 4) as scaled_x, round(dx * cos(angle) - dy * sin(angle), 4) as rotated_x, round(dx * sin(angle) + dy * cos(angle), 4) as rotated_y, round(x0 + 0.01 * (page_id % 3), 4) as moved_x from c
-""", "Coherent scaling, rotation and translation of a page's features; noise comes from a hash of the page.")
 operator("activations", "FN52 FN53 FN54 FN55 FN56 FN57 FN58 ITER38 ITER36", "fx_edge", """
 select page_id, src, dst, round(1 / (1 + exp(-score)), 6) as sigmoid, round(tanh(score), 6) as tanh_, greatest(0, score) as relu, greatest(0, score) + 0.2 * least(0, score) as leaky, round(case when score >= 0 then score else exp(score) - 1 end, 6) as elu, round(greatest(0, 0.5 * u0 - 0.25 * u1 + 0.1), 6) as dense from fx_edge
 """, "Activations and one dense unit of given weights.")
@@ -82,9 +65,6 @@ select page_id, round(case when page_id < 1000 then page_id / 1000.0 when page_i
 operator("normalised_regions", "FN46 FN36 FN9 FN31 FN62 IMG9", "fx_region fx_page", """
 select r.page_id, r.region_no, round(r.x0 * 1.0 / p.width, 6) as nx0, round(r.y1 * 1.0 / p.height, 6) as ny1, cast(floor(r.x0 * 0.5) as bigint) as half_x, least(r.x0, 500) as grown_x0, greatest(r.x1, 500) as grown_x1 from fx_region r join fx_page p on p.page_id = r.page_id
 """, "Regions in parts of the page, halved, and grown by a point.")
-operator("booleans", "FN48 FN63 FILT33", "fx_line", """
-select txt, case when lower(substr(txt, 1, 1)) in ('t', '1', 'y', 'a') then 1 else 0 end as truth, cast(count(*) as bigint) as n from fx_line group by txt
-""", "Words as truth values.")
 operator("cluster_sizes", "ITER4 ITER11 ITER6 SINK6 ITER21", "fx_line", """
 with c as (select page_id, line_no, gt_id, count(*) over (partition by page_id, gt_id) as n from fx_line), k as (select *, case when n >= 2 then gt_id else -1 end as label from c),
 m as (select *, max(label) over (partition by page_id) as top from k)
@@ -93,3 +73,26 @@ select page_id, line_no, case when label >= 0 then label else top + row_number()
 operator("two_nodes", "ITER12 ITER22", "fx_conf", """
 select page_id, max(i) as n, case when max(p) >= 0.5 then 1 else 2 end as n_clusters, 'dbscan_min1_eps0.5' as info from fx_conf group by page_id having count(*) = 2
 """, "Pages of two nodes are one cluster if the confidence reaches the threshold.")
+operator("symmetric_confidences", "FN32 FN33 FN34 ITER7 SINK5 IO14", "fx_conf", """
+with s as (select page_id, least(i, j) as i, greatest(i, j) as j, min(p) as low, max(p) as high from fx_conf group by page_id, least(i, j), greatest(i, j))
+select page_id, i, j, round(sqrt(low * high), 6) as gmean, round((low + high) / 2.0, 6) as mean, low, high, round(-ln(sqrt(low * high)), 6) as dist, round(ln(sqrt(low * high) / (1 - sqrt(low * high))), 5) as log_odds from s
+""", "Both directions of a pair as one confidence, its distance and its log-odds; one pass over the relations.")
+operator("regression_line", "FN17 FN18 FN19", "fx_line", """
+with s as (select page_id, cast(count(*) as double) as n, cast(sum(x) as double) as sx, cast(sum(y) as double) as sy, cast(sum(x * x) as double) as sxx, cast(sum(x * y) as double) as sxy, max(x) - min(x) as width from fx_line group by page_id),
+m as (select *, case when width >= 2 then (n * sxy - sx * sy) / (n * sxx - sx * sx) end as slope from s)
+select page_id, round(slope, 6) as slope, round(case when width >= 2 then (sy - slope * sx) / n else sx / n end, 4) as intercept, cast(n as bigint) as n from m
+""", "Least-squares slope and intercept; points within less than two pixels stand upright: no slope, and their mean x.")
+TRUE_WORDS, FALSE_WORDS = "'yes', 'true', 't', 'y', '1'", "'no', 'false', 'f', 'n', '0'"
+operator("booleans", "FN48 FN63", "fx_line", f"""
+with w as (select case (line_no * 7 + page_id) % 11 when 0 then 'True' when 1 then 't' when 2 then '1' when 3 then 'yes' when 4 then 'Y' when 5 then 'false' when 6 then 'F' when 7 then '0' when 8 then 'No' when 9 then 'n' else 'TRUE' end as word from fx_line)
+select word, lower(word) in ('true', 't', '1') as flag, case when lower(word) in ({TRUE_WORDS}) then true when lower(word) in ({FALSE_WORDS}) then false else @refuse end as argument, cast(count(*) as bigint) as n from w group by word
+""", "Words as a flag (true, t, 1; all else is false) and as an argument (yes and no in five forms each; all else is refused).", (("@refuse", "cast(raise_error('not a truth value') as boolean)"),), (("@refuse", "cast(error('not a truth value') as boolean)"),))
+operator("thresholded", "FILT31 FILT47", "fx_line", """
+select page_id, line_no, value, case when value > 0.25 * 255 then 255 else 0 end as binary_, case when value / 255.0 > 0.25 then 1 else 0 end as above from (select page_id, line_no, (x + y * 3 + w) % 256 as value from fx_line) t
+""", "Grey values against a threshold of the unit interval: 0 or 255, and 0 or 1.")
+operator("typed_lists", "FILT32 FILT33", "fx_line", """
+with j as (select page_id, line_no, concat('[', x, ', ', case line_no % 4 when 0 then '"a"' when 1 then '1.5' when 2 then '7' else 'true' end, ']') as text from fx_line)
+select page_id, line_no, @whole as whole, @number as number from j
+""", "Whether all of a list's values are of one type exactly (whole numbers), or of one of several (numbers).",
+         (("@whole", "forall(cast(parse_json(text) as array<variant>), v -> schema_of_variant(v) = 'BIGINT')"), ("@number", "forall(cast(parse_json(text) as array<variant>), v -> schema_of_variant(v) = 'BIGINT' or schema_of_variant(v) like 'DECIMAL%' or schema_of_variant(v) = 'DOUBLE')")),
+         (("@whole", "len(list_filter(cast(text::json as json[]), lambda v: json_type(v) not in ('UBIGINT', 'BIGINT'))) = 0"), ("@number", "len(list_filter(cast(text::json as json[]), lambda v: json_type(v) not in ('UBIGINT', 'BIGINT', 'DOUBLE'))) = 0")))

@@ -22,6 +22,7 @@ SQL = {
   union all select page_id, 1 as side, line_no, nullif(hyp_id, 2) as article, x + (line_no * 5 + page_id) % 9 - 4 as x0, y + h + (line_no * 7 + page_id) % 15 - 4 as y0, x + cast(floor(w / 2) as bigint) as x1, y + h + (line_no * 7 + page_id) % 15 - 2 as y1,
     x + w + (line_no + page_id) % 6 as x2, y + h + (line_no * 7 + page_id) % 21 - 4 as y2 from fx_line where (page_id + line_no) % 11 <> 0""",
     "fx_conf": "select a.page_id, a.line_no as i, b.line_no as j, (1 + (a.line_no * 7 + b.line_no * 13 + a.page_id) % 98) / 100.0 as p from fx_line a join fx_line b on a.page_id = b.page_id and a.line_no <> b.line_no",
+    "fx_method": "select page_id, line_no, gt_id, 'a' as method, hyp_id from fx_line union all select page_id, line_no, gt_id, 'b' as method, region_no % 3 as hyp_id from fx_line union all select page_id, line_no, gt_id, 'c' as method, case when line_no % 3 = 0 then 0 else gt_id end as hyp_id from fx_line",
     "fx_vec": "select cast(floor(vec_id / 20) as bigint) as page_id, vec_id % 20 as node, embedding as v, label from embeddings",
     "fx_score": "select l.doc_id, l.quality as y, (d.n_chars % 101) / 100.0 as p, d.source, d.lang from labels l join documents d on l.doc_id = d.doc_id",
     "fx_edge": "select a.page_id, a.region_no as src, b.region_no as dst, (a.x0 + b.x1) % 17 - 8.0 as score, a.x0 / 1000.0 as u0, a.y0 / 1000.0 as u1 from fx_region a join fx_region b on a.page_id = b.page_id and a.region_no <> b.region_no",

@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
 from ..functions import page_attributes as attr
-from ..operators import aggregates, clustering, extraction, joins, measure, polygons, raster, windows_sets  # noqa: F401
+from ..operators import aggregates, augment, clustering, extraction, joins, measure, polygons, raster, running, windows_sets  # noqa: F401
 from ..operators.per_page import per_page
 from ..operators.sqlop import OPERATORS
 from ..sources import files, pagexml
@@ -237,17 +237,168 @@ def cluster_lines(t: Layout) -> DataFrame:
     return per_page(t.table("fx_line"), ["page_id"], ["line_no", "x", "y", "w", "h"], run, "line_no int, label int")
 
 
-@query("AGG34", None)
+# -- tournaments of methods ----------------------------------------------------------------------------------------
+def _method_scores(t: Layout) -> DataFrame:
+    """page_id, method, dist, corrects: each method's partition of a page's lines against the truth.
+
+    Everything after the first shuffle is by page or finer, so there is no other.
+    """
+    own = [F.struct(F.lit(m).alias("method"), h.cast("long").alias("hyp_id")) for m, h in (("a", F.col("hyp_id")), ("b", F.col("region_no") % 3), ("c", F.when(F.col("line_no") % 3 == 0, 0).otherwise(F.col("gt_id"))))]
+    lines = t.table("fx_line").select("page_id", "gt_id", F.explode(F.array(*own)).alias("m")).select("page_id", "gt_id", "m.*").repartition("page_id")
+    pairs = lines.groupBy("page_id", "method", "gt_id", "hyp_id").agg(F.count("*").alias("n"))
+    total = lambda side: F.sum("n").over(Window.partitionBy("page_id", "method", side))
+    pairs = pairs.withColumns({"g": total("gt_id"), "h": total("hyp_id")})
+    blocks = pairs.groupBy("page_id", "method").agg(F.count("*").alias("both"), F.size(F.collect_set("gt_id")).alias("gts"), F.size(F.collect_set("hyp_id")).alias("hyps"), F.count_if((F.col("n") == F.col("g")) & (F.col("n") == F.col("h"))).alias("corrects"))
+    return blocks.select("page_id", "method", (2 * F.col("both") - F.col("gts") - F.col("hyps")).alias("dist"), "corrects")
+
+
+def _wins(t: Layout) -> DataFrame:
+    """method0, method1, wins: a page's methods meet inside its row."""
+    page = _method_scores(t).groupBy("page_id").agg(F.collect_list(F.struct("method", "dist", (-F.col("corrects")).alias("c"))).alias("ms"))
+    pairs = page.select(F.explode("ms").alias("a"), "ms").select("a", F.explode("ms").alias("b"))
+    won = F.struct("a.dist", "a.c") <= F.struct("b.dist", "b.c")
+    return pairs.groupBy(F.col("a.method").alias("method0"), F.col("b.method").alias("method1")).agg(F.count_if(won).alias("wins"))
+
+
+_SCORES_SQL = """p as (select page_id, method, gt_id, hyp_id, count(*) as n from fx_method group by all), g as (select page_id, method, gt_id, count(*) as n from fx_method group by all), h as (select page_id, method, hyp_id, count(*) as n from fx_method group by all),
+s as (select p.page_id, p.method, 2 * count(*) - count(distinct p.gt_id) - count(distinct p.hyp_id) as dist, sum(case when p.n = g.n and p.n = h.n then 1 else 0 end) as corrects from p join g using (page_id, method, gt_id) join h using (page_id, method, hyp_id) group by all),
+w as (select a.method as method0, b.method as method1, cast(sum(case when a.dist < b.dist or (a.dist = b.dist and a.corrects >= b.corrects) then 1 else 0 end) as bigint) as wins from s a join s b using (page_id) group by a.method, b.method)"""
+
+
+@query("AGG33", f"with {_SCORES_SQL} select * from w")
+def win_matrix(t: Layout) -> DataFrame:
+    """How often a method is no worse than another (itself too): less distance, of equals as many corrects."""
+    return _wins(t)
+
+
+@query("AGG33", f"with {_SCORES_SQL} select method0, method1, wins from w union all select method0, 'all', sum(wins)::bigint from w group by method0")
+def win_totals(t: Layout) -> DataFrame:
+    """Win counts, and each method's total under 'all'."""
+    wins = _wins(t)
+    return wins.groupBy("method0").agg(F.collect_list(F.struct("method1", "wins")).alias("w"), F.sum("wins").alias("n")).select("method0", F.explode(F.concat("w", F.array(F.struct(F.lit("all").alias("method1"), F.col("n").alias("wins"))))).alias("x")).select("method0", "x.*")
+
+
+@query("SINK10", f"with {_SCORES_SQL}, r as (select a.method0, a.method1, a.wins, case when a.method0 = a.method1 then a.wins::double else round(a.wins / nullif(b.wins, 0)::double, 6) end as ratio from w a join w b on a.method0 = b.method1 and a.method1 = b.method0) select method0, sum(wins)::bigint as all_, max(case when method1 = 'a' then ratio end) as a, max(case when method1 = 'b' then ratio end) as b, max(case when method1 = 'c' then ratio end) as c from r group by method0")
+def win_sheet(t: Layout) -> DataFrame:
+    """A row a method: its total, and by opponent the ratio of its wins to the opponent's (its own count against itself)."""
+    wins = _wins(t)
+    back = wins.select(F.col("method1").alias("method0"), F.col("method0").alias("method1"), F.col("wins").alias("back"))
+    ratio = F.when(F.col("method0") == F.col("method1"), F.col("wins").cast("double")).otherwise(F.round(F.col("wins") / F.nullif(F.col("back"), F.lit(0)), 6))
+    both = wins.join(back, ["method0", "method1"]).withColumn("ratio", ratio)
+    return both.groupBy("method0").agg(F.sum("wins").alias("all_"), *[F.max(F.when(F.col("method1") == m, F.col("ratio"))).alias(m) for m in "abc"])
+
+
+@query("AGG34 SINK10", f"""with recursive {_SCORES_SQL}, l as (
+  select 1 as round, list(struct_pack(m := method0, n := n) order by n, method0) as left_ from (select method0, sum(wins)::bigint as n from w group by method0)
+  union all select round + 1, (select list(struct_pack(m := x.m, n := x.n) order by x.n, x.m) from (select unnest(x.s) as x from (select list_transform(left_[2:], lambda q: struct_pack(m := q.m, n := q.n - (select wins from w where method0 = q.m and method1 = left_[1].m))) as s) x)) from l where len(left_) > 1)
+select round, e.m as method, e.n as wins, e.m = left_[1].m as out_ from (select round, left_, unnest(left_) as e from l)""".replace("(select wins from w where method0 = q.m and method1 = left_[1].m)", "k[q.m || left_[1].m]").replace("from l where len(left_) > 1)", "from l, (select map_from_entries(list((method0 || method1, wins))) as k from w) where len(left_) > 1)"))
 def elimination(t: Layout) -> DataFrame:
-    """Rounds that take out the method with the fewest wins; the table has a row a pair of methods."""
-    wins = {(r.method0, r.method1): r.wins for r in OPERATORS["win_matrix"](fx_line=t.table("fx_line")).collect()}  # a row a pair of methods
-    left, out = sorted({m for m, _ in wins}), []
+    """Every round's totals: the least one's method goes out, and the others lose their wins against it.
+
+    The loop runs on the driver over a row a pair of methods.
+    """
+    wins = {(r.method0, r.method1): r.wins for r in _wins(t).collect()}  # a row a pair of methods
+    left = {m: sum(n for (a, _), n in wins.items() if a == m) for m, _ in wins}
+    rows, turn = [], 1
     while left:
-        total = {m: sum(wins[m, o] for o in left if o != m) for m in left}
-        worst = min(left, key=lambda m: (total[m], [-ord(c) for c in m]))
-        out.append((len(out) + 1, worst, total[worst]))
-        left.remove(worst)
-    return t.spark.createDataFrame(out, "round int, method string, wins long")
+        worst = min(left, key=lambda m: (left[m], m))
+        rows += [(turn, m, n, m == worst) for m, n in left.items()]
+        left, turn = {m: n - wins[m, worst] for m, n in left.items() if m != worst}, turn + 1
+    return t.spark.createDataFrame(rows, "round int, method string, wins long, out_ boolean")
+
+
+# -- numbers and sums over all rows ----------------------------------------------------------------------------------
+def _stretch() -> Column:
+    return F.floor(F.col("page_id") / 4096)
+
+
+@query("WIN3 WIN4 WIN11 IO13", "select page_id, cast(floor((rn - 1) / 100) as bigint) as batch, part from (select page_id, row_number() over (order by page_id) as rn, cast(ntile(7) over (order by page_id) as int) as part from fx_page) t")
+def batches(t: Layout) -> DataFrame:
+    """Chunks of 100, and 7 near-equal chunks of which the first get the remainder."""
+    pages = t.table("fx_page").select("page_id")
+    n = pages.agg(F.count("*").alias("n"))  # one row
+    got = running.places(pages, _stretch(), ["page_id"]).crossJoin(F.broadcast(n))
+    size, more = F.floor(F.col("n") / 7), F.col("n") % 7
+    part = F.when(F.col("place") <= more * (size + 1), F.ceil(F.col("place") / (size + 1))).otherwise(more + F.ceil((F.col("place") - more * (size + 1)) / size))
+    return got.select("page_id", F.floor((F.col("place") - 1) / 100).alias("batch"), part.cast("int").alias("part"))
+
+
+@query("SINK17", "select page_id, case when place <= floor(n * 0.1) then 'val' when place <= floor(n * 0.3) then 'test' else 'train' end as part from (select page_id, row_number() over (order by (page_id * 48271) % 65537, page_id) as place, count(*) over () as n from fx_page) t")
+def sublists(t: Layout) -> DataFrame:
+    """Validation, test and training lists of exact shares in a fixed pseudo-random order."""
+    pages = t.table("fx_page").select("page_id")
+    got = running.places(pages, (F.col("page_id") * 48271) % 65537, ["page_id"]).crossJoin(F.broadcast(pages.agg(F.count("*").alias("n"))))  # one row
+    return got.select("page_id", F.when(F.col("place") <= F.floor(F.col("n") * 0.1), "val").when(F.col("place") <= F.floor(F.col("n") * 0.3), "test").otherwise("train").alias("part"))
+
+
+def _curve(t: Layout) -> DataFrame:
+    """Distinct scores, best first, with hits (tp) and scores (m) down to each, and all hits and scores."""
+    p = F.col("p").cast("double")
+    counts = t.table("fx_score").groupBy(p.alias("p")).agg(F.sum("y").alias("pos"), F.count("*").alias("n"))
+    got = running.running(counts.withColumn("_down", -F.col("p")), F.floor(-F.col("p") * 1024), ["_down"], {"pos": "tp", "n": "m"})
+    return got.crossJoin(F.broadcast(counts.agg(F.sum("pos").alias("hits"), F.sum("n").alias("scores"))))  # one row
+
+
+def _f1() -> Column:
+    return F.when(F.col("tp") == 0, 0.0).otherwise(2.0 * F.col("tp") / (F.col("m") + F.col("hits")))
+
+
+_CURVE_SQL = "c as (select p, sum(y) as pos, count(*) as n from fx_score group by p), u as (select p, pos, n, sum(pos) over (order by p desc) as tp, sum(n) over (order by p desc) as m, sum(pos) over () as all_ from c)"
+
+
+@query("AGG45 AGG42", f"with {_CURVE_SQL} select round(p, 4) as threshold, cast(tp as bigint) as tp, round(tp * 1.0 / m, 6) as precision_, round(tp * 1.0 / all_, 6) as recall, round(case when tp = 0 then 0 else 2.0 * tp / (m + all_) end, 6) as f1 from u")
+def pr_curve(t: Layout) -> DataFrame:
+    """Precision and recall at every score, best first."""
+    tp, m = F.col("tp"), F.col("m")
+    return _curve(t).select(F.round("p", 4).alias("threshold"), "tp", F.round(tp / m, 6).alias("precision_"), F.round(tp / F.col("hits"), 6).alias("recall"), F.round(_f1(), 6).alias("f1"))
+
+
+@query("AGG45", f"with {_CURVE_SQL}, f as (select p, case when tp = 0 then 0 else 2.0 * tp / (m + all_) end as f1 from u) select round(f1, 6) as f1, round(p, 4) as threshold from f order by f.f1 desc, p desc limit 1")
+def best_f1(t: Layout) -> DataFrame:
+    """The threshold of the best F1, of equals the highest."""
+    best = F.max(F.struct(_f1().alias("f1"), "p"))
+    return _curve(t).agg(best.alias("b")).select(F.round("b.f1", 6).alias("f1"), F.round("b.p", 4).alias("threshold"))
+
+
+@query("AGG42 AGG45", "with c as (select p, sum(y) as pos, sum(1 - y) as neg from fx_score group by p) select round((select sum(a.pos * (case when b.p < a.p then b.neg else b.neg / 2.0 end)) from c a join c b on b.p <= a.p) / ((select sum(pos) from c) * 1.0 * (select sum(neg) from c)), 6) as auc_roc")
+def auc(t: Layout) -> DataFrame:
+    """Area under the ROC curve: the share of pairs in the right order, ties for half."""
+    above = F.col("scores") - F.col("m") - (F.col("hits") - F.col("tp"))  # scores below p without a hit
+    pairs = F.sum(F.col("pos") * (above + (F.col("n") - F.col("pos")) / 2.0))
+    return _curve(t).agg(F.round(pairs / (F.max("hits") * F.max(F.col("scores") - F.col("hits"))), 6).alias("auc_roc"))
+
+
+_COUNTS_SQL = "select cast(k as int) as k, cast(sum(case when p >= k / 200.0 and y = 1 then 1 else 0 end) as bigint) as tp, cast(sum(case when p >= k / 200.0 and y = 0 then 1 else 0 end) as bigint) as fp, cast(sum(case when p < k / 200.0 and y = 0 then 1 else 0 end) as bigint) as tn, cast(sum(case when p < k / 200.0 and y = 1 then 1 else 0 end) as bigint) as fn from fx_score cross join (select unnest(range(0, 201)) as k) t group by k"
+
+
+@query("AGG44 AGG42 AGG45", _COUNTS_SQL)
+def threshold_curve(t: Layout) -> DataFrame:
+    """Confusion counts at 201 thresholds; each score is counted once, at the last it reaches."""
+    return metrics.confusion_counts(metrics.bucket_counts(t.table("fx_score").select(F.col("p").cast("double").alias("p"), "y")))
+
+
+# -- noise on features -----------------------------------------------------------------------------------------------
+_U = lambda key, name: f"((('0x' || substr(md5({key} || ':0{name}'), 1, 8))::bigint + 0.5) / 4294967296.0)"
+_N = lambda key, name, s, m=0.0: f"({m} + {s} * sqrt(-2 * ln({_U(key, name + '1')})) * cos(2 * pi() * {_U(key, name + '2')}))"
+_AUGMENT_SQL = f"""with f as (select r.page_id, r.region_no, (x1 - x0) / 2000.0::double as w, (y1 - y0) / 1000.0::double as h, (x0 + x1) / 4000.0::double as cx, (y0 + y1) / 2000.0::double as cy, n_lines / 50.0::double as th from fx_region r),
+s as (select page_id, region_no, {_U('page_id', 'scale')} < 0.5 as a, {_N('page_id', 'x', 0.04, 1.0)} as sx, {_N('page_id', 'y', 0.04, 1.0)} as sy, w, h, cx, cy, th from f),
+g as (select page_id, region_no, case when a then w * sx else w end as w, case when a then cx * sx else cx end as cx, case when a then cy * sy else cy end as cy, case when a then (cx / 2) * sx else cx / 2 end as bx, case when a then (cy / 2) * sy else cy / 2 end as by_, case when a then th * sy else th end as th from s),
+m as (select *, avg(cx) over (partition by page_id) as mx, avg(cy) over (partition by page_id) as my, case when {_U('page_id', 'turn')} < 0.5 then {_N('page_id', 'angle', 0.052)} else 0 end as t from g),
+r as (select page_id, region_no, w, th, cos(t) * (cx - mx) - sin(t) * (cy - my) + mx as cx, sin(t) * (cx - mx) + cos(t) * (cy - my) + my as cy, cos(t) * (bx - mx) - sin(t) * (by_ - my) + mx as bx, {_U('page_id', 'move')} < 0.5 as mv,
+  {_N("page_id || '-' || region_no", 'ownx', 0.005)} + {_N('page_id', 'allx', 0.01)} as dx, {_N("page_id || '-' || region_no", 'owny', 0.005)} + {_N('page_id', 'ally', 0.01)} as dy from m)
+select page_id, region_no, round(w, 6) as w, round(case when mv then cx + dx else cx end, 6) as cx, round(case when mv then cy + dy else cy end, 6) as cy, round(case when mv then bx + dx else bx end, 6) as last_cx, round(th, 6) as text_height from r"""
+
+
+@query("FN37 FN38 FN39 FN40 FN41 FN42 FN43", _AUGMENT_SQL)
+def augmented_features(t: Layout) -> DataFrame:
+    """Scaling, rotation and translation of 16 features a region, each at half of the pages."""
+    part = lambda a, n: (a / F.lit(n)).cast("double")
+    w, h = part(F.col("x1") - F.col("x0"), 2000.0), part(F.col("y1") - F.col("y0"), 1000.0)
+    cx, cy = part(F.col("x0") + F.col("x1"), 4000.0), part(F.col("y0") + F.col("y1"), 2000.0)
+    zero = F.lit(0.0)
+    features = F.array(w, h, cx, cy, w, h, cx, cy, w, h, cx / 2, cy / 2, zero, zero, zero, part(F.col("n_lines"), 50.0))
+    got = augment.augmented(t.table("fx_region").select("page_id", "region_no", features.alias("features")), "page_id", "region_no")
+    return got.select("page_id", "region_no", *[F.round(F.get("features", F.lit(k)), 6).alias(n) for k, n in ((0, "w"), (2, "cx"), (3, "cy"), (10, "last_cx"), (15, "text_height"))])
 
 
 # -- polygons ----------------------------------------------------------------------------------------------------
@@ -371,9 +522,11 @@ def masked_features(t: Layout) -> DataFrame:
 
 
 # -- incremental forms ---------------------------------------------------------------------------------------------
-@query("AGG44", "select cast(k as int) as k, cast(sum(case when p >= k / 200.0 and y = 1 then 1 else 0 end) as bigint) as tp, cast(sum(case when p >= k / 200.0 and y = 0 then 1 else 0 end) as bigint) as fp, cast(sum(case when p < k / 200.0 and y = 0 then 1 else 0 end) as bigint) as tn, cast(sum(case when p < k / 200.0 and y = 1 then 1 else 0 end) as bigint) as fn from fx_score cross join (select unnest(range(0, 201)) as k) t group by k")
+@query("AGG44", _COUNTS_SQL)
 def confusion_counts(t: Layout) -> DataFrame:
-    return metrics.confusion_counts(t.table("fx_score").select(F.col("p").cast("double").alias("p"), "y"))
+    """The same from a table of counts by bucket, which is what a stream keeps."""
+    buckets = metrics.bucket_counts(t.table("fx_score").select(F.col("p").cast("double").alias("p"), "y"))
+    return metrics.confusion_counts(buckets.groupBy("bucket").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")))
 
 
 @query("IO33 WIN2", "select date_trunc('day', ts) as start_, event_type, cast(count(*) as bigint) as n, round(avg(value), 6) as mean from events group by 1, 2")

@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def confusion_counts(scores: DataFrame, steps: int = 200) -> DataFrame:
-    """Counts at steps + 1 thresholds of scores(p, y), batch or stream; each score meets each threshold once."""
-    k = F.explode(F.sequence(F.lit(0), F.lit(steps))).alias("k")
-    hit = F.col("p") >= F.col("k") / steps
-    one = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("long")
-    return scores.select("p", "y", k).groupBy("k").agg(one(hit & (F.col("y") == 1)).alias("tp"), one(hit & (F.col("y") == 0)).alias("fp"), one(~hit & (F.col("y") == 0)).alias("tn"), one(~hit & (F.col("y") == 1)).alias("fn"))
+def bucket_counts(scores: DataFrame, steps: int = 200) -> DataFrame:
+    """Scores(p, y) counted by the last of steps + 1 thresholds that they reach (-1: none), batch or stream: bucket, pos, neg."""
+    bucket = F.least(F.lit(steps), F.floor(F.col("p") * steps + 1e-9).cast("int"))  # scores a rounding below a threshold reach it
+    one = lambda y: F.sum(F.when(F.col("y") == y, 1).otherwise(0)).cast("long")
+    return scores.groupBy(F.greatest(F.lit(-1), bucket).alias("bucket")).agg(one(1).alias("pos"), one(0).alias("neg"))
+
+
+def confusion_counts(buckets: DataFrame, steps: int = 200) -> DataFrame:
+    """k, tp, fp, tn, fn at every threshold k / steps, from bucket_counts; all windows here hold steps + 2 rows."""
+    every = buckets.sparkSession.range(-1, steps + 1).select(F.col("id").cast("int").alias("k"))
+    got = every.join(buckets, F.col("k") == F.col("bucket"), "left").select("k", F.coalesce("pos", F.lit(0)).alias("pos"), F.coalesce("neg", F.lit(0)).alias("neg"))
+    up, all_ = Window.orderBy(F.desc("k")), Window.partitionBy()
+    got = got.select("k", F.sum("pos").over(up).alias("tp"), F.sum("neg").over(up).alias("fp"), F.sum("pos").over(all_).alias("p"), F.sum("neg").over(all_).alias("n"))
+    return got.where("k >= 0").select("k", "tp", "fp", (F.col("n") - F.col("fp")).alias("tn"), (F.col("p") - F.col("tp")).alias("fn"))
 
 
 def windowed(events: DataFrame, time: str, key: str, value: str, size: str = "1 day", late: str = "2 days") -> DataFrame:

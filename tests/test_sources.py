@@ -56,9 +56,9 @@ def test_stream_counts_equal_the_batch(spark, tmp_path):
     scores = spark.range(50).select(((F.col("id") * 7) % 10 / 10).alias("p"), (F.col("id") % 2).cast("int").alias("y"))
     scores.write.parquet(str(tmp_path / "s"))
     stream = spark.readStream.schema("p double, y int").parquet(str(tmp_path / "s"))
-    got = metrics.run_to_end(metrics.confusion_counts(stream, 10), "counts", "complete")
+    got = metrics.confusion_counts(metrics.run_to_end(metrics.bucket_counts(stream, 10), "counts", "complete"), 10)
     key = lambda df: sorted(map(tuple, df.collect()))
-    assert key(got) == key(metrics.confusion_counts(scores, 10))
+    assert key(got) == key(metrics.confusion_counts(metrics.bucket_counts(scores, 10), 10))
 
 
 def test_stream_windows(spark, tmp_path):
