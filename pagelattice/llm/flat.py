@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text worked on at once; a longer document is a piece of its own.
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 2 << 20
 _CHUNK = 1 << 17
 _R = np.uint64(0x9E3779B97F4A7C15)
 _RINV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))

@@ -36,8 +36,8 @@ from .neardup import distinct, minima, shingle_hashes
 HEADS = (3, 4, 5, 6)
 BITS = 18
 FAINT = 0.05
-#: Tokens of a long chain that are worked through as one of many stretches abreast.
-STRETCH = 256
+#: Chains of more than LONG tokens are worked through in stretches of so many, all abreast.
+LONG, STRETCH = 2048, 256
 _TOKEN = np.zeros(256, bool)
 _TOKEN[48:58] = _TOKEN[65:91] = _TOKEN[97:123] = _TOKEN[128:] = True
 
@@ -78,49 +78,51 @@ def _short_chains(e: np.ndarray, start: np.ndarray, length: np.ndarray, m: np.nd
         behind[at] = (m10 + m11 * nxt) / (m00 + m01 * nxt)
 
 
-def _long_chain(e: np.ndarray, m: np.ndarray, ahead: np.ndarray, behind: np.ndarray) -> None:
-    """The same for one long chain: products of 2 by 2 matrices over stretches, abreast, then a step a stretch, then all stretches abreast.
+def _long_chains(e: np.ndarray, start: np.ndarray, length: np.ndarray, m: np.ndarray, ahead: np.ndarray, behind: np.ndarray) -> None:
+    """The same for chains of many tokens: products of 2 by 2 matrices over the stretches of all chains abreast, then a step a stretch, then all stretches abreast.
 
     A step takes odds x to (c + d x) / (a + b x), whose matrices are positive; they are scaled as they are multiplied.
     """
     m00, m01, m10, m11 = m.ravel()
-
-    def sweep(a, b, c, d, first_odds: float) -> np.ndarray:
-        """Odds after every step, the steps' maps given in order."""
-        n = len(a)
-        rows = -(-n // STRETCH)
-        pad = rows * STRETCH - n  # steps that change nothing
-        one, none = np.ones(pad), np.zeros(pad)
-        a, b, c, d = (np.concatenate([x, y]).reshape(rows, STRETCH) for x, y in ((a, one), (b, none), (c, none), (d, one)))
-        pa_, pb, pc_, pd = (np.full(rows, x) for x in (1.0, 0.0, 0.0, 1.0))
+    rows = -(-(length - 1) // STRETCH)
+    chain = np.repeat(np.arange(len(start)), rows)
+    row = np.arange(len(chain)) - np.repeat(np.cumsum(rows) - rows, rows)
+    step = (row * STRETCH)[:, None] + np.arange(STRETCH)[None]
+    real = step < (length[chain] - 1)[:, None]  # the rest change nothing
+    step = np.where(real, step, 0)
+
+    def sweep(at: np.ndarray, swap: bool, first: np.ndarray) -> np.ndarray:
+        """Odds after every step; at: the token whose odds of emission the step takes."""
+        x = e[at]
+        a, d = np.where(real, m00, 1.0), np.where(real, m11 * x, 1.0)
+        b, c = (np.where(real, m01 * x, 0.0), np.where(real, m10, 0.0)) if swap else (np.where(real, m10, 0.0), np.where(real, m01 * x, 0.0))
+        whole = np.repeat(np.array([[1.0], [0.0], [0.0], [1.0]]), len(chain), axis=1)
         for k in range(STRETCH):
-            pa_, pb, pc_, pd = a[:, k] * pa_ + b[:, k] * pc_, a[:, k] * pb + b[:, k] * pd, c[:, k] * pa_ + d[:, k] * pc_, c[:, k] * pb + d[:, k] * pd
-            size = pa_ + pb + pc_ + pd
-            pa_, pb, pc_, pd = pa_ / size, pb / size, pc_ / size, pd / size
-        begin = np.empty(rows)
-        x = first_odds
-        for r in range(rows):
-            begin[r] = x
-            x = (pc_[r] + pd[r] * x) / (pa_[r] + pb[r] * x)
-        out, x = np.empty((rows, STRETCH)), begin
+            p, q, r, t = whole
+            whole = np.stack([a[:, k] * p + b[:, k] * r, a[:, k] * q + b[:, k] * t, c[:, k] * p + d[:, k] * r, c[:, k] * q + d[:, k] * t])
+            whole /= whole.sum(axis=0)
+        begin, now = np.empty(len(chain)), 0.0
+        for k, (p, q, r, t, new, own) in enumerate(zip(*whole.tolist(), (row == 0).tolist(), first[chain].tolist(), strict=True)):
+            begin[k] = now = own if new else now
+            now = (r + t * now) / (p + q * now)
+        out, now = np.empty(a.shape), begin
         for k in range(STRETCH):
-            out[:, k] = x = (c[:, k] + d[:, k] * x) / (a[:, k] + b[:, k] * x)
-        return out.ravel()[:n]
+            out[:, k] = now = (c[:, k] + d[:, k] * now) / (a[:, k] + b[:, k] * now)
+        return out[real]
 
-    flat_ = np.ones(len(e) - 1)
-    ahead[0] = e[0]
-    ahead[1:] = sweep(m00 * flat_, m10 * flat_, m01 * e[1:], m11 * e[1:], float(e[0]))
-    later = e[:0:-1]  # backward: x_t = (m10 + m11 e x) / (m00 + m01 e x)
-    behind[-1] = 1.0
-    behind[-2::-1] = sweep(m00 * flat_, m01 * later, m10 * flat_, m11 * later, 1.0)
+    forward = (start[chain] + 1)[:, None] + step
+    ahead[start] = e[start]
+    ahead[forward[real]] = sweep(forward, False, e[start])
+    backward = (start[chain] + length[chain] - 1)[:, None] - step  # x_t = (m10 + m11 e x) / (m00 + m01 e x), of the token behind
+    behind[backward[real] - 1] = sweep(backward, True, np.ones(len(start)))
 
 
-def marginals(emit: np.ndarray, first: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, float, np.ndarray]:
+def marginals(emit: np.ndarray, first: np.ndarray, moves: np.ndarray, counts: bool = True) -> tuple[np.ndarray, float, np.ndarray]:
     """Forward-backward over chains laid end to end.
 
     emit: log odds of the toxic state at each token.  Returns the toxic
-    marginals, the sum of the log partition functions, and the expected
-    counts of moves.
+    marginals and, if counts, the sum of the log partition functions and the expected
+    counts of moves (else 0).
     """
     n = np.diff(first)
     p, expected, z = np.zeros(len(emit)), np.zeros((2, 2)), 0.0
@@ -130,12 +132,13 @@ def marginals(emit: np.ndarray, first: np.ndarray, moves: np.ndarray) -> tuple[n
     m = np.exp(moves - top)
     e = np.exp(np.clip(emit, -40, 40))
     ahead, behind = np.empty(len(emit)), np.ones(len(emit))
-    long = np.flatnonzero(n > 4 * STRETCH)
-    for c in long.tolist():
-        _long_chain(e[first[c] : first[c + 1]], m, ahead[first[c] : first[c + 1]], behind[first[c] : first[c + 1]])
-    short = np.flatnonzero((n > 0) & (n <= 4 * STRETCH))
-    if len(short):
-        _short_chains(e, first[:-1][short], n[short], m, ahead, behind)
+    for chosen, run in ((n > LONG, _long_chains), ((n > 0) & (n <= LONG), _short_chains)):
+        if chosen.any():
+            run(e, first[:-1][chosen], n[chosen], m, ahead, behind)
+    both = ahead * behind
+    p = both / (1 + both)
+    if not counts:
+        return p, z, expected
     start = first[:-1][n > 0]
     inner = np.ones(len(emit), bool)
     inner[start] = False
@@ -145,8 +148,6 @@ def marginals(emit: np.ndarray, first: np.ndarray, moves: np.ndarray) -> tuple[n
     if len(at):
         f = ahead[at - 1]
         z += float((np.log(m00 + f * m10 + (m01 + f * m11) * e[at]) - np.log1p(f)).sum()) + len(at) * top
-    both = ahead * behind
-    p = both / (1 + both)
     if len(at):  # joint of neighbours
         f, g = ahead[at - 1], e[at] * behind[at]
         joint = np.stack([np.full(len(at), m00), m01 * g, f * m10, f * m11 * g])
@@ -255,7 +256,7 @@ def _scored(texts: pa.Array, m: Model) -> tuple:
     emit = np.full(len(starts), m.bias)
     for row in forms:
         emit += m.weights[buckets(row)]
-    p, _, _ = marginals(emit, first, m.moves)
+    p, _, _ = marginals(emit, first, m.moves, counts=False)
     return 1 / (1 + np.exp(-np.clip(summary(p, first) @ m.head, -40, 40))), data, starts, ends, first, p
 
 

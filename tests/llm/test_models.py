@@ -42,13 +42,13 @@ def test_long_chains_like_short_ones(monkeypatch):
     rng = np.random.default_rng(5)
     moves, first = 2 * rng.normal(size=(2, 2)), np.array([0, 0, 3000, 3001, 7097, 7100])
     emit = rng.normal(size=7100) * 6
-    want = toxicity.marginals(emit, first, moves)
-    monkeypatch.setattr(toxicity, "STRETCH", 16)
-    got = toxicity.marginals(emit, first, moves)
-    monkeypatch.setattr(toxicity, "STRETCH", 1 << 20)
-    plain = toxicity.marginals(emit, first, moves)
-    for x in (want, got):
-        assert np.allclose(x[0], plain[0], atol=1e-9) and np.isclose(x[1], plain[1]) and np.allclose(x[2], plain[2])
+    plain = toxicity.marginals(emit, first, moves)  # the chain of 3,000 and that of 4,096 are long
+    for long, stretch in ((10**9, 256), (100, 16), (2, 7), (2048, 4096)):
+        monkeypatch.setattr(toxicity, "LONG", long)
+        monkeypatch.setattr(toxicity, "STRETCH", stretch)
+        got = toxicity.marginals(emit, first, moves)
+        assert np.allclose(got[0], plain[0], atol=1e-9) and np.isclose(got[1], plain[1]) and np.allclose(got[2], plain[2])
+        assert np.array_equal(toxicity.marginals(emit, first, moves, counts=False)[0], got[0])
 
 
 def test_toxic_words_are_found(spark):
