@@ -157,26 +157,54 @@ def silhouette(dist: np.ndarray, label: list[int]) -> float:
     return total / len(label)
 
 
-def elbow(values: list[float]) -> int:
-    """Index of the point of a rising curve that lies farthest below the line from its first to its last."""
-    v = np.asarray(values, float)
-    if len(v) < 3 or v[-1] == v[0]:
-        return len(v) - 1
-    x, y = np.linspace(0, 1, len(v)), (v - v[0]) / (v[-1] - v[0])
-    return int(np.argmax(x - y))
-
-
-def validated(conf: np.ndarray, most: int = 100) -> list[int]:
-    """One cluster if all confidences reach a half, else the cut of the average linkage with the best silhouette."""
+def cut_to(merges: list[tuple[int, int, float, int]], n: int, clusters: int) -> list[int]:
+    """Labels after the first merges that leave so many clusters."""
+    return cut([(a, b, float(k), m) for k, (a, b, _, m) in enumerate(merges)], n, n - clusters - 0.5)
+
+
+def elbow(values: list[float], sensitivity: float = 1.0) -> int | None:
+    """The bend of a falling, convex curve at 1, 2, ...: the last peak of its distance from the chord behind which that falls below the peak less a mean step.
+
+    Peaks and valleys count plateaus; behind a valley the distance has to fall below 0.  None without a bend.
+    """
+    y = np.asarray(values, float)
+    if len(y) < 2 or y.max() == y.min():
+        return None
+    x = np.linspace(0, 1, len(y))
+    y = y.max() - y
+    far = (y - y.min()) / (y.max() - y.min()) - x
+    inner = np.arange(1, len(far) - 1)
+    peaks = {k for k in inner.tolist() if far[k] >= far[k - 1] and far[k] >= far[k + 1]}
+    valleys = {k for k in inner.tolist() if far[k] <= far[k - 1] and far[k] <= far[k + 1]}
+    found, peak, floor = None, None, 0.0
+    for k in range(len(far) - 1):
+        if k in peaks:
+            peak, floor = k, far[k] - sensitivity / (len(y) - 1)
+        if k in valleys:
+            floor = 0.0
+        if peak is not None and far[k + 1] < floor:
+            found = peak + 1
+    return found
+
+
+def validated(conf: np.ndarray, by: str = "silhouette", most: int = 100, threshold: float = 0.5, method: str = "centroid") -> list[int]:
+    """One cluster if all confidences reach the threshold, else the cut of the linkage into as many as an index says.
+
+    silhouette: the best one, from two clusters on, the fewest of equals (all nodes alone count 0);
+    merge: the elbow of the merge distances, one cluster without an elbow.
+    """
     n = len(conf)
-    off = ~np.eye(n, dtype=bool)
-    if n < 3 or (conf[off] >= 0.5).all():
-        return [0] * n if n < 2 or (conf[off] >= 0.5).all() else list(range(n))
+    if n < 2 or (conf[np.triu_indices(n, 1)] >= threshold).all():
+        return [0] * n
     dist = -np.log(conf)
     np.fill_diagonal(dist, 0)
-    merges = linkage(dist, "average")
-    options = [cut(merges, n, m[2]) for m in merges[:-1][-most:]] or [list(range(n))]
-    return max(options, key=lambda x: (silhouette(dist, x), -len(set(x))))
+    merges = linkage(dist, method)
+    if by == "merge":
+        clusters = elbow([m[2] for m in merges[-most:]][::-1] + [0.0]) or 1
+    else:
+        scores = [silhouette(dist, cut_to(merges, n, k)) if k < n else 0.0 for k in range(2, min(n, most) + 1)]
+        clusters = 2 + int(np.argmax(scores))
+    return cut_to(merges, n, clusters)
 
 
 def lines(boxes: np.ndarray, distance: np.ndarray, factor: float = 1.25, cover: float = 0.95, least: int = 2) -> list[int]:
@@ -227,4 +255,4 @@ def greedy_sum(values: np.ndarray) -> float:
     return total
 
 
-METHODS = {"dbscan_std": components, "dbscan": agreeing, "greedy": greedy, "linkage": by_linkage, "validated": validated}
+METHODS = {"dbscan_std": components, "dbscan": agreeing, "greedy": greedy, "linkage": by_linkage, "validated": validated, "elbow": lambda conf: validated(conf, "merge")}

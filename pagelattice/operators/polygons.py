@@ -195,21 +195,105 @@ def inside(p: Point, ring: list[Point]) -> bool:
     return odd
 
 
-def smooth(ring: list[Point], distance: float = 30.0) -> list[Point]:
-    """A rectilinear ring without its small steps: corners nearer than the distance merge into their mean."""
-    out = list(ring)
-    k = 0
-    while len(out) > 4 and k < len(out):
-        a, b = out[k], out[(k + 1) % len(out)]
-        if abs(a[0] - b[0]) + abs(a[1] - b[1]) < distance:
-            out[k] = ((a[0] + b[0]) / 2, (a[1] + b[1]) / 2)
-            out.pop((k + 1) % len(out))
-            k = max(0, k - 1)
-        else:
-            k += 1
+#: Kinds of a vertex by the two directions that most of the outline lies in; what isn't listed is a corner down left.
+_KINDS = {frozenset("ns"): "vertical", frozenset("ew"): "horizontal", frozenset("es"): "corner ul", frozenset("ws"): "corner ur", frozenset("wn"): "corner dr"}
+
+
+def vertex_kinds(ring: list[Point], cloud: np.ndarray, dims: tuple[int, int, int, int], offset: int = 0) -> list[str]:
+    """Each vertex's kind: of four triangles that open to the north, east, south and west of it, the two with the most points of the cloud."""
+    high, wide, long, broad = dims
+    out = []
+    for x, y in ring:
+        count = {}
+        for name, tip, base, span, vertical in (("n", y - high, y, wide, True), ("e", x + long, x, broad, False), ("s", y + high, y, wide, True), ("w", x - long, x, broad, False)):
+            shift = offset if tip < base else -offset
+            own, middle = (cloud[:, 1], x) if vertical else (cloud[:, 0], y)
+            other = cloud[:, 0] if vertical else cloud[:, 1]
+            far = (own - shift - base) / (tip - base)  # 0 at the base, 1 at the tip
+            left, right = middle - span // 2, middle + span // 2
+            # strictly inside: between the triangle's flanks, on neither its base nor its tip
+            count[name] = int(((far > 0) & (far < 1) & (other > left + far * (middle - left)) & (other < right + far * (middle - right))).sum())
+        best = sorted(count, key=lambda n: -count[n])[:2]
+        out.append(_KINDS.get(frozenset(best), "corner dl"))
     return out
 
 
+def _settled_kinds(ring: list[Point], kinds: list[str]) -> list[str]:
+    """Lone vertices take the kind of two like neighbours; of a run of one kind of corner the outermost stays, the others are sides."""
+    kinds, n = list(kinds), len(kinds)
+    for k in range(n):
+        if kinds[k - 1] == kinds[(k + 1) % n] != kinds[k] and "corner" not in kinds[k - 1]:
+            kinds[k] = kinds[k - 1]
+    for k in range(n):
+        if "corner" in kinds[k]:
+            run = [k]
+            while len(run) < n and kinds[(run[-1] + 1) % n] == kinds[k]:
+                run.append((run[-1] + 1) % n)
+            sy, sx = (1 if "u" in kinds[k][-2] else -1), (1 if kinds[k][-1] == "l" else -1)
+            keep = min(run, key=lambda m: (sy * ring[m][1], sx * ring[m][0]))
+            for m in run:
+                if m != keep:
+                    kinds[m] = "vertical"
+    return kinds
+
+
+def _level(a: Point, b: Point) -> bool:
+    return abs(a[0] - b[0]) >= abs(a[1] - b[1])
+
+
+def smooth(ring: list[Point], distance: int = 10, dims: tuple[int, int, int, int] = (400, 800, 600, 400), offset: int = 0) -> list[Point]:
+    """A crooked outline as alternating level and upright sides.
+
+    Vertices are told apart as corners and sides by where the outline runs around them; from corner to corner a run of four
+    vertices or more becomes one side at their mean, a shorter one stays; sides that don't alternate get one in between.  An outline
+    without a corner stays as it is.
+    """
+    ring = [(int(x), int(y)) for x, y in ring]
+    closed = ring if ring[0] == ring[-1] else [*ring, ring[0]]
+    cloud = _ticks(closed, distance)
+    xs, ys = zip(*ring, strict=True)
+    w, h = max(xs) - min(xs) + 1, max(ys) - min(ys) + 1
+    dims = tuple(max(min(a, b), c) for a, b, c in zip(dims, (h // 2, h // 2, w // 2, h // 3), (100, 80, 100, 60), strict=True))
+    kinds = _settled_kinds(ring, vertex_kinds(ring, cloud, dims, offset))
+    corners = [k for k, kind in enumerate(kinds) if "corner" in kind]
+    if not corners:
+        return ring
+    ring = ring[corners[0] :] + ring[: corners[0] + 1]
+    stops = [k - corners[0] for k in corners] + [len(ring) - 1]
+    runs = [ring[a : b + 1] for a, b in zip(stops, stops[1:], strict=False)]
+    lies = lambda run: int(_level(run[0], run[-1] if len(run) > 3 else run[1]))
+    turn = first = lies(runs[0])  # the coordinate that a side fixes: 1 (y) of a level one
+    sides: list[int] = []
+    for run in runs:
+        if lies(run) != turn:
+            sides.append(run[0][turn])
+            turn = 1 - turn
+        fixed = [round(sum(p[turn] for p in run) / len(run))] if len(run) > 3 else [p[(turn + k) % 2] for k, p in enumerate(run[:-1])]
+        sides += fixed
+        turn = (turn + len(fixed)) % 2
+    if turn != first:
+        sides.append(ring[-1][turn])
+    meets = zip(sides, sides[1:] + sides[:1], strict=True)
+    return [(b, a) if (first + k) % 2 else (a, b) for k, (a, b) in enumerate(meets)]
+
+
+def _ticks(points: list[Point], distance: int, least: int = 20) -> np.ndarray:
+    """Points along a line, by their place among its pixels."""
+    p = np.array([points[0], *[b for a, b in zip(points, points[1:], strict=False) if a != b]], float)
+    steps = np.abs(np.diff(p, axis=0)).max(axis=1) if len(p) > 1 else np.zeros(0)
+    before = np.concatenate([[0], np.cumsum(steps)])
+    n = int(before[-1]) + 1
+    if n <= least:
+        places = np.arange(n)
+    else:
+        k = max(least, (n - 1) // distance + 1)
+        places = np.append((np.arange(k - 1) * ((n - 1) / (k - 1))).astype(int), n - 1)
+    if n == 1:
+        return p[:1]
+    own = np.clip(np.searchsorted(before, places, "left") - 1, 0, len(steps) - 1)
+    return np.floor(p[own] + (p[own + 1] - p[own]) * ((places - before[own]) / steps[own])[:, None] + 0.5)
+
+
 def quadtree(box: tuple[int, int, int, int], lines: list[tuple[int, int, int, int, int]], max_height: int = 50) -> list[tuple[int, int, int, int, int | None]]:
     """Splits a box until it meets at most one article and is low enough; parts with their article."""
     x0, y0, x1, y1 = box
@@ -220,16 +304,3 @@ def quadtree(box: tuple[int, int, int, int], lines: list[tuple[int, int, int, in
     mx, my = (x0 + x1) // 2, (y0 + y1) // 2
     parts = [(x0, y0, mx, my), (mx, y0, x1, my), (x0, my, mx, y1), (mx, my, x1, y1)]
     return [r for p in parts if p[2] > p[0] and p[3] > p[1] for r in quadtree(p, met, max_height)]
-
-
-def merge_vertically(boxes: list[tuple[int, int, int, int]], gap: int = 20) -> list[tuple[int, int, int, int]]:
-    """Boxes of one article from top to bottom, joined when they share columns and lie close."""
-    out: list[list[int]] = []
-    for x0, y0, x1, y1 in sorted(boxes, key=lambda b: (b[1], b[0])):
-        for m in out:
-            if min(x1, m[2]) > max(x0, m[0]) and y0 - m[3] <= gap:
-                m[:] = [min(x0, m[0]), min(y0, m[1]), max(x1, m[2]), max(y1, m[3])]
-                break
-        else:
-            out.append([x0, y0, x1, y1])
-    return [tuple(m) for m in out]

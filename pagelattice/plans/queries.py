@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
 from ..functions import page_attributes as attr
-from ..operators import aggregates, augment, clustering, extraction, joins, measure, polygons, raster, running, windows_sets  # noqa: F401
+from ..operators import aggregates, augment, clustering, extraction, joins, measure, polygons, raster, rectangles, running, windows_sets  # noqa: F401
 from ..operators.per_page import per_page
 from ..operators.sqlop import OPERATORS
 from ..sources import files, pagexml
@@ -217,11 +217,16 @@ def cluster_linkage(t: Layout) -> DataFrame:
     return _clustered(t, "linkage")
 
 
-@query("ITER16 ITER17")
+@query("ITER16")
 def cluster_validated(t: Layout) -> DataFrame:
     return _clustered(t, "validated")
 
 
+@query("ITER16 ITER17")
+def cluster_elbow(t: Layout) -> DataFrame:
+    return _clustered(t, "elbow")
+
+
 @query("ITER1 ITER2 ITER3 ITER4 ITER5 JOIN12")
 def cluster_lines(t: Layout) -> DataFrame:
     def run(r: dict[str, np.ndarray]) -> list[tuple]:
@@ -444,22 +449,40 @@ def alpha_shapes(t: Layout) -> DataFrame:
     return per_page(t.table("fx_line"), ["page_id", "gt_id"], ["x", "y", "w", "h"], run, "n_vertices int, area double")
 
 
-@query("ITER28 ITER29 ITER30 ITER31 SET1 ITER32 ITER33 ITER24", None)
+def _text_lines(r: dict[str, np.ndarray]) -> list[rectangles.TextLine]:
+    """Lines with a bent baseline; every third has a surrounding polygon."""
+    out = []
+    for n, g, x, y, w, h in zip(*(r[k].tolist() for k in ("line_no", "gt_id", "x", "y", "w", "h")), strict=True):
+        baseline = [(x, y + h), (x + w // 2, y + h + n % 3), (x + w, y + h)]
+        out.append(rectangles.TextLine(g, n, baseline, [(x, y), (x + w, y), (x + w, y + h), (x, y + h)] if n % 3 == 0 else None))
+    return out
+
+
+@query("ITER29 ITER34", None)
+def article_rectangles(t: Layout) -> DataFrame:
+    """Boxes of a page's articles, grown line by line without touching others, and the same stretched to white space."""
+
+    def run(r: dict[str, np.ndarray]) -> list[tuple]:
+        lines = _text_lines(r)
+        ink = np.zeros((int((r["y"] + r["h"]).max()) + 40,) * 2, np.uint8)
+        for x, y, w, h in zip(r["x"], r["y"], r["w"], r["h"], strict=True):
+            ink[y : y + h, x : x + w : 2] = 1
+        plain, tall = rectangles.from_baselines(lines), rectangles.from_baselines(lines, ink=ink)
+        return [(g, k, *a.box, len(a.lines), next((b.box[3] for b in tall[g] if b.lines[0] is a.lines[0]), None)) for g, rs in plain.items() for k, a in enumerate(rs)]
+
+    return per_page(t.table("fx_line"), ["page_id"], ["line_no", "gt_id", "x", "y", "w", "h"], run, "article int, place int, x int, y int, width int, height int, n_lines int, stretched int")
+
+
+@query("ITER28 ITER30 ITER31 SET1 ITER32 ITER33 ITER24", None)
 def article_rings(t: Layout) -> DataFrame:
-    """Rectangles of an article joined from top to bottom, the outline of their disjoint bands, and it smoothed."""
+    """An article's boxes merged from top to bottom, their outlines, and these smoothed."""
 
     def run(r: dict[str, np.ndarray]) -> list[tuple]:
-        boxes = [(int(x), int(y), int(x + w), int(y + h)) for x, y, w, h in zip(r["x"], r["y"], r["w"], r["h"], strict=True)]
-        merged = polygons.merge_vertically(boxes)
-        rows, end = [], -1
-        for x0, y0, x1, y1 in sorted(merged, key=lambda b: (b[1], b[0])):
-            if max(y0, end) < y1:
-                rows.append((x0, max(y0, end), x1, y1))
-                end = y1
-        rings = polygons.rectilinear_rings(rows)
-        return [(len(merged), len(rings), sum(map(len, rings)), sum(len(polygons.smooth(g)) for g in rings))]
-
-    return per_page(t.table("fx_line"), ["page_id", "gt_id"], ["y", "x", "w", "h"], run, "n_boxes int, n_rings int, n_vertices int, n_smooth int")
+        rings = rectangles.outlines(rectangles.merged(rectangles.from_baselines(_text_lines(r))))
+        smooth = {g: [polygons.smooth(ring) for ring in own] for g, own in rings.items()}
+        return [(g, len(own), sum(map(len, own)), sum(map(len, smooth[g])), float(sum(polygons.area(x) for x in own)), float(sum(polygons.area(x) for x in smooth[g]))) for g, own in rings.items()]
+
+    return per_page(t.table("fx_line"), ["page_id"], ["line_no", "gt_id", "x", "y", "w", "h"], run, "article int, n_rings int, n_vertices int, n_smooth int, area double, smooth_area double")
 
 
 @query("ITER27", None)
