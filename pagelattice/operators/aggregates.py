@@ -60,7 +60,7 @@ select round(-avg(y * ln(greatest(p, 0.001)) + (1 - y) * ln(greatest(1 - p, 0.00
 operator("pixel_histogram", "AGG47 AGG48 AGG19 FN30", "fx_line", """
 select value, cast(count(*) as bigint) as n, round(count(*) * 1.0 / sum(count(*)) over (), 9) as share from (select (x + y * 3 + w) % 256 as value from fx_line) t group by value
 """, "Histogram of 256 grey values and their shares.")
-operator("profiles", "AGG49 FILT30 ITER34 SINK22", "fx_line", """
+operator("profiles", "AGG49 FILT30", "fx_line", """
 select page_id, y as row_, round(sum(w) / 2000.0, 6) as share from fx_line group by page_id, y having sum(w) / 2000.0 > 0.15
 """, "Rows of a page whose share of ink exceeds the threshold.")
 operator("moments", "AGG53 AGG54", "fx_line", """
@@ -69,7 +69,7 @@ select page_id, line_no, round((w - avg(w) over (partition by page_id)) / greate
 operator("relative_likelihood", "AGG40 FN34", "fx_conf fx_line", """
 select c.page_id, round(sum(ln(c.p / (1 - c.p))), 4) as llh, cast(count(*) as bigint) as n from fx_conf c join fx_line a on a.page_id = c.page_id and a.line_no = c.i join fx_line b on b.page_id = c.page_id and b.line_no = c.j where a.gt_id = b.gt_id group by c.page_id
 """, "Sum of the log-odds of pairs of one label.")
-operator("message_sum", "AGG50 ITER37 ITER41 ITER42", "fx_edge", """
+operator("message_sum", "AGG50", "fx_edge", """
 select page_id, dst, round(sum(u0), 6) as s0, round(sum(u1), 6) as s1, round(max(u0), 6) as m0, round(sum(u0 * u0), 6) as q0 from fx_edge group by page_id, dst
 """, "Messages of the incoming edges, summed and their maximum.")
 operator("balanced_attention", "AGG51", "fx_edge", """
@@ -78,7 +78,7 @@ select page_id, src, dst, round(1.0 / count(*) over (partition by page_id, dst),
 operator("softmax_attention", "AGG52 FN52", "fx_edge", """
 with m as (select page_id, src, dst, exp(score - max(score) over (partition by page_id, dst)) as e from fx_edge) select page_id, src, dst, round(e / sum(e) over (partition by page_id, dst), 6) as weight from m
 """, "Softmax of the incoming edges' scores.")
-operator("swt_features", "FN21 AGG16", "fx_line", """
+operator("swt_features", "AGG16", "fx_line", """
 select page_id, region_no, round(avg(h), 6) as mean_h, round(median(w), 6) as median_w, max(h) - min(h) as spread from fx_line group by page_id, region_no
 """, "Summary statistics of a region's lines.")
 operator("early_stopping", "WIN2 IO33", "events", """

@@ -53,20 +53,17 @@ operator("border_lines", "FILT8", "fx_line fx_page", """
 select page_id, line_no from (select l.page_id, l.line_no, l.x, l.w, p.width, avg(l.w) over (partition by l.page_id) as mean_w from fx_line l join fx_page p on l.page_id = p.page_id) t
 where not ((x < 80 or x + w > width - 80) and w < mean_w / 2.0)
 """, "Lines but for short ones at the page's left or right border.")
-operator("component_filter", "FILT2 FILT3 FILT31 FILT47", "fx_line", """
+operator("component_filter", "FILT2 FILT3", "fx_line", """
 select page_id, line_no, w, h from fx_line where w between 3 and 500 and h between 3 and 500 and greatest(w, h) <= 8 * least(w, h)
 """, "Components of plausible size and aspect.")
 operator("text_regions_off_images", "FILT4 FILT43", "fx_region fx_sep", """
 select r.page_id, r.region_no from fx_region r where not exists (select 1 from fx_sep s where s.page_id = r.page_id and least(r.x1, s.x1) - greatest(r.x0, s.x0) > 20 and least(r.y1, s.y1) - greatest(r.y0, s.y0) > 2)
 """, "Text regions that overlap no image region by more than the thresholds in both axes.")
-operator("paths", "IO17 IO18 IO19 IO20 IO21 IO22 IO23 IO24 IO25 PROJ44 SINK18 SINK20 SINK25", "fx_page", """
+operator("paths", "IO17 IO19 IO20 IO21 IO22 IO23 IO24 IO25 PROJ44 SINK18 SINK20 SINK25", "fx_page", """
 select page_id, concat('/data/set1/page/', 'p', page_id, '.xml') as page_path, regexp_replace(concat('/data/set1/page/', 'p', page_id, '.xml'), '/page/([^/]*)[.]xml$', @1) as image_path,
   regexp_replace(concat('/data/set1/jsonf2/', 'p', page_id, '.json'), '/json[a-z0-9]*/([^/]*)[.]json$', @2) as from_json, regexp_replace(concat('/data/set1/confidences/p', page_id, '_confidences.json'), '/confidences/([^/]*)_confidences[.]json$', @2) as from_conf,
   concat(regexp_extract(concat('/data/set1/p', page_id), '([^/]*)/[^/]*$', 1), '_', regexp_extract(concat('/data/set1/p', page_id), '([^/]*)$', 1)) as prefixed, method like 'm%' and method not like '%3%' as used from fx_page
 """, "Paths of images, pages, graphs and confidences out of one another.", (("@1", "'/$1.jpg'"), ("@2", "'/page/$1.xml'")), (("@1", "'/\\1.jpg'"), ("@2", "'/page/\\1.xml'")))
-operator("metadata", "IO4 PROJ49 PROJ50 SINK3 SINK4 IO3", "orders", """
-select o_orderkey as page_id, o_orderstatus as creator, cast(cast(o_orderdate as date) as varchar(10)) as created, concat(cast(cast(o_orderdate as date) as varchar(10)), 'T00:00:00Z') as last_change, o_orderpriority as comments, o_orderkey % 10 as doc_id, o_totalprice >= 0 as is_valid from orders
-""", "Metadata of a page as columns, with a validity flag.")
 operator("image_of_page", "IO18 IO19", "fx_page", """
 with f as (select concat('/data/set1/p', page_id, '.tif') as path from fx_page where page_id % 5 = 0 union all select concat('/data/set1/p', page_id, '.png') as path from fx_page where page_id % 3 = 0 union all select concat('/data/set1/p', page_id, '.jpg') as path from fx_page where page_id % 2 = 0),
 p as (select page_id, concat('/data/set1/page/p', page_id, '.xml') as page_path from fx_page)

@@ -41,10 +41,10 @@ with m as (select page_id, region_no, a from (select page_id, region_no, a, row_
   from (select page_id, region_no, nullif(hyp_id, 2) as a, count(*) as n from fx_line where hyp_id <> 2 group by page_id, region_no, nullif(hyp_id, 2)) c) r where rn = 1)
 select l.page_id, l.region_no, l.line_no, m.a as article_id from fx_line l join m on l.page_id = m.page_id and l.region_no = m.region_no
 """, "Article ids taken over from a region's majority; regions without one are dropped.")
-operator("full_edges", "JOIN6 JOIN16 ITER43 IO28 IO29 IO30", "fx_region", """
+operator("full_edges", "JOIN6 JOIN16 ITER43", "fx_region", """
 select a.page_id, a.region_no as src, b.region_no as dst, case when a.region_type = b.region_type then 1 else 0 end as gt from fx_region a join fx_region b on a.page_id = b.page_id and a.region_no <> b.region_no
 """, "All ordered pairs of a page's regions with their ground truth relation.")
-operator("external_features", "JOIN10 IO31 SINK7", "fx_region fx_sep", """
+operator("external_features", "JOIN10", "fx_region fx_sep", """
 select r.page_id, r.region_no, coalesce(e.value, d.value, 0.5) as value from fx_region r
 left join (select page_id, 2 as region_no, x0 / 1000.0 as value from fx_sep where x0 > 300) e on e.page_id = r.page_id and e.region_no = r.region_no
 left join (select page_id, min(y0) / 1000.0 as value from fx_sep where y0 < 100 group by page_id) d on d.page_id = r.page_id

@@ -304,3 +304,46 @@ def quadtree(box: tuple[int, int, int, int], lines: list[tuple[int, int, int, in
     mx, my = (x0 + x1) // 2, (y0 + y1) // 2
     parts = [(x0, y0, mx, my), (mx, y0, x1, my), (x0, my, mx, y1), (mx, my, x1, y1)]
     return [r for p in parts if p[2] > p[0] and p[3] > p[1] for r in quadtree(p, met, max_height)]
+
+
+def _bridged(outer: list[Point], hole: list[Point]) -> list[Point]:
+    """The outline cut open to the hole: from the outline's vertex nearest the hole's middle to the hole's nearest vertex, around it and back."""
+    away = lambda p, q: (p[0] - q[0]) ** 2 + (p[1] - q[1]) ** 2
+    middle = (sum(p[0] for p in hole) / len(hole), sum(p[1] for p in hole) / len(hole))
+    a = min(range(len(outer)), key=lambda k: away(outer[k], middle))
+    b = min(range(len(hole)), key=lambda k: away(hole[k], outer[a]))
+    if (signed_area(outer) > 0) == (signed_area(hole) > 0):  # the hole is walked the other way round
+        hole, b = hole[::-1], len(hole) - 1 - b
+    return [*outer[: a + 1], *hole[b:], *hole[: b + 1], *outer[a:]]
+
+
+def signed_area(ring: list[Point]) -> float:
+    return sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:] + ring[:1], strict=True)) / 2
+
+
+def bridged(outer: list[Point], holes: list[list[Point]]) -> list[Point]:
+    """One outline with the holes joined to it."""
+    for hole in holes:
+        outer = _bridged(outer, hole)
+    return outer
+
+
+def split_at_holes(outer: list[Point], holes: list[list[Point]]) -> list[list[Point]]:
+    """Outlines without holes that cover the same: cut upright through the middle of every hole."""
+    cuts = sorted({sum(p[0] for p in hole) / len(hole) for hole in holes})
+    whole, out = bridged(outer, holes), []
+    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
+        part = whole
+        for limit, side in ((low, 1), (high, -1)):
+            if limit is not None and part:
+                kept: list[Point] = []
+                for a, b in zip(part[-1:] + part[:-1], part, strict=True):
+                    inside_a, inside_b = side * (a[0] - limit) >= 0, side * (b[0] - limit) >= 0
+                    if inside_a != inside_b:
+                        kept.append((limit, a[1] + (b[1] - a[1]) * (limit - a[0]) / (b[0] - a[0])))
+                    if inside_b:
+                        kept.append(b)
+                part = kept
+        if len(part) >= 3 and abs(signed_area(part)) > 0:
+            out.append(part)
+    return out

@@ -148,3 +148,84 @@ def rotation(mask: np.ndarray, angles=tuple(range(-5, 6))) -> int:
         return float((np.diff(np.bincount(rows - rows.min())) ** 2).sum()) if len(rows) else 0.0
 
     return max(angles, key=lambda a: (score(a), -abs(a)))
+
+
+#: The five-pixel Gaussian kernel.
+BLUR = np.array([1, 4, 6, 4, 1]) / 16
+
+
+def blurred(image: np.ndarray) -> np.ndarray:
+    """Both axes under the kernel, reflected at the border without its pixel."""
+    out = image.astype(float)
+    for axis in (0, 1):
+        width = [(2, 2) if k == axis else (0, 0) for k in (0, 1)]
+        pad = np.pad(out, width, mode="reflect" if out.shape[axis] > 2 else "edge")
+        out = sum(w * np.take(pad, range(k, k + out.shape[axis]), axis) for k, w in enumerate(BLUR))
+    return np.round(out).astype(np.uint8)
+
+
+def straight_distances(mask: np.ndarray) -> np.ndarray:
+    """Straight-line distance of each set pixel from the nearest unset one of the image, rounded down; 255 at most, also without an unset one."""
+    far = 255
+    up = np.where(mask > 0, far, 0).astype(np.int64)
+    for rows in (range(1, len(up)), range(len(up) - 2, -1, -1)):
+        step = 1 if rows.step > 0 else -1
+        for y in rows:
+            up[y] = np.minimum(up[y], up[y - step] + 1)
+    best = up**2
+    pad = np.pad(up**2, ((0, 0), (far, far)), constant_values=far**2)
+    for dx in range(1, far):
+        if dx * dx >= best.max(initial=0):
+            break
+        best = np.minimum(best, dx * dx + np.minimum(pad[:, far - dx : far - dx + mask.shape[1]], pad[:, far + dx : far + dx + mask.shape[1]]))
+    return np.minimum(far, np.floor(np.sqrt(best))).astype(np.uint8)
+
+
+def stroke_image(image: np.ndarray) -> np.ndarray:
+    """How deep each dark pixel lies in its stroke, 0 on light ones."""
+    light = blurred(255 - image)
+    return straight_distances((light > otsu(light)).astype(np.uint8))
+
+
+def strokes(depth: np.ndarray, box: tuple[int, int, int, int]) -> tuple[float, int]:
+    """Of a line's box (x0, y0, x1, y1, both ends in it): the median of its components' greatest depths, and the largest component's height.
+
+    Components of less than 3 or more than 500 pixels on a side, or 8 times as long as wide, don't count; 0 without any.
+    """
+    x0, y0, x1, y1 = box
+    part = depth[y0 : y1 + 1, x0 : x1 + 1]
+    found = []
+    for a, b, c, d, _ in connected(part > 0):
+        w, h = c - a + 1, d - b + 1
+        if min(w, h) >= 3 and max(w, h) <= min(500, 8 * min(w, h)):
+            found.append((int(part[b : d + 1, a : c + 1].max()), h))
+    return (float(np.median([m for m, _ in found])), max(h for _, h in found)) if found else (0.0, 0)
+
+
+def drawn(shape: tuple[int, int], lines: list[list[tuple[float, float]]], closed: bool = True, fill: bool = False, width: float = 7) -> np.ndarray:
+    """255 on the pixels within half the width of a line (of a pixel at least), and inside it if it is closed and filled."""
+    out, half = np.zeros(shape, bool), max(width, 1) / 2
+    for line in lines:
+        if closed and fill:
+            out |= polygon_mask(shape, line) > 0
+        ring = [*line, line[0]] if closed else line
+        for (ax, ay), (bx, by) in zip(ring, ring[1:], strict=False):
+            x0, x1 = max(0, int(min(ax, bx) - half)), min(shape[1], int(max(ax, bx) + half) + 2)
+            y0, y1 = max(0, int(min(ay, by) - half)), min(shape[0], int(max(ay, by) + half) + 2)
+            if x0 >= x1 or y0 >= y1:
+                continue
+            y, x = np.mgrid[y0:y1, x0:x1]
+            dx, dy = bx - ax, by - ay
+            along = np.clip(((x - ax) * dx + (y - ay) * dy) / ((dx * dx + dy * dy) or 1), 0, 1)
+            out[y0:y1, x0:x1] |= (x - ax - along * dx) ** 2 + (y - ay - along * dy) ** 2 <= half * half
+    return out.astype(np.uint8) * 255
+
+
+def ground_truth(shape: tuple[int, int], channels: dict[str, list[list[tuple[float, float]]]], outline: bool = False) -> dict[str, np.ndarray]:
+    """A binary image a channel, made disjoint (the first channel keeps what it has), and what no channel has as other."""
+    out, taken = {}, np.zeros(shape, bool)
+    for name, rings in channels.items():
+        image = drawn(shape, rings, fill=not outline, width=7 if outline else 1) > 0
+        out[name] = (image & ~taken).astype(np.uint8) * 255
+        taken |= image
+    return out | {"other": (~taken).astype(np.uint8) * 255}

@@ -32,7 +32,7 @@ select page_id, src, dst, score from (select *, row_number() over (partition by
 operator("relation_codes", "SET4 SET5", "fx_conf", """
 select page_id, i, j, i * 100 + j as code, cast(floor((i * 100 + j) / 100) as bigint) as i_again, (i * 100 + j) % 100 as j_again from fx_conf
 """, "Pairs as one number and back.")
-operator("sampled_relations", "SET6 SET11", "fx_conf", """
+operator("sampled_relations", "SET11", "fx_conf", """
 select page_id, i, j, kind from (select page_id, i, j, kind, row_number() over (partition by page_id, kind order by (i * 7919 + j * 104729 + page_id) % 1009, i, j) as rn from (select page_id, i, j, case when p > 0.5 then 1 else 0 end as kind from fx_conf) k) t where rn <= 4
 """, "Up to four relations of either kind by page, in a fixed pseudo-random order.")
 operator("line_sets", "SET8", "fx_line", """
@@ -56,7 +56,7 @@ select a.page_id, a.line_no as i, b.line_no as j, greatest(0, b.x - a.x, a.x - b
 operator("orientation_boxes", "FN25 FN26", "fx_region", """
 select page_id, region_no, x0, y0 - 100 as north_y, x1 + 100 as east_x, y1 + 100 as south_y, x0 - 100 as west_x, round((x0 + x1) / 2.0, 1) as cx from fx_region
 """, "Boxes and cones of the four directions.")
-operator("activations", "FN52 FN53 FN54 FN55 FN56 FN57 FN58 ITER38 ITER36", "fx_edge", """
+operator("activations", "FN52 FN53 FN54 FN55 FN56 FN57 FN58", "fx_edge", """
 select page_id, src, dst, round(1 / (1 + exp(-score)), 6) as sigmoid, round(tanh(score), 6) as tanh_, greatest(0, score) as relu, greatest(0, score) + 0.2 * least(0, score) as leaky, round(case when score >= 0 then score else exp(score) - 1 end, 6) as elu, round(greatest(0, 0.5 * u0 - 0.25 * u1 + 0.1), 6) as dense from fx_edge
 """, "Activations and one dense unit of given weights.")
 operator("learning_rate", "FN44 FN45", "fx_page", """

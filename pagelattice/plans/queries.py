@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
 from ..functions import page_attributes as attr
-from ..operators import aggregates, augment, clustering, extraction, joins, measure, polygons, raster, rectangles, running, windows_sets  # noqa: F401
+from ..operators import aggregates, augment, clustering, extraction, graph_network, joins, measure, polygons, raster, rectangles, running, windows_sets  # noqa: F401
 from ..operators.per_page import per_page
 from ..operators.sqlop import OPERATORS
 from ..sources import files, pagexml
+from ..sources import images as images_io
 from ..streaming import metrics
 from .fixtures import Layout, with_fixtures
 
@@ -544,6 +545,139 @@ def masked_features(t: Layout) -> DataFrame:
     return t.table("fx_vec").select("page_id", "node", kept.alias("k")).select("page_id", "node", F.size("k").alias("n"), F.round(F.element_at("k", 1)["x"].cast("double"), 5).alias("first_"))
 
 
+@query("IO3 IO4 PROJ49 PROJ50 SINK3 SINK4", """select o_orderkey as page_id, o_orderstatus as creator, concat(cast(cast(o_orderdate as date) as varchar), 'T00:00:00Z') as created, concat(cast(cast(o_orderdate as date) as varchar), 'T12:00:00Z') as last_change,
+  case when o_orderkey % 2 = 0 then o_orderpriority else 'checked' end as comments, case when o_orderkey % 3 = 0 then cast(o_orderkey % 10 as varchar) end as doc_id, case when o_orderkey % 3 = 0 then 'DONE' end as status, o_orderkey % 7 <> 0 and o_orderkey % 11 <> 0 as is_valid from orders""")
+def metadata(t: Layout) -> DataFrame:
+    """Metadata written into PAGE documents, changed, and read from the text; documents out of order or without a size aren't valid."""
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    stamp = F.concat(day, F.lit("T00:00:00Z"))
+    attributes = F.when(F.col("o_orderkey") % 3 == 0, F.struct((F.col("o_orderkey") % 10).cast("string").alias("_docId"), F.lit("DONE").alias("_status")))
+    first = pagexml.metadata(F.col("o_orderstatus"), stamp, F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderpriority")), attributes)
+    docs = t.table("orders").select(F.col("o_orderkey").alias("page_id"), first.alias("m"), day.alias("day"))
+    again = pagexml.changed(F.col("m"), F.concat("day", F.lit("T12:00:00Z")), F.coalesce(F.col("m.Comments"), F.lit("checked")))
+    page = F.struct(F.lit("a.jpg").alias("_imageFilename"), F.when(F.col("page_id") % 11 == 0, 0).otherwise(100).alias("_imageWidth"), F.lit(200).alias("_imageHeight")).alias("Page")
+    xml = F.to_xml(F.struct(again.alias("Metadata"), page), {"rowTag": "PcGts"})
+    mixed = F.regexp_replace(xml, r"(?s)(<Created>.*?</Created>)(\s*)(<LastChange>.*?</LastChange>)", "$3$2$1")
+    scan = pagexml.parse(docs.select("page_id", F.when(F.col("page_id") % 7 == 0, mixed).otherwise(xml).alias("xml")))
+    m = F.col("Metadata")
+    return scan.select("page_id", m["Creator"].alias("creator"), m["Created"].alias("created"), m["LastChange"].alias("last_change"), m["Comments"].alias("comments"), m["TranskribusMetadata"]["_docId"].alias("doc_id"), m["TranskribusMetadata"]["_status"].alias("status"), "is_valid")
+
+
+@query("SINK7 IO28 IO29 IO30 IO31", """with n as (select *, row_number() over (partition by page_id order by region_no) - 1 as node from fx_region),
+e as (select a.page_id, count(*) as edges, sum(abs(a.x0 - b.x0)) as far, sum(case when a.region_type = b.region_type then 1 else 0 end) as rel from n a join n b on a.page_id = b.page_id and a.node <> b.node group by a.page_id)
+select p.page_id, 'json4f1line' as folder, cast(count(n.node) as int) as num_nodes, cast(coalesce(max(e.edges), 0) as int) as num_edges, cast(coalesce(sum(n.x0), 0) as bigint) as sum_x, cast(coalesce(max(e.far), 0) as bigint) as sum_edges, cast(coalesce(max(e.rel), 0) as int) as relations, count(n.node) = 0 as skipped
+from fx_page p left join n on n.page_id = p.page_id and n.n_lines > 0 left join e on e.page_id = p.page_id group by p.page_id""")
+def graph_dataset(t: Layout) -> DataFrame:
+    """Layout graphs of all pages as JSON texts, read again with the features of a mask; pages without regions are skipped."""
+    r = t.table("fx_region").select("page_id", (F.row_number().over(Window.partitionBy("page_id").orderBy("region_no")) - 1).alias("node"), "x0", "x1", "y0", "y1", "region_type")
+    features = F.array(*[F.col(c).cast("double") for c in ("x0", "y0", "x1", "y1")])
+    a, b = (r.select("page_id", F.col("node").alias(n), F.col("x0").alias(f"x_{n}"), F.col("region_type").alias(f"t_{n}")) for n in ("src", "dst"))
+    pairs = a.join(b, "page_id").where("src <> dst")
+    edges = pairs.select("page_id", "src", "dst", F.array(F.abs(F.col("x_src") - F.col("x_dst")).cast("double")).alias("features"))
+    relations = pairs.where("t_src = t_dst").select("page_id", F.col("src").alias("i"), F.col("dst").alias("j"))
+    texts = files.graph_json(r.select("page_id", "node", features.alias("features")), edges, relations)
+    g = files.parsed_graphs(texts, node_mask=[0, 2])
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + F.get(x, F.lit(0))).cast("long")
+    none = lambda c, kind: F.coalesce(c, F.lit(0)).cast(kind)
+    got = t.table("fx_page").select("page_id").join(g, "page_id", "left")
+    folder = files.graph_folder(4, "fully", 1, False, "line")
+    return got.select("page_id", F.lit(folder).alias("folder"), none("num_nodes", "int").alias("num_nodes"), none("num_interacting_nodes", "int").alias("num_edges"), none(total("node_features"), "long").alias("sum_x"), none(total("edge_features"), "long").alias("sum_edges"), none("gt_num_relations", "int").alias("relations"), F.col("num_nodes").isNull().alias("skipped"))
+
+
+# -- networks of given weights, images ---------------------------------------------------------------------------------
+@query("ITER36 ITER37 ITER38 ITER39 ITER41 ITER42", None)
+def relation_scores(t: Layout) -> DataFrame:
+    """Probability of every pair of a page's regions after three rounds of messages, with fixed example weights."""
+    net = graph_network.example(4, 2)
+
+    def run(r: dict[str, np.ndarray]) -> list[tuple]:
+        nodes = np.stack([r["x0"] / 1000, r["y0"] / 1000, (r["x1"] - r["x0"]) / 1000, (r["y1"] - r["y0"]) / 1000], axis=1)
+        n = len(nodes)
+        if n < 2:
+            return []
+        edges = np.array([(a, b) for a in range(n) for b in range(n) if a != b])
+        far = nodes[edges[:, 1], :2] - nodes[edges[:, 0], :2]
+        p = graph_network.relation_scores(net, nodes, edges, far, edges)[:, 1]
+        return [(int(r["region_no"][a]), int(r["region_no"][b]), round(float(v), 6)) for (a, b), v in zip(edges.tolist(), p, strict=True)]
+
+    return per_page(t.table("fx_region"), ["page_id"], ["region_no", "x0", "y0", "x1", "y1"], run, "i int, j int, p double")
+
+
+@query("SET6", f"select page_id, src, dst, score from fx_edge where {_U("page_id || '-' || src || '-' || dst", 'drop')} >= 0.3")
+def dropped_edges(t: Layout) -> DataFrame:
+    """Edges without about three tenths of them, which a hash chooses."""
+    key = F.concat_ws("-", "page_id", "src", "dst")
+    return t.table("fx_edge").where(augment.uniform(key, "0drop") >= 0.3).select("page_id", "src", "dst", "score")
+
+
+def _picture(r: dict[str, np.ndarray], scale: int = 4) -> tuple[np.ndarray, list[tuple[int, int, int, int]]]:
+    """A page at a quarter of its size, a bar a line with gaps like letters; and the lines' boxes."""
+    x, y, w, h = (r[c] // scale for c in "xywh")
+    image = np.full((int((y + h).max()) + 3, int((x + w).max()) + 3), 225, np.uint8)
+    boxes = []
+    for a, b, c, d, n in zip(x.tolist(), y.tolist(), w.tolist(), h.tolist(), r["line_no"].tolist(), strict=True):
+        for left in range(a, a + c, 9):
+            image[b : b + d + 1, left : min(left + 3 + n % 4, a + c)] = 20
+        boxes.append((a, b, a + c, b + d))
+    return image, boxes
+
+
+@query("AGG14 AGG16 IMG13 IMG14 IMG15", None)
+def line_strokes(t: Layout) -> DataFrame:
+    """Stroke width and text height of every line, measured on the drawn page."""
+
+    def run(r: dict[str, np.ndarray]) -> list[tuple]:
+        image, boxes = _picture(r)
+        depth = raster.stroke_image(image)
+        return [(n, *raster.strokes(depth, box)) for n, box in zip(r["line_no"].tolist(), boxes, strict=True)]
+
+    return per_page(t.table("fx_line"), ["page_id"], ["line_no", "x", "y", "w", "h"], run, "line_no int, stroke_width double, text_height int")
+
+
+@query("IMG20 IMG21 IMG23 IMG24 IMG33 IMG34 SINK21 SINK22", None)
+def ground_truth_images(t: Layout) -> DataFrame:
+    """Channels of headings, paragraphs, captions and baselines drawn a page at a quarter of its size: regions, pixels, and the image as PGM bytes."""
+    kinds = ("heading", "paragraph", "caption")
+
+    def run(r: dict[str, np.ndarray]) -> list[tuple]:
+        box = [r[c] // 4 for c in ("x0", "y0", "x1", "y1")]
+        shape = (int(box[3].max()) + 2, int(box[2].max()) + 2)
+        channels: dict[str, list] = {k: [] for k in kinds}
+        for a, b, c, d, kind in zip(*(v.tolist() for v in box), r["kind"].tolist(), strict=True):
+            channels[kind].append([(a, b), (c, b), (c, d), (a, d)])
+        images = raster.ground_truth(shape, channels)
+        images["baselines"] = raster.drawn(shape, [[(a, d), (c, d)] for a, c, d in zip(box[0].tolist(), box[2].tolist(), box[3].tolist(), strict=True)], closed=False, width=3)
+        return [(name, len(channels.get(name, [])), int((im > 0).sum()), round(float((im > 0).mean()), 6), images_io.encode_pgm(im)) for name, im in images.items()]
+
+    regions = t.table("fx_region").withColumn("kind", F.coalesce("region_type", F.lit("paragraph")))
+    return per_page(regions, ["page_id"], ["region_no", "x0", "y0", "x1", "y1", "kind"], run, "channel string, n_regions int, n_pixels int, share double, image binary")
+
+
+@query("SINK22 AGG19", None)
+def ground_truth_info(t: Layout) -> DataFrame:
+    """A row a channel: images that have it, regions, and the mean share of pixels."""
+    got = ground_truth_images(t)
+    return got.groupBy("channel").agg(F.count_if(F.col("n_pixels") > 0).alias("n_images"), F.sum("n_regions").alias("n_regions"), F.round(F.avg("share"), 6).alias("mean_share"))
+
+
+@query("IMG10 IMG29", None)
+def outlines_without_holes(t: Layout) -> DataFrame:
+    """A box around each page's lines with the lines as holes: as outlines cut through the holes, and as one with the holes joined to it."""
+
+    def run(r: dict[str, np.ndarray]) -> list[tuple]:
+        holes, end = [], -1
+        for x, y, w, h in zip(*(r[c].tolist() for c in ("x", "y", "w", "h")), strict=True):
+            if y > end:  # holes don't overlap
+                holes.append([(x, y), (x + w, y), (x + w, y + h), (x, y + h)])
+                end = y + h
+        xs, ys = [p[0] for q in holes for p in q], [p[1] for q in holes for p in q]
+        outer = [(min(xs) - 9, min(ys) - 9), (max(xs) + 9, min(ys) - 9), (max(xs) + 9, max(ys) + 9), (min(xs) - 9, max(ys) + 9)]
+        parts = polygons.split_at_holes(outer, holes)
+        return [(len(holes), len(parts), float(sum(abs(polygons.signed_area(p)) for p in parts)), float(abs(polygons.signed_area(polygons.bridged(outer, holes)))))]
+
+    return per_page(t.table("fx_line"), ["page_id"], ["y", "x", "w", "h"], run, "n_holes int, n_parts int, area_of_parts double, area_of_joined double")
+
+
 # -- incremental forms ---------------------------------------------------------------------------------------------
 @query("AGG44", _COUNTS_SQL)
 def confusion_counts(t: Layout) -> DataFrame:

@@ -22,6 +22,36 @@ def graphs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(GRAPH).option("multiLine", True).json(path).withColumn("page_id", F.regexp_extract(F.input_file_name(), r"([^/]+)\.json$", 1))
 
 
+def graph_json(nodes: DataFrame, edges: DataFrame, relations: DataFrame) -> DataFrame:
+    """(page_id, json): layout graphs of nodes(page_id, node, features), edges(page_id, src, dst, features) and relations(page_id, i, j); nodes count from 0.
+
+    Pages without nodes have no graph: the pages that a caller skips are those that no row here names.
+    """
+    listed = lambda df, *c: df.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct(*c))).alias("l"))
+    n = listed(nodes, "node", "features").select("page_id", F.size("l").alias("num_nodes"), F.transform("l", lambda x: x["features"]).alias("node_features"))
+    e = listed(edges, "src", "dst", "features").select("page_id", F.transform("l", lambda x: F.array(x["src"], x["dst"])).alias("interacting_nodes"), F.transform("l", lambda x: x["features"]).alias("edge_features"))
+    r = listed(relations, "i", "j").select("page_id", F.transform("l", lambda x: F.array(x["i"], x["j"])).alias("gt_relations"))
+    whole = n.join(e, "page_id", "left").join(r, "page_id", "left")
+    names = [c for c in ("interacting_nodes", "edge_features", "gt_relations")]
+    empty = lambda c: F.coalesce(c, F.array().cast("array<array<double>>" if c == "edge_features" else "array<array<int>>")).alias(c)
+    out = whole.select("page_id", "num_nodes", "node_features", *[empty(c) for c in names])
+    sized = F.struct("num_nodes", "interacting_nodes", F.size("interacting_nodes").alias("num_interacting_nodes"), "node_features", "edge_features", "gt_relations", F.size("gt_relations").alias("gt_num_relations"))
+    return out.select("page_id", F.to_json(sized).alias("json"))
+
+
+def graph_folder(node_dim: int, interaction: str, edge_dim: int, visual: bool, separators: str) -> str:
+    """The folder's name for graphs of these features, beside that of the pages."""
+    return f"json{node_dim}{interaction[0]}{edge_dim}{'v' if visual else ''}{separators}"
+
+
+def parsed_graphs(graphs_: DataFrame, node_mask: list[int] | None = None) -> DataFrame:
+    """The fields of graphs held as text (page_id, json), of each node the features of the mask's places."""
+    got = graphs_.select("page_id", F.from_json("json", GRAPH).alias("g")).select("page_id", "g.*")
+    if node_mask is None:
+        return got
+    return got.withColumn("node_features", F.transform("node_features", lambda f: F.array(*[F.get(f, F.lit(k)) for k in node_mask])))
+
+
 def confidences(spark: SparkSession, path: str) -> DataFrame:
     """(page_id, a, b, p) of confidence files, whose values are text."""
     got = spark.read.schema(CONFIDENCES).option("multiLine", True).json(path).withColumn("page_id", F.regexp_extract(F.input_file_name(), r"([^/]+)\.json$", 1))

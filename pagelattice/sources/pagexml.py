@@ -16,14 +16,17 @@ _TEXT_REGION = f"ARRAY<STRUCT<_id: STRING, _type: STRING, _custom: STRING, Coord
 _REGION = f"ARRAY<STRUCT<_id: STRING, _type: STRING, _custom: STRING, Coords: {_COORDS}>>"
 #: The kinds of regions of a PAGE file other than text regions.
 OTHER_REGIONS = ("AdvertRegion", "ChartRegion", "ChemRegion", "GraphicRegion", "ImageRegion", "LineDrawingRegion", "MathsRegion", "MusicRegion", "NoiseRegion", "SeparatorRegion", "TableRegion", "UnknownRegion")
+#: The attributes of a TranskribusMetadata element.
+TRANSKRIBUS = ("docId", "pageId", "pageNr", "tsid", "status", "userId", "imgUrl", "xmlUrl", "imageId")
 #: The schema of a PcGts element; never inferred.
-SCHEMA = f"""Metadata STRUCT<Creator: STRING, Created: STRING, LastChange: STRING, Comments: STRING>,
+SCHEMA = f"""Metadata STRUCT<Creator: STRING, Created: STRING, LastChange: STRING, Comments: STRING, TranskribusMetadata: STRUCT<{", ".join(f"_{a}: STRING" for a in TRANSKRIBUS)}>>,
 Page STRUCT<_imageFilename: STRING, _imageWidth: INT, _imageHeight: INT, PrintSpace: STRUCT<Coords: {_COORDS}>, TextRegion: {_TEXT_REGION}, {", ".join(f"{k}: {_REGION}" for k in OTHER_REGIONS)}>, _corrupt_record STRING"""
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """A row a PAGE file: path, is_valid, the metadata and the page; a malformed file is a row that isn't valid."""
-    got = spark.read.schema(SCHEMA).option("rowTag", "PcGts").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").xml(path)
+def read(spark: SparkSession, path: str, xsd: str | None = None) -> DataFrame:
+    """A row a PAGE file: path, is_valid, the metadata and the page; a malformed file, and with xsd (a schema's path) one that breaks it, is a row that isn't valid."""
+    reader = spark.read.schema(SCHEMA).option("rowTag", "PcGts").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record")
+    got = (reader.option("rowValidationXSDPath", xsd) if xsd else reader).xml(path)
     name = F.regexp_extract(F.input_file_name(), r"([^/]+)\.xml$", 1)
     return got.select(name.alias("page_id"), F.col("_corrupt_record").isNull().alias("is_valid"), "Metadata", "Page")
 
@@ -32,7 +35,7 @@ def pages(scan: DataFrame) -> DataFrame:
     """Image, resolution, metadata and print space (the whole image without one; negative corners are clamped)."""
     whole = geo.corners(F.lit(0), F.lit(0), F.col("Page._imageWidth"), F.col("Page._imageHeight"))
     space = F.transform(geo.points(F.col("Page.PrintSpace.Coords._points")), lambda p: F.struct(F.greatest(p["x"], F.lit(0)).alias("x"), F.greatest(p["y"], F.lit(0)).alias("y")))
-    meta = [F.col(f"Metadata.{a}").alias(b) for a, b in (("Creator", "creator"), ("Comments", "comments"))]
+    meta = [F.col(f"Metadata.{a}").alias(b) for a, b in (("Creator", "creator"), ("Comments", "comments"), ("TranskribusMetadata", "transkribus"))]
     times = [F.col(f"Metadata.{a}").try_cast("timestamp").alias(b) for a, b in (("Created", "created"), ("LastChange", "last_change"))]
     return scan.select("page_id", "is_valid", F.col("Page._imageFilename").alias("image"), F.col("Page._imageWidth").alias("width"), F.col("Page._imageHeight").alias("height"), F.coalesce(space, whole).alias("print_space"), *meta, *times)
 
@@ -81,17 +84,40 @@ def from_lines(lines_: DataFrame, pages_: DataFrame) -> DataFrame:
     region = lines_.groupBy("page_id", "region_id").agg(F.sort_array(F.collect_list(F.struct("line_id", line.alias("l")))).alias("ls"), F.min("points").alias("p"))
     region = region.select("page_id", F.struct(F.col("region_id").alias("_id"), F.struct(F.col("p").alias("_points")).alias("Coords"), F.transform("ls", lambda x: x["l"]).alias("TextLine"), F.array(F.struct(F.array_join(F.transform("ls", lambda x: F.element_at(x["l"]["TextEquiv"], 1)["Unicode"]), "\n").alias("Unicode"))).alias("TextEquiv")).alias("r"))
     page = region.groupBy("page_id").agg(F.sort_array(F.collect_list("r")).alias("TextRegion")).join(pages_, "page_id")
-    stamp = F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    doc = F.struct(F.struct(F.lit("pagelattice").alias("Creator"), stamp.alias("Created"), stamp.alias("LastChange")).alias("Metadata"), F.struct(F.col("image").alias("_imageFilename"), F.col("width").alias("_imageWidth"), F.col("height").alias("_imageHeight"), "TextRegion").alias("Page"))
+    doc = F.struct(metadata(F.lit("pagelattice"), now()).alias("Metadata"), F.struct(F.col("image").alias("_imageFilename"), F.col("width").alias("_imageWidth"), F.col("height").alias("_imageHeight"), "TextRegion").alias("Page"))
     return page.select("page_id", F.to_xml(doc, {"rowTag": "PcGts"}).alias("xml"))
 
 
+def now() -> F.Column:
+    return F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def metadata(creator, created, comments=None, transkribus=None) -> F.Column:
+    """A new document's Metadata: created and last changed at one time; transkribus is a struct with that element's attributes, each under its name behind an underscore."""
+    parts = [creator.alias("Creator"), created.alias("Created"), created.alias("LastChange")]
+    return F.struct(*parts, *[x.alias(n) for x, n in ((comments, "Comments"), (transkribus, "TranskribusMetadata")) if x is not None])
+
+
+def changed(metadata_: F.Column, when, comments=None) -> F.Column:
+    """Metadata of a document that is written again: the time of the change, and its comments if there are new ones."""
+    out = metadata_.withField("LastChange", when)
+    return out if comments is None else out.withField("Comments", F.coalesce(comments, metadata_["Comments"]))
+
+
+def metadata_in_order(xml) -> F.Column:
+    """Whether a document has one Metadata whose children are Creator, Created, LastChange, and then at most Comments and TranskribusMetadata."""
+    inner = F.regexp_extract_all(xml, F.lit(r"(?s)<(?:\w+:)?Metadata\b[^>]*>(.*?)</(?:\w+:)?Metadata>"), F.lit(1))
+    names = F.array_join(F.regexp_extract_all(F.try_element_at(inner, F.lit(1)), F.lit(r"<(?:\w+:)?([A-Za-z]+)\b"), F.lit(1)), ",")
+    return F.coalesce((F.size(inner) == 1) & names.rlike("^Creator,Created,LastChange(,Comments)?(,TranskribusMetadata)?$"), F.lit(False))
+
+
 def write(documents: DataFrame, path: str) -> None:
     """Documents as XML text, a document a line block, dealt by page; read() takes the folder."""
     documents.select("xml").write.mode("overwrite").text(path)
 
 
 def parse(documents: DataFrame) -> DataFrame:
-    """The scan's columns of documents held as text: (page_id, xml)."""
-    got = documents.select("page_id", F.from_xml("xml", SCHEMA, {"rowTag": "PcGts"}).alias("d"))
-    return got.select("page_id", (F.col("d").isNotNull() & F.col("d.Page").isNotNull()).alias("is_valid"), "d.Metadata", "d.Page")
+    """The scan's columns of documents held as text: (page_id, xml); valid are those with a page of a size and metadata in order."""
+    got = documents.select("page_id", F.from_xml("xml", SCHEMA, {"rowTag": "PcGts"}).alias("d"), metadata_in_order(F.col("xml")).alias("in_order"))
+    sound = F.col("d").isNotNull() & F.col("d.Page").isNotNull() & F.coalesce((F.col("d.Page._imageWidth") > 0) & (F.col("d.Page._imageHeight") > 0), F.lit(False)) & F.col("in_order")
+    return got.select("page_id", sound.alias("is_valid"), "d.Metadata", "d.Page")
