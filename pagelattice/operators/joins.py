@@ -27,12 +27,19 @@ select a.page_id, a.line_no as line_a, b.line_no as line_b, a.txt from fx_line a
 operator("check_tr", "AGG38", "fx_line", """
 select page_id, region_no, cast(count(distinct nullif(gt_id, 2)) as bigint) as n_articles from fx_line group by page_id, region_no having count(distinct nullif(gt_id, 2)) > 1
 """, "Regions with lines of several articles.")
-operator("check_pages", "AGG39 FILT48 SINK11 PROJ66 PROJ68", "fx_line", """
-select page_id, code, cast(count(*) as bigint) as n, concat(chr(123), '"code":"', code, '","n":', cast(count(*) as varchar(20)), chr(125)) as json from (
+_JSON = """concat(chr(123), '"code":"', code, '","n":', cast(n as varchar(20)), chr(125)) as json"""
+operator("check_pages", "AGG39 FILT48 SINK11 PROJ66 PROJ68", "fx_line", f"""
+with g as (select page_id, region_no, txt, nullif(gt_id, 2) as article, count(*) as n from fx_line group by page_id, region_no, txt, nullif(gt_id, 2)),
+t as (select page_id, txt, sum(n) as n from g group by page_id, txt), r as (select page_id, region_no from g group by page_id, region_no having count(distinct article) > 1),
+c as (select page_id, 'TL1.2' as code, sum(n) as n from g where article is null group by page_id union all select page_id, 'TL2.1' as code, sum(n * (n - 1) / 2) as n from t group by page_id having sum(n * (n - 1) / 2) > 0
+  union all select page_id, 'TR1.1' as code, count(*) as n from r group by page_id)
+select page_id, code, cast(n as bigint) as n, {_JSON.replace("cast(n as", "cast(cast(n as bigint) as")} from c
+""", "Problems of the selected checks, by page and code; lines of one text are counted as groups, not joined.", other=f"""
+select page_id, code, n, {_JSON} from (select page_id, code, count(*) as n from (
   select page_id, 'TL1.2' as code from fx_line where nullif(gt_id, 2) is null
   union all select a.page_id, 'TL2.1' as code from fx_line a join fx_line b on a.page_id = b.page_id and a.txt = b.txt and a.line_no < b.line_no
-  union all select page_id, 'TR1.1' as code from (select page_id, region_no from fx_line group by page_id, region_no having count(distinct nullif(gt_id, 2)) > 1) r) p group by page_id, code
-""", "Problems of the selected checks, by page and code.")
+  union all select page_id, 'TR1.1' as code from (select page_id, region_no from fx_line group by page_id, region_no having count(distinct nullif(gt_id, 2)) > 1) r) p group by page_id, code) q
+""")
 operator("overwrite_ids", "JOIN4", "fx_line", """
 select t.page_id, t.line_no, s.hyp_id as article_id, case when nullif(t.gt_id, 2) is distinct from s.hyp_id then 1 else 0 end as changed from fx_line t join fx_line s on t.page_id = s.page_id and t.line_no = s.line_no
 """, "Article ids taken over from another version of the page by line id.")

@@ -161,6 +161,13 @@ def baseline_hits(t: Layout) -> DataFrame:
     return per_page(_ticked(t), ["page_id"], ["side", "line_no", "xs", "ys"], run, "side int, line_no int, score double, at_least double, at_most double")
 
 
+@query("AGG24 AGG25 AGG26", None)
+def true_false_lines(t: Layout) -> DataFrame:
+    """Of either side's lines of a page, how many reach a mean score of a half: recall of truth lines, precision of the others."""
+    hit = F.col("score") >= 0.5
+    return baseline_hits(t).groupBy("page_id", "side").agg(F.count_if(hit).alias("n_true"), F.count_if(~hit).alias("n_false"))
+
+
 @query("JOIN20 JOIN21 ITER1 FN17 FN18 FN19 FN20 FN21 FN22", None)
 def line_tolerances(t: Layout) -> DataFrame:
     """Angle and intercept of each truth line, its distance to its neighbours, and its tolerance."""
@@ -428,7 +435,9 @@ def min_area_boxes(t: Layout) -> DataFrame:
 def polygon_clips(t: Layout) -> DataFrame:
     def run(r: dict[str, np.ndarray]) -> list[tuple]:
         ring = [_corners({k: v[m : m + 1] for k, v in r.items()}) for m in range(len(r["x"]))]
-        return [(int(r["line_no"][a]), int(r["line_no"][b]), float(polygons.area(polygons.clip(ring[a], ring[b])))) for a in range(len(ring)) for b in range(a + 1, len(ring))]
+        x0, y0, x1, y1 = r["x"], r["y"], r["x"] + r["w"], r["y"] + r["h"]
+        near = (np.minimum(x1[:, None], x1) > np.maximum(x0[:, None], x0)) & (np.minimum(y1[:, None], y1) > np.maximum(y0[:, None], y0))  # the others have nothing in common
+        return [(int(r["line_no"][a]), int(r["line_no"][b]), float(polygons.area(polygons.clip(ring[a], ring[b]))) if near[a, b] else 0.0) for a in range(len(ring)) for b in range(a + 1, len(ring))]
 
     return per_page(t.table("fx_line"), ["page_id"], ["line_no", "x", "y", "w", "h"], run, "i int, j int, area double")
 
@@ -634,6 +643,22 @@ def line_strokes(t: Layout) -> DataFrame:
     return per_page(t.table("fx_line"), ["page_id"], ["line_no", "x", "y", "w", "h"], run, "line_no int, stroke_width double, text_height int")
 
 
+@query("IMG28 IMG31", None)
+def page_regions(t: Layout) -> DataFrame:
+    """A drawn page binarised, turned upright by its best angle, cut into blocks, and the blocks in the page's own size."""
+
+    def run(r: dict[str, np.ndarray]) -> list[tuple]:
+        mask = raster.binarize(_picture(r)[0])
+        angle = raster.rotation(mask)
+        y, x = np.nonzero(mask)
+        row = np.round(y - x * np.tan(np.radians(angle))).astype(int)
+        upright = np.zeros((int(np.ptp(row)) + 1, mask.shape[1]), np.uint8)
+        upright[row - row.min(), x] = 1
+        return [(k, angle, *(4 * v for v in box)) for k, box in enumerate(raster.xy_cut(raster.morphology(upright, "close", (3, 15))))]
+
+    return per_page(t.table("fx_line"), ["page_id"], ["line_no", "x", "y", "w", "h"], run, "place int, angle int, x0 int, y0 int, x1 int, y1 int")
+
+
 @query("IMG20 IMG21 IMG23 IMG24 IMG33 IMG34 SINK21 SINK22", None)
 def ground_truth_images(t: Layout) -> DataFrame:
     """Channels of headings, paragraphs, captions and baselines drawn a page at a quarter of its size: regions, pixels, and the image as PGM bytes."""

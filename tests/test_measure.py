@@ -176,4 +176,6 @@ def test_queries(spark):
         per.setdefault((h.page_id, h.side), []).append(h.score)
     # the alignment of ties goes by the order of lines, which here is not by article
     assert all(abs(np.mean(v) - got[p].lines_recall) < 1e-8 for (p, side), v in per.items() if side == 0)
+    sides = queries.queries()["true_false_lines"](spark, SF).collect()
+    assert {(r.page_id, r.side): r.n_true for r in sides} == {k: sum(v >= 0.5 for v in x) for k, x in per.items()} and all(r.n_true + r.n_false == len(per[r.page_id, r.side]) for r in sides)
     assert queries.queries()["line_tolerances"](spark, SF).where("tolerance > 0 and distance <= 500").count() == sum(len(t) for t, _ in pages.values())
