@@ -84,7 +84,7 @@ def keys_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.
 class Memo:
     """ids of distinct segments, kept between batches of one worker."""
 
-    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], dtype, limit: int = 1_000_000, limit_bytes: int = 16 << 20):
+    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], dtype, limit: int = 1_500_000, limit_bytes: int = 32 << 20):
         self.encode, self.dtype, self.limit, self.limit_bytes = encode, dtype, limit, limit_bytes
         self.clear()
 

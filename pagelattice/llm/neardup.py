@@ -43,7 +43,7 @@ from .scratch import Scratch
 
 LANES = 5
 #: Shingles and classes in a block of step 3, and columns of an incidence matrix at once.
-BLOCK_SHINGLES, BLOCK_CLASSES = 200_000, 512
+BLOCK_SHINGLES, BLOCK_CLASSES = 200_000, 256
 _COLUMNS = 4096
 #: Parts that the rows of one family or component are dealt in where they meet its one row.
 PARTS = 32

@@ -46,7 +46,7 @@ def corpus(seed, group):
     return list(enumerate(out))
 
 
-@pytest.mark.parametrize(("width", "percent", "blocks", "classes"), [(3, 85, 200_000, 512), (5, 80, 3000, 512), (3, 85, 200_000, 7)])
+@pytest.mark.parametrize(("width", "percent", "blocks", "classes"), [(3, 85, 200_000, 256), (5, 80, 3000, 256), (3, 85, 200_000, 7)])
 def test_like_brute_force(spark, monkeypatch, width, percent, blocks, classes):
     monkeypatch.setattr(neardup, "BLOCK_SHINGLES", blocks)
     monkeypatch.setattr(neardup, "BLOCK_CLASSES", classes)
