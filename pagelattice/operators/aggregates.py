@@ -19,16 +19,17 @@ from (select *, row_number() over (partition by page_id, region_no order by line
 operator("node_height_norm", "AGG11 AGG12", "fx_line", """
 select page_id, region_no, round(coalesce(max(case when txt <> 'AF' then h end), 0) * 1.0 / max(page_h), 6) as height from (select *, max(h) over (partition by page_id) as page_h from fx_line) t group by page_id, region_no
 """, "Largest height of a region's lines with text relative to the page's.")
-operator("mode_centred", "AGG15 FN27", "fx_line", """
-with c as (select page_id, h, count(*) as n from fx_line group by page_id, h), m as (select page_id, h as mode_h from (select page_id, h, row_number() over (partition by page_id order by n desc, h) as rn from c) r where rn = 1),
-d as (select l.page_id, l.region_no, l.line_no, abs(l.h - m.mode_h) * 1.0 as d from fx_line l join m on m.page_id = l.page_id),
-s as (select *, case when max(d) over (partition by page_id) = min(d) over (partition by page_id) then d else (d - min(d) over (partition by page_id)) / (max(d) over (partition by page_id) - min(d) over (partition by page_id)) end as scaled from d)
-select page_id, region_no, line_no, round(scaled, 6) as scaled, case when scaled >= 0.9 then 1.0 else round(0.8 * scaled, 6) end as confidence from s
-""", "Heights about the page's mode, scaled to the unit interval, and a heading's confidence of them.")
-operator("heading_regions", "AGG15 AGG17 AGG57", "fx_line", """
-select t.page_id, t.region_no, g.threshold, case when avg(case when (t.h - 20) / 8.0 > g.threshold then 1.0 else 0.0 end) >= 0.8 then 1 else 0 end as is_heading
-from fx_line t cross join (select 0.4 as threshold union all select 0.6 as threshold union all select 0.8 as threshold) g group by t.page_id, t.region_no, g.threshold
-""", "Regions most of whose lines are headings, for a grid of thresholds.")
+HEADING = """v as (select page_id, region_no, line_no, (line_no * 7 + page_id) % 5 as stroke, h as height, ((x + y) % 100) / 100.0 as net from fx_line),
+s as (select *, case when max(stroke) over (partition by page_id) = min(stroke) over (partition by page_id) then 0.0 else (stroke - min(stroke) over (partition by page_id)) * 1.0 / (max(stroke) over (partition by page_id) - min(stroke) over (partition by page_id)) end as sw,
+  case when max(height) over (partition by page_id) = min(height) over (partition by page_id) then 0.0 else (height - min(height) over (partition by page_id)) * 1.0 / (max(height) over (partition by page_id) - min(height) over (partition by page_id)) end as th from v),
+c as (select *, case when sw >= 0.9 or th >= 0.9 or (sw + th) / 2 >= 0.8 or net >= 0.9 then 1.0 else 0.33 * net + 0.33 * sw + 0.33 * th end as confidence from s)"""
+operator("heading_confidence", "AGG15 AGG17 FN27", "fx_line", f"""
+with {HEADING} select page_id, region_no, line_no, round(sw, 6) as stroke_width, round(th, 6) as text_height, round(confidence, 6) as confidence, case when confidence > 0.5 then 1 else 0 end as is_heading from c
+""", "A line's heading confidence: 1 if its stroke width or height (both scaled to the unit interval of the page), their mean or the network's value reaches its threshold, else a third of each.")
+operator("heading_regions", "AGG15 AGG57", "fx_line", f"""
+with {HEADING} select t.page_id, t.region_no, g.threshold, case when avg(case when t.confidence > g.threshold then 1.0 else 0.0 end) >= 1.0 then 1 else 0 end as is_heading
+from c t cross join (select 0.4 as threshold union all select 0.5 as threshold union all select 0.6 as threshold) g group by t.page_id, t.region_no, g.threshold
+""", "Regions all of whose lines are headings, for a grid of thresholds.")
 operator("true_false_counts", "AGG24 AGG25 AGG26", "fx_score", """
 select source, cast(sum(case when p >= 0.5 then 1 else 0 end) as bigint) as n_true, cast(sum(case when p < 0.5 then 1 else 0 end) as bigint) as n_false from fx_score group by source
 """, "Entities whose score reaches the threshold, by group.")

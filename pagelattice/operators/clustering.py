@@ -207,42 +207,63 @@ def validated(conf: np.ndarray, by: str = "silhouette", most: int = 100, thresho
     return cut_to(merges, n, clusters)
 
 
-def lines(boxes: np.ndarray, distance: np.ndarray, factor: float = 1.25, cover: float = 0.95, least: int = 2) -> list[int]:
-    """Density clustering of line boxes (x0, y0, x1, y1): a line's neighbours are those mostly covered by its box grown by its interline distance, of a like distance."""
-    n, label = len(boxes), [-2] * len(boxes)
-    size = np.maximum((boxes[:, 2] - boxes[:, 0]) * (boxes[:, 3] - boxes[:, 1]), 1)
-
-    def near(k: int, mean: float) -> list[int]:
-        r = factor * distance[k]
-        w = np.minimum(boxes[:, 2], boxes[k, 2] + r) - np.maximum(boxes[:, 0], boxes[k, 0] - r)
-        h = np.minimum(boxes[:, 3], boxes[k, 3] + r) - np.maximum(boxes[:, 1], boxes[k, 1] - r)
-        ok = (np.maximum(w, 0) * np.maximum(h, 0) >= cover * size) & (distance >= 0.5 * mean) & (distance <= 1.5 * mean)
-        ok[k] = True
-        return np.flatnonzero(ok).tolist()
+def line_neighbours(boxes: np.ndarray, distance: np.ndarray, factor: float = 1.25, cover: float = 0.95) -> np.ndarray:
+    """Whether two lines are neighbours: one's box (x, y, width, height), grown up and down by its interline distance times the factor, covers the other's.
 
-    now = 0
+    A distance that is not within half of the mean (of those above 0) counts as the mean.
+    """
+    known = distance[distance > 0]
+    mean = known.sum() / (len(known) + 1e-8)
+    reach = factor * np.where((distance >= 0.5 * mean) & (distance <= 1.5 * mean), distance, mean)
+    x, y, w, h = boxes.T.astype(float)
+    top, tall = np.trunc(y - reach), np.trunc(h + 2 * reach)
+    wide = np.minimum((x + w)[:, None], (x + w)[None]) - np.maximum(x[:, None], x[None])
+    high = np.minimum((top + tall)[:, None], (y + h)[None]) - np.maximum(top[:, None], y[None])
+    common = np.where((wide >= 0) & (high >= 0), (wide + 1) * (high + 1), 0)
+    covers = common >= cover * ((w + 1) * (h + 1))[None]
+    near = covers | covers.T
+    np.fill_diagonal(near, False)
+    return near
+
+
+def grown(near: np.ndarray, least: int = 2) -> list[int]:
+    """Density clustering in index order: from a node with so many neighbours on, neighbours join, and theirs if they have as many; noise becomes clusters of its own."""
+    n, label, now = len(near), [-2] * len(near), 0
+    around = [np.flatnonzero(row).tolist() for row in near]
     for s in range(n):
         if label[s] != -2:
             continue
-        around = near(s, distance[s])
-        if len(around) < least:
+        if len(around[s]) < least:
             label[s] = -1
             continue
-        label[s], queue, members = now, list(around), [s]
+        label[s], queue = now, list(around[s])
         for k in queue:
-            if label[k] >= 0:
-                continue
             fresh = label[k] == -2
-            label[k] = now
-            members.append(k)
-            if fresh:
-                more = near(k, float(distance[members].mean()))
-                if len(more) >= least:
-                    queue.extend(m for m in more if label[m] < 0)
+            if label[k] < 0:
+                label[k] = now
+            if fresh and len(around[k]) >= least:
+                queue += around[k]
         now += 1
+    for k in range(n):
+        if label[k] < 0:
+            label[k], now = now, now + 1
     return label
 
 
+def baseline_neighbours(baselines: list[np.ndarray], tick: int = 5, most: float = 500.0, target: float = 50.0) -> np.ndarray:
+    """Neighbours of baselines (a row a point), scaled so that their mean interline distance is the target."""
+    from .measure import neighbour_distances
+    from .polygons import ticks
+
+    points = [np.asarray(line, float) for line in baselines]
+    distance = neighbour_distances([ticks(line, tick) for line in points], tick, most)
+    if target > 0 and (distance > 0).any():
+        points = [np.trunc(target / distance[distance > 0].mean() * line) for line in points]
+        distance = neighbour_distances([ticks(line, tick) for line in points], tick, most)
+    boxes = [(low[0], low[1], *(line.max(axis=0) - low + 1)) for line in points for low in [line.min(axis=0)]]
+    return line_neighbours(np.array(boxes), distance)
+
+
 def greedy_sum(values: np.ndarray) -> float:
     """Sum of the largest entries, each taken out with its row and column; of ties the first in row order."""
     v, total = values.astype(float).copy(), 0.0

@@ -47,8 +47,9 @@ select p.page_id, p.width, p.height, coalesce(greatest(min(r.x0), 0), 0) as left
 from fx_page p left join fx_region r on r.page_id = p.page_id group by p.page_id, p.width, p.height
 """, "Resolution and print space; negative corners are clamped, without regions it is the whole image.")
 operator("discard_small_regions", "FILT1 FILT9", "fx_region fx_line", """
-select l.page_id, l.line_no from fx_line l join fx_region r on l.page_id = r.page_id and l.region_no = r.region_no where r.n_lines > 0 and r.x1 - r.x0 >= 10 and r.y1 - r.y0 >= 22
-""", "Lines of regions that are large enough on both sides.")
+with r as (select page_id, region_no, n_lines, cast(floor((x1 - x0) / 40) as bigint) + 1 as width, cast(floor((y1 - y0) / 3) as bigint) + 1 as height from fx_region)
+select l.page_id, l.line_no from fx_line l join r on l.page_id = r.page_id and l.region_no = r.region_no where r.n_lines > 0 and r.width >= 10 and r.height >= 10
+""", "Lines of regions that have lines and are ten pixels or more on both sides, the last one counted (here: of scaled boxes).")
 operator("border_lines", "FILT8", "fx_line fx_page", """
 select page_id, line_no from (select l.page_id, l.line_no, l.x, l.w, p.width, avg(l.w) over (partition by l.page_id) as mean_w from fx_line l join fx_page p on l.page_id = p.page_id) t
 where not ((x < 80 or x + w > width - 80) and w < mean_w / 2.0)
@@ -57,8 +58,10 @@ operator("component_filter", "FILT2 FILT3", "fx_line", """
 select page_id, line_no, w, h from fx_line where w between 3 and 500 and h between 3 and 500 and greatest(w, h) <= 8 * least(w, h)
 """, "Components of plausible size and aspect.")
 operator("text_regions_off_images", "FILT4 FILT43", "fx_region fx_sep", """
-select r.page_id, r.region_no from fx_region r where not exists (select 1 from fx_sep s where s.page_id = r.page_id and least(r.x1, s.x1) - greatest(r.x0, s.x0) > 20 and least(r.y1, s.y1) - greatest(r.y0, s.y0) > 2)
-""", "Text regions that overlap no image region by more than the thresholds in both axes.")
+with i as (select page_id, x0, y0, x0 + 300 as x1, y0 + 60 as y1 from fx_sep)
+select r.page_id, r.region_no from fx_region r where coalesce(r.region_type, 'paragraph') = 'paragraph' and not exists (select 1 from i where i.page_id = r.page_id
+  and ((least(r.x1, i.x1) + 1 - greatest(r.x0, i.x0) > 20 and least(r.y1, i.y1) + 1 - greatest(r.y0, i.y0) > 20) or (r.x0 > i.x0 and r.x1 < i.x1 and r.y0 > i.y0 and r.y1 < i.y1)))
+""", "Paragraphs that lie in no image's box and share no more than 20 pixels on both axes with one.")
 operator("paths", "IO17 IO19 IO20 IO21 IO22 IO23 IO24 IO25 PROJ44 SINK18 SINK20 SINK25", "fx_page", """
 select page_id, concat('/data/set1/page/', 'p', page_id, '.xml') as page_path, regexp_replace(concat('/data/set1/page/', 'p', page_id, '.xml'), '/page/([^/]*)[.]xml$', @1) as image_path,
   regexp_replace(concat('/data/set1/jsonf2/', 'p', page_id, '.json'), '/json[a-z0-9]*/([^/]*)[.]json$', @2) as from_json, regexp_replace(concat('/data/set1/confidences/p', page_id, '_confidences.json'), '/confidences/([^/]*)_confidences[.]json$', @2) as from_conf,

@@ -82,11 +82,11 @@ group by a.page_id, a.region_no, b.region_no, s.o
 """, "Lines between region centres that cross a separator's box.")
 operator("separated_pairs", "FILT28 FILT29 JOIN17", "fx_region fx_sep", f"""
 select a.page_id, a.region_no as i, b.region_no as j,
-  max(case when s.o = 'horizontal' and (s.y0 + s.y1) / 2.0 between least(a.y1, b.y1) and greatest(a.y0, b.y0) and least(a.x1, s.x1) > greatest(a.x0, s.x0) and least(b.x1, s.x1) > greatest(b.x0, s.x0) then 1 else 0 end) as by_separator,
-  max(case when (a.region_type = 'heading') is distinct from (b.region_type = 'heading') and least(a.x1, b.x1) > greatest(a.x0, b.x0)
-    and ((a.region_type = 'heading' and a.y0 >= b.y1) or (b.region_type = 'heading' and b.y0 >= a.y1)) then 1 else 0 end) as by_heading
-from fx_region a join fx_region b on a.page_id = b.page_id and a.region_no < b.region_no left join {SEP} s on s.page_id = a.page_id group by a.page_id, a.region_no, b.region_no
-""", "Pairs of regions that a horizontal separator or a heading parts.")
+  max(case when s.o = 'horizontal' and ((a.y0 <= (s.y0 + s.y1) / 2.0 and (s.y0 + s.y1) / 2.0 <= b.y1) or (b.y0 <= (s.y0 + s.y1) / 2.0 and (s.y0 + s.y1) / 2.0 <= a.y1))
+    and a.x1 >= s.x0 and b.x1 >= s.x0 and a.x0 <= s.x1 and b.x0 <= s.x1 then 1 else 0 end) as by_separator,
+  max(case when a.x0 <= b.x1 and b.x0 <= a.x1 and ((a.t = 'heading' and b.t <> 'heading' and a.y0 >= b.y1) or (b.t = 'heading' and a.t <> 'heading' and b.y0 >= a.y1)) then 1 else 0 end) as by_heading
+from (select *, coalesce(region_type, 'paragraph') as t from fx_region) a join (select *, coalesce(region_type, 'paragraph') as t from fx_region) b on a.page_id = b.page_id and a.region_no < b.region_no left join {SEP} s on s.page_id = a.page_id group by a.page_id, a.region_no, b.region_no
+""", "Pairs of regions in one column with a horizontal separator between the upper one's top and the lower one's bottom, or of which only the lower one is a heading.")
 operator("neighbours_by_confidence", "JOIN13 ITER10", "fx_conf", """
 select page_id, i, cast(count(*) as bigint) as n_neighbours, round(avg(p), 6) as mean_p from fx_conf where p > 0.5 and i <> j group by page_id, i
 """, "Nodes whose confidence exceeds the threshold.")
@@ -94,11 +94,6 @@ operator("blank_rectangles", "JOIN14 JOIN15 SET8", "fx_sep fx_line", """
 select s.page_id, s.x0, s.y0, min(l.gt_id) as article_id from fx_sep s join fx_line l on l.page_id = s.page_id and least(s.x1, l.x + l.w) > greatest(s.x0, l.x) and least(s.y1, l.y + l.h) > greatest(s.y0, l.y)
 group by s.page_id, s.x0, s.y0, s.x1, s.y1 having count(distinct l.gt_id) = 1
 """, "Blank rectangles that meet the lines of just one article take its id.")
-operator("covered_boxes", "JOIN12", "fx_line", """
-select page_id, i, j from (
-  select a.page_id, a.line_no as i, b.line_no as j, greatest(0, least(a.x + a.w + 50, b.x + b.w) - greatest(a.x - 50, b.x)) * greatest(0, least(a.y + a.h + 50, b.y + b.h) - greatest(a.y - 50, b.y)) as common, b.w * b.h as area
-  from fx_line a join fx_line b on a.page_id = b.page_id and a.line_no <> b.line_no and b.y < a.y + a.h + 50 and b.y + b.h > a.y - 50) t where common >= 0.95 * area
-""", "Boxes that another box, grown by the distance, covers to 95 per cent.")
 operator("split_lines", "JOIN22", "fx_line fx_sep", f"""
 select page_id, line_no, part, x0, x1 from (
   select l.page_id, l.line_no, p.part, case when p.part = 0 then l.x else s.x1 end as x0, case when p.part = 0 then s.x0 else l.x + l.w end as x1

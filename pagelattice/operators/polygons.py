@@ -250,7 +250,7 @@ def smooth(ring: list[Point], distance: int = 10, dims: tuple[int, int, int, int
     """
     ring = [(int(x), int(y)) for x, y in ring]
     closed = ring if ring[0] == ring[-1] else [*ring, ring[0]]
-    cloud = _ticks(closed, distance)
+    cloud = ticks(closed, distance)
     xs, ys = zip(*ring, strict=True)
     w, h = max(xs) - min(xs) + 1, max(ys) - min(ys) + 1
     dims = tuple(max(min(a, b), c) for a, b, c in zip(dims, (h // 2, h // 2, w // 2, h // 3), (100, 80, 100, 60), strict=True))
@@ -277,9 +277,10 @@ def smooth(ring: list[Point], distance: int = 10, dims: tuple[int, int, int, int
     return [(b, a) if (first + k) % 2 else (a, b) for k, (a, b) in enumerate(meets)]
 
 
-def _ticks(points: list[Point], distance: int, least: int = 20) -> np.ndarray:
+def ticks(points: list[Point] | np.ndarray, distance: int, least: int = 20) -> np.ndarray:
     """Points along a line, by their place among its pixels."""
-    p = np.array([points[0], *[b for a, b in zip(points, points[1:], strict=False) if a != b]], float)
+    points = np.asarray(points, float)
+    p = points[np.append(True, (np.diff(points, axis=0) != 0).any(axis=1))]
     steps = np.abs(np.diff(p, axis=0)).max(axis=1) if len(p) > 1 else np.zeros(0)
     before = np.concatenate([[0], np.cumsum(steps)])
     n = int(before[-1]) + 1

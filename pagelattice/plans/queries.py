@@ -235,18 +235,25 @@ def cluster_elbow(t: Layout) -> DataFrame:
     return _clustered(t, "elbow")
 
 
-@query("ITER1 ITER2 ITER3 ITER4 ITER5 JOIN12")
-def cluster_lines(t: Layout) -> DataFrame:
+def _baselines(r: dict[str, np.ndarray]) -> list[np.ndarray]:
+    return [np.array([(x, y + h), (x + w // 2, y + h + n % 3), (x + w, y + h)]) for n, x, y, w, h in zip(*(r[c].tolist() for c in ("line_no", "x", "y", "w", "h")), strict=True)]
+
+
+@query("JOIN12", None)
+def line_neighbours(t: Layout) -> DataFrame:
+    """Pairs of a page's lines of which one's box, grown by its interline distance, covers the other's."""
+
     def run(r: dict[str, np.ndarray]) -> list[tuple]:
-        boxes = np.stack([r["x"], r["y"], r["x"] + r["w"], r["y"] + r["h"]], axis=1).astype(float)
-        below = boxes[None, :, 3] - boxes[:, None, 3]
-        shared = np.minimum(boxes[None, :, 2], boxes[:, None, 2]) > np.maximum(boxes[None, :, 0], boxes[:, None, 0])
-        near = np.where(shared & (below > 0) & (below <= 500), below, np.inf).min(axis=1)
-        mean = near[np.isfinite(near)].mean() if np.isfinite(near).any() else 500.0
-        near = np.where(np.isfinite(near), near, mean)
-        scale = 50 / near.mean() if near.mean() else 1.0
-        return list(zip(r["line_no"].tolist(), clustering.lines(boxes * scale, near * scale), strict=True))
+        number = r["line_no"].tolist()
+        return [(number[a], number[b]) for a, b in np.argwhere(clustering.baseline_neighbours(_baselines(r))).tolist()]
 
+    return per_page(t.table("fx_line"), ["page_id"], ["line_no", "x", "y", "w", "h"], run, "i int, j int")
+
+
+@query("ITER1 ITER2 ITER3 ITER4 ITER5 JOIN12", None)
+def cluster_lines(t: Layout) -> DataFrame:
+    """Density clustering of a page's baselines."""
+    run = lambda r: list(zip(r["line_no"].tolist(), clustering.grown(clustering.baseline_neighbours(_baselines(r))), strict=True))
     return per_page(t.table("fx_line"), ["page_id"], ["line_no", "x", "y", "w", "h"], run, "line_no int, label int")
 
 

@@ -179,3 +179,61 @@ def test_queries(spark):
     sides = queries.queries()["true_false_lines"](spark, SF).collect()
     assert {(r.page_id, r.side): r.n_true for r in sides} == {k: sum(v >= 0.5 for v in x) for k, x in per.items()} and all(r.n_true + r.n_false == len(per[r.page_id, r.side]) for r in sides)
     assert queries.queries()["line_tolerances"](spark, SF).where("tolerance > 0 and distance <= 500").count() == sum(len(t) for t, _ in pages.values())
+
+
+def plain_neighbours(lines, distance, factor=1.25):
+    """Box by box: each is (x, y, width, height)."""
+    known = [d for d in distance if d > 0]
+    mean = sum(known) / (len(known) + 1e-8)
+    reach = [factor * (d if 0.5 * mean <= d <= 1.5 * mean else mean) for d in distance]
+    out = set()
+    for i, (x, y, w, h) in enumerate(lines):
+        for j, (p, q, v, u) in enumerate(lines):
+            if i == j:
+                continue
+            grown = (x, int(y - reach[i]), w, int(h + 2 * reach[i]))
+            wide = min(grown[0] + grown[2], p + v) - max(grown[0], p)
+            high = min(grown[1] + grown[3], q + u) - max(grown[1], q)
+            if wide >= 0 and high >= 0 and (wide + 1) * (high + 1) >= 0.95 * (v + 1) * (u + 1):
+                out |= {(i, j), (j, i)}
+    return out
+
+
+def plain_clusters(n, near, least=2):
+    label, now = {}, 0
+    of = lambda k: [j for j in range(n) if (k, j) in near]
+    for s in range(n):
+        if s in label:
+            continue
+        if len(of(s)) < least:
+            label[s] = "noise"
+            continue
+        label[s], queue = now, of(s)
+        while queue:
+            k = queue.pop(0)
+            if label.get(k) == "noise":
+                label[k] = now
+            elif k not in label:
+                label[k] = now
+                if len(of(k)) >= least:
+                    queue += of(k)
+        now += 1
+    for k in range(n):
+        if label[k] == "noise":
+            label[k], now = now, now + 1
+    return [label[k] for k in range(n)]
+
+
+def test_clusters_of_baselines_like_loops():
+    from pagelattice.operators import clustering
+
+    rng = random.Random(12)
+    for n in (1, 2, 3, 8, 14):
+        boxes = [(rng.randint(0, 300), rng.randint(0, 300), rng.randint(20, 200), rng.randint(1, 30)) for _ in range(n)]
+        distance = np.array([rng.choice((0, 20, 30, 40, 120)) for _ in range(n)], float)
+        near = plain_neighbours(boxes, distance.tolist())
+        assert {tuple(p) for p in np.argwhere(clustering.line_neighbours(np.array(boxes), distance)).tolist()} == near
+        assert clustering.grown(clustering.line_neighbours(np.array(boxes), distance)) == plain_clusters(n, near)
+    # two columns of five lines, 50 apart from each other; a lone line is a cluster of its own
+    lines = [np.array([(x, 20 * k), (x + 100, 20 * k)]) for x in (0, 400) for k in range(5)] + [np.array([(0, 900), (100, 900)])]
+    assert clustering.grown(clustering.baseline_neighbours(lines)) == [0] * 5 + [1] * 5 + [2]

@@ -108,7 +108,7 @@ def test_ticks_are_those_of_the_column_expression():
     rng = random.Random(7)
     for _ in range(60):
         ring = [(rng.randint(0, 400), rng.randint(0, 400)) for _ in range(rng.randint(1, 6))]
-        assert polygons._ticks(ring, 10).astype(int).tolist() == [list(p) for p in plain_ticks(ring, 10)]
+        assert polygons.ticks(ring, 10).astype(int).tolist() == [list(p) for p in plain_ticks(ring, 10)]
 
 
 def test_elbow():
