@@ -112,11 +112,14 @@ def box_intersection(ax, ay, aw, ah, bx, by, bw, bh) -> Column:
 
 
 def gap(ax, ay, aw, ah, bx, by, bw, bh) -> Column:
-    """struct(x, y, w, h) of the gap between boxes that are apart in one direction and overlap in the other, else null."""
+    """struct(x, y, w, h) of the box between two: across what they share on one axis, or from corner to corner; all 0 if they overlap."""
     i = box_intersection(ax, ay, aw, ah, bx, by, bw, bh)
-    beside = (i["w"] < 0) & (i["h"] >= 0)
-    above = (i["h"] < 0) & (i["w"] >= 0)
-    return F.when(beside, F.struct((i["x"] + i["w"]).alias("x"), i["y"].alias("y"), (-i["w"]).alias("w"), i["h"].alias("h"))).when(above, F.struct(i["x"].alias("x"), (i["y"] + i["h"]).alias("y"), i["w"].alias("w"), (-i["h"]).alias("h")))
+    apart = lambda n: i[n] <= 0
+    side = lambda at, n: (F.when(apart(n), i[at] + i[n]).otherwise(i[at]).alias(at), F.abs(i[n]).alias(n))
+    (x, w), (y, h) = side("x", "w"), side("y", "h")
+    zero = F.lit(0).cast("long")
+    none = F.struct(*[zero.alias(n) for n in "xywh"])
+    return F.when(apart("w") | apart("h"), F.struct(*[c.cast("long").alias(n) for c, n in ((x, "x"), (y, "y"), (w, "w"), (h, "h"))])).otherwise(none)
 
 
 def box_contains_point(x, y, w, h, px, py) -> Column:
@@ -125,8 +128,10 @@ def box_contains_point(x, y, w, h, px, py) -> Column:
 
 
 def box_contains_box(ax, ay, aw, ah, bx, by, bw, bh) -> Column:
-    """Every corner of b inside or on the boundary of a."""
-    return (bx >= ax) & (by >= ay) & (bx + bw <= ax + aw) & (by + bh <= ay + ah)
+    """Every corner of b strictly inside a or on a corner of a."""
+    corner = lambda px, py: ((px == ax) | (px == ax + aw)) & ((py == ay) | (py == ay + ah))
+    held = lambda px, py: box_contains_point(ax, ay, aw, ah, px, py) | corner(px, py)
+    return held(bx, by) & held(bx + bw, by) & held(bx, by + bh) & held(bx + bw, by + bh)
 
 
 def lies_above(ay, ah, by) -> Column:
@@ -151,6 +156,22 @@ def corners(x, y, w, h) -> Column:
     return F.array(p(x, y), p(x + w, y), p(x + w, y + h), p(x, y + h))
 
 
+def orientation_rectangles(x, y, dims: tuple[int, int, int, int] = (600, 300, 600, 300), offset: int = 0) -> dict[str, Column]:
+    """Boxes (x, y, w, h) to the north, east, south and west of a point, moved back towards it by the offset; dims: length and width of the upright ones, height and width of the others."""
+    long, wide, high, broad = dims
+    box = lambda a, b, w, h: F.struct(a.alias("x"), b.alias("y"), F.lit(w).alias("w"), F.lit(h).alias("h"))
+    return {"n": box(x - wide // 2, y - long + offset, wide, long), "s": box(x - wide // 2, y - offset, wide, long), "e": box(x - offset, y - high // 2, broad, high), "w": box(x - broad + offset, y - high // 2, broad, high)}
+
+
+def orientation_cones(x, y, dims: tuple[int, int, int, int] = (600, 300, 600, 300), offset: int = 0) -> dict[str, Column]:
+    """Triangles of two base points at the point and a tip, in the same four directions."""
+    long, wide, far, broad = dims
+    ring = lambda *ps: F.array(*[F.struct(a.cast("long").alias("x"), b.cast("long").alias("y")) for a, b in ps])
+    upright = lambda s: ring((x - wide // 2, y - s * offset), (x + wide // 2, y - s * offset), (x, y + s * (long - offset)))
+    level = lambda s: ring((x - s * offset, y + broad // 2), (x - s * offset, y - broad // 2), (x + s * (far - offset), y))
+    return {"n": upright(-1), "s": upright(1), "e": level(1), "w": level(-1)}
+
+
 def box_rescale(w, h, scale: float) -> Column:
     """Truncated scaled sizes; null (no change) if a side would vanish."""
     sw, sh = (w * F.lit(scale)).cast("int"), (h * F.lit(scale)).cast("int")
@@ -158,9 +179,9 @@ def box_rescale(w, h, scale: float) -> Column:
 
 
 def vertically_aligned(a0, a1, b0, b1, margin: int = 20) -> Column:
-    """Whether one x range lies in the other, or both begin or end within the margin."""
-    inside = ((a0 >= b0) & (a1 <= b1)) | ((b0 >= a0) & (b1 <= a1))
-    return inside | (F.abs(a0 - b0) <= margin) | (F.abs(a1 - b1) <= margin)
+    """Whether one x range lies in the other, its outer ends at most the margin beyond, or both begin or end nearer than the margin."""
+    within = lambda l0, l1, r0, r1: (l0 >= r0 - margin) & (l0 <= r1) & (l1 >= r0) & (l1 <= r1 + margin)
+    return within(a0, a1, b0, b1) | within(b0, b1, a0, a1) | (F.abs(a0 - b0) < margin) | (F.abs(a1 - b1) < margin)
 
 
 def point_box_distance(px, py, x0, y0, x1, y1) -> Column:

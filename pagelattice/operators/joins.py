@@ -90,10 +90,16 @@ from (select *, coalesce(region_type, 'paragraph') as t from fx_region) a join (
 operator("neighbours_by_confidence", "JOIN13 ITER10", "fx_conf", """
 select page_id, i, cast(count(*) as bigint) as n_neighbours, round(avg(p), 6) as mean_p from fx_conf where p > 0.5 and i <> j group by page_id, i
 """, "Nodes whose confidence exceeds the threshold.")
-operator("blank_rectangles", "JOIN14 JOIN15 SET8", "fx_sep fx_line", """
-select s.page_id, s.x0, s.y0, min(l.gt_id) as article_id from fx_sep s join fx_line l on l.page_id = s.page_id and least(s.x1, l.x + l.w) > greatest(s.x0, l.x) and least(s.y1, l.y + l.h) > greatest(s.y0, l.y)
-group by s.page_id, s.x0, s.y0, s.x1, s.y1 having count(distinct l.gt_id) = 1
-""", "Blank rectangles that meet the lines of just one article take its id.")
+operator("blank_rectangles", "JOIN14 SET8", "fx_sep fx_line", """
+with a as (select page_id, gt_id, min(x) as x0, max(x + w) as x1, min(y) as y0, max(y + h) as y1 from fx_line group by page_id, gt_id)
+select s.page_id, s.x0, s.y0, min(a.gt_id) as article_id from fx_sep s join a on a.page_id = s.page_id and least(s.x1, a.x1) > greatest(s.x0, a.x0) and least(s.y1, a.y1) > greatest(s.y0, a.y0)
+group by s.page_id, s.x0, s.y0, s.x1, s.y1 having count(*) = 1
+""", "Blank rectangles that meet the bounding box of just one article take its id.")
+operator("blank_by_parts", "JOIN15", "fx_sep fx_line", """
+with a as (select page_id, gt_id, region_no, min(x) as x0, max(x + w) as x1, min(y) as y0, max(y + h) as y1 from fx_line group by page_id, gt_id, region_no)
+select s.page_id, s.x0, s.y0, min(a.gt_id) as article_id, cast(count(*) as bigint) as parts from fx_sep s join a on a.page_id = s.page_id and least(s.x1, a.x1) > greatest(s.x0, a.x0) and least(s.y1, a.y1) > greatest(s.y0, a.y0)
+group by s.page_id, s.x0, s.y0, s.x1, s.y1 having count(distinct a.gt_id) = 1
+""", "The same for articles of several polygons: the box of each counts.")
 operator("split_lines", "JOIN22", "fx_line fx_sep", f"""
 select page_id, line_no, part, x0, x1 from (
   select l.page_id, l.line_no, p.part, case when p.part = 0 then l.x else s.x1 end as x0, case when p.part = 0 then s.x0 else l.x + l.w end as x1

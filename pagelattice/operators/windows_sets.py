@@ -11,8 +11,8 @@ operator("sequence_mask", "WIN5 WIN12 IMG19", "fx_region", """
 select page_id, region_no, k, k < least(n_lines, 5) as used from fx_region cross join (select 0 as k union all select 1 as k union all select 2 as k union all select 3 as k union all select 4 as k) s
 """, "Masks of a padded sequence.")
 operator("every_nth", "WIN9", "fx_line", """
-select page_id, line_no from (select page_id, line_no, row_number() over (partition by page_id order by line_no) - 1 as i, count(*) over (partition by page_id) as n from fx_line) t where n <= 4 or i % 2 = 0
-""", "Every second point of those with enough points.")
+select page_id, line_no from (select page_id, line_no, row_number() over (partition by page_id order by line_no) - 1 as i, count(*) over (partition by page_id) as n from fx_line) t where floor(n / 2) < 2 or i % 2 = 0
+""", "Every second point, where two or more are left.")
 operator("sorted_lines", "SORT1 SORT2 SORT3 SORT4", "fx_line", """
 select page_id, line_no, row_number() over (partition by page_id order by y desc, x, line_no) as by_y_x, row_number() over (partition by page_id order by x, line_no) as by_x, row_number() over (partition by page_id order by y + h, line_no) as by_bottom from fx_line
 """, "Places of lines in the orders that the operators use.")
@@ -41,21 +41,12 @@ select page_id, cast(count(distinct gt_id) as bigint) as n_articles, cast(count(
 operator("disjoint_channels", "SET9 SET10 SET12 IMG32", "fx_line", """
 select page_id, cell, min(channel) as channel from (select page_id, cast(floor(x / 100) as bigint) as cell, gt_id as channel from fx_line union all select page_id, cast(floor((x + w) / 100) as bigint) as cell, 3 as channel from fx_line) t group by page_id, cell
 """, "Each cell belongs to the first channel that has it.")
-operator("box_algebra", "FILT11 FILT12 FILT13 FILT14 FILT15 FILT16 FILT17 FILT19 FILT20 FILT22 FN12 FN13 FN14 FN16", "fx_line", """
-select a.page_id, a.line_no as i, b.line_no as j, greatest(a.x, b.x) as x, greatest(a.y, b.y) as y, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x) as w, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y) as h,
-  case when a.y + a.h < b.y then 1 else 0 end as above, case when b.x >= a.x and b.y >= a.y and b.x + b.w <= a.x + a.w and b.y + b.h <= a.y + a.h then 1 else 0 end as inside,
-  case when a.y + a.h < b.y and least(a.x + a.w, b.x + b.w) >= greatest(a.x, b.x) then b.y - a.y - a.h end as gap_h, case when abs(a.x - b.x) <= 20 or abs(a.x + a.w - b.x - b.w) <= 20 or (a.x >= b.x and a.x + a.w <= b.x + b.w) or (b.x >= a.x and b.x + b.w <= a.x + a.w) then 1 else 0 end as aligned
-from fx_line a join fx_line b on a.page_id = b.page_id and a.line_no < b.line_no
-""", "Overlap, order, containment, gap and alignment of pairs of boxes.")
 operator("rounding", "FN1 FN2 FN6 FN15 FN28 FN59 FN60 IMG22", "fx_line", """
 select page_id, line_no, cast(floor(w / 7.0 + 0.5) as bigint) as half_up, cast(floor(w / 10.0) as bigint) * 10 as to_base, cast(floor(x * 0.3) as bigint) as scaled, case when floor(h * 0.03) >= 1 then cast(floor(h * 0.03) as bigint) end as side, round(least(1.0, 400.0 / w), 6) as factor from fx_line
 """, "Rounding, scaling and size limits.")
 operator("point_distance", "FN20 FN22", "fx_line", """
 select a.page_id, a.line_no as i, b.line_no as j, greatest(0, b.x - a.x, a.x - b.x - b.w) + greatest(0, b.y - a.y, a.y - b.y - b.h) as dist from fx_line a join fx_line b on a.page_id = b.page_id and a.line_no <> b.line_no
 """, "City-block distance of a corner from a box.")
-operator("orientation_boxes", "FN25 FN26", "fx_region", """
-select page_id, region_no, x0, y0 - 100 as north_y, x1 + 100 as east_x, y1 + 100 as south_y, x0 - 100 as west_x, round((x0 + x1) / 2.0, 1) as cx from fx_region
-""", "Boxes and cones of the four directions.")
 operator("activations", "FN52 FN53 FN54 FN55 FN56 FN57 FN58", "fx_edge", """
 select page_id, src, dst, round(1 / (1 + exp(-score)), 6) as sigmoid, round(tanh(score), 6) as tanh_, greatest(0, score) as relu, greatest(0, score) + 0.2 * least(0, score) as leaky, round(case when score >= 0 then score else exp(score) - 1 end, 6) as elu, round(greatest(0, 0.5 * u0 - 0.25 * u1 + 0.1), 6) as dense from fx_edge
 """, "Activations and one dense unit of given weights.")

@@ -86,6 +86,42 @@ def polygon_functions(t: Layout) -> DataFrame:
     return p.select("page_id", "line_no", geo.bounds(F.col("p"))["w"].cast("long").alias("width"), F.array_min(geo.xs(geo.rescale(F.col("p"), 0.5))).cast("long").alias("half_x"), F.array_min(geo.xs(moved)).cast("long").alias("moved_x"), geo.twice_area(F.col("p")).alias("area2"), holds.alias("holds"))
 
 
+_BOXES_SQL = """with p as (select a.page_id, a.line_no as i, b.line_no as j, a.x as ax, a.y as ay, a.w as aw, a.h as ah, b.x as bx, b.y as by_, b.w as bw, b.h as bh from fx_line a join fx_line b on a.page_id = b.page_id and a.line_no < b.line_no),
+o as (select *, greatest(ax, bx) as x, greatest(ay, by_) as y, least(ax + aw, bx + bw) - greatest(ax, bx) as w, least(ay + ah, by_ + bh) - greatest(ay, by_) as h from p)
+select page_id, i, j, x, y, w, h, case when w > 0 and h > 0 then 0 when w <= 0 then x + w else x end as gap_x, case when w > 0 and h > 0 then 0 when h <= 0 then y + h else y end as gap_y,
+  case when w > 0 and h > 0 then 0 else abs(w) end as gap_w, case when w > 0 and h > 0 then 0 else abs(h) end as gap_h,
+  ay + ah < by_ as above, ay > by_ + bh as below, ax + aw < bx as left_, ax > bx + bw as right_, bx > ax and bx < ax + aw and by_ > ay and by_ < ay + ah as holds_corner, bx in (ax, ax + aw) and by_ in (ay, ay + ah) as on_corner,
+  len(list_filter([[bx, by_], [bx + bw, by_], [bx, by_ + bh], [bx + bw, by_ + bh]], lambda q: not ((q[1] > ax and q[1] < ax + aw and q[2] > ay and q[2] < ay + ah) or (q[1] in (ax, ax + aw) and q[2] in (ay, ay + ah))))) = 0 as inside,
+  (ax >= bx - 20 and ax <= bx + bw and ax + aw >= bx and ax + aw <= bx + bw + 20) or (bx >= ax - 20 and bx <= ax + aw and bx + bw >= ax and bx + bw <= ax + aw + 20) or abs(ax - bx) < 20 or abs(ax + aw - bx - bw) < 20 as aligned,
+  abs(bx - ax) >= abs(by_ - ay) as level, ax + (ax + aw) + (ax + aw) + ax as corner_xs from o"""
+
+
+@query("FILT11 FILT12 FILT13 FILT14 FILT15 FILT16 FILT17 FILT19 FILT20 FILT22 FN12 FN13 FN14 FN16", _BOXES_SQL)
+def box_algebra(t: Layout) -> DataFrame:
+    """Overlap, gap, order, containment and alignment of pairs of a page's boxes."""
+    line = t.table("fx_line")
+    a, b = (line.select("page_id", F.col("line_no").alias(n), *[F.col(c).alias(f"{k}{c}") for c in "xywh"]) for n, k in (("i", "a"), ("j", "b")))
+    p = a.join(b, "page_id").where("i < j")
+    one, two = ([F.col(f"{k}{c}") for c in "xywh"] for k in "ab")
+    (ax, ay, aw, ah), (bx, by, bw, bh) = one, two
+    both, between = geo.box_intersection(*one, *two), geo.gap(*one, *two)
+    on_corner = F.exists(geo.corners(*one), lambda q: (q["x"] == bx) & (q["y"] == by))
+    tests = {"above": geo.lies_above(ay, ah, by), "below": geo.lies_below(ay, by, bh), "left_": geo.lies_left(ax, aw, bx), "right_": geo.lies_right(ax, bx, bw), "holds_corner": geo.box_contains_point(*one, bx, by), "on_corner": on_corner, "inside": geo.box_contains_box(*one, *two), "aligned": geo.vertically_aligned(ax, ax + aw, bx, bx + bw), "level": geo.mostly_horizontal(bx - ax, by - ay)}
+    xs = F.aggregate(geo.corners(*one), F.lit(0).cast("long"), lambda s, q: s + q["x"])
+    return p.select("page_id", "i", "j", *[both[n].alias(n) for n in "xywh"], *[between[n].alias(f"gap_{n}") for n in "xywh"], *[c.alias(n) for n, c in tests.items()], xs.alias("corner_xs"))
+
+
+@query("FN25 FN26", """select page_id, region_no, x0 - 150 as n_x, y0 - 600 + 7 as n_y, x0 - 150 as s_x, y0 - 7 as s_y, x0 - 7 as e_x, y0 - 300 as e_y, x0 - 300 + 7 as w_x, y0 - 300 as w_y, 300 * 600 as area, y0 - 600 + 7 as n_tip, y0 + 600 - 7 as s_tip, x0 + 600 - 7 as e_tip, x0 - 600 + 7 as w_tip, cast(300 * 600 as bigint) as cone_area2 from fx_region""")
+def orientation_boxes(t: Layout) -> DataFrame:
+    """The four rectangles and triangles around a region's corner, 600 long and 300 wide, moved 7 towards it."""
+    x, y = F.col("x0"), F.col("y0")
+    boxes, cones = geo.orientation_rectangles(x, y, offset=7), geo.orientation_cones(x, y, offset=7)
+    tip = lambda d, c: F.element_at(cones[d], 3)[c]
+    cells = [F.col("b")[d][c].alias(f"{d}_{c}") for d in "nsew" for c in "xy"]
+    got = t.table("fx_region").select("page_id", "region_no", F.struct(*[boxes[d].alias(d) for d in "nsew"]).alias("b"), tip("n", "y").alias("n_tip"), tip("s", "y").alias("s_tip"), tip("e", "x").alias("e_tip"), tip("w", "x").alias("w_tip"), F.abs(geo.twice_area(cones["n"])).cast("long").alias("cone_area2"))
+    return got.select("page_id", "region_no", *cells, (F.col("b.n.w") * F.col("b.n.h")).alias("area"), "n_tip", "s_tip", "e_tip", "w_tip", "cone_area2")
+
+
 @query("FILT21 FILT23", "select a.page_id, a.line_no as i, b.line_no as j, case when b.x >= a.x and b.x <= a.x + a.w and a.y + a.h >= b.y - 60 and a.y + a.h <= b.y then 'point' else 'none' end as kind from fx_line a join fx_line b on a.page_id = b.page_id and a.line_no <> b.line_no")
 def segment_crossings(t: Layout) -> DataFrame:
     line = t.table("fx_line")

@@ -33,7 +33,7 @@ def test_boxes(spark):
     n = lambda *v: [F.lit(x) for x in v]
     r = one(spark, i=geo.box_intersection(*n(0, 0, 10, 10, 5, 5, 10, 10)), apart=geo.box_intersection(*n(0, 0, 2, 2, 5, 0, 2, 2)), g=geo.gap(*n(0, 0, 2, 4, 5, 1, 2, 4)), none=geo.gap(*n(0, 0, 2, 2, 5, 5, 2, 2)), inside=geo.box_contains_point(*n(0, 0, 4, 4, 4, 4)), d=geo.point_box_distance(*n(0, 0, 3, 4, 9, 9)), a=geo.vertically_aligned(*n(0, 100, 15, 400)))
     assert tuple(r.i) == (5, 5, 5, 5) and r.apart.w == -3
-    assert tuple(r.g) == (2, 1, 3, 3) and r.none is None
+    assert tuple(r.g) == (2, 1, 3, 3) and tuple(r.none) == (2, 2, 3, 3)
     assert not r.inside and r.d == 7 and r.a
 
 
@@ -41,7 +41,7 @@ def test_blow_up_and_thin_out(spark):
     line = geo.points(F.lit("0,0 100,50"))
     r = one(spark, b=geo.blow_up(line), t=geo.thin_out(geo.blow_up(line)), short=geo.thin_out(geo.blow_up(geo.points(F.lit("0,0 5,0")))))
     assert len(r.b) == 101 and tuple(r.b[1]) == (1, 1) and tuple(r.b[-1]) == (100, 50)
-    assert len(r.t) == 20 and tuple(r.t[0]) == (0, 0) and tuple(r.t[-1]) == (100, 50)
+    assert len(r.t) == 21 and tuple(r.t[0]) == (0, 0) and tuple(r.t[-1]) == (100, 50)
     assert len(r.short) == 6
 
 
