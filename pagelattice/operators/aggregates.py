@@ -51,10 +51,15 @@ select lang, round(avg(cast(case when (p >= 0.5) = (y = 1) then 1 else 0 end as
 from (select *, cast(sum(case when p >= 0.5 and y = 1 then 1 else 0 end) over (partition by lang) as double) as tp, cast(sum(case when p >= 0.5 and y = 0 then 1 else 0 end) over (partition by lang) as double) as fp, cast(sum(case when p < 0.5 and y = 1 then 1 else 0 end) over (partition by lang) as double) as fn from fx_score) t group by lang, tp, fp, fn
 """, "Accuracy, precision, recall and F1; 0 where nothing is to divide by.")
 operator("macro_micro_f1", "AGG42 AGG57", "fx_score", """
+with s as (select sum(case when p >= 0.5 and y = 1 then 1 else 0 end) as tp, sum(case when p >= 0.5 and y = 0 then 1 else 0 end) as fp, sum(case when p < 0.5 and y = 1 then 1 else 0 end) as fn, sum(case when p < 0.5 and y = 0 then 1 else 0 end) as tn from fx_score),
+c as (select 0 as cls, tn as tp, fn as fp, fp as fn from s union all select 1 as cls, tp, fp, fn from s),
+f as (select cls, tp, fp, fn, tp + fn as support, case when 2 * tp + fp + fn = 0 then 0.0 else 2.0 * tp / (2 * tp + fp + fn) end as f1 from c)
+select round(avg(f1), 6) as macro, round(2.0 * sum(tp) / sum(2 * tp + fp + fn), 6) as micro, round(sum(f1 * support) / sum(support), 6) as weighted, round(max(case when cls = 1 then f1 end), 6) as binary_ from f
+""", "F1 averaged over classes, over decisions, and by support.", other="""
 with k as (select 0 as cls union all select 1 as cls), c as (select cls, sum(case when y = cls and (p >= 0.5) = (cls = 1) then 1 else 0 end) as tp, sum(case when y <> cls and (p >= 0.5) = (cls = 1) then 1 else 0 end) as fp, sum(case when y = cls and (p >= 0.5) <> (cls = 1) then 1 else 0 end) as fn from fx_score cross join k group by cls),
 f as (select cls, tp, fp, fn, tp + fn as support, case when 2 * tp + fp + fn = 0 then 0.0 else 2.0 * tp / (2 * tp + fp + fn) end as f1 from c)
 select round(avg(f1), 6) as macro, round(2.0 * sum(tp) / sum(2 * tp + fp + fn), 6) as micro, round(sum(f1 * support) / sum(support), 6) as weighted, round(max(case when cls = 1 then f1 end), 6) as binary_ from f
-""", "F1 averaged over classes, over decisions, and by support.")
+""")
 operator("cross_entropy", "AGG43 AGG55 AGG56", "fx_score", """
 select round(-avg(y * ln(greatest(p, 0.001)) + (1 - y) * ln(greatest(1 - p, 0.001))), 6) as loss, round(sum(p * p) / 2.0, 6) as l2, cast(sum(case when p > 0 then 1 else 0 end) as bigint) as n from fx_score
 """, "Mean cross-entropy with clamped scores, and half the sum of squares.")

@@ -372,8 +372,8 @@ def _stretch() -> Column:
 def batches(t: Layout) -> DataFrame:
     """Chunks of 100, and 7 near-equal chunks of which the first get the remainder."""
     pages = t.table("fx_page").select("page_id")
-    n = pages.agg(F.count("*").alias("n"))  # one row
-    got = running.places(pages, _stretch(), ["page_id"]).crossJoin(F.broadcast(n))
+    n = pages.agg(F.count("*").alias("n")).scalar()
+    got = running.places(pages, _stretch(), ["page_id"]).withColumn("n", n)
     size, more = F.floor(F.col("n") / 7), F.col("n") % 7
     part = F.when(F.col("place") <= more * (size + 1), F.ceil(F.col("place") / (size + 1))).otherwise(more + F.ceil((F.col("place") - more * (size + 1)) / size))
     return got.select("page_id", F.floor((F.col("place") - 1) / 100).alias("batch"), part.cast("int").alias("part"))
@@ -383,7 +383,7 @@ def batches(t: Layout) -> DataFrame:
 def sublists(t: Layout) -> DataFrame:
     """Validation, test and training lists of exact shares in a fixed pseudo-random order."""
     pages = t.table("fx_page").select("page_id")
-    got = running.places(pages, (F.col("page_id") * 48271) % 65537, ["page_id"]).crossJoin(F.broadcast(pages.agg(F.count("*").alias("n"))))  # one row
+    got = running.places(pages, (F.col("page_id") * 48271) % 65537, ["page_id"]).withColumn("n", pages.agg(F.count("*").alias("n")).scalar())
     return got.select("page_id", F.when(F.col("place") <= F.floor(F.col("n") * 0.1), "val").when(F.col("place") <= F.floor(F.col("n") * 0.3), "test").otherwise("train").alias("part"))
 
 
@@ -392,7 +392,7 @@ def _curve(t: Layout) -> DataFrame:
     p = F.col("p").cast("double")
     counts = t.table("fx_score").groupBy(p.alias("p")).agg(F.sum("y").alias("pos"), F.count("*").alias("n"))
     got = running.running(counts.withColumn("_down", -F.col("p")), F.floor(-F.col("p") * 1024), ["_down"], {"pos": "tp", "n": "m"})
-    return got.crossJoin(F.broadcast(counts.agg(F.sum("pos").alias("hits"), F.sum("n").alias("scores"))))  # one row
+    return got.withColumns({"hits": counts.agg(F.sum("pos")).scalar(), "scores": counts.agg(F.sum("n")).scalar()})
 
 
 def _f1() -> Column:
