@@ -261,12 +261,13 @@ def write_shards(docs: DataFrame, folder: str, **options) -> Mix:
     extra = F.coalesce(F.col("whole") | (F.col("key") <= F.col("upto")), F.col("whole")) | F.coalesce(F.array_contains("fills", F.col("key")), F.lit(False))
     takes = F.filter("draws", lambda d: (d["turn"] < F.col("passes")) | extra)
     rows = rows.select("place", "key", "doc", F.explode(takes).alias("draw")).select("place", "key", "doc", "draw.*")
-    position = digest(F.col("key"), F.col("turn"), F.col("shard"))
-    rows = rows.select("shard", "place", "key", position.alias("position"), "doc")
     # a shard (some shard_words words) lies in one task and is sorted there
     tasks = min(got.shards, MAX_TASKS)
-    rows = rows.repartitionById(tasks, F.floor(F.col("shard") * tasks / got.shards).cast("int")).sortWithinPartitions("shard", "position")
-    rows.write.partitionBy("shard").option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(folder)
+    rows = rows.repartitionById(tasks, F.floor(F.col("shard") * tasks / got.shards).cast("int"))
+    position = digest(F.col("key"), F.col("turn"), F.col("shard"))
+    rows = rows.select("shard", "place", "key", position.alias("position"), "doc").sortWithinPartitions("shard", "position")
+    options = {"compression": "zstd", "parquet.compression.codec.zstd.level": 6, "parquet.block.size": ROW_GROUP}
+    rows.write.partitionBy("shard").options(**options).parquet(folder)
     return got
 
 
