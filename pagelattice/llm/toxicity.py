@@ -27,7 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import flat
@@ -244,8 +244,9 @@ def fit_from(docs: DataFrame, labels: DataFrame, fit_docs: int = 2000, fit_chars
     """
     known = labels.where("toxic in (0, 1) and doc_id is not null").select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("y"), F.xxhash64(F.col("doc_id").cast("string")).alias("h"))
     ids = [known.where(F.col("y") == k).orderBy("h", "_id").limit(fit_docs) for k in (0, 1)]
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids[0].unionByName(ids[1])), F.col("doc_id") == F.col("_id")).where(F.length("text").between(1, fit_chars))
-    got = {(r.text, r.y) for k in (0, 1) for r in rows.where(F.col("y") == k).orderBy("h", "text").limit(fit_docs).select("text", "y").collect()}  # copies count once
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids[0].unionByName(ids[1])), F.col("doc_id") == F.col("_id")).where(F.length("text").between(1, fit_chars))
+    place = F.row_number().over(Window.partitionBy("y").orderBy("h", "text"))
+    got = {(r.text, r.y) for r in rows.withColumn("place", place).where(F.col("place") <= fit_docs).select("text", "y").collect()}  # one scan; copies count once
     got = sorted(got)
     return fit([t for t, _ in got], np.array([y for _, y in got], float))
 
