@@ -43,7 +43,7 @@ from .scratch import Scratch
 
 LANES = 5
 #: Shingles and classes in a block of step 3, and columns of an incidence matrix at once.
-BLOCK_SHINGLES, BLOCK_CLASSES = 200_000, 256
+BLOCK_SHINGLES, BLOCK_CLASSES = 200_000, 512
 _COLUMNS = 4096
 #: Parts that the rows of one family or component are dealt in where they meet its one row.
 PARTS = 32
@@ -256,6 +256,28 @@ def _block_links(percent: int, lanes: int, most: int):
     return run
 
 
+def _by_run(keys: tuple[str, ...], function):
+    """Calls function with the rows of each run of equal keys, which sorted batches hold one after another."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = np.stack([batch.column(batch.schema.get_field_index(k)).to_numpy() for k in keys])
+            stops = [0, *(np.flatnonzero((now[:, 1:] != now[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+            for k, (start, stop) in enumerate(zip(stops, stops[1:], strict=False)):
+                part = batch.slice(start, stop - start)
+                if held and (k or any(held[0].column(x)[0] != part.column(x)[0] for x in keys)):
+                    yield from function(pa.Table.from_batches(held)).to_batches()
+                    held = []
+                held.append(part)
+        if held:
+            yield from function(pa.Table.from_batches(held)).to_batches()
+
+    return run
+
+
 def _met(rows: DataFrame, own: str, few: DataFrame, key: str, how: str) -> DataFrame:
     """rows joined with few(key, ...), a row a key; many rows may share a key, so each key's are dealt in PARTS by their own column."""
     few = few.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
@@ -307,10 +329,14 @@ def linked_rows(rows: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     dealt = _met(members, "rep", scratch.table(main, "families"), "family", "inner")
     mine = lambda n, salt: F.pmod(F.xxhash64("rep", F.lit(salt)), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    index = dealt.select("family", "rep", "comp", "sig", F.lit(0).alias("probe"), mine("all_blocks", 1).alias("i"), every("probe_blocks").alias("j"))
-    probe = dealt.where("comp <> main").select("family", "rep", "comp", "sig", F.lit(1).alias("probe"), mine("probe_blocks", 2).alias("j"), every("all_blocks").alias("i"))
-    blocks = index.unionByName(probe).join(sets.hint("merge"), "rep").select("family", "i", "j", "comp", "probe", "sig", "shingles")
-    more = scratch.table(blocks.groupBy("family", "i", "j").applyInArrow(_block_links(percent, lanes, most), "u long, v long"), "more")
+    index = dealt.select("family", "rep", "comp", "sig", "probe_blocks", F.lit(0).alias("probe"), mine("all_blocks", 1).alias("i"), every("probe_blocks").alias("j"))
+    probe = dealt.where("comp <> main").select("family", "rep", "comp", "sig", "probe_blocks", F.lit(1).alias("probe"), mine("probe_blocks", 2).alias("j"), every("all_blocks").alias("i"))
+    # a family's blocks go to tasks in turn: a hash would put several of a large one's in a task
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spot = F.pmod(F.xxhash64("family") + F.col("i").cast("long") * F.col("probe_blocks") + F.col("j"), F.lit(tasks)).cast("int")
+    blocks = index.unionByName(probe).join(sets.hint("merge"), "rep").select("family", "i", "j", "comp", "probe", "sig", "shingles", spot.alias("spot"))
+    blocks = blocks.repartitionById(tasks, "spot").sortWithinPartitions("family", "i", "j").drop("spot")
+    more = scratch.table(blocks.mapInArrow(_by_run(("family", "i", "j"), _block_links(percent, lanes, most)), "u long, v long"), "more")
     merged = connected_components(more, scratch).select(F.col("node").alias("first"), F.col("component").alias("merged"))
 
     # by class, then one join with all rows

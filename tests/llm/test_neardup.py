@@ -1,6 +1,8 @@
+import itertools
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -46,7 +48,7 @@ def corpus(seed, group):
     return list(enumerate(out))
 
 
-@pytest.mark.parametrize(("width", "percent", "blocks", "classes"), [(3, 85, 200_000, 256), (5, 80, 3000, 256), (3, 85, 200_000, 7)])
+@pytest.mark.parametrize(("width", "percent", "blocks", "classes"), [(3, 85, 200_000, 512), (5, 80, 3000, 512), (3, 85, 200_000, 7)])
 def test_like_brute_force(spark, monkeypatch, width, percent, blocks, classes):
     monkeypatch.setattr(neardup, "BLOCK_SHINGLES", blocks)
     monkeypatch.setattr(neardup, "BLOCK_CLASSES", classes)
@@ -105,3 +107,13 @@ def test_pairs_just_at_the_similarity_are_found(spark, percent):
             linked.add(2 * pair + 1)
     got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 3, percent).collect()
     assert 100 < len(linked) < 400 and {r.doc_id for r in got if not r.kept} == linked
+
+
+def test_runs_of_blocks_over_batches():
+    rows = [(k // 7, k // 3, k) for k in range(40)]
+    batch = lambda part: pa.RecordBatch.from_pydict({"a": [r[0] for r in part], "b": [r[1] for r in part], "v": [r[2] for r in part]})
+    for cuts in ([], [1], [3, 7, 8], list(range(1, 40)), [20, 20]):
+        at = [0, *cuts, 40]
+        batches = [batch(rows[s:e]) for s, e in itertools.pairwise(at)]
+        got = [r["v"] for b in neardup._by_run(("a", "b"), lambda t: pa.table({"v": [t.column("v").to_pylist()]}))(iter(batches)) for r in b.to_pylist()]
+        assert got == [[r[2] for r in g] for _, g in itertools.groupby(rows, key=lambda r: r[:2])]
