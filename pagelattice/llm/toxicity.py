@@ -187,19 +187,20 @@ def fit(texts: list[str], toxic: np.ndarray, steps: int = 60, seed: int = 3) ->
     empty = Model(np.zeros(1 << BITS, np.float32), 0.0, np.zeros((2, 2)), np.array([-40.0, 0.0, 0.0]))
     if not len(texts) or toxic.min() == toxic.max():
         return empty
-    _, _, _, first, forms = tokens(pa.array(texts, pa.large_string()))
+    first, forms = tokens(pa.array(texts, pa.large_string()))[3:]
     owner = np.repeat(np.arange(len(texts)), np.diff(first))
     n_toxic, n_clean = int(toxic.sum()), int((1 - toxic).sum())
-    marks = np.zeros(len(owner), bool)
-    for row in forms:  # by how many texts of either label is a form used
+    marks, ids = np.zeros(len(owner), bool), np.empty(forms.shape, np.int32)
+    for k, row in enumerate(forms):  # by how many texts of either label is a form used
+        ids[k] = buckets(row)
         kinds, code = np.unique(row, return_inverse=True)
         seen = np.unique(code.astype(np.int64) * len(texts) + owner)
         kind, whose = seen // len(texts), toxic[seen % len(texts)]
         a, b = np.bincount(kind, whose, len(kinds)), np.bincount(kind, 1 - whose, len(kinds))
         rate_a, rate_b = a / n_toxic, (b + 0.5) / n_clean
         marks |= ((a >= max(5, min(15, n_toxic / 40))) & (rate_a >= 12 * rate_b))[code]
+    del forms, row
     y = marks & (toxic[owner] == 1)
-    ids = buckets(forms)
     weights, moves, bias = np.zeros(1 << BITS), np.zeros((2, 2)), -4.0
     sq_w, sq_m, sq_b = np.full(1 << BITS, 1e-6), np.full((2, 2), 1e-6), 1e-6
     rng = np.random.default_rng(seed)
