@@ -228,7 +228,7 @@ def fit(texts: list[str], toxic: np.ndarray, steps: int = 60, seed: int = 3) ->
         moves -= 0.1 * gm / np.sqrt(sq_m)
         bias -= 0.1 * gb / np.sqrt(sq_b)
     model = Model(weights.astype(np.float32), bias, moves, np.zeros(3))
-    p, _, _ = marginals(model.weights[ids].sum(axis=0) + bias, first, moves)
+    p, _, _ = marginals(model.weights[ids].sum(axis=0) + bias, first, moves, counts=False)
     x, head = summary(p, first), np.zeros(3)
     for _ in range(40):  # Newton's method with a ridge
         q = 1 / (1 + np.exp(-np.clip(x @ head, -40, 40)))
