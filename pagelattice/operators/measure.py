@@ -133,6 +133,19 @@ def regression(line: Line) -> tuple[float, float]:
     return float(angle % (2 * np.pi)), float(y.mean() - slope * x.mean())
 
 
+def _across(u: np.ndarray, v: np.ndarray, a: np.ndarray, b: np.ndarray, reach: float) -> np.ndarray:
+    """Of points (u, v) the least distance in v from points (a, b) that are at most reach away in u, infinite without one."""
+    order = np.argsort(a, kind="stable")
+    a, b = a[order], b[order]
+    first, last = np.searchsorted(a, u - reach - 1e-9, "left"), np.searchsorted(a, u + reach + 1e-9, "right")
+    out = np.full(len(u), np.inf)
+    for step in range(int((last - first).max(initial=0))):
+        at = np.minimum(first + step, len(a) - 1)
+        near = (first + step < last) & (np.abs(u - a[at]) <= reach + 1e-9)
+        out = np.where(near, np.minimum(out, np.abs(v - b[at])), out)
+    return out
+
+
 def neighbour_distances(lines: Sequence[Line], tick: int = 5, most: float = 250.0) -> np.ndarray:
     """Distance of each line across its direction to the ticks of others that lie beside one of its own (within 2 ticks along it).
 
@@ -142,25 +155,19 @@ def neighbour_distances(lines: Sequence[Line], tick: int = 5, most: float = 250.
     out = np.full(len(lines), float(most))
     if len(lines) < 2:
         return out
-    every, starts = np.concatenate(lines).astype(float), np.cumsum([0, *map(len, lines[:-1])])
     low = np.array([line.min(axis=0) for line in lines], float)
     high = np.array([line.max(axis=0) for line in lines], float) + 1
-    ends = np.array([(line[0], line[-1]) for line in lines], float)
     for k, line in enumerate(lines):
-        if not len(line):
-            continue
         angle, _ = regression(line)
         cos, sin = np.cos(angle), np.sin(angle)
-        along = lambda d: d[..., 0] * cos - d[..., 1] * sin  # noqa: B023, E731
-        between = along(ends[k][:, None, None] - ends[None]).transpose(1, 0, 2).reshape(len(lines), 4)
-        beside = ~((between < 0).all(axis=1) | (between > 0).all(axis=1))
-        beside[k] = False
-        points = line.astype(float)
-        apart = points[:, None] - every[None]
-        off = np.where(np.abs(along(apart)) <= 2 * tick, np.abs(apart[..., 0] * sin + apart[..., 1] * cos), np.inf)
-        off = np.minimum.reduceat(off, starts, axis=1)
-        box = (np.maximum(0, low[None] - points[:, None]) + np.maximum(0, points[:, None] - high[None])).sum(axis=2)
-        off[:, ~beside] = np.inf
+        turned = [(p[:, 0] * cos - p[:, 1] * sin, p[:, 0] * sin + p[:, 1] * cos) for p in lines]  # along the line, and across it
+        u, v = turned[k]
+        box = (np.maximum(0, low[None] - line[:, None]) + np.maximum(0, line[:, None] - high[None])).sum(axis=2)
+        off = np.full(box.shape, np.inf)
+        for m, (a, b) in enumerate(turned):
+            between = [u[e] - a[f] for e in (0, -1) for f in (0, -1)]
+            if m != k and not (max(between) < 0 or min(between) > 0) and (box[:, m] <= out[k]).any():
+                off[:, m] = _across(u, v, a, b, 2 * tick)
         now = out[k]
         for at in np.flatnonzero(off.ravel() < now).tolist():
             if off.flat[at] < now and box.flat[at] <= now:
