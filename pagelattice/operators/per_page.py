@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,18 +11,38 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+#: Bytes and rows of results after which they leave a worker.
+OUT_BYTES, OUT_ROWS = 4 << 20, 20_000
+
+
+def in_pieces(groups: Iterable[list[tuple]], wide: list[int]) -> Iterator[list[tuple]]:
+    """The groups' rows in lists of about OUT_BYTES of the wide columns or OUT_ROWS, each group's as soon as it is made."""
+    rows, held = [], 0
+    for found in groups:
+        rows += found
+        held += sum(len(r[k] or b"") for r in found for k in wide)
+        if held > OUT_BYTES or len(rows) > OUT_ROWS:
+            yield rows
+            rows, held = [], 0
+    if rows:
+        yield rows
+
 
 def per_page(df: DataFrame, keys: list[str], values: list[str], function: Callable[[dict[str, np.ndarray]], list[tuple]], columns: str) -> DataFrame:
     """The function's tuples for each group, behind the group's keys.
 
     A group's rows are gathered in the JVM with map-side partials and sorted by the values in
     their order; a group is one page (or a part of one), which is bounded by what a page holds.
-    The function gets a numpy array for each value.
+    The function gets a numpy array for each value.  Results leave in pieces of OUT_BYTES or OUT_ROWS, as a page may give images.
     """
     packed = df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*values))).alias("_rows"))
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
     schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", " + columns
     out_schema = to_arrow_schema(StructType.fromDDL(schema))
+    wide = [k for k, f in enumerate(out_schema) if k >= len(keys) and (pa.types.is_binary(f.type) or pa.types.is_string(f.type))]
+
+    def as_batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(out_schema)], schema=out_schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -32,11 +52,7 @@ def per_page(df: DataFrame, keys: list[str], values: list[str], function: Callab
             flat, at = lists.flatten(), np.asarray(lists.offsets) - lists.offsets[0].as_py()
             arrays = {n: c.to_numpy(zero_copy_only=False) for n, c in zip(values, flat.flatten(), strict=True)}
             got = [batch.column(k).to_pylist() for k in range(len(keys))]
-            rows = []
-            for g in range(batch.num_rows):
-                key = tuple(c[g] for c in got)
-                part = slice(at[g], at[g + 1])
-                rows += [(*key, *r) for r in function({n: a[part] for n, a in arrays.items()})]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(out_schema)], schema=out_schema)
+            found = ([(*(c[g] for c in got), *r) for r in function({n: a[at[g] : at[g + 1]] for n, a in arrays.items()})] for g in range(batch.num_rows))
+            yield from map(as_batch, in_pieces(found, wide))
 
     return packed.mapInArrow(run, schema)

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pagelattice.operators import augment, graph_network, polygons, raster
+from pagelattice.operators import augment, graph_network, per_page, polygons, raster
 from pagelattice.plans import queries
 from pagelattice.sources import files, pagexml
 
@@ -98,6 +98,37 @@ def test_drawing():
     assert not (got["a"].astype(int) + got["b"] + got["other"] != 255).any()
 
 
+def test_images_leave_a_worker_in_pieces():
+    made = []
+
+    def groups():
+        for k in range(500):
+            made.append(k)
+            yield [(k, bytes(100_000)), (k, None)]
+
+    most = 0
+    for n, rows in enumerate(per_page.in_pieces(groups(), [1])):
+        most = max(most, sum(len(r[1] or b"") for r in rows))
+        if not n:
+            assert len(made) < 100  # the others aren't made yet
+    assert len(made) == 500 and most <= per_page.OUT_BYTES + 100_000
+    assert sum(map(len, per_page.in_pieces(groups(), [1]))) == 1000
+
+
+def test_upright_lines_are_drawn_like_slanted_ones():
+    rng = np.random.default_rng(4)
+    y, x = np.mgrid[:30, :40]
+    for _ in range(300):
+        x0, x1, y0, y1 = rng.integers(-6, 46, 4).tolist()
+        x0, x1, y0, y1 = min(x0, x1), max(x0, x1), min(y0, y1), max(y0, y1)
+        for width in (1, 2, 3, 7):
+            bar = (np.maximum(0, np.maximum(x0 - x, x - x1)) ** 2 + (y - y0) ** 2) <= (width / 2) ** 2
+            assert ((raster.drawn((30, 40), [[(x0, y0), (x1, y0)]], closed=False, width=width) > 0) == bar).all()
+            assert ((raster.drawn((40, 30), [[(y0, x0), (y0, x1)]], closed=False, width=width) > 0) == bar.T).all()
+        whole = (x >= x0) & (x <= x1) & (y >= y0) & (y <= y1)
+        assert ((raster.drawn((30, 40), [[(x0, y0), (x1, y0), (x1, y1), (x0, y1)]], fill=True, width=1) > 0) == whole).all()
+
+
 def test_holes():
     outer, hole = [(0, 0), (10, 0), (10, 10), (0, 10)], [(4, 4), (6, 4), (6, 6), (4, 6)]
     assert abs(polygons.signed_area(polygons.bridged(outer, [hole]))) == 96
