@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 
@@ -115,6 +116,141 @@ def page_measure(truth: dict[object, list[Line]], reco: dict[object, list[Line]]
     return [*out, (recall, precision, f_measure(recall, precision))]
 
 
+def aligned_many(scores: np.ndarray) -> np.ndarray:
+    """``aligned`` of every matrix of a stack at once."""
+    left, out = scores.copy(), np.zeros(scores.shape[:2])
+    each = np.arange(len(scores))
+    for _ in range(min(scores.shape[1:])):
+        r, c = np.divmod(left.reshape(len(left), -1).argmax(axis=1), scores.shape[2])
+        out[each, r] = left[each, r, c]
+        left[each, r] = -1
+        left[each, :, c] = -1
+    return out
+
+
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """City-block distances of points (rows of x and y) from others."""
+    out = np.abs(a[0][:, None] - b[0])
+    out += np.abs(a[1][:, None] - b[1])
+    return out
+
+
+@lru_cache
+def _score_table(least: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Scores by distance, up to the first at which all are 0, and tolerance, as whole numbers; and what these count as 1.
+
+    Sums of them are exact, so means that are equal are so in every bit, and of equals the first is taken.
+    """
+    distance, tolerance = np.arange(3 * most + 2)[:, None], np.arange(least, most + 1)
+    full = np.where(tolerance > 0, 2 * tolerance, 1)
+    return np.where(distance <= tolerance, full, np.clip(3 * tolerance - distance, 0, None) * (tolerance > 0)).astype(np.int32), full
+
+
+class PageScores:
+    """Scores of a page's ticks by a table of distances: lines of whole numbers, and tolerances that are the same for all lines.
+
+    ``pairs`` has the pair scores by recognised line, truth line and tolerance; ``best`` the scores of truth lines against the
+    nearest of several groups of recognised lines.
+    """
+
+    def __init__(self, truth: Sequence[Line], reco: Sequence[Line], tolerances: Tolerances):
+        ours, theirs = (np.concatenate(lines).T for lines in (truth, reco))
+        low = np.minimum(ours.min(axis=1), theirs.min(axis=1))[:, None]
+        span = int((np.maximum(ours.max(axis=1), theirs.max(axis=1)) - low[:, 0]).sum())
+        small = np.int16 if span < 1 << 15 else np.int64
+        ours, theirs = (np.ascontiguousarray(side - low).astype(small) for side in (ours, theirs))
+        self.table, self.full = _score_table(tolerances.least, tolerances.most)
+        self.size = [np.array([len(line) for line in lines]) for lines in (truth, reco)]
+        self.start = [np.cumsum(size) - size for size in self.size]
+        far = len(self.table) - 1
+        # by recognised line, of every truth tick; then by truth line, of every recognised tick
+        self.near = np.minimum(np.minimum.reduceat(_apart(theirs, ours), self.start[1], axis=0), far)
+        back = np.minimum(np.minimum.reduceat(_apart(ours, theirs), self.start[0], axis=0), far)
+        self.pairs = np.add.reduceat(self.table[back.T], self.start[1], axis=0) / (self.full * self.size[1][:, None, None])
+
+    def best(self, groups: Sequence[Sequence[int]]) -> np.ndarray:
+        """By truth line, group and tolerance."""
+        nearest = np.stack([self.near[g].min(axis=0) for g in groups], axis=1)
+        return np.add.reduceat(self.table[nearest], self.start[0], axis=0) / (self.full * self.size[0][:, None, None])
+
+
+def _whole(lines: Sequence[Line]) -> bool:
+    return all(line.dtype.kind in "iu" for line in lines)
+
+
+class _Alignments:
+    """Matrices of scores by recognised line, truth line and tolerance, aligned together by their shape when all are known."""
+
+    def __init__(self):
+        self.stacks: dict[tuple[int, ...], list[np.ndarray]] = {}
+        self.done: dict[tuple[int, ...], np.ndarray] = {}
+
+    def add(self, scores: np.ndarray) -> tuple[tuple[int, ...], int]:
+        own = self.stacks.setdefault(scores.shape, [])
+        own.append(scores)
+        return scores.shape, len(own) - 1
+
+    def get(self, at: tuple[tuple[int, ...], int]) -> np.ndarray:
+        """By tolerance and recognised line."""
+        shape, k = at
+        if shape not in self.done:
+            stack = np.stack(self.stacks[shape]).transpose(0, 3, 1, 2)
+            self.done[shape] = aligned_many(stack.reshape(-1, *shape[:2])).reshape(len(stack), shape[2], shape[0])
+        return self.done[shape][k]
+
+
+def page_line_scores(pages: Sequence[tuple[Sequence[Line], Sequence[Line]]], tolerances: Tolerances = Tolerances()) -> list[tuple[np.ndarray, np.ndarray]]:  # noqa: B008
+    """``line_recall`` and ``line_precision`` of many pages, none of which lacks a side."""
+    if tolerances.least < 0 or not all(_whole(side) for page in pages for side in page):
+        return [(line_recall(*page, tolerances), line_precision(*page, tolerances)) for page in pages]
+    alignments, found = _Alignments(), []
+    for truth, reco in pages:
+        scores = PageScores(truth, reco, tolerances)
+        found.append((scores.best([range(len(reco))])[:, 0].T, alignments.add(scores.pairs)))
+    return [(recall, alignments.get(at)) for recall, at in found]
+
+
+def page_measures(pages: Sequence[tuple[dict[object, list[Line]], dict[object, list[Line]]]], tolerances: Tolerances = Tolerances()) -> list[list[tuple[float, float, float] | None]]:  # noqa: B008
+    """``page_measure`` of many pages; each page's distances are worked out once, for all its measures."""
+    out: list[list | None] = []
+    alignments, todo = _Alignments(), []
+    for truth, reco in pages:
+        lines = [[line for own in side.values() for line in own] for side in (truth, reco)]
+        if tolerances.least < 0 or not all(lines) or not all(map(_whole, lines)):
+            out.append(page_measure(truth, reco, tolerances))
+            continue
+        out.append(None)
+        scores = PageScores(*lines, tolerances)
+        spots = []  # of each article, its lines
+        for side in (truth, reco):
+            ends = np.cumsum([len(own) for own in side.values()]).tolist()
+            spots.append({article: list(range(end - len(own), end)) for (article, own), end in zip(side.items(), ends, strict=True)})
+        named = [[k for article, own in side.items() if article is not None for k in own] for side in spots]
+        ours, theirs = ([own for article, own in side.items() if article is not None] for side in spots)
+        groups = [list(range(len(lines[1]))), *([named[1]] if named[1] else []), *theirs]
+        best = scores.best(groups)
+        pick = lambda a, b, p=scores.pairs: alignments.add(p if len(a) == p.shape[1] and len(b) == p.shape[0] else p[np.ix_(b, a)])
+        detections = [(best[:, 0].mean(), pick(range(len(lines[0])), groups[0]))]
+        if named[0] and named[1]:
+            detections.append((best[named[0], 1].mean(), pick(*named)))
+        pairs = [[(best[a, 2 + k].mean(), pick(a, b)) for k, b in enumerate(theirs)] for a in ours] if theirs else []
+        todo.append((len(out) - 1, detections, bool(named[0]), pairs, [np.array([len(own) for own in side], float) for side in (ours, theirs)]))
+    for at, detections, has_named, pairs, (ours, theirs) in todo:
+        value = lambda x: (float(x[0]), float(alignments.get(x[1]).mean()))
+        whole = value(detections[0])
+        whole = (*whole, f_measure(*whole))
+        if not has_named:
+            out[at] = [whole, None, None]
+        elif not pairs:
+            out[at] = [whole, (0.0, 0.0, 0.0), (0.0, 0.0, 0.0)]
+        else:
+            named_ = value(detections[1])
+            grid = np.array([[value(x) for x in row] for row in pairs])
+            recall, precision = greedy_sum(grid[..., 0] * (ours / ours.sum())[:, None]), greedy_sum(grid[..., 1] * (theirs / theirs.sum())[None])
+            out[at] = [whole, (*named_, f_measure(*named_)), (recall, precision, f_measure(recall, precision))]
+    return out
+
+
 def regression(line: Line) -> tuple[float, float]:
     """Angle in [0, 2 pi) of the least-squares line (y up), pointing the way the line runs, and its intercept.
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +14,8 @@ from pyspark.sql.types import StructType
 
 #: Bytes and rows of results after which they leave a worker.
 OUT_BYTES, OUT_ROWS = 4 << 20, 20_000
+#: Pages that are worked on together.
+TOGETHER = 500
 
 
 def in_pieces(groups: Iterable[list[tuple]], wide: list[int]) -> Iterator[list[tuple]]:
@@ -28,9 +31,11 @@ def in_pieces(groups: Iterable[list[tuple]], wide: list[int]) -> Iterator[list[t
         yield rows
 
 
-def per_page(df: DataFrame, keys: list[str], values: list[str], function: Callable[[dict[str, np.ndarray]], list[tuple]], columns: str) -> DataFrame:
+def per_page(df: DataFrame, keys: list[str], values: list[str], function: Callable[[dict[str, np.ndarray]], list[tuple]], columns: str, together: int = 0) -> DataFrame:
     """The function's tuples for each group, behind the group's keys.
 
+    With together it gets a list of that many groups at most, and gives a list for each: what is alike in many pages is then done at once.
+
     A group's rows are gathered in the JVM with map-side partials and sorted by the values in
     their order; a group is one page (or a part of one), which is bounded by what a page holds.
     The function gets a numpy array for each value.  Results leave in pieces of OUT_BYTES or OUT_ROWS, as a page may give images.
@@ -52,7 +57,9 @@ def per_page(df: DataFrame, keys: list[str], values: list[str], function: Callab
             flat, at = lists.flatten(), np.asarray(lists.offsets) - lists.offsets[0].as_py()
             arrays = {n: c.to_numpy(zero_copy_only=False) for n, c in zip(values, flat.flatten(), strict=True)}
             got = [batch.column(k).to_pylist() for k in range(len(keys))]
-            found = ([(*(c[g] for c in got), *r) for r in function({n: a[at[g] : at[g + 1]] for n, a in arrays.items()})] for g in range(batch.num_rows))
+            groups = ({n: a[at[g] : at[g + 1]] for n, a in arrays.items()} for g in range(batch.num_rows))
+            results = map(function, groups) if not together else (r for many in batched(groups, together) for r in function(list(many)))
+            found = ([(*(c[g] for c in got), *r) for r in rows] for g, rows in enumerate(results))
             yield from map(as_batch, in_pieces(found, wide))
 
     return packed.mapInArrow(run, schema)

@@ -2,13 +2,14 @@
 
 import math
 import random
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from pagelattice.functions import geometry as geo
-from pagelattice.operators import measure
+from pagelattice.operators import measure, polygons
 from pagelattice.plans import queries
 
 SF = "/root/testdata/sf0.001"
@@ -84,6 +85,52 @@ def test_measure_like_loops(seed):
     assert np.allclose(measure.detection(*arrays, measure.Tolerances(least=-1)), plain_measure(truth, reco, [[t] for t in own]))
 
 
+def test_many_pages_like_each():
+    rng = random.Random(8)
+    line = lambda: np.array([(x, rng.randint(0, 60)) for x in range(rng.randint(0, 40), rng.randint(60, 300), 5)])
+    side = lambda: {a: [line() for _ in range(rng.randint(1, 3))] for a in rng.sample([None, 0, 1, 2], rng.randint(0, 4))}
+    pages = [(side(), side()) for _ in range(120)]
+    def noise(truth, reco, tolerances):
+        """Whether scores that are equal differ in their last bits, so that the alignment hangs on these."""
+        both = [[x for own in s.values() for x in own] for s in (truth, reco)]
+        steps = np.diff(np.sort(measure.pair_scores(both[1], both[0], tolerances.of(both[0])).reshape(len(tolerances.of(both[0])), -1))) if all(both) else np.zeros(0)
+        return ((steps > 0) & (steps < 1e-9)).any()
+
+    for tolerances in (measure.Tolerances(), measure.Tolerances(4, 9), measure.Tolerances(-1)):
+        for (truth, reco), got in zip(pages, measure.page_measures(pages, tolerances), strict=True):
+            if noise(truth, reco, tolerances):
+                continue
+            expected = measure.page_measure(truth, reco, tolerances)
+            assert [x and pytest.approx(x, abs=1e-12) for x in expected] == got
+    whole = [both for both in ([[x for own in s.values() for x in own] for s in page] for page in pages if not noise(*page, measure.Tolerances())) if all(both)]
+    assert len(whole) > 20
+    for (truth, reco), (recall, precision) in zip(whole, measure.page_line_scores(whole), strict=True):
+        assert np.allclose(recall, measure.line_recall(truth, reco, measure.Tolerances()), atol=1e-12)
+        assert np.allclose(precision, measure.line_precision(truth, reco, measure.Tolerances()), atol=1e-12)
+
+
+def test_many_ticks_are_those_of_the_column_expression(spark):
+    rng = random.Random(5)
+    lines = [[(rng.randint(-50, 900), rng.randint(-50, 300)) for _ in range(3)] for _ in range(150)]
+    lines += [[(5, 5)] * 3, [(0, 0), (0, 0), (19, 0)], [(0, 0), (20, 0), (20, 0)], [(9, 0), (9, 0), (0, 7)], [(0, 7), (9, 9), (100_000, 7)]]
+    ticks, counts = polygons.many_ticks(np.array(lines))
+    parts = np.split(ticks, np.cumsum(counts)[:-1])
+    df = spark.createDataFrame([(k, [{"x": x, "y": y} for x, y in line]) for k, line in enumerate(lines)], "k int, p array<struct<x:int,y:int>>")
+    for r in df.select("k", geo.ticks(F.col("p")).alias("t")).collect():
+        assert [tuple(p) for p in r.t] == list(map(tuple, parts[r.k].tolist())), lines[r.k]
+
+
+def test_many_pages_take_less_time_than_each():
+    rows = [(np.stack([np.arange(0, 500, 5), np.full(100, 40 * k)], axis=1)) for k in range(6)]
+    pages = [({0: rows[:3], 1: rows[3:]}, {0: [r + 3 for r in rows[:2]], 1: [r + 3 for r in rows[2:]]})] * 60
+    start = time.perf_counter()
+    measure.page_measures(pages)
+    middle = time.perf_counter()
+    for page in pages:
+        measure.page_measure(*page)
+    assert 2 * (middle - start) < time.perf_counter() - middle
+
+
 def test_measure_by_hand():
     line = lambda y, x0=0, x1=100: np.array(plain_ticks([(x0, y), (x1, y)]))
     at = measure.Tolerances(10, 10)
