@@ -45,11 +45,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     rows = docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row"))
     rows = scratch.table(rows, "documents", codec="zstd")
     named = rows.where("doc.doc_id is not null")
-    found = neardup.linked_rows(named.select("row", "doc.text"), width=5, percent=80)
+    work = Scratch(spark, "neardup")
+    found = neardup.linked_rows(named.select("row", "doc.text"), width=5, percent=80, scratch=work)
     found = scratch.table(named.select("row", "doc.doc_id").join(found.hint("merge"), "row"), "found")
+    work.drop()  # only found and the documents are read from here on
     first = found.groupBy("component").agg(F.min(F.struct("doc_id", "row")).alias("m")).select("m.row")
     gone = found.select("row").join(first, "row", "left_anti")
-    return rows.join(gone, "row", "left_anti").select("doc.*")
+    return neardup.without_rows(rows, gone).select("doc.*")
 
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

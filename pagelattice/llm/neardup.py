@@ -285,9 +285,25 @@ def _met(rows: DataFrame, own: str, few: DataFrame, key: str, how: str) -> DataF
     return rows.join(few.hint("merge"), [key, "_part"], how).drop("_part")
 
 
-def linked_rows(rows: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """row, n_shingles, component (its least row) of rows(row, text); rows are numbered without repeats and read twice alike."""
-    scratch = Scratch(rows.sparkSession, "neardup")
+def without_rows(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """rows(row, ...) without those in gone(row); numbers are not negative.
+
+    gone is broadcast as bitmaps (a bit a row, 4 KB for each 32,768 numbers), so no row of rows is shuffled, however many go.
+    """
+    place, bit = F.shiftright("row", 15), F.col("row").bitwiseAND(F.lit(32767))
+    maps = gone.groupBy(place.alias("_place")).agg(F.bitmap_construct_agg(bit).alias("_bits"))
+    byte = F.conv(F.hex(F.substring("_bits", F.shiftright(bit, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.expr("shiftright(_byte, cast(row & 7 as int)) & 1") == 1
+    got = rows.withColumn("_place", place).join(F.broadcast(maps), "_place", "left")
+    return got.withColumn("_byte", byte).where(F.col("_byte").isNull() | ~hit).select(*rows.columns)
+
+
+def linked_rows(rows: DataFrame, width: int = 5, percent: int = 80, scratch: Scratch | None = None) -> DataFrame:
+    """row, n_shingles, component (its least row) of rows(row, text); rows are numbered without repeats and read twice alike.
+
+    The result reads from scratch, its own if none is given.
+    """
+    scratch = scratch or Scratch(rows.sparkSession, "neardup")
     chunks = chunks_for(percent / 100)
     lanes, most = LANES * chunks, 2 * chunks - 1
     sketches = scratch.table(sketch(rows, width, lanes), "sketches")

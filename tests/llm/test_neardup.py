@@ -117,3 +117,23 @@ def test_runs_of_blocks_over_batches():
         batches = [batch(rows[s:e]) for s, e in itertools.pairwise(at)]
         got = [r["v"] for b in neardup._by_run(("a", "b"), lambda t: pa.table({"v": [t.column("v").to_pylist()]}))(iter(batches)) for r in b.to_pylist()]
         assert got == [[r[2] for r in g] for _, g in itertools.groupby(rows, key=lambda r: r[:2])]
+
+
+def test_rows_that_go_are_left_out_without_a_shuffle_of_texts(spark):
+    import corpus_pipeline
+
+    numbers = [k * 5 + (p << 33) for p in range(3) for k in range(20_000)]
+    rows = spark.createDataFrame(pa.table({"row": numbers}).to_pandas()).repartition(4).withColumn("text", F.col("row").cast("string"))
+    gone = set(random.Random(1).sample(numbers, 20_000)) | {0, 32_767 * 5, 32_768 * 5, 1 << 33}
+    got = neardup.without_rows(rows, spark.createDataFrame([(k,) for k in gone], "row long")).collect()
+    assert sorted(r.row for r in got) == sorted(set(numbers) - gone) and all(r.text == str(r.row) for r in got)
+    assert neardup.without_rows(rows, rows.where("false").select("row")).count() == len(numbers)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # many rows go
+    try:
+        docs = spark.createDataFrame([(k, f"t{k % 3} " * 9, "s") for k in range(30)], "doc_id long, text string, source string")
+        stage = corpus_pipeline.near_duplicates(spark, docs, "")
+        plan = stage._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "LeftAnti" not in plan.split("BroadcastExchange")[0]
+        assert sorted(r.doc_id for r in stage.collect()) == [0, 1, 2]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
