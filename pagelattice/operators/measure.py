@@ -312,6 +312,85 @@ def neighbour_distances(lines: Sequence[Line], tick: int = 5, most: float = 250.
     return out
 
 
+def many_regressions(points: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The angles of ``regression`` of many lines of whole ticks that lie end to end; the sums are whole numbers."""
+    starts = np.cumsum(counts) - counts
+    x, y = points[:, 0], -points[:, 1]
+    sums = lambda v: np.add.reduceat(v, starts)
+    sx, sy = sums(x), sums(y)
+    over, under = counts * sums(x * y) - sx * sy, counts * sums(x * x) - sx * sx
+    wide = np.maximum.reduceat(x, starts) - np.minimum.reduceat(x, starts)
+    angle = np.arctan(over / np.where(under, under, 1))
+    dx, dy = (points[starts + counts - 1] - points[starts]).T
+    flat = (-np.pi / 4 < angle) & (angle <= np.pi / 4)
+    back = np.where(flat, dx < 0, np.where(angle <= -np.pi / 4, dy < 0, dy > 0))
+    angle = np.where(wide < np.where(counts > 2, 2, 1), np.pi / 2, (angle + np.pi * back) % (2 * np.pi))
+    return np.where(counts < 2, 0.0, angle)
+
+
+def many_neighbour_distances(points: np.ndarray, counts: np.ndarray, pages: np.ndarray, tick: int = 5, most: float = 250.0) -> np.ndarray:
+    """``neighbour_distances`` of many pages at once: whole ticks of all lines end to end, how many each line has, and each line's page, by page.
+
+    The order of ticks and lines matters only where a tick beside the other line's box is nearer than all that face it; such lines are taken in order.
+    """
+    n, reach = len(counts), 2 * tick
+    starts, ends = np.cumsum(counts) - counts, np.cumsum(counts)
+    first = np.searchsorted(pages, pages, "left")
+    many = np.searchsorted(pages, pages, "right") - first
+    k = np.repeat(np.arange(n), many)  # pairs of a line and another one
+    m = np.arange(len(k)) - np.repeat(np.cumsum(many) - many - first, many)
+    k, m = k[k != m], m[k != m]
+    out = np.full(n, float(most))
+    if not len(k):
+        return out
+    angle = many_regressions(points, counts)
+    cos, sin = np.cos(angle), np.sin(angle)
+    turned = lambda at, by: (points[at, 0] * cos[by] - points[at, 1] * sin[by], points[at, 0] * sin[by] + points[at, 1] * cos[by])
+
+    def ticks_of(line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The pair and the place of every tick of a pair's line."""
+        pair = np.repeat(np.arange(len(line)), counts[line])
+        size = counts[line]
+        return pair, np.arange(len(pair)) - np.repeat(np.cumsum(size) - size - starts[line], size)
+
+    between = [turned(e[k], k)[0] - turned(f[m], k)[0] for e in (starts, ends - 1) for f in (starts, ends - 1)]
+    beside = ~((np.maximum.reduce(between) < 0) | (np.minimum.reduce(between) > 0))
+    k, m = k[beside], m[beside]
+    if not len(k):
+        return out
+    (pair, own), (pair_, other) = ticks_of(k), ticks_of(m)
+    (u, v), (a, b) = turned(own, k[pair]), turned(other, k[pair_])
+    room = max(np.ptp(u), np.ptp(a), float(u.max() - a.min()), float(a.max() - u.min())) + 4 * reach
+    key = pair_ * room + a
+    if (np.diff(key) < 0).any():
+        order = np.argsort(key, kind="stable")
+        key, a, b = key[order], a[order], b[order]
+    low_, high_ = np.searchsorted(key, pair * room + u - reach - 1e-3, "left"), np.searchsorted(key, pair * room + u + reach + 1e-3, "right")
+    off = np.full(len(u), np.inf)
+    for step in range(int((high_ - low_).max(initial=0))):
+        at = np.minimum(low_ + step, len(a) - 1)
+        near = (low_ + step < high_) & (np.abs(u - a[at]) <= reach + 1e-9)
+        off = np.where(near, np.minimum(off, np.abs(v - b[at])), off)
+    low, high = np.minimum.reduceat(points, starts)[m[pair]], np.maximum.reduceat(points, starts)[m[pair]] + 1
+    here = points[own]
+    box = (np.maximum(0, low - here) + np.maximum(0, here - high)).sum(axis=1)
+    lines, begin = np.unique(k[pair], return_index=True)
+    safe = np.minimum.reduceat(np.where(box <= off, off, np.inf), begin)
+    out[lines] = np.minimum(out[lines], safe)
+    late = np.unique(k[pair][(box > off) & (off < out[k[pair]]) & (box <= most)])
+    stop = np.append(begin, len(pair))
+    for line in late.tolist():
+        at = int(np.searchsorted(lines, line))
+        part = np.arange(stop[at], stop[at + 1]).reshape(-1, counts[line]).T.ravel()  # tick by tick, the other lines in order
+        now, offs, boxes = float(most), off[part], box[part]
+        good = np.flatnonzero(offs < now)
+        for o, x in zip(offs[good].tolist(), boxes[good].tolist(), strict=True):
+            if o < now and x <= now:
+                now = o
+        out[line] = now
+    return out
+
+
 def neighbour_tolerances(lines: Sequence[Line], tick: int = 5, most: float = 250.0, share: float = 0.25) -> np.ndarray:
     """A share of each line's distance to its neighbours; lines without one, and those above it, take the mean."""
     found = neighbour_distances(lines, tick, most)

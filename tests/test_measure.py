@@ -284,3 +284,23 @@ def test_clusters_of_baselines_like_loops():
     # two columns of five lines, 50 apart from each other; a lone line is a cluster of its own
     lines = [np.array([(x, 20 * k), (x + 100, 20 * k)]) for x in (0, 400) for k in range(5)] + [np.array([(0, 900), (100, 900)])]
     assert clustering.grown(clustering.baseline_neighbours(lines)) == [0] * 5 + [1] * 5 + [2]
+
+
+def test_neighbours_of_many_pages_are_those_of_one_by_one():
+    from pagelattice.operators import clustering
+
+    rng = np.random.default_rng(8)
+    pages = []
+    for k in range(80):
+        n = int(rng.integers(1, 9))
+        start = np.stack([rng.integers(0, 900, n), np.sort(rng.integers(0, 30 + 300 * (k % 3), n))], axis=1)
+        across = rng.integers(-200 if k % 4 == 3 else 60, 600, (n, 2)) * [1, 1 if k % 4 == 3 else 0]
+        lines = np.stack([start, start + across // 2 + rng.integers(0, 9, (n, 2)), start + across], axis=1)
+        pages.append(np.repeat(lines[:1], n, axis=0) if k % 20 == 19 else lines)
+    got = clustering.many_baseline_neighbours(pages)
+    for lines, near in zip(pages, got, strict=True):
+        assert (near == clustering.baseline_neighbours(list(lines))).all()
+    own = [[polygons.ticks(line, 5) for line in lines] for lines in pages]
+    flat = [line for lines in own for line in lines]
+    found = measure.many_neighbour_distances(np.concatenate(flat).astype(np.int64), np.array([len(x) for x in flat]), np.repeat(np.arange(len(own)), [len(x) for x in own]), 5, 500.0)
+    assert np.allclose(found, np.concatenate([measure.neighbour_distances(lines, 5, 500.0) for lines in own]), rtol=0, atol=1e-9)
