@@ -247,9 +247,20 @@ def fit_from(docs: DataFrame, labels: DataFrame, fit_docs: int = 2000, fit_chars
     ids = [known.where(F.col("y") == k).orderBy("h", "_id").limit(fit_docs) for k in (0, 1)]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids[0].unionByName(ids[1])), F.col("doc_id") == F.col("_id")).where(F.length("text").between(1, fit_chars))
     place = F.row_number().over(Window.partitionBy("y").orderBy("h", "text"))
-    got = {(r.text, r.y) for r in rows.withColumn("place", place).where(F.col("place") <= fit_docs).select("text", "y").collect()}  # one scan; copies count once
-    got = sorted(got)
-    return fit([t for t, _ in got], np.array([y for _, y in got], float))
+    rows = rows.withColumn("place", place).where(F.col("place") <= fit_docs).select("text", "y")  # one scan
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = sorted({r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True)})  # copies count once
+        m = fit([t for t, _ in got], np.array([y for _, y in got], float))
+        parts = [pa.array([x.tobytes()], pa.binary()) for x in (m.weights, np.array([m.bias]), m.moves, m.head)]
+        yield pa.RecordBatch.from_arrays(parts, ["weights", "bias", "moves", "head"])
+
+    # a worker fits, so the driver holds the model (1 MB) and no text
+    found = rows.coalesce(1).mapInArrow(run, "weights binary, bias binary, moves binary, head binary").first()
+    if found is None:
+        return fit([], np.zeros(0))
+    weights, bias, moves, head = (np.frombuffer(x, kind) for x, kind in zip(found, (np.float32, float, float, float), strict=True))
+    return Model(weights, float(bias[0]), moves.reshape(2, 2), head)
 
 
 def _scored(texts: pa.Array, m: Model) -> tuple:

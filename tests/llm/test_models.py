@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import os
 import random
 import resource
 from fractions import Fraction
@@ -65,6 +66,22 @@ def test_toxic_words_are_found(spark):
     assert toxicity.score(docs, toxicity.fit([], np.zeros(0))).agg(F.max("score")).first()[0] < 0.5
 
 
+def test_a_worker_fits(spark, monkeypatch):
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)] + [(None, 1), (70, 2), (71, None)], "doc_id long, toxic int")
+    texts = [(k, ("grobian " if k % 2 else "") + " ".join(f"w{k * j % 97}" for j in range(1, 40))) for k in range(60)]
+    docs = spark.createDataFrame([*texts, texts[3], (70, "two"), (None, "none")], "doc_id long, text string")
+    got = toxicity.fit_from(docs, labels)
+    text, y = zip(*sorted((t, k % 2) for k, t in texts), strict=True)
+    plain = toxicity.fit(list(text), np.array(y, float))
+    assert plain.weights.any() and all(np.array_equal(getattr(got, x), getattr(plain, x)) for x in ("weights", "bias", "moves", "head"))
+    empty = toxicity.fit([], np.zeros(0))
+    for few in (docs.limit(0), docs.where("doc_id % 2 = 0")):
+        got = toxicity.fit_from(few, labels)
+        assert all(np.array_equal(getattr(got, x), getattr(empty, x)) for x in ("weights", "bias", "moves", "head"))
+    monkeypatch.setattr(toxicity, "fit", lambda texts, y: toxicity.Model(np.zeros(4, np.float32), float(os.getpid()), np.zeros((2, 2)), np.zeros(3)))
+    assert toxicity.fit_from(docs, labels).bias != os.getpid()  # the driver gets the model alone
+
+
 def test_held_out_documents(spark):
     got = queries.queries()["op4_toxicity"](spark, SF).join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").where("held_out and toxic is not null").collect()
     right = sum(r.predicted == r.toxic for r in got) / len(got)
