@@ -251,6 +251,237 @@ def page_measures(pages: Sequence[tuple[dict[object, list[Line]], dict[object, l
     return out
 
 
+def _places(count: np.ndarray) -> np.ndarray:
+    """0, 1, .. within each of several stretches that lie end to end."""
+    return np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+
+
+def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each combination of the keys, in their order, and the first place of each."""
+    order = np.lexsort(keys[::-1])
+    new = np.append(True, np.logical_or.reduce([np.diff(k[order]) != 0 for k in keys]))[: len(order)]
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(new) - 1
+    return out, order[new]
+
+
+class Curves:
+    """Lines of whole ticks end to end, for the distances of their ticks from other lines.
+
+    A line that goes on to the right and rises or falls by no more than that has its nearest tick, in city-block distance, just
+    before or behind a point's x, as what a tick farther off gains in y it loses in x.  Other lines are searched tick by tick.
+    """
+
+    def __init__(self, ticks: np.ndarray, count: np.ndarray):
+        self.count, self.start = count, np.cumsum(count) - count
+        self.low, self.high = (f.reduceat(ticks, self.start, axis=0) for f in (np.minimum, np.maximum))
+        small = np.int32 if max(np.abs(self.low).max(initial=0), np.abs(self.high).max(initial=0), len(ticks) << 3) < 1 << 29 else np.int64
+        self.x, self.y = (np.ascontiguousarray(v, small) for v in ticks.T)
+        last = np.zeros(len(self.x), bool)
+        last[self.start + count - 1] = True
+        step, rise = np.diff(self.x, append=0), np.diff(self.y, append=0)
+        self.level = np.logical_and.reduceat(last | ((step > 0) & (np.abs(rise) <= step)), self.start) & (count > 1)
+        # of each x of a level line the tick at or before it, at the end the one before the last
+        held = np.flatnonzero(np.repeat(self.level, count) & ~last)
+        width = step[held] + last[held + 1]
+        self.before = np.repeat(held.astype(small), width)
+        wide = np.where(self.level, self.high[:, 0] - self.low[:, 0] + 1, 0)
+        self.table = (np.cumsum(wide) - wide - self.low[:, 0]).astype(small)  # where x = 0 would be
+        self.ends = self.low[:, 0].astype(small), self.high[:, 0].astype(small)
+
+    def near(self, a: np.ndarray, b: np.ndarray, far: int) -> np.ndarray:
+        """Whether pairs of lines are less than far apart by their boxes."""
+        gap = np.maximum(0, np.maximum(self.low[a] - self.high[b], self.low[b] - self.high[a])).sum(axis=1)
+        return gap < far
+
+    def distances(self, a: np.ndarray, b: np.ndarray, far: int) -> np.ndarray:
+        """Of pairs of lines: the distance of each tick of a from b, at most far; pair by pair."""
+        size = self.count[a]
+        level = self.level[b]
+        if level.all():
+            return self._level_distances(a, b, size, far)
+        out, of, ends = np.empty(int(size.sum()), np.int64), np.repeat(level, size), np.cumsum(size)
+        line = lambda k: np.stack([v[self.start[k] : self.start[k] + self.count[k]] for v in (self.x, self.y)], axis=1)
+        for k in np.flatnonzero(~level).tolist():
+            out[ends[k] - size[k] : ends[k]] = np.minimum(nearest(line(a[k]), [line(b[k])])[:, 0], far)
+        out[of] = self._level_distances(a[level], b[level], size[level], far)
+        return out
+
+    def _level_distances(self, a: np.ndarray, b: np.ndarray, size: np.ndarray, far: int) -> np.ndarray:
+        tick = np.repeat(self.start[a], size) + _places(size)
+        x, y = self.x[tick], self.y[tick]
+        at = np.clip(x, np.repeat(self.ends[0][b], size), np.repeat(self.ends[1][b], size))
+        at += np.repeat(self.table[b], size)
+        at = self.before[at]
+        least = np.abs(x - self.x[at])
+        least += np.abs(y - self.y[at])
+        at += 1
+        x -= self.x[at]
+        y -= self.y[at]
+        other = np.abs(x, out=x)
+        other += np.abs(y, out=y)
+        return np.minimum(np.minimum(least, other, out=least), far, out=least)
+
+
+def _met(a: np.ndarray, b: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of the members of a with those of b that have the same number, below parts; members are sorted by it."""
+    size, first = np.bincount(b, minlength=parts), np.searchsorted(b, np.arange(parts))
+    left = np.repeat(np.arange(len(a)), size[a])
+    return left, np.repeat(first[a], size[a]) + _places(size[a])
+
+
+def _aligned_sums(scores: np.ndarray, task: np.ndarray, row: np.ndarray, column: np.ndarray, tasks: int) -> np.ndarray:
+    """Sum of ``aligned`` over the rows of each task and over tolerances, from the entries that aren't 0 by row and then column.
+
+    If the rows' best columns differ, the greedy alignment gives each row its best; only the other matrices are aligned step by step.
+    """
+    out = np.zeros(tasks)
+    if not len(task):
+        return out
+    head = np.flatnonzero(np.append(True, (np.diff(row) != 0) | (np.diff(task) != 0)))
+    of = np.cumsum(np.bincount(head, minlength=len(task))) - 1
+    best = np.maximum.reduceat(scores, head, axis=0)
+    first = np.minimum.reduceat(np.where(scores == best[of], column[:, None], np.iinfo(np.int64).max), head, axis=0)
+    r, level = np.nonzero(best > 0)
+    cell, _ = _groups(task[head][r], level, first[r, level])
+    twice = np.bincount(cell)[cell] > 1
+    torn = np.zeros((tasks, scores.shape[1]), bool)
+    torn[task[head][r[twice]], level[twice]] = True
+    np.add.at(out, task[head], np.where(torn[task[head]], 0, best).sum(axis=1))
+    which, level = np.nonzero(torn)
+    if not len(which):
+        return out
+    # dense matrices of the torn ones, by their shape
+    keep = torn.any(axis=1)[task]
+    scores, task, row, column = scores[keep], task[keep], row[keep], column[keep]
+    places = []
+    for key in (row, column):
+        number, at = _groups(task, key)
+        begin = np.searchsorted(task[at], np.arange(tasks))
+        places.append(number - begin[task])
+    rows, columns = (np.zeros(tasks, np.int64) for _ in range(2))
+    for many, place in zip((rows, columns), places, strict=True):
+        np.maximum.at(many, task, place + 1)
+    shape = rows * (columns.max() + 1) + columns
+    begin, end = np.searchsorted(task, which, "left"), np.searchsorted(task, which, "right")
+    for s in np.unique(shape[which]).tolist():
+        own = np.flatnonzero(shape[which] == s)
+        size = end[own] - begin[own]
+        entry, matrix = np.repeat(begin[own], size) + _places(size), np.repeat(np.arange(len(own)), size)
+        dense = np.zeros((len(own), *divmod(s, int(columns.max()) + 1)))
+        dense[matrix, places[0][entry], places[1][entry]] = scores[entry, level[own][matrix]]
+        np.add.at(out, which[own], aligned_many(dense).sum(axis=1))
+    return out
+
+
+def _greedy_sums(values: np.ndarray) -> np.ndarray:
+    """``greedy_sum`` of every matrix of a stack; no entry is below 0."""
+    return aligned_many(values).sum(axis=1)
+
+
+def many_page_measures(points: np.ndarray, counts: np.ndarray, page: np.ndarray, side: np.ndarray, article: np.ndarray, pages: int, tolerances: Tolerances = Tolerances()) -> np.ndarray:  # noqa: B008
+    """``page_measure`` of many pages at once, a row of nine numbers a page, NaN for None.
+
+    Lines of whole ticks lie end to end (points, and how many each has), by page, side (0 is the truth) and their order; an
+    article below 0 is none.  Tolerances are the same for all lines.
+    """
+    owner, head = _groups(page, side, article)  # lines of an article lie together, articles by their first line
+    first = np.full(len(head), len(page))
+    np.minimum.at(first, owner, np.arange(len(page)))
+    order = np.lexsort((np.arange(len(page)), first[owner]))
+    start = np.cumsum(counts) - counts
+    counts_ = counts[order]
+    points = points[np.repeat(start[order], counts_) + _places(counts_)]
+    counts, page, side, article = counts_, page[order], side[order], article[order]
+    block = np.cumsum(np.append(True, np.diff(first[owner][order]) != 0)) - 1  # the article of a side of a page, in order
+    curves = Curves(points, counts)
+    table, full = _score_table(tolerances.least, tolerances.most)
+    far, levels = len(table) - 1, len(full)
+    truth, reco = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+
+    # pairs by recognised line and truth line
+    b, a = _met(page[reco], page[truth], pages)
+    a, b = truth[a], reco[b]
+    close = curves.near(a, b, far)
+    a, b = a[close], b[close]
+    named = (article[a] >= 0) & (article[b] >= 0)
+
+    def summed(spot: np.ndarray, distance: np.ndarray, many: int) -> np.ndarray:
+        """Exact sums of the scores of ticks by spot and tolerance."""
+        counted = np.bincount(spot * (far + 1) + distance, minlength=many * (far + 1)).reshape(many, far + 1)
+        return counted.astype(float) @ table.astype(float)
+
+    # recall: of truth lines, against the nearest of all, of the named, and of each article of the other side
+    distance = curves.distances(a, b, far)
+    size = counts[a]
+    recalls = []
+    for group, use in ((page[b], np.ones(len(a), bool)), (page[b], named), (block[b], named)):
+        spot, at = _groups(a[use], group[use])
+        if not len(at):
+            recalls.append((np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)))
+            continue
+        line = a[use][at]
+        begin = np.cumsum(counts[line]) - counts[line]
+        least = np.full(int(counts[line].sum()), far, distance.dtype)
+        np.minimum.at(least, np.repeat(begin[spot], size[use]) + _places(size[use]), distance if use.all() else distance[np.repeat(use, size)])
+        found = summed(np.repeat(np.arange(len(line)), counts[line]), least, len(line)) / (full * counts[line][:, None])
+        recalls.append((line, group[use][at], found.mean(axis=1)))
+
+    # precision: of recognised lines, aligned with truth lines
+    distance = curves.distances(b, a, far)
+    size = counts[b]
+    scores = summed(np.repeat(np.arange(len(b)), size), distance, len(b)) / (full * size[:, None])
+    ours, theirs = (np.unique(block[(side == k) & (article >= 0)]) for k in (0, 1))  # named articles
+    lines_of = np.bincount(block, minlength=int(block.max(initial=-1)) + 1)
+    page_of = np.zeros(len(lines_of), np.int64)
+    page_of[block] = page
+    # every truth article with every recognised one of its page
+    i, j = _met(page_of[ours], page_of[theirs], pages)
+    i, j = ours[i], theirs[j]
+    grid = i * (len(lines_of) + 1) + j
+    some, values = scores.any(axis=1), []
+    for task, use, many in ((page[a], some, pages), (page[a], named & some, pages), (np.searchsorted(grid, block[a] * (len(lines_of) + 1) + block[b]), named & some, len(grid))):
+        own = np.flatnonzero(use)
+        own = own[np.lexsort((a[own], b[own], task[own]))]
+        values.append(_aligned_sums(scores[own], task[own], b[own], a[own], many))
+
+    sides = [np.bincount(page[side == k], minlength=pages) for k in (0, 1)]
+    sides_named = [np.bincount(page[(side == k) & (article >= 0)], minlength=pages) for k in (0, 1)]
+    out = np.full((pages, 9), np.nan)
+
+    def put(at: np.ndarray, k: int, recall: np.ndarray, precision: np.ndarray) -> None:
+        both = recall + precision
+        out[at, 3 * k], out[at, 3 * k + 1], out[at, 3 * k + 2] = recall, precision, np.where(both > 0, 2 * recall * precision / np.where(both > 0, both, 1), 0)
+
+    share = lambda top, bottom: np.where(bottom > 0, top / np.maximum(bottom, 1), 0.0)
+    for k, (ours_n, theirs_n) in enumerate((sides, sides_named)):
+        has = ours_n > 0
+        line, _, value = recalls[k]
+        keep = np.ones(len(line), bool) if k == 0 else article[line] >= 0
+        recall = share(np.bincount(page[line[keep]], value[keep], minlength=pages), ours_n)
+        precision = share(values[k], theirs_n * levels)
+        put(np.flatnonzero(has), k, recall[has], precision[has])
+    # articles: the grid of each page, by its shape
+    line, other, value = recalls[2]
+    spot = np.searchsorted(grid, block[line] * (len(lines_of) + 1) + other)
+    recall = share(np.bincount(spot, value, minlength=len(grid)), lines_of[i])
+    precision = share(values[2], lines_of[j] * levels)
+    where = page_of[i]
+    recall = recall * (lines_of[i] / np.maximum(sides_named[0][where], 1))
+    precision = precision * (lines_of[j] / np.maximum(sides_named[1][where], 1))
+    named_truth = np.flatnonzero(sides_named[0] > 0)
+    put(named_truth, 2, np.zeros(len(named_truth)), np.zeros(len(named_truth)))
+    ours_of, theirs_of = (np.bincount(page_of[x], minlength=pages) for x in (ours, theirs))
+    begin = np.searchsorted(where, np.arange(pages))
+    shape = ours_of * (int(theirs_of.max(initial=0)) + 1) + theirs_of
+    for s in np.unique(shape[(ours_of > 0) & (theirs_of > 0)]).tolist():
+        own = np.flatnonzero(shape == s)
+        r, c = divmod(s, int(theirs_of.max(initial=0)) + 1)
+        at = begin[own][:, None] + np.arange(r * c)
+        put(own, 2, *(_greedy_sums(v[at].reshape(-1, r, c)) for v in (recall, precision)))
+    return out
+
+
 def regression(line: Line) -> tuple[float, float]:
     """Angle in [0, 2 pi) of the least-squares line (y up), pointing the way the line runs, and its intercept.
 
@@ -261,7 +492,10 @@ def regression(line: Line) -> tuple[float, float]:
     x, y = line[:, 0].astype(float), -line[:, 1].astype(float)
     if np.ptp(x) < (2 if len(line) > 2 else 1):
         return np.pi / 2, float(x.mean()) if np.ptp(x) else np.inf
-    slope = ((x - x.mean()) * (y - y.mean())).sum() / ((x - x.mean()) ** 2).sum()
+    if (line == np.floor(line)).all():  # whole ticks: by whole sums, so that what lies level has the angle 0 in every bit
+        slope = (len(x) * (x * y).sum() - x.sum() * y.sum()) / (len(x) * (x * x).sum() - x.sum() ** 2)
+    else:
+        slope = ((x - x.mean()) * (y - y.mean())).sum() / ((x - x.mean()) ** 2).sum()
     angle, dx, dy = np.arctan(slope), line[-1, 0] - line[0, 0], line[-1, 1] - line[0, 1]
     flat = -np.pi / 4 < angle <= np.pi / 4
     if (dx < 0) if flat else (dy < 0 if angle <= -np.pi / 4 else dy > 0):

@@ -7,7 +7,7 @@ from itertools import batched
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -63,3 +63,63 @@ def per_page(df: DataFrame, keys: list[str], values: list[str], function: Callab
             yield from map(as_batch, in_pieces(found, wide))
 
     return packed.mapInArrow(run, schema)
+
+
+#: Rows of a table that are worked on together.
+FLAT_ROWS = 2_000
+
+
+def per_pages(df: DataFrame, keys: list[str], values: list[str], function: Callable[[dict[str, np.ndarray], np.ndarray], tuple[np.ndarray, list]], columns: str) -> DataFrame:
+    """The function's rows for many groups at once, behind each group's keys.
+
+    The function gets the values of several groups end to end, each group's rows sorted by the values in their order, and how
+    many rows each group has; it gives the group of each of its rows and its columns (arrays, those of floats with NaN for null).
+
+    A window brings a group's rows together, so rows that are dealt by the keys already aren't shuffled anew, and no lists are made in the JVM.
+    """
+    counted = df.select(*keys, *values).withColumn("_rows", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+    out_schema = to_arrow_schema(StructType.fromDDL(", ".join(f"{k} {kinds[k]}" for k in keys) + ", " + columns))
+
+    def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        rows = table["_rows"].to_numpy()
+        firsts = [0]  # of each group
+        while firsts[-1] < len(rows):
+            firsts.append(firsts[-1] + int(rows[firsts[-1]]))
+        counts, firsts = np.diff(firsts), np.array(firsts[:-1])
+        arrays = {n: table[n].to_numpy() for n in values}
+        group = np.repeat(np.arange(len(counts)), counts)
+        order = np.lexsort([*(arrays[n] for n in reversed(values)), group])
+        if (np.diff(order) < 0).any():
+            arrays = {n: a[order] for n, a in arrays.items()}
+        owner, found = function(arrays, counts)
+        heads = [table[k].take(pa.array(firsts)).combine_chunks() for k in keys]
+        step = OUT_ROWS
+        for at in range(0, len(owner), step):
+            own = pa.array(owner[at : at + step])
+            cells = [pa.array(c[at : at + step], f.type, from_pandas=True) for c, f in zip(found, list(out_schema)[len(keys) :], strict=True)]
+            yield pa.RecordBatch.from_arrays([*(h.take(own) for h in heads), *cells], schema=out_schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            while held.num_rows > FLAT_ROWS:
+                end, seen = whole(held["_rows"].to_numpy(), FLAT_ROWS)
+                if not end:
+                    break
+                yield from work(held.slice(0, end))
+                held = held.slice(end)
+        if held is not None and held.num_rows:
+            yield from work(held)
+
+    def whole(rows: np.ndarray, most: int) -> tuple[int, int]:
+        """The end of the last whole group that begins before so many rows."""
+        end = 0
+        while end < most and end + int(rows[end]) <= len(rows):
+            end += int(rows[end])
+            if end == len(rows):
+                break
+        return end, len(rows)
+
+    return counted.mapInArrow(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", " + columns)

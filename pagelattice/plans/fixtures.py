@@ -27,6 +27,9 @@ SQL = {
     "fx_score": "select l.doc_id, l.quality as y, (d.n_chars % 101) / 100.0 as p, d.source, d.lang from labels l join documents d on l.doc_id = d.doc_id",
     "fx_edge": "select a.page_id, a.region_no as src, b.region_no as dst, (a.x0 + b.x1) % 17 - 8.0 as score, a.x0 / 1000.0 as u0, a.y0 / 1000.0 as u1 from fx_region a join fx_region b on a.page_id = b.page_id and a.region_no <> b.region_no",
 }
+#: Inputs of a fixture that are dealt by a key before anything is derived from them: only what is read is shuffled, and Spark knows
+#: that pages, being that key, stay together.
+DEALT = {"fx_line": {"lineitem": "l_orderkey"}}
 
 
 def _needs(text: str) -> list[str]:
@@ -66,7 +69,7 @@ class Layout:
                 text = SQL[name]
                 for n in names:
                     text = re.sub(rf"\b(from|join) {n}\b", rf"\1 {{{n}}}", text)
-                self._made[name] = self.spark.sql(text, **{n: self.table(n) for n in names})
+                self._made[name] = self.spark.sql(text, **{n: self.table(n) if n not in DEALT.get(name, {}) else self.table(n).repartition(DEALT[name][n]) for n in names})
             else:
                 self._made[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
         return self._made[name]

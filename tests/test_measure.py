@@ -304,3 +304,52 @@ def test_neighbours_of_many_pages_are_those_of_one_by_one():
     flat = [line for lines in own for line in lines]
     found = measure.many_neighbour_distances(np.concatenate(flat).astype(np.int64), np.array([len(x) for x in flat]), np.repeat(np.arange(len(own)), [len(x) for x in own]), 5, 500.0)
     assert np.allclose(found, np.concatenate([measure.neighbour_distances(lines, 5, 500.0) for lines in own]), rtol=0, atol=1e-9)
+
+
+def random_sides(rng, pages, odd):
+    """Three points of each line, and its page, side and article; odd: every third line goes anywhere."""
+    points, place = [], []
+    for p in range(pages):
+        n = int(rng.integers(1, 8))
+        for side in (0, 1):
+            for k in range(n):
+                x, w, y = 25 * int(rng.integers(0, 9)), 100 + 10 * int(rng.integers(1, 30)), 40 * k + int(rng.integers(-3, 16))
+                line = [(x, y), (x + w // 2, y + k % 3 * 2), (x + w, y + int(rng.integers(-9, 9)))]
+                points.append(rng.integers(0, 200, (3, 2)).tolist() if odd and rng.random() < 0.3 else line)
+                place.append((p, side, int(rng.integers(-1, 3))))
+    keep = np.array([side == 0 or rng.random() < 0.8 for _, side, _ in place])
+    return np.array(points)[keep], *np.array(place)[keep].T
+
+
+def test_measures_of_many_pages_are_those_of_one_by_one():
+    rng = np.random.default_rng(21)
+    for odd in (False, True):
+        points, page, side, article = random_sides(rng, 120, odd)
+        ticks, counts = polygons.many_ticks(points)
+        got = measure.many_page_measures(ticks, counts, page, side, article, 121)  # the last page has no lines
+        pages = [({}, {}) for _ in range(120)]
+        for line, p, s, a in zip(np.split(ticks, np.cumsum(counts)[:-1]), page.tolist(), side.tolist(), article.tolist(), strict=True):
+            pages[p][s].setdefault(None if a < 0 else a, []).append(line)
+        wanted = [[v for x in found for v in x or (np.nan,) * 3] for found in measure.page_measures(pages)]
+        assert np.allclose(got[:120], wanted, rtol=0, atol=1e-12, equal_nan=True) and np.isnan(got[120]).all()
+
+
+def test_both_sides_from_one_pass(spark):
+    t = queries.Layout(spark, SF)
+    wanted = t.table("fx_base").selectExpr("page_id", "side", "line_no", "coalesce(article, -1)", "x0", "y0", "x1", "y1", "x2", "y2")
+    assert sorted(map(tuple, queries._based(t).collect())) == sorted(map(tuple, wanted.collect()))
+    plan = queries.queries()["baseline_measure"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1  # lines are dealt by their page once
+
+
+def test_groups_longer_than_a_batch(spark):
+    from pagelattice.operators import per_page
+
+    df = spark.range(9000).selectExpr("case when id < 7000 then 1 else id % 50 + 2 end as page", "9000 - id as v")
+    run = lambda r, counts: (np.arange(len(counts)), [counts, r["v"][np.cumsum(counts) - counts], r["v"][np.cumsum(counts) - 1]])
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1000)
+    try:
+        got = {r.page: (r.n, r.least, r.most) for r in per_page.per_pages(df, ["page"], ["v"], run, "n long, least long, most long").collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {r.page: (r.n, r.least, r.most) for r in df.groupBy("page").agg({"v": "min"}).withColumnRenamed("min(v)", "least").join(df.groupBy("page").agg({"v": "max"}).withColumnRenamed("max(v)", "most"), "page").join(df.groupBy("page").count().withColumnRenamed("count", "n"), "page").collect()}
