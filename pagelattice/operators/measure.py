@@ -546,26 +546,31 @@ def neighbour_distances(lines: Sequence[Line], tick: int = 5, most: float = 250.
     return out
 
 
-def many_regressions(points: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The angles of ``regression`` of many lines of whole ticks that lie end to end; the sums are whole numbers."""
+def many_regressions(points: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Angles and intercepts of ``regression`` of many lines of whole ticks that lie end to end; the sums are whole numbers."""
     starts = np.cumsum(counts) - counts
     x, y = points[:, 0], -points[:, 1]
     sums = lambda v: np.add.reduceat(v, starts)
     sx, sy = sums(x), sums(y)
     over, under = counts * sums(x * y) - sx * sy, counts * sums(x * x) - sx * sx
     wide = np.maximum.reduceat(x, starts) - np.minimum.reduceat(x, starts)
-    angle = np.arctan(over / np.where(under, under, 1))
+    slope = over / np.where(under, under, 1)
+    angle = np.arctan(slope)
     dx, dy = (points[starts + counts - 1] - points[starts]).T
     flat = (-np.pi / 4 < angle) & (angle <= np.pi / 4)
     back = np.where(flat, dx < 0, np.where(angle <= -np.pi / 4, dy < 0, dy > 0))
-    angle = np.where(wide < np.where(counts > 2, 2, 1), np.pi / 2, (angle + np.pi * back) % (2 * np.pi))
-    return np.where(counts < 2, 0.0, angle)
+    upright = wide < np.where(counts > 2, 2, 1)
+    angle = np.where(upright, np.pi / 2, (angle + np.pi * back) % (2 * np.pi))
+    off = np.where(upright, np.where(wide > 0, sx / counts, np.inf), (sy - slope * sx) / counts)
+    return np.where(counts < 2, 0.0, angle), np.where(counts < 2, 0.0, off)
 
 
-def many_neighbour_distances(points: np.ndarray, counts: np.ndarray, pages: np.ndarray, tick: int = 5, most: float = 250.0) -> np.ndarray:
+def many_neighbour_distances(points: np.ndarray, counts: np.ndarray, pages: np.ndarray, tick: int = 5, most: float | Sequence[float] = 250.0) -> np.ndarray:
     """``neighbour_distances`` of many pages at once: whole ticks of all lines end to end, how many each line has, and each line's page, by page.
 
-    The order of ticks and lines matters only where a tick beside the other line's box is nearer than all that face it; such lines are taken in order.
+    With several values of most, a row for each.  A line meets the others from the nearest on, by their boxes, as long as these are
+    nearer across it than what it has found.  The order of ticks and lines matters only where a tick beside the other line's box is
+    nearer than all that face it; such lines meet all others, in order.
     """
     n, reach = len(counts), 2 * tick
     starts, ends = np.cumsum(counts) - counts, np.cumsum(counts)
@@ -574,55 +579,109 @@ def many_neighbour_distances(points: np.ndarray, counts: np.ndarray, pages: np.n
     k = np.repeat(np.arange(n), many)  # pairs of a line and another one
     m = np.arange(len(k)) - np.repeat(np.cumsum(many) - many - first, many)
     k, m = k[k != m], m[k != m]
-    out = np.full(n, float(most))
+    tops = np.atleast_1d(np.asarray(most, float))
+    safe = np.full(n, tops.max())
+    result = lambda: np.minimum(safe, tops[:, None]) if np.ndim(most) else safe
     if not len(k):
-        return out
-    angle = many_regressions(points, counts)
+        return result()
+    angle, _ = many_regressions(points, counts)
     cos, sin = np.cos(angle), np.sin(angle)
-    turned = lambda at, by: (points[at, 0] * cos[by] - points[at, 1] * sin[by], points[at, 0] * sin[by] + points[at, 1] * cos[by])
-
-    def ticks_of(line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The pair and the place of every tick of a pair's line."""
-        pair = np.repeat(np.arange(len(line)), counts[line])
-        size = counts[line]
-        return pair, np.arange(len(pair)) - np.repeat(np.cumsum(size) - size - starts[line], size)
-
-    between = [turned(e[k], k)[0] - turned(f[m], k)[0] for e in (starts, ends - 1) for f in (starts, ends - 1)]
+    px, py = points.T.astype(float)
+    turned = lambda at, c, s: (px[at] * c - py[at] * s, px[at] * s + py[at] * c)
+    between = [turned(e[k], cos[k], sin[k])[0] - turned(f[m], cos[k], sin[k])[0] for e in (starts, ends - 1) for f in (starts, ends - 1)]
     beside = ~((np.maximum.reduce(between) < 0) | (np.minimum.reduce(between) > 0))
     k, m = k[beside], m[beside]
-    if not len(k):
-        return out
-    (pair, own), (pair_, other) = ticks_of(k), ticks_of(m)
-    (u, v), (a, b) = turned(own, k[pair]), turned(other, k[pair_])
-    room = max(np.ptp(u), np.ptp(a), float(u.max() - a.min()), float(a.max() - u.min())) + 4 * reach
-    key = pair_ * room + a
-    if (np.diff(key) < 0).any():
-        order = np.argsort(key, kind="stable")
-        key, a, b = key[order], a[order], b[order]
-    low_, high_ = np.searchsorted(key, pair * room + u - reach - 1e-3, "left"), np.searchsorted(key, pair * room + u + reach + 1e-3, "right")
-    off = np.full(len(u), np.inf)
-    for step in range(int((high_ - low_).max(initial=0))):
-        at = np.minimum(low_ + step, len(a) - 1)
-        near = (low_ + step < high_) & (np.abs(u - a[at]) <= reach + 1e-9)
-        off = np.where(near, np.minimum(off, np.abs(v - b[at])), off)
-    low, high = np.minimum.reduceat(points, starts)[m[pair]], np.maximum.reduceat(points, starts)[m[pair]] + 1
-    here = points[own]
-    box = (np.maximum(0, low - here) + np.maximum(0, here - high)).sum(axis=1)
-    lines, begin = np.unique(k[pair], return_index=True)
-    safe = np.minimum.reduceat(np.where(box <= off, off, np.inf), begin)
-    out[lines] = np.minimum(out[lines], safe)
-    late = np.unique(k[pair][(box > off) & (off < out[k[pair]]) & (box <= most)])
-    stop = np.append(begin, len(pair))
-    for line in late.tolist():
-        at = int(np.searchsorted(lines, line))
-        part = np.arange(stop[at], stop[at + 1]).reshape(-1, counts[line]).T.ravel()  # tick by tick, the other lines in order
-        now, offs, boxes = float(most), off[part], box[part]
-        good = np.flatnonzero(offs < now)
-        for o, x in zip(offs[good].tolist(), boxes[good].tolist(), strict=True):
-            if o < now and x <= now:
-                now = o
-        out[line] = now
-    return out
+    low, high = np.minimum.reduceat(points, starts), np.maximum.reduceat(points, starts)
+    # the least distance across the line from the other one's box
+    across = px * np.repeat(sin, counts) + py * np.repeat(cos, counts)
+    own_low, own_high = np.minimum.reduceat(across, starts), np.maximum.reduceat(across, starts)
+    sides = [np.where(flip[k], high[m, c], low[m, c]) * f[k] for flips in ((sin < 0, cos < 0), (sin >= 0, cos >= 0)) for c, (flip, f) in enumerate(zip(flips, (sin, cos), strict=True))]
+    bound = np.maximum(0, np.maximum(sides[0] + sides[1] - own_high[k], own_low[k] - sides[2] - sides[3])) - 1e-6
+
+    def ticks_of(line: np.ndarray) -> np.ndarray:
+        """The place of every tick of a pair's line."""
+        return np.repeat(starts[line], counts[line]) + _places(counts[line])
+
+    def offs(k: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of pairs, the distance of every tick of the line across it from the ticks of the other that lie beside it, and from the other's box."""
+        own, other, size, size_ = ticks_of(k), ticks_of(m), counts[k], counts[m]
+        (u, v), (a, b) = (turned(at, np.repeat(cos[k], many), np.repeat(sin[k], many)) for at, many in ((own, size), (other, size_)))
+        begin = np.cumsum(size_) - size_
+        rising = np.append(np.diff(a) >= 0, True)
+        rising[begin[1:] - 1] = True
+        if not rising.all():
+            order = np.lexsort((a, np.repeat(np.arange(len(k)), size_)))
+            a, b = a[order], b[order]
+        # the first tick that isn't more than reach behind, guessed by even steps and put right
+        start, stop = np.repeat(begin, size), np.repeat(begin + size_, size)
+        wide = a[begin + size_ - 1] - a[begin]
+        ahead = np.repeat((size_ - 1) / np.where(wide > 0, wide, 1), size)
+        least = u - (reach + 1e-3)
+        at = np.clip(start + ((least - a[start]) * ahead).astype(np.int64), start, stop)
+        top = len(a) - 1
+        while (late := (at > start) & (a[np.maximum(at - 1, 0)] >= least)).any():
+            at -= late
+        while (early := (at < stop) & (a[np.minimum(at, top)] < least)).any():
+            at += early
+        off = np.full(len(u), np.inf)
+        while True:
+            spot = np.minimum(at, top)
+            gap = a[spot] - u
+            near = (at < stop) & (gap <= reach + 1e-3)
+            if not near.any():
+                break
+            np.minimum(off, np.where(near & (np.abs(gap) <= reach + 1e-9), np.abs(v - b[spot]), np.inf), out=off)
+            at += near
+        box = np.zeros(len(u), np.int64)
+        for c in range(2):
+            here = points[own, c]
+            box += np.maximum(0, np.maximum(np.repeat(low[m, c], size) - here, here - np.repeat(high[m, c] + 1, size)))
+        return off, box
+
+    order = np.lexsort((bound, k))
+    rank = np.empty(len(k), np.int64)
+    rank[order] = _places(np.bincount(k, minlength=n))
+    beyond = []  # ticks beside the other's box: the line, the distance, and that from the box
+    step = 0
+    while step <= rank.max(initial=-1):
+        now = np.flatnonzero((rank >= step) & (rank < max(2, 2 * step)) & (bound < safe[k]))
+        step = max(2, 2 * step)
+        if not len(now):
+            continue
+        off, box = offs(k[now], m[now])
+        begin = np.cumsum(counts[k[now]]) - counts[k[now]]
+        np.minimum.at(safe, k[now], np.minimum.reduceat(np.where(box <= off, off, np.inf), begin))
+        line = np.repeat(k[now], counts[k[now]])
+        some = (box > off) & (off < safe[line])
+        beyond.append((line[some], off[some], box[some]))
+    out = np.minimum(safe, tops[:, None])
+    if beyond:
+        line, off, box = (np.concatenate(v) for v in zip(*beyond, strict=True))
+        late = [np.unique(line[(off < now[line]) & (box <= top)]) for now, top in zip(out, tops, strict=True)]
+        every = np.unique(np.concatenate(late))
+        pairs = np.flatnonzero(np.isin(k, every))
+        if len(pairs):
+            off, box = offs(k[pairs], m[pairs])
+            size = counts[k[pairs]]
+            for found, top, lines in zip(out, tops, late, strict=True):
+                for one in lines.tolist():
+                    own = np.flatnonzero(np.repeat(k[pairs] == one, size))
+                    part = own.reshape(-1, counts[one]).T.ravel()  # tick by tick, the other lines in order
+                    now, o_, x_ = float(top), off[part], box[part]
+                    good = np.flatnonzero(o_ < now)
+                    for o, x in zip(o_[good].tolist(), x_[good].tolist(), strict=True):
+                        if o < now and x <= now:
+                            now = o
+                    found[one] = now
+    return out if np.ndim(most) else out[0]
+
+
+def many_neighbour_tolerances(found: np.ndarray, pages: np.ndarray, most: float = 250.0, share: float = 0.25) -> np.ndarray:
+    """``neighbour_tolerances`` of many pages from their lines' distances; pages are numbered from 0."""
+    some = (found > 0) & (found < most)
+    number = np.bincount(pages, some)
+    mean = np.where(number > 0, np.bincount(pages, np.where(some, found, 0)) / np.maximum(number, 1), most)[pages]
+    return share * np.minimum(np.where(some, found, mean), mean)
 
 
 def neighbour_tolerances(lines: Sequence[Line], tick: int = 5, most: float = 250.0, share: float = 0.25) -> np.ndarray:

@@ -342,6 +342,25 @@ def test_both_sides_from_one_pass(spark):
     assert plan.count("Exchange hashpartitioning") == 1  # lines are dealt by their page once
 
 
+def test_tolerances_of_many_pages_are_those_of_one_by_one():
+    rng = np.random.default_rng(22)
+    for odd in (False, True):
+        points, page, side, _ = random_sides(rng, 120, odd)
+        points, page = points[side == 0], page[side == 0]
+        ticks, counts = polygons.many_ticks(points)
+        far, near = measure.many_neighbour_distances(ticks, counts, page, most=(500.0, 250.0))
+        stats, tolerance = np.stack(measure.many_regressions(ticks, counts)), measure.many_neighbour_tolerances(near, page)
+        lines = np.split(ticks, np.cumsum(counts)[:-1])
+        for p in range(120):
+            own = np.flatnonzero(page == p)
+            some = [lines[k] for k in own]
+            assert np.allclose(far[own], measure.neighbour_distances(some, most=500.0), rtol=0, atol=1e-9)
+            assert np.allclose(tolerance[own], measure.neighbour_tolerances(some), rtol=0, atol=1e-9)
+            assert np.allclose(stats[:, own].T, [measure.regression(x) for x in some], rtol=0, atol=1e-6)
+    # a tent is level, in every bit
+    assert measure.regression(np.array(plain_ticks([(475, 228), (600, 232), (725, 228)])))[0] == 0.0
+
+
 def test_groups_longer_than_a_batch(spark):
     from pagelattice.operators import per_page
 
