@@ -28,31 +28,34 @@ def normal(key: Column, name: str, deviation: float, mean: float = 0.0) -> Colum
     return mean + deviation * F.sqrt(-2 * F.log(uniform(key, name + "1"))) * F.cos(2 * math.pi * uniform(key, name + "2"))
 
 
-def _changed(features: Column, places, change) -> Column:
-    """Features with change(value, place) at the places; those of baselines need 12 features, the text height 16."""
-    size = F.size(features)
-    touched = lambda i: F.when(i < 4, True).when(i < 12, size >= 12).otherwise(size >= 16) & i.isin(*places)
-    return F.transform(features, lambda x, i: F.when(touched(i), change(x, i)).otherwise(x))
+def _rebuilt(features: Column, new: dict[int, Column]) -> Column:
+    """Features with new values at some places; those of baselines need 12 features, the text height 16.
+
+    Place by place, without a lambda: in a lambda Spark works out anew, for each feature, what all of them share.
+    """
+    size, most = F.size(features), TEXT_HEIGHT + 1
+    old = lambda i: F.get(features, F.lit(i))
+    places = [new[i] if i in new and i < 4 else F.when(size >= (12 if i < 12 else most), new[i]).otherwise(old(i)) if i in new else old(i) for i in range(most)]
+    whole = F.concat(F.slice(F.array(*places), F.lit(1), F.least(size, F.lit(most))), F.slice(features, F.lit(most + 1), F.greatest(size - most, F.lit(0))))
+    return F.when(features.isNotNull(), whole)
 
 
 def scaled(features: Column, across: Column, down: Column) -> Column:
-    wide = _changed(features, XS, lambda x, i: x * across)
-    return _changed(wide, (*YS, TEXT_HEIGHT), lambda x, i: x * down)
+    by = dict.fromkeys(XS, across) | dict.fromkeys((*YS, TEXT_HEIGHT), down)
+    return _rebuilt(features, {i: F.get(features, F.lit(i)) * by[i] for i in by})
 
 
 def rotated(features: Column, angle: Column, centre_x: Column, centre_y: Column) -> Column:
     """Centres turned about a point."""
-    x = lambda i: F.get(features, i) - centre_x
-    y = lambda i: F.get(features, i) - centre_y
-    xs, ys = zip(*CENTRES, strict=True)
-    out = F.transform(features, lambda v, i: F.when(i.isin(*xs), F.cos(angle) * x(i) - F.sin(angle) * y(i + 1) + centre_x).when(i.isin(*ys), F.sin(angle) * x(i - 1) + F.cos(angle) * y(i) + centre_y).otherwise(v))
-    size = F.size(features)
-    return F.transform(out, lambda v, i: F.when((i < 4) | ((i < 12) & (size >= 12)), v).otherwise(F.get(features, i)))
+    new = {}
+    for i, k in CENTRES:
+        x, y = F.get(features, F.lit(i)) - centre_x, F.get(features, F.lit(k)) - centre_y
+        new |= {i: F.cos(angle) * x - F.sin(angle) * y + centre_x, k: F.sin(angle) * x + F.cos(angle) * y + centre_y}
+    return _rebuilt(features, new)
 
 
 def moved(features: Column, dx: Column, dy: Column) -> Column:
-    xs, ys = zip(*CENTRES, strict=True)
-    return _changed(_changed(features, xs, lambda x, i: x + dx), ys, lambda y, i: y + dy)
+    return _rebuilt(features, {i: F.get(features, F.lit(i)) + by for pair in CENTRES for i, by in zip(pair, (dx, dy), strict=True)})
 
 
 def augmented(nodes: DataFrame, page: str, node: str, seed: int = 0) -> DataFrame:
@@ -64,9 +67,13 @@ def augmented(nodes: DataFrame, page: str, node: str, seed: int = 0) -> DataFram
     name = lambda n: f"{seed}{n}"
     on = lambda n: uniform(key, name(n)) < 0.5
     f = F.col("features")
-    got = nodes.withColumn("features", F.when(on("scale"), scaled(f, normal(key, name("x"), SCALE, 1.0), normal(key, name("y"), SCALE, 1.0))).otherwise(f))
-    whole = Window.partitionBy(page)
-    got = got.withColumns({"_cx": F.avg(F.get(f, 2)).over(whole), "_cy": F.avg(F.get(f, 3)).over(whole)})
-    got = got.withColumn("features", F.when(on("turn"), rotated(f, normal(key, name("angle"), ANGLE), F.col("_cx"), F.col("_cy"))).otherwise(f))
+    # what is drawn is a column of its own, so that it is drawn once a row
+    drawn = lambda n, **of: {f"_{n}": on(n)} | {f"_{k}": F.when(on(n), c) for k, c in of.items()}
     shift = lambda axis: normal(own, name("own" + axis), SHIFT_NODE) + normal(key, name("all" + axis), SHIFT_PAGE)
-    return got.withColumn("features", F.when(on("move"), moved(f, shift("x"), shift("y"))).otherwise(f)).drop("_cx", "_cy")
+    got = nodes.withColumns(drawn("scale", across=normal(key, name("x"), SCALE, 1.0), down=normal(key, name("y"), SCALE, 1.0)))
+    got = got.withColumn("features", F.when(F.col("_scale"), scaled(f, F.col("_across"), F.col("_down"))).otherwise(f))
+    whole = Window.partitionBy(page)
+    got = got.withColumns({"_cx": F.avg(F.get(f, 2)).over(whole), "_cy": F.avg(F.get(f, 3)).over(whole)} | drawn("turn", angle=normal(key, name("angle"), ANGLE)) | drawn("move", dx=shift("x"), dy=shift("y")))
+    got = got.withColumn("features", F.when(F.col("_turn"), rotated(f, F.col("_angle"), F.col("_cx"), F.col("_cy"))).otherwise(f))
+    got = got.withColumn("features", F.when(F.col("_move"), moved(f, F.col("_dx"), F.col("_dy"))).otherwise(f))
+    return got.drop("_cx", "_cy", *(f"_{n}" for n in ("scale", "across", "down", "turn", "angle", "move", "dx", "dy")))

@@ -284,3 +284,21 @@ def test_ground_truth_of_a_page_keeps_every_pixel(spark):
             assert len(r.image) < image.size / 20 + 200
     noise = np.random.default_rng(3).random((40, 1003)) < 0.5
     assert (images.decode_png(images.encode_png(noise, np.full(40, 3))) == np.repeat(noise, 3, axis=0) * 255).all()
+
+
+def test_noise_is_drawn_once_a_row(spark):
+    """No lambda draws anew for each feature; arrays of any size keep what isn't touched."""
+    from pagelattice.plans import queries
+
+    plan = queries.queries()["augmented_features"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambdafunction" not in plan and plan.count("md5(") <= 3 + 2 * (2 + 2) + 3 * 2 + 3 * 8
+    rows = [(n, [float(n + k) for k in range(n)]) for n in (4, 5, 12, 15, 16, 17, 40)] + [(99, None)]
+    got = spark.createDataFrame(rows, "k int, f array<double>").select("k", augment.moved(F.col("f"), F.lit(10.0), F.lit(20.0)).alias("m"), augment.scaled(F.col("f"), F.lit(2.0), F.lit(3.0)).alias("s")).collect()
+    for r in got:
+        f = dict(rows)[r.k]
+        if f is None:
+            assert r.m is None and r.s is None
+            continue
+        own = [k < 4 or (k < 12 and len(f) >= 12) for k in range(len(f))]
+        assert r.m == [v + (10 if k % 2 == 0 else 20) if ok and k in (2, 3, 6, 7, 10, 11) else v for k, (v, ok) in enumerate(zip(f, own, strict=True))]
+        assert r.s == [v * (2 if k % 2 == 0 else 3) if ok else v * 3 if k == 15 and len(f) >= 16 else v for k, (v, ok) in enumerate(zip(f, own, strict=True))]
