@@ -45,10 +45,11 @@ def _text(equiv) -> F.Column:
     return F.coalesce(F.try_element_at(equiv, F.lit(-1))["Unicode"], F.lit(""))
 
 
-def text_regions(scan: DataFrame) -> DataFrame:
-    """Text regions in document order; one without a type is a paragraph."""
-    r = scan.select("page_id", F.posexplode("Page.TextRegion").alias("pos", "r"))
-    return r.select("page_id", "pos", F.col("r._id").alias("region_id"), F.coalesce("r._type", F.lit("paragraph")).alias("region_type"), attr.parse(F.coalesce("r._custom", F.lit(""))).alias("custom"), geo.points(F.col("r.Coords._points")).alias("points"), F.coalesce("r.TextLine", F.array().cast(_LINE)).alias("lines"))
+def text_regions(scan: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Text regions in document order; one without a type is a paragraph. keep: columns of the scan that each gets."""
+    # outer, as Spark else filters by the regions' number before, and parses the document for it once more
+    r = scan.select("page_id", *keep, F.posexplode_outer("Page.TextRegion").alias("pos", "r")).where("pos is not null")
+    return r.select("page_id", *keep, "pos", F.col("r._id").alias("region_id"), F.coalesce("r._type", F.lit("paragraph")).alias("region_type"), attr.parse(F.coalesce("r._custom", F.lit(""))).alias("custom"), geo.points(F.col("r.Coords._points")).alias("points"), F.coalesce("r.TextLine", F.array().cast(_LINE)).alias("lines"))
 
 
 def regions(scan: DataFrame) -> DataFrame:
@@ -60,11 +61,12 @@ def regions(scan: DataFrame) -> DataFrame:
     return out
 
 
-def lines(scan: DataFrame, distinct: bool = True) -> DataFrame:
-    """Text lines; of lines of one id the first, if distinct."""
-    l = text_regions(scan).select("page_id", "region_id", F.col("pos").alias("region_pos"), F.posexplode("lines").alias("pos", "l"))  # noqa: E741
-    custom = attr.parse(F.coalesce("l._custom", F.lit("")))
-    out = l.select("page_id", "region_id", "region_pos", "pos", F.col("l._id").alias("line_id"), _text(F.col("l.TextEquiv")).alias("text"), geo.points(F.col("l.Baseline._points")).alias("baseline"), geo.points(F.col("l.Coords._points")).alias("points"), custom.alias("custom"), attr.article_id(custom).alias("article_id"), attr.reading_order(custom).alias("reading_order"), F.col("l.Word").alias("words"))
+def lines(scan: DataFrame, distinct: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Text lines; of lines of one id the first, if distinct. keep: columns of the scan that each gets."""
+    l = text_regions(scan, keep).select("page_id", *keep, "region_id", F.col("pos").alias("region_pos"), F.posexplode("lines").alias("pos", "l"))  # noqa: E741
+    out = l.select("page_id", *keep, "region_id", "region_pos", "pos", F.col("l._id").alias("line_id"), _text(F.col("l.TextEquiv")).alias("text"), geo.points(F.col("l.Baseline._points")).alias("baseline"), geo.points(F.col("l.Coords._points")).alias("points"), attr.parse(F.coalesce("l._custom", F.lit(""))).alias("custom"), F.col("l.Word").alias("words"))
+    found = {"article_id": attr.article_id(F.col("custom")), "reading_order": attr.reading_order(F.col("custom"))}  # of what is parsed once
+    out = out.select(*out.columns[:-1], *[c.alias(n) for n, c in found.items()], "words")
     if distinct:
         from pyspark.sql import Window
 

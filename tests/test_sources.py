@@ -67,3 +67,11 @@ def test_stream_windows(spark, tmp_path):
     stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "e"))
     got = metrics.run_to_end(metrics.windowed(stream, "ts", "event_type", "value"), "windows", "complete")
     assert sum(r.n for r in got.collect()) == 20
+
+
+def test_round_trip_reads_and_deals_the_lines_once(spark):
+    from pagelattice.plans import queries
+
+    plan = queries.queries()["pagexml_round_trip"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 2 and plan.count("FileScan") == 2  # lines and pages
+    assert plan.count("from_xml") == 1
